@@ -99,7 +99,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, key: str, label: str, m
     n = labels.count()
     share = min(1.0, most / max(1, n))
     some = rows.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("h").limit(most).collect()
-    return np.array([r["stats"] for r in some], float).reshape(len(some), -1), np.array([r["good"] for r in some], float)
+    return np.array([r["stats"] for r in some], float).reshape(-1, len(NAMES)), np.array([r["good"] for r in some], float)
 
 
 def logit(p: Column) -> Column:

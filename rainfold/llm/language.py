@@ -2,7 +2,8 @@
 
 `learn` takes, for every language, the whole-table sample of at most `SAMPLE_ROWS` rows (a documented bound: the row
 with the least hash in each of so many buckets, so any executor finds the same rows) and keeps up to `SAMPLE_CHARS`
-characters of each as a raw-content dictionary. `classify` compresses every whole text, in blocks, with each dictionary;
+characters of each as a raw-content dictionary. `classify` compresses every whole text (its words in small letters), in
+blocks, with each dictionary;
 the language whose frames are smallest in sum wins, and the margin to the second decides whether the text is rejected.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language first by code
@@ -12,6 +13,7 @@ raise a ValueError, as the dictionaries are sent to every task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,13 +26,18 @@ from pyspark.sql import functions as F
 from rainfold.llm.common import batch_of, fields, slices
 
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 96, 1024, 256
-LEVEL, BLOCK = 3, 1 << 14
+LEVEL, BLOCK = 12, 1 << 12
 #: A text whose best language saves less than this share of the bytes of the second is rejected.
-MARGIN = 0.01
-LETTER = regex.compile(r"\p{L}")
+MARGIN = 0.02
+LETTER, OTHER = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+def plain(text: str) -> bytes:
+    """Small letters with single spaces between words: case, digits and marks say nothing about a language."""
+    return OTHER.sub(" ", text.lower()).encode()
+
+
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary bytes by language, from the labelled rows of df."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -49,7 +56,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     for r in picked.collect():
         if (r["lang__"], r["bucket__"], r["hash__"]) in wanted:
             parts.setdefault(r["lang__"], []).append((r["bucket__"], r["part"]))
-    return {name: " ".join(p for _, p in sorted(found)).encode() for name, found in sorted(parts.items())}
+    return {name: b" ".join(plain(p) for _, p in sorted(found)) for name, found in sorted(parts.items())}
 
 
 def classify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", keep: Sequence[str] = ("doc_id",), margin: float = MARGIN) -> DataFrame:
@@ -68,7 +75,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                 if not t or not names or not LETTER.search(t):
                     best, s, no = UNKNOWN, 0.0, True
                 else:
-                    raw = memoryview(t.encode())
+                    raw = memoryview(plain(t))
                     sizes = np.array([sum(len(p.compress(raw[a : a + BLOCK])) for a in range(0, len(raw), BLOCK)) for p in packers], float)
                     at = int(sizes.argmin())
                     second = np.delete(sizes, at).min(initial=np.inf)
