@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS, QUERY_ROWS, FIRST_DEPTH = 8192, 1024, 16
+#: Groups of row blocks that a query block is sent to, so that few query blocks still keep many tasks busy.
+SPREAD = 16
 
 
 def quantised(vector: Column) -> Column:
@@ -115,7 +117,8 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int
                     yield pa.RecordBatch.from_pydict({"no": pa.array([x], pa.int32()), "q_n": packed["n"], "q_width": packed["width"], "q_ids": packed["ids"], "q_vectors": packed["vectors"]})
 
     query_blocks = asked.mapInArrow(ask, "no int, q_n int, q_width int, q_ids binary, q_vectors binary")
-    pairs = blocks.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(query_blocks, "no")
+    dealt = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(SPREAD)).cast("int")).withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    pairs = dealt.join(query_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["no", "part"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
