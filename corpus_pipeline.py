@@ -44,9 +44,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of every row."""
     keep = ["doc_id", "lang", "source"]
-    coded = bpe.encode(docs, "text", keep).withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join("ids", ","), 256), "kept_ids": F.col("ids")})
-    back = bpe.decode(coded, "ids", [*keep, "n_tokens", "kept_ids", "ids_sha256"])
-    return back.select(*keep, "n_tokens", F.col("kept_ids").alias("ids"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs, "text", keep).withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join("ids", ","), 256)})
+    back = bpe.decode(coded, "ids", [*keep, "n_tokens", "ids", "ids_sha256"])
+    return back.select(*keep, "n_tokens", "ids", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

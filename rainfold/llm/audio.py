@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_of, fields, slices
+from rainfold.llm.common import batch_of, fields, in_batches, slices
 
 #: Format tags of WAVE containers (fixed values of that format).
 TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
@@ -147,7 +147,7 @@ def pack(df: DataFrame, payload: str, codec: str, keep: Sequence[str] = (), rate
             rows = zip(b.column("payload__").to_pylist(), b.column("codec__").to_pylist(), strict=True)
             yield batch_of(b, keep, media=pa.array([wave(c, p or b"", rate) for p, c in rows], pa.binary()))
 
-    made = df.select(*keep, F.col(payload).alias("payload__"), F.col(codec).alias("codec__"))
+    made = in_batches(df).select(*keep, F.col(payload).alias("payload__"), F.col(codec).alias("codec__"))
     return made.mapInArrow(kernel, ", ".join(filter(None, [fields(df, keep), "media binary"])))
 
 
@@ -182,7 +182,7 @@ def unpack(df: DataFrame, media: str = "media", keep: Sequence[str] = (), target
             yield batch_of(b, keep, **{k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     added = "codec string, payload binary, pcm binary, samples bigint, peak bigint, crossings bigint, energy bigint"
-    made = df.select(*keep, F.col(media).alias("media__"))
+    made = in_batches(df).select(*keep, F.col(media).alias("media__"))
     return made.mapInArrow(kernel, ", ".join(filter(None, [fields(df, keep), added])))
 
 

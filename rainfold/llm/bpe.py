@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_of, fields, slices
+from rainfold.llm.common import batch_of, fields, slices, with_input
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK_CHARS, OVERLAP = 16384, 512
@@ -82,10 +82,10 @@ def encode_pieces(df: DataFrame, text: str, keep: Sequence[str], path: str) -> D
     """keep + (ids ARRAY<INT>): each text encoded by itself."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, ["text__"]):
-            yield batch_of(b, keep, ids=_ids([t or "" for t in b.column("text__").to_pylist()], path))
+        for b in slices(batches, [name]):
+            yield batch_of(b, keep, ids=_ids([t or "" for t in b.column(name).to_pylist()], path))
 
-    made = df.select(*keep, F.col(text).alias("text__"))
+    made, name = with_input(df, keep, text, "text__")
     return made.mapInArrow(kernel, ", ".join(filter(None, [fields(df, keep), "ids array<int>"])))
 
 
@@ -139,11 +139,11 @@ def decode(df: DataFrame, ids: str = "ids", keep: Sequence[str] = ("doc_id",), p
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = token_bytes(path)
-        for b in slices(batches, ["ids__"]):
-            out = [b"".join(map(raw.__getitem__, x or ())) for x in b.column("ids__").to_pylist()]
+        for b in slices(batches, [name]):
+            out = [b"".join(map(raw.__getitem__, x or ())) for x in b.column(name).to_pylist()]
             yield batch_of(b, keep, decoded=pa.array(out, pa.binary()))
 
-    made = df.select(*keep, F.col(ids).alias("ids__"))
+    made, name = with_input(df, keep, ids, "ids__")
     return made.mapInArrow(kernel, ", ".join(filter(None, [fields(df, keep), "decoded binary"])))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes other than space and the controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -28,6 +29,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, with Arrow batches of at most `rows` rows in its session from now on, as texts and sketches are long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
+def with_input(df: DataFrame, keep: Sequence[str], column: str, name: str) -> tuple[DataFrame, str]:
+    """The columns `keep` and an input column, and what the latter is called: not twice if it is among them."""
+    if column in keep:
+        return in_batches(df).select(*keep), column
+    return in_batches(df).select(*keep, F.col(column).alias(name)), name
+
+
 def slices(batches: Iterator[pa.RecordBatch], sized: Sequence[str], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has at most `rows` rows and, unless one row is larger, `size` bytes in the columns `sized`."""
     for batch in batches:
@@ -37,6 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], sized: Sequence[str], rows: int =
         while start < batch.num_rows:
             yield batch.slice(start, step)
             start += step
+        pa.default_memory_pool().release_unused()
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import cut, slices
+from rainfold.llm.common import batch_of, cut, fields, in_batches, slices
 
 SAMPLE, MIN_LABELS, BROADCAST_SITES = 20_000, 5, 10_000
 #: Weight of the site beside the document, and the quality under which a document is rejected.
@@ -69,13 +69,11 @@ def statistics(text: str | None) -> list[float] | None:
 
 def text_statistics(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
     """keep + (stats ARRAY<DOUBLE>), null for texts without a word."""
-    from rainfold.llm.common import batch_of, fields
-
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, ["text__"]):
             yield batch_of(b, keep, stats=pa.array([statistics(t) for t in b.column("text__").to_pylist()], pa.list_(pa.float64())))
 
-    return df.select(*keep, F.col(text).alias("text__")).mapInArrow(kernel, fields(df, keep) + ", stats array<double>")
+    return in_batches(df).select(*keep, F.col(text).alias("text__")).mapInArrow(kernel, fields(df, keep) + ", stats array<double>")
 
 
 def fit(stats: np.ndarray, good: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_of, fields, slices
+from rainfold.llm.common import batch_of, fields, slices, with_input
 
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 96, 1024, 256
 LEVEL, BLOCK = 12, 1 << 12
@@ -65,13 +65,13 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(dictionaries)
         packers = []
-        for name in names:
-            raw = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for known in names:
+            raw = zstandard.ZstdCompressionDict(dictionaries[known], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=LEVEL)
             packers.append(zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
-        for b in slices(batches, ["text__"]):
+        for b in slices(batches, [name]):
             pred, score, rejected = [], [], []
-            for t in b.column("text__").to_pylist():
+            for t in b.column(name).to_pylist():
                 if not t or not names or not LETTER.search(t):
                     best, s, no = UNKNOWN, 0.0, True
                 else:
@@ -86,7 +86,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                 rejected.append(no)
             yield batch_of(b, keep, lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()), rejected=pa.array(rejected, pa.bool_()))
 
-    made = df.select(*keep, F.col(text).alias("text__"))
+    made, name = with_input(df, keep, text, "text__")
     return made.mapInArrow(kernel, ", ".join(filter(None, [fields(df, keep), "lang_pred string, score double, rejected boolean"])))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rainfold.llm.common import batch_of, fields, slices
+from rainfold.llm.common import batch_of, fields, slices, with_input
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct merged pre-tokens a task remembers before it starts anew.
@@ -98,10 +98,10 @@ def count_tokens(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(path, proven.value)
-        for b in slices(batches, ["text__"]):
-            yield batch_of(b, keep, n_tokens=pa.array(count([t or "" for t in b.column("text__").to_pylist()]), pa.int64()))
+        for b in slices(batches, [name]):
+            yield batch_of(b, keep, n_tokens=pa.array(count([t or "" for t in b.column(name).to_pylist()]), pa.int64()))
 
-    made = df.select(*keep, F.col(text).alias("text__"))
+    made, name = with_input(df, keep, text, "text__")
     return made.mapInArrow(kernel, ", ".join(filter(None, [fields(df, keep), "n_tokens bigint"])))
 
 
