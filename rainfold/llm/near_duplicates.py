@@ -10,13 +10,13 @@ similarity 0.8 only if their symmetric difference has at most (a + b) / 9 member
   least one of them is the same in any linked set, which emits it too. Sets just above a power of two also
   emit for the band below. Sets that occupy too few parts also emit every shingle; two such sets share one.
 * Equal sets are one class from the start. Buckets of classes with an equal part are first joined as stars around their
-  least class, verified on the exact sets; then only pairs of different components are left to test: one for each two
-  components of a bucket, then all that are left, where the sketches' Hamming distance allows a link.
+  least class; pairs that the Hamming distance of their sketches allows are verified on the exact sets. Then only pairs of
+  different components are left to test: in each bucket each component with its nearest others, then all that are left.
   Groups of near copies thus cost a star each and not all their pairs, and no link between components is lost.
 * Components of verified links by alternating large-star and small-star steps.
 
-Memory: rows of parts are (part, class) pairs; exact sets exist only for classes that share a part with another one and
-are joined by shuffles. Which ids those are comes as a Bloom filter of a fixed size; what it lets pass too much is
+Memory: rows of parts are (part, class) pairs; exact sets exist only for classes of pairs whose sketches are near and are
+joined by shuffles. Which ids those are comes as a Bloom filter of a fixed size; what it lets pass too much is
 joined away. Checkpoints in the shared folder cut the lineage between the rounds.
 
 Defined results: null and empty texts have 0 shingles and are their own component; texts of one to four words are one
@@ -34,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import cut, slices
+from rainfold.llm.common import cut, in_batches, slices
 
 WORDS = 5
 BLOOM_BITS = 1 << 25
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Which neighbour each component of a bucket is tested with in each round; None tests all pairs that are left.
+ROUNDS = (0, 1, None)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -112,8 +114,8 @@ def part_keys(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
-    """Parity of the shingles at each of at least twice as many bits as there are shingles, 512 at least."""
-    bits = max(512, 2 << len(own).bit_length())
+    """Parity of the shingles at each of at least twice as many bits as there are shingles, 256 at least."""
+    bits = max(256, 2 << len(own).bit_length())
     at = (mixed(own ^ _B) % np.uint64(bits)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
@@ -134,17 +136,17 @@ def _over_texts(docs: DataFrame, per_slice, schema: str) -> DataFrame:
             if made is not None:
                 yield made
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(kernel, schema)
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest): equal digests mean equal sets."""
+    """(doc_id, n_shingles, digest, sketch): equal digests mean equal sets."""
 
     def one(ids: list, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-        rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in sets]
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([n for n, _ in rows], pa.int64()), "digest": pa.array([d for _, d in rows], pa.binary())})
+        rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes()) for s in sets]
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([n for n, _, _ in rows], pa.int64()), "digest": pa.array([d for _, d, _ in rows], pa.binary()), "sketch": pa.array([k for _, _, k in rows], pa.binary())})
 
-    return _over_texts(docs, one, "doc_id bigint, n_shingles bigint, digest binary")
+    return _over_texts(docs, one, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
 
 
 def keyed_parts(docs: DataFrame) -> DataFrame:
@@ -189,7 +191,7 @@ def bloom_filter(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, size, sketch BINARY, members BINARY) of the documents in `ids` (one column, doc_id), one row each."""
+    """(doc_id, members BINARY) of the documents in `ids` (one column, doc_id), and of a few that the filter lets pass."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(ids, "doc_id").tobytes())
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +204,36 @@ def exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hit = ((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).reshape(3, -1).all(axis=0)
             b = b.filter(pa.array(hit))
             if b.num_rows:
-                sets = [shingles(t, hashes) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int32()), "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
+                sets = [shingles(t, hashes).tobytes() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "members": pa.array(sets, pa.binary())})
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id bigint, size int, sketch binary, members binary")
-    once = made.join(ids, "doc_id")
-    return once
+    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id bigint, members binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets are linked."""
+def near(a: int, b: int, apart: int) -> bool:
+    """Whether sets of sizes a and b whose sketches differ in `apart` bits may be linked."""
+    return 9 * apart <= a + b and 5 * a >= 4 * b and 5 * b >= 4 * a
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (x, y) that the Hamming distance of their sketches does not rule out."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, ["sx", "sy"], 4096):
+            keep = []
+            for a, z, p, q in zip(*(b.column(c).to_pylist() for c in ("nx", "ny", "sx", "sy")), strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                least = min(len(p), len(q))
+                keep.append(near(a, z, int(np.bitwise_count(fold(p, least) ^ fold(q, least)).sum())))
+            yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    of_y = pairs.join(sketches.select(F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("sketch").alias("sy")), "y")
+    both = of_y.join(sketches.select(F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("sketch").alias("sx")), "x")
+    return both.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(kernel, "x bigint, y bigint")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sets are linked, by one more pass over the texts for the sets of these pairs."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, ["mx", "my"], 256):
@@ -219,8 +241,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in rows], pa.bool_())
             yield b.select(["x", "y"]).filter(keep)
 
-    of_y = pairs.join(sets.select(F.col("doc_id").alias("y"), F.col("members").alias("my")), "y")
-    both = of_y.join(sets.select(F.col("doc_id").alias("x"), F.col("members").alias("mx")), "x")
+    sets = exact_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    of_y = sets.select(F.col("doc_id").alias("y"), F.col("members").alias("my")).join(pairs, "y")
+    both = sets.select(F.col("doc_id").alias("x"), F.col("members").alias("mx")).join(of_y, "x")
     return both.select("x", "y", "mx", "my").mapInArrow(kernel, "x bigint, y bigint").distinct()
 
 
@@ -242,58 +265,89 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return node.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def cross_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, every: bool) -> DataFrame:
-    """(x, y) in one bucket but in different components, near enough by sketch; one for each two components, or every one."""
+def cross_pairs(buckets: DataFrame, sketches: DataFrame, found: DataFrame, rank: int | None) -> DataFrame:
+    """(x, y) in one bucket but in different components, near enough by sketch, and rows with the key of each such bucket.
+
+    A bucket without such a pair has none in later rounds either. With a rank, each component of a bucket gives one pair at most: its rank-th nearest; with None all pairs are given.
+    """
     labels = found.select(F.col("node").alias("rep"), "component")
     named = buckets.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     whole = Window.partitionBy("key")
-    mixed_up = named.withColumn("apart", F.min("component").over(whole) != F.max("component").over(whole)).where("apart").select("key", "rep", "component")
-    rows = mixed_up.join(sets.select(F.col("doc_id").alias("rep"), "size", "sketch"), "rep").repartition("key").sortWithinPartitions("key", "component", "rep")
+    apart = named.withColumn("apart", F.min("component").over(whole) != F.max("component").over(whole)).where("apart").select("key", "rep", "component")
+    rows = apart.join(sketches, "rep").repartition("key").sortWithinPartitions("key", "component", "rep")
 
-    def pairs(reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, raw: list) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, raw: list) -> tuple[np.ndarray, np.ndarray, bool]:
         words = [np.frombuffer(s, np.uint64) for s in raw]
         least = min(map(len, words))
         bits = np.stack([fold(w, least) for w in words])
-        step, xs, ys = max(1, (4 << 20) // (8 * least * len(reps))), [], []
+        step, xs, ys, far, some = max(1, (4 << 20) // (8 * least * len(reps))), [], [], [], False
         for a in range(0, len(reps), step):
             z = slice(a, a + step)
-            apart = np.bitwise_count(bits[z, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            near = (9 * apart <= sizes[z, None] + sizes[None, :]) & (5 * sizes[z, None] >= 4 * sizes[None, :]) & (5 * sizes[None, :] >= 4 * sizes[z, None])
-            near &= comps[z, None] < comps[None, :]
-            i, k = np.nonzero(near)
-            if not every and len(i):
-                i = i + a
-                place = mixed(reps[i].view(np.uint64) * _A + reps[k].view(np.uint64))
-                order = np.lexsort((place, comps[k], comps[i]))
-                i, k = i[order], k[order]
-                first = np.ones(len(i), bool)
-                first[1:] = (comps[i][1:] != comps[i][:-1]) | (comps[k][1:] != comps[k][:-1])
-                i, k = i[first] - a, k[first]
-            xs.append(reps[i + a])
-            ys.append(reps[k])
-        return np.concatenate(xs), np.concatenate(ys)
+            distance = np.bitwise_count(bits[z, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            may = (9 * distance <= sizes[z, None] + sizes[None, :]) & (5 * sizes[z, None] >= 4 * sizes[None, :]) & (5 * sizes[None, :] >= 4 * sizes[z, None])
+            may &= comps[z, None] != comps[None, :]
+            some |= bool(may.any())
+            if rank is None:
+                i, k = np.nonzero(may & (comps[z, None] < comps[None, :]))
+            else:
+                distance[~may] = np.iinfo(np.int64).max
+                at = min(rank, len(reps) - 1)
+                k = np.argpartition(distance, at, axis=1)[:, at]
+                i = np.arange(len(k))
+                near_by = distance[i, k]
+                there = near_by < np.iinfo(np.int64).max
+                i, k = i[there], k[there]
+                far.append(near_by[there])
+            xs.append(i + a)
+            ys.append(k)
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        if rank is not None and len(x):  # the nearest of each component's members
+            order = np.lexsort((x, np.concatenate(far), comps[x]))
+            x, y = x[order], y[order]
+            first = np.ones(len(x), bool)
+            first[1:] = comps[x[1:]] != comps[x[:-1]]
+            x, y = x[first], y[first]
+        return reps[x], reps[y], some
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(group)
-            x, y = pairs(*(t[c].to_numpy() for c in ("rep", "component", "size")), t["sketch"].to_pylist())
-            return pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
+        held: list = [[], [], [], []]  # rep, component, size, sketch of the last, perhaps unfinished bucket
+        held_key = None
+        given: set[tuple[int, int]] = set()  # many buckets give the same pairs
+
+        def flush(made: list) -> None:
+            if len(held[0]) > 1:
+                x, y, near_by = pairs(*(np.array(held[i], np.int64) for i in range(3)), held[3])
+                some = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - given
+                if len(given) > REMEMBERED:
+                    given.clear()
+                given.update(some)
+                if near_by:
+                    made.append((int(held_key), None, None))
+                made.extend((None, *p) for p in some)
+            for part in held:
+                part.clear()
+
+        def out(made: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("key", "x", "y"), zip(*made, strict=True) if made else ([], [], []), strict=True)})
 
-        held: list[pa.RecordBatch] = []
         for b in batches:
+            made: list = []
+            columns = [b.column(c).to_pylist() for c in ("rep", "component", "size", "sketch")]
             keys = b.column("key").to_numpy()
-            starts = [*np.flatnonzero(np.diff(keys, prepend=keys[0] if len(keys) else 0)).tolist()]
-            for a, z in zip([0, *starts], [*starts, len(keys)], strict=True):
-                part = b.slice(a, z - a)
-                if held and part.num_rows and held[0].column("key")[0] != part.column("key")[0]:
-                    yield flush(held)
-                    held = []
-                if part.num_rows:
-                    held.append(part)
-        if held:
-            yield flush(held)
-
-    return rows.select("key", "rep", "component", F.col("size").cast("long").alias("size"), "sketch").mapInArrow(kernel, "x bigint, y bigint").distinct()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if z > a:
+                    if held_key is not None and held_key != keys[a]:
+                        flush(made)
+                    held_key = keys[a]
+                    for part, column in zip(held, columns, strict=True):
+                        part.extend(column[a:z])
+            yield out(made)
+        made = []
+        flush(made)
+        yield out(made)
+
+    return rows.select("key", "rep", "component", "size", "sketch").mapInArrow(kernel, "key bigint, x bigint, y bigint")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -302,23 +356,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sized = cut(set_classes(docs))
     classes = cut(sized.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = classes.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct()
-    rows = keyed_parts(docs).join(reps, "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
-    whole = Window.partitionBy("key")
-    met = rows.withColumns({"pivot": F.min("rep").over(whole), "last": F.max("rep").over(whole)})
-    buckets = cut(met.where("pivot < last").drop("last").distinct())
-    sets = cut(exact_sets(docs, buckets.select(F.col("rep").alias("doc_id")).distinct()))
-    tested = cut(buckets.where("rep > pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct())
-    edges = cut(verified(tested, sets))
-    for every in (False, True):
-        more = cut(cross_pairs(buckets.select("key", "rep"), sets, components(edges), every).join(tested, ["x", "y"], "left_anti"))
-        if more.isEmpty():
-            if every:
-                break
-            continue
-        tested, edges = tested.unionByName(more), cut(edges.unionByName(verified(more, sets)))
+    rows = keyed_parts(docs).join(reps, "doc_id").select(F.explode("keys").alias("part"), F.col("doc_id").alias("rep"))
+    whole = Window.partitionBy("part")
+    met = rows.withColumns({"pivot": F.min("rep").over(whole), "last": F.max("rep").over(whole), "key": F.bit_xor(F.xxhash64("rep")).over(whole)})
+    # buckets with the same members are one: their key is a digest of the members
+    buckets = cut(met.where("pivot < last").select("key", "rep", "pivot").distinct())
+    own = sized.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "sketch")
+    sketches = cut(own.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+    stars = buckets.where("rep > pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct()
+    tested = cut(near_pairs(stars, sketches))
+    edges = cut(verified(tested, docs))
+    open_buckets = buckets.select("key", "rep")
+    for rank in ROUNDS:
+        met = cut(cross_pairs(open_buckets, sketches, components(edges), rank))
+        open_buckets = cut(open_buckets.join(met.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi"))
+        more = cut(met.where("x IS NOT NULL").select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
+        if not more.isEmpty():
+            tested, edges = tested.unionByName(more), cut(edges.unionByName(verified(more, docs)))
     label = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     moved = classes.join(label, "rep", "left").where((F.col("copies") > 1) | F.col("root").isNotNull()).select("digest", F.coalesce("root", "rep").alias("component_id"))
-    out = sized.join(moved, (sized["digest"] == moved["digest"]) & (sized["n_shingles"] > 0), "left")
+    out = sized.drop("sketch").join(moved, (sized["digest"] == moved["digest"]) & (sized["n_shingles"] > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
