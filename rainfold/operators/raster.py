@@ -8,32 +8,38 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Eight directions in tie-break order: code, row step, column step (fixed values of the D8 scheme).
 DIRECTIONS = [(1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1)]
-ALONG_ROW = Window.partitionBy("survey", "row").orderBy("col")
-ALONG_COL = Window.partitionBy("survey", "col").orderBy("row")
+
+
+def along_row() -> WindowSpec:
+    return Window.partitionBy("survey", "row").orderBy("col")
+
+
+def along_col() -> WindowSpec:
+    return Window.partitionBy("survey", "col").orderBy("row")
 
 
 def with_neighbours(cells: DataFrame, *columns: str, name: str = "near") -> DataFrame:
     """cells + an array of eight structs of `columns` in the order of DIRECTIONS, null beyond the edge."""
     me = F.struct(*columns)
-    line = cells.withColumns({"w__": F.lag(me).over(ALONG_ROW), "e__": F.lead(me).over(ALONG_ROW)})
+    line = cells.withColumns({"w__": F.lag(me).over(along_row()), "e__": F.lead(me).over(along_row())})
     three = F.struct(F.col("w__").alias("w"), me.alias("m"), F.col("e__").alias("e"))
-    wide = line.withColumns({"s__": F.lag(three).over(ALONG_COL), "n__": F.lead(three).over(ALONG_COL)})
+    wide = line.withColumns({"s__": F.lag(three).over(along_col()), "n__": F.lead(three).over(along_col())})
     order = ["e__", "n__.e", "n__.m", "n__.w", "w__", "s__.w", "s__.m", "s__.e"]
     return wide.withColumn(name, F.array(*map(F.col, order))).drop("w__", "e__", "s__", "n__")
 
 
 def over_square(cells: DataFrame, value: str, out: str, aggregate, reach: int = 1) -> DataFrame:
     """cells + an aggregate of aggregates over the square of `reach` cells each way (min, max or sum)."""
-    row_wise = cells.withColumn("part__", aggregate(F.col(value)).over(ALONG_ROW.rangeBetween(-reach, reach)))
-    return row_wise.withColumn(out, aggregate(F.col("part__")).over(ALONG_COL.rangeBetween(-reach, reach))).drop("part__")
+    row_wise = cells.withColumn("part__", aggregate(F.col(value)).over(along_row().rangeBetween(-reach, reach)))
+    return row_wise.withColumn(out, aggregate(F.col("part__")).over(along_col().rangeBetween(-reach, reach))).drop("part__")
 
 
-def gradient(value: Column, along: Window, step: float) -> Column:
+def gradient(value: Column, along: WindowSpec, step: float) -> Column:
     """Central difference, one-sided at the ends of a line."""
     before, after = F.lag(value).over(along), F.lead(value).over(along)
     return F.when(before.isNull(), (after - value) / step).when(after.isNull(), (value - before) / step).otherwise((after - before) / (2 * step))
@@ -41,13 +47,13 @@ def gradient(value: Column, along: Window, step: float) -> Column:
 
 def with_slope(cells: DataFrame, resolution: float) -> DataFrame:
     """cells + slope in degrees of all cells, extrapolated ones included."""
-    dx, dy = gradient(F.col("z"), ALONG_ROW, resolution), gradient(F.col("z"), ALONG_COL, resolution)
+    dx, dy = gradient(F.col("z"), along_row(), resolution), gradient(F.col("z"), along_col(), resolution)
     return cells.withColumn("dx__", dx).withColumn("dy__", dy).withColumn("slope_deg", F.degrees(F.atan(F.sqrt(F.col("dx__") * F.col("dx__") + F.col("dy__") * F.col("dy__"))))).drop("dx__", "dy__")
 
 
 def with_hillshade(cells: DataFrame, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """cells + light of 0 to 1 from a direction, with unit spacing."""
-    dx, dy = gradient(F.col("z"), ALONG_ROW, 1.0), gradient(F.col("z"), ALONG_COL, 1.0)
+    dx, dy = gradient(F.col("z"), along_row(), 1.0), gradient(F.col("z"), along_col(), 1.0)
     made = cells.withColumn("dx__", dx).withColumn("dy__", dy)
     steep = math.pi / 2 - F.atan(F.hypot("dx__", "dy__"))
     facing = F.atan2(-F.col("dy__"), F.col("dx__"))
@@ -125,7 +131,7 @@ def with_edge_distance(cells: DataFrame, resolution: float) -> DataFrame:
     Cells beyond the grid are invalid. Down the columns a window finds the nearest invalid cell; along each row the least of
     squared column distance plus squared row distance is taken over the row's array.
     """
-    up, down = ALONG_COL.rowsBetween(Window.unboundedPreceding, 0), ALONG_COL.rowsBetween(0, Window.unboundedFollowing)
+    up, down = along_col().rowsBetween(Window.unboundedPreceding, 0), along_col().rowsBetween(0, Window.unboundedFollowing)
     size = Window.partitionBy("survey")
     bad = F.when(~F.col("valid"), F.col("row"))
     above = F.coalesce(F.max(bad).over(up), F.min("row").over(size) - 1)
