@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from rainfold.plans.store import cut
 
 
-def subtree_sums(edges: DataFrame, keys: list[str], node: str, receiver: str, weight: Column, rounds: int = 48) -> DataFrame:
+def subtree_sums(edges: DataFrame, keys: list[str], node: str, receiver: str, weight: Column) -> DataFrame:
     """keys + (node, total): the weights of a node and of everything that drains to it.
 
     Pointer doubling: after round k a node holds the sum over what lies less than 2**k steps above it and knows its
-    2**k-th receiver. Rounds are the logarithm of the longest path; a row left after `rounds` of them is on a cycle.
+    2**k-th receiver. Rounds are the logarithm of the longest path; a row left after the logarithm of all rows is on a cycle.
     """
     now = cut(edges.select(*keys, F.col(node).alias("node"), F.when(F.col(receiver) != F.col(node), F.col(receiver)).alias("up"), weight.alias("total")))
-    for _ in range(rounds):
+    for _ in range(now.count().bit_length() + 1):
         if now.where(F.col("up").isNotNull()).isEmpty():
             return now.drop("up")
         given = now.where(F.col("up").isNotNull()).groupBy(*keys, F.col("up").alias("node")).agg(F.sum("total").alias("more"))
@@ -28,7 +28,7 @@ def subtree_sums(edges: DataFrame, keys: list[str], node: str, receiver: str, we
     raise ValueError("the receivers form a cycle")
 
 
-def targets_below(edges: DataFrame, keys: list[str], node: str, receiver: str, targets: DataFrame, target: str, rounds: int = 48) -> DataFrame:
+def targets_below(edges: DataFrame, keys: list[str], node: str, receiver: str, targets: DataFrame, target: str) -> DataFrame:
     """keys + (node, target): every node with each target that its path to the outlet meets, itself included.
 
     `targets` has keys, node and a target's number; the numbers on a path are held as an array while pointers double.
@@ -36,7 +36,7 @@ def targets_below(edges: DataFrame, keys: list[str], node: str, receiver: str, t
     marks = targets.groupBy(*keys, F.col(node).alias("node")).agg(F.sort_array(F.collect_set(target)).alias("met"))
     now = edges.select(*keys, F.col(node).alias("node"), F.when(F.col(receiver) != F.col(node), F.col(receiver)).alias("up")).join(marks, [*keys, "node"], "left")
     now = cut(now.withColumn("met", F.coalesce("met", F.array().cast(marks.schema["met"].dataType))))
-    for _ in range(rounds):
+    for _ in range(now.count().bit_length() + 1):
         if now.where(F.col("up").isNotNull()).isEmpty():
             return now.select(*keys, "node", F.explode("met").alias(target))
         onward = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("met").alias("further"))
