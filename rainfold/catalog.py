@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rainfold import catalog_sql as sql
-from rainfold.functions import geodesy, parsing
-from rainfold.operators import contours, hydrology, rainfall, raster, sites, storage, surfaces
+from rainfold.functions import geodesy, geometry, parsing
+from rainfold.operators import contours, hydrology, interpolation, polygonize, rainfall, raster, sites, storage, surfaces
 from rainfold.plans.store import cut, table
 from rainfold.sources import readers
 
@@ -169,6 +169,36 @@ def _nearest(s: SparkSession, d: str) -> DataFrame:
     return raster.nearest_fill(grid, known, 200.0).select("row", "col", "z")
 
 
+def _linear(s: SparkSession, d: str) -> DataFrame:
+    """Heights of suppliers, scattered in general position, over a coarse grid."""
+    k = F.col("s_suppkey")
+    known = table(s, d, "supplier").select(F.lit("all").alias("survey"), ((k * k * 31 + k * 53) % 397 + k % 7 * 0.131).cast("double").alias("x"), ((k * k * 17 + k * 71) % 499 + k % 11 * 0.077).cast("double").alias("y"), F.col("s_acctbal").cast("double").alias("z"))
+    places = table(s, d, "nation").select(F.lit("all").alias("survey"), F.col("n_nationkey").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("col")).withColumns({"x": F.col("col") * 20.0 + 1.7, "y": F.col("row") * 20.0 + 2.3})
+    return rounded(interpolation.linear_surface(places, known, 60.0).where(F.col("z").isNotNull()).select("row", "col", "z"), 3)
+
+
+def supplier_relations(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as water areas: a rectangle of two ways, some with a triangle taken out, some not closed."""
+    k = F.col("s_suppkey")
+    left, low, wide, tall = k % 50 * 10.0, k % 31 * 10.0, k % 5 + 4.0, k % 7 + 5.0
+
+    def line(role: str, *at: tuple) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.array(*[F.struct((left + x).cast("double").alias("lon"), (low + y).cast("double").alias("lat")) for x, y in at]).alias("geometry"))
+
+    lower = line("outer", (0, 0), (wide, 0), (wide, tall))
+    upper = F.when(k % 7 == 0, line("outer", (0, 0), (0, tall))).otherwise(line("outer", (0, 0), (0, tall), (wide, tall)))
+    inner = F.when(k % 11 == 0, F.array(line("inner", (1, 1), (3, 1), (3, 4)))).when(k % 3 == 0, F.array(line("inner", (1, 1), (3, 1), (3, 4)), line("inner", (1, 1), (3, 4)))).otherwise(F.array().cast("array<struct<role:string,geometry:array<struct<lon:double,lat:double>>>>"))
+    return table(s, d, "supplier").select(k.alias("relation_id"), F.concat(F.array(lower, upper), inner).alias("members"))
+
+
+def _relations(s: SparkSession, d: str) -> DataFrame:
+    def areas(rings: str) -> Column:
+        return F.aggregate(rings, F.lit(0.0), lambda t, r: t + F.abs(geometry.signed_area(r)))
+
+    made = polygonize.relation_areas(supplier_relations(s, d))
+    return made.select("relation_id", F.size("shells").cast("long").alias("shells"), F.size("holes").cast("long").alias("holes"), F.round(areas("shells") - areas("holes"), 6).alias("area"), "error")
+
+
 def _tile_channels(s: SparkSession, d: str) -> DataFrame:
     return hydrology.hydrology_statistics(hydrology.channels(flow_tiles(s, d), 0.9))
 
@@ -263,6 +293,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "gaussian_smooth": (lambda s, d: rounded(raster.smoothed(part_grid(s, d), 1.0).select("row", "col", "z"), 5), sql.gaussian(raster.gaussian_weights(1.0))),
     "boundary_cells": (lambda s, d: raster.with_boundary(part_grid(s, d)).select("row", "col", "boundary"), sql.BOUNDARY),
     "edge_distance": (lambda s, d: rounded(raster.with_edge_distance(part_grid(s, d), RESOLUTION).select("row", "col", "edge_distance_m")), sql.EDGE_DISTANCE),
+    "linear_surface": (_linear, sql.LINEAR),
     "nearest_fill": (_nearest, sql.NEAREST),
     "mask_runs": (lambda s, d: surfaces.mask_runs(part_grid(s, d), "valid").drop("survey"), sql.MASK_RUNS),
     "outline_rings": (_outline, sql.OUTLINE),
@@ -285,6 +316,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "outlet_nodes": (_outlets, sql.OUTLETS),
     # maps
     "osm_ways": (osm_ways, sql.OSM_WAYS),
+    "relation_areas": (_relations, sql.RELATIONS),
     "latest_objects": (lambda s, d: surfaces.latest(table(s, d, "events").select((F.col("user_id")).alias("object_id"), "event_id", "event_type"), "object_id", "event_id"), sql.LATEST),
     "cache_lookup": (cache_hits, sql.CACHE),
     "quadrants": (lambda s, d: surfaces.quadrants(points(s, d).select("id", F.col("lat").alias("south"), F.col("lon").alias("west"), (F.col("lat") + F.col("id") % 9 * 0.25).cast("double").alias("north"), (F.col("lon") + F.col("id") % 5 * 0.25).cast("double").alias("east"))), sql.QUADRANTS),

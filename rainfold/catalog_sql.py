@@ -238,3 +238,29 @@ QUADRANTS = f"""WITH RECURSIVE {POINTS}, q AS (
   SELECT id, level + 1, CASE WHEN v = 0 THEN south ELSE (south + north) / 2 END, CASE WHEN u = 0 THEN west ELSE (west + east) / 2 END, CASE WHEN v = 0 THEN (south + north) / 2 ELSE north END, CASE WHEN u = 0 THEN (west + east) / 2 ELSE east END
   FROM q, (VALUES (0), (1)) a(u), (VALUES (0), (1)) b(v) WHERE level < 3 AND (north - south) * (east - west) > 0.25)
 SELECT id, south, west, north, east FROM q WHERE level = 3 OR (north - south) * (east - west) <= 0.25"""
+
+LINEAR = """
+WITH p AS (
+  SELECT s_suppkey AS id, ((s_suppkey * s_suppkey * 31 + s_suppkey * 53) % 397 + s_suppkey % 7 * 0.131)::DOUBLE AS x,
+    ((s_suppkey * s_suppkey * 17 + s_suppkey * 71) % 499 + s_suppkey % 11 * 0.077)::DOUBLE AS y, s_acctbal::DOUBLE AS z FROM supplier),
+three AS (
+  SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS bx, b.y - a.y AS b_y, b.z AS bz, c.x - a.x AS cx, c.y - a.y AS cy, c.z AS cz, a.id AS i, b.id AS j, c.id AS k,
+    (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS w
+  FROM p a JOIN p b ON a.id < b.id JOIN p c ON b.id < c.id),
+circles AS (
+  SELECT *, ax + (cy * (bx * bx + b_y * b_y) - b_y * (cx * cx + cy * cy)) / (2 * w) AS mx, ay + (bx * (cx * cx + cy * cy) - cx * (bx * bx + b_y * b_y)) / (2 * w) AS my
+  FROM three WHERE w <> 0),
+empty AS (
+  SELECT * FROM circles t WHERE NOT EXISTS (
+    SELECT 1 FROM p WHERE id NOT IN (t.i, t.j, t.k) AND (p.x - mx) * (p.x - mx) + (p.y - my) * (p.y - my) < (ax - mx) * (ax - mx) + (ay - my) * (ay - my))),
+places AS (SELECT n_nationkey::INTEGER AS row, c::INTEGER AS col, c * 20.0::DOUBLE + 1.7::DOUBLE AS x, n_nationkey * 20.0::DOUBLE + 2.3::DOUBLE AS y FROM nation, range(20) r(c)),
+weighed AS (
+  SELECT row, col, az, bz, cz, ((x - ax) * cy - (y - ay) * cx) / w AS u, (bx * (y - ay) - b_y * (x - ax)) / w AS v FROM places, empty)
+SELECT row, col, round(any_value(az * (1 - u - v) + bz * u + cz * v), 3) + 0.0 AS z FROM weighed WHERE u >= 0 AND v >= 0 AND u + v <= 1 GROUP BY row, col
+"""
+
+RELATIONS = """
+SELECT s_suppkey AS relation_id, CASE WHEN e IS NULL THEN 1 ELSE 0 END::BIGINT AS shells, CASE WHEN e IS NULL AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS holes,
+  CASE WHEN e IS NULL THEN (s_suppkey % 5 + 4) * (s_suppkey % 7 + 5) - CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 0 END ELSE 0 END::DOUBLE AS area, e AS error
+FROM (SELECT *, CASE WHEN s_suppkey % 7 = 0 THEN 'incomplete_outer' WHEN s_suppkey % 11 = 0 THEN 'incomplete_inner' END AS e FROM supplier)
+"""
