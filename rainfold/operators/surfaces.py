@@ -103,7 +103,10 @@ def land_coverage(cells: DataFrame, lands: DataFrame, resolution: float) -> Data
     """(survey, land_id, area_ha, terrain_coverage_fraction, partial_terrain_coverage): how much of a land the raster's cells hold."""
     half = resolution / 2
     near = cells.join(lands.select("survey", "land_id", "ring"), "survey")
-    part = F.abs(geometry.signed_area(geometry.clip_ring(F.col("ring"), F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)))
+    bounds = [agg(F.col(f"ring.{axis}")) for axis in ("x", "y") for agg in (F.array_min, F.array_max)]
+    meets = (F.col("x") + half >= bounds[0]) & (F.col("x") - half <= bounds[1]) & (F.col("y") + half >= bounds[2]) & (F.col("y") - half <= bounds[3])
+    clipped = F.abs(geometry.signed_area(geometry.clip_ring(F.col("ring"), F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)))
+    part = F.when(meets, clipped).otherwise(0.0)  # only squares that meet the ring's bounds are clipped
     whole = F.abs(geometry.signed_area(F.col("ring")))
     made = near.groupBy("survey", "land_id").agg(F.sum(part).alias("part"), F.max(whole).alias("whole"))
     share = F.least(F.lit(1.0), F.col("part") / F.col("whole"))
