@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rainfold.plans.store import cut
+
 #: Eight directions in tie-break order: code, row step, column step (fixed values of the D8 scheme).
 DIRECTIONS = [(1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1)]
 
@@ -162,17 +164,26 @@ def auto_resolution(extent: Column, interval: Column) -> Column:
 def nearest_fill(cells: DataFrame, points: DataFrame, reach: float) -> DataFrame:
     """z of cells without one from the nearest point (survey, id, x, y, z), ties to the smaller id.
 
-    Points and cells meet in buckets of `reach` metres, each cell looking into the nine about it; `reach` has to be at least
-    the distance to the nearest point, else the cell stays empty.
+    Points and cells meet in buckets of `reach` metres, each cell looking into the nine about it, so what is found within `reach`
+    is the nearest. Cells without such a point come again with buckets four times as wide, until the buckets cover the survey;
+    cells stay empty only in a survey without points. Points with a null or a value that is not finite are left out.
     """
-    def bucket(c: str) -> Column:
-        return F.floor(F.col(c) / reach).cast("long")
-
+    fine = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('infinity')" for c in ("x", "y", "z")))
+    known = cut(fine.select("survey", F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")))
     spread = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    missing = cells.where(F.col("z").isNull()).select("survey", "row", "col", "x", "y", spread.alias("o"))
-    asked = missing.select("survey", "row", "col", "x", "y", (bucket("x") + F.col("o.i")).alias("bx"), (bucket("y") + F.col("o.j")).alias("by"))
-    there = points.select("survey", F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), bucket("x").alias("bx"), bucket("y").alias("by"))
-    near = asked.join(there, ["survey", "bx", "by"])
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    found = near.groupBy("survey", "row", "col").agg(F.min_by("pz", F.struct(d2, "pid")).alias("z__"))
-    return cells.join(found, ["survey", "row", "col"], "left").withColumn("z", F.coalesce("z", "z__")).drop("z__")
+    placed = " AND ".join(f"NOT isnan({c}) AND abs({c}) < double('infinity')" for c in ("x", "y"))
+    empty = cells.where(F.col("z").isNull()).where(placed).select("survey", "row", "col", "x", "y")
+    left = cut(empty.join(known.select("survey").distinct(), "survey", "left_semi"))
+    side, done = reach, None
+    while done is None or not left.isEmpty():
+        def bucket(c: str, side: float = side) -> Column:
+            return F.floor(F.col(c) / side).cast("long")
+
+        asked = left.withColumn("o", spread).select("survey", "row", "col", "x", "y", (bucket("x") + F.col("o.i")).alias("bx"), (bucket("y") + F.col("o.j")).alias("by"))
+        near = asked.join(known.withColumns({"bx": bucket("px"), "by": bucket("py")}), ["survey", "bx", "by"])
+        best = near.groupBy("survey", "row", "col").agg(F.min(d2).alias("d2__"), F.min_by("pz", F.struct(d2, "pid")).alias("z__"))
+        sure = cut(best.where(F.col("d2__") <= side * side * (1 - 1e-9)).drop("d2__"))
+        done = sure if done is None else done.unionByName(sure)
+        left, side = cut(left.join(sure, ["survey", "row", "col"], "left_anti")), side * 4
+    return cells.join(done, ["survey", "row", "col"], "left").withColumn("z", F.coalesce("z", "z__")).drop("z__")

@@ -41,6 +41,18 @@ def test_slope_of_a_ramp(spark):
     assert np.allclose(slope, math.degrees(math.atan(0.4)))
 
 
+def test_nearest_fill_reaches_every_cell(spark):
+    places = [("g", r, c, 10.0 * c, 10.0 * r) for r in range(0, 3000, 150) for c in range(4)] + [("lone", 0, 0, 0.0, 0.0)]
+    cells = spark.createDataFrame(places, "survey string, row int, col int, x double, y double").withColumn("z", F.lit(None).cast("double"))
+    known = [("g", 3, 0.0, 21.0, 7.0), ("g", 5, 30.0, 0.0, 8.0), ("g", 1, 30.0, 0.0, 9.0), ("g", 7, 0.0, 15000.0, 4.0), ("g", 0, 25.0, float("nan"), 1.0)]
+    points = spark.createDataFrame(known, "survey string, id int, x double, y double, z double")
+    got = {(r["survey"], r["row"], r["col"]): r["z"] for r in raster.nearest_fill(cells, points, 20.0).collect()}
+    assert len(got) == len(places)
+    for survey, r, c, x, y in places:
+        best = min((((x - px) ** 2 + (y - py) ** 2, i, z) for _, i, px, py, z in known if py == py), default=None)
+        assert got[survey, r, c] == (None if survey == "lone" else best[2])
+
+
 def test_filling(spark):
     pit = np.full((5, 5), 10.0)
     pit[2, 2] = 2
