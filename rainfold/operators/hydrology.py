@@ -6,13 +6,15 @@ Cells are those of `raster`; `sink` (optional) marks outlets that are kept.
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.operators import graph
-from rainfold.operators.raster import DIRECTIONS, over_square, with_neighbours
+from rainfold.operators.raster import DIRECTIONS, with_neighbours
 from rainfold.plans.store import cut
 
 HIGH = float("inf")
@@ -32,25 +34,59 @@ def with_extent(cells: DataFrame) -> DataFrame:
     return cells.withColumn("rim", rim)
 
 
-def fill_depressions(cells: DataFrame, sweeps: int = 6, rounds: int = 500) -> DataFrame:
+def lowered(block: pa.Table) -> pa.Table:
+    """The block's own cells with the least levels that the levels at hand allow, and whether a level at its border moved."""
+    row, col = (block.column(c).to_numpy() for c in ("row", "col"))
+    valid, halo, shared = (block.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("valid", "halo", "shared"))
+    z, level = block.column("z__").to_numpy(), block.column("level").to_numpy().copy()
+    before, place = level.copy(), {p: i for i, p in enumerate(zip(row.tolist(), col.tolist(), strict=True))}
+    heap = [(v, i) for i, v in enumerate(level.tolist()) if v < HIGH]
+    heapq.heapify(heap)
+    while heap:
+        v, i = heapq.heappop(heap)
+        if v > level[i]:
+            continue
+        for _, dr, dc in DIRECTIONS:
+            n = place.get((row[i] + dr, col[i] + dc))
+            if n is not None and valid[n] and not halo[n] and (low := max(z[n], v)) < level[n]:
+                level[n] = low
+                heapq.heappush(heap, (low, n))
+    made = block.set_column(block.schema.get_field_index("level"), "level", pa.array(level))
+    return made.append_column("moved", pa.array(shared & (level != before))).filter(pa.array(~halo)).drop_columns(["halo", "br", "bc"])
+
+
+def fill_depressions(cells: DataFrame, side: int = 128) -> DataFrame:
     """cells + z_filled: the lowest level at which a cell drains to the rim, to an invalid cell or to a kept sink.
 
-    level = max(z, least level about it), from infinity downwards and from z where water leaves, until nothing changes.
-    Each round makes `sweeps` steps in one plan and is checkpointed.
+    level = max(z, least level about it), from infinity downwards and from z where water leaves, until nothing changes. Each round
+    brings square blocks of `side` cells to rest, given the levels just beyond their borders, and is checkpointed. No level
+    rises and each is one of the z, so it ends, after as many rounds as the longest drain path has crossings of blocks.
     """
-    made = with_extent(_prepared(cells))
+    made = cut(with_extent(_prepared(cells)))
     leaves = F.col("rim") | F.col("sink")
-    z = F.when(F.col("valid"), F.col("z")).otherwise(F.lit(-HIGH))
-    now = cut(made.withColumn("level", F.when(leaves | ~F.col("valid"), z).otherwise(F.lit(HIGH))))
-    for _ in range(rounds):
-        step = now.withColumn("before__", F.col("level"))
-        for _ in range(sweeps):
-            step = over_square(step, "level", "low__", F.min).withColumn("level", F.when(F.col("valid"), F.greatest("z", F.least("level", "low__"))).otherwise(F.col("level"))).drop("low__")
-        step = cut(step.withColumn("moved__", F.col("level") != F.col("before__")).drop("before__"))
-        now, moved = step.drop("moved__"), not step.where("moved__").isEmpty()
-        if not moved:
-            return now.withColumn("z_filled", F.when(F.col("valid"), F.col("level"))).drop("level", "rim")
-    raise ValueError("filling did not come to rest")
+    z = F.when(F.col("valid"), F.col("z").cast("double")).otherwise(F.lit(-HIGH))
+    block = [F.floor(F.col(c) / side).cast("long").alias(b) for c, b in (("row", "br"), ("col", "bc"))]
+    grid = Window.partitionBy("survey")
+
+    def about(c: str) -> Column:
+        """Blocks of the lines on and beside a cell's own, those without cells left out."""
+        lines = [F.greatest(F.min(c).over(grid), F.least(F.max(c).over(grid), F.col(c) + k)) for k in (0, -1, 1)]
+        return F.array_distinct(F.array(*[F.floor(line / side).cast("long") for line in lines]))
+
+    now = made.select("survey", "row", "col", "valid", z.alias("z__"), F.when(leaves | ~F.col("valid"), z).otherwise(F.lit(HIGH)).alias("level"), about("row").alias("r__"), about("col").alias("c__")).withColumn("shared", (F.size("r__") > 1) | (F.size("c__") > 1))
+    shape = ", ".join(f"{c} {k}" for c, k in now.dtypes) + ", moved boolean"
+    while True:
+        own = now.select("*", *block)
+        seen = own.withColumn("to_r", F.explode("r__")).withColumn("to_c", F.explode("c__"))
+        halo = (F.col("to_r") != F.col("br")) | (F.col("to_c") != F.col("bc"))
+        dealt = seen.withColumn("halo", halo).withColumns({"br": F.col("to_r"), "bc": F.col("to_c")}).drop("to_r", "to_c")
+        step = cut(dealt.groupBy("survey", "br", "bc").applyInArrow(lowered, shape))
+        now = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    keys = [F.col(f"m.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("survey", "row", "col")]
+    done = made.alias("m").join(now.select("survey", "row", "col", "level").alias("n"), keys, "left").select("m.*", "n.level")
+    return done.withColumn("z_filled", F.when(F.col("valid"), F.col("level"))).drop("level", "rim")
 
 
 def _slopes(resolution: float, surface: str = "s") -> Column:

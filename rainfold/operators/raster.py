@@ -35,12 +35,6 @@ def with_neighbours(cells: DataFrame, *columns: str, name: str = "near") -> Data
     return wide.withColumn(name, F.array(*map(F.col, order))).drop("w__", "e__", "s__", "n__")
 
 
-def over_square(cells: DataFrame, value: str, out: str, aggregate, reach: int = 1) -> DataFrame:
-    """cells + an aggregate of aggregates over the square of `reach` cells each way (min, max or sum)."""
-    row_wise = cells.withColumn("part__", aggregate(F.col(value)).over(along_row().rangeBetween(-reach, reach)))
-    return row_wise.withColumn(out, aggregate(F.col("part__")).over(along_col().rangeBetween(-reach, reach))).drop("part__")
-
-
 def gradient(value: Column, along: WindowSpec, step: float) -> Column:
     """Central difference, one-sided at the ends of a line."""
     before, after = F.lag(value).over(along), F.lead(value).over(along)

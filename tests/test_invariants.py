@@ -66,6 +66,36 @@ def test_filling(spark):
     assert array(hydrology.fill_depressions(grid(spark, pit, sink=kept)), "z_filled", (5, 5))[2, 2] == 2
 
 
+def test_filling_along_a_winding_path(spark):
+    z = np.full((91, 91), 50.0)
+    z[1:-1:2, 1:-1] = 1
+    for k, r in enumerate(range(2, 89, 2)):
+        z[r, -2 if k % 2 == 0 else 1] = 1
+    z[0, 1] = 2
+    for side in (128, 60):
+        got = array(hydrology.fill_depressions(grid(spark, z), side=side), "z_filled", (91, 91))
+        assert (got == np.where(z == 1, 2, z)).all()
+
+
+def test_filling_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    z, valid, sink = np.floor(rng.random((23, 29)) * 9), rng.random((23, 29)) > 0.02, rng.random((23, 29)) > 0.98
+    want = np.where(valid, np.inf, -np.inf)
+    fixed = np.zeros(z.shape, bool)
+    fixed[[0, -1]] = fixed[:, [0, -1]] = True
+    want = np.where(valid & (fixed | sink), z, want)
+    while True:
+        wide = np.pad(want, 1, constant_values=np.inf)
+        low = np.min([wide[i : i + 23, j : j + 29] for i in range(3) for j in range(3)], axis=0)
+        step = np.where(valid, np.maximum(z, low), -np.inf)
+        if (step == want).all():
+            break
+        want = step
+    for side in (128, 5, 1):
+        got = array(hydrology.fill_depressions(grid(spark, z, valid, sink), side=side), "z_filled", z.shape)
+        assert np.array_equal(got, np.where(valid, want, np.nan), equal_nan=True)
+
+
 def test_flow_is_conserved_over_plateaus(spark):
     rng = np.random.default_rng(2)
     z = np.floor(rng.random((12, 14)) * 4)
