@@ -7,13 +7,16 @@ to doubling depths; rows seen are scored in full, and the search of the block st
 still give is below the k-th score. Equal scores go to the smaller id, so the bound has to be strictly below.
 The best k of each block are merged by a window over the query's id.
 
-Vectors that are null, hold null or non-finite components, or components from 2**18 on take no part, nor do rows without
-an id. Shorter vectors count as padded with zeros. Of several queries with one id the least vector is the query; rows
+Vectors with a component from 2**18 on come in blocks of their own, whose scores are summed as Python integers where
+64 bits may not hold them. Ranks are right for them too; a score that BIGINT cannot hold is null.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Shorter vectors count as padded with zeros. Of several queries with one id the least vector is the query; rows
 with the query's own id are not its candidates.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,37 +27,69 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, QUERY_ROWS, FIRST_DEPTH = 8192, 1024, 16
 #: Groups of row blocks that a query block is sent to, so that few query blocks still keep many tasks busy.
 SPREAD = 16
+#: Components below it fit a block of 32-bit integers; doubles from WHOLE on are whole numbers of 256ths.
+SMALL, WHOLE = float(2**18), float(2**44)
 
 
 def quantised(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
+    """Components rounded down to 256ths, which doubles hold exactly."""
+
+    def down(x: Column) -> Column:
+        x = x.cast("double")
+        return F.when(F.abs(x) < WHOLE, F.floor(F.lit(256.0) * x) / F.lit(256.0)).otherwise(x)
+
+    return F.transform(vector, down)
 
 
 def usable(vector: Column) -> Column:
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(2**18)))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return vector.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
 def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """One row for each block: ids and vectors as bytes."""
+    """One row for each block: ids and vectors as bytes, of 256ths in 32 bits or, where one is large, of doubles."""
 
-    def row(ids: list, vectors: list) -> pa.RecordBatch:
+    def row(ids: list, vectors: list, large: bool) -> pa.RecordBatch:
         width = max(map(len, vectors), default=0)
-        block = np.zeros((len(ids), width), np.int32)
+        block = np.zeros((len(ids), width), np.float64)
         for i, v in enumerate(vectors):
             block[i, : len(v)] = v
+        block = block if large else (block * 256).astype(np.int32)
         return pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int32()), "width": pa.array([width], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "vectors": pa.array([block.tobytes()], pa.binary())})
 
-    ids: list = []
-    vectors: list = []
+    held: dict = {False: ([], []), True: ([], [])}
     for b in batches:
-        ids += b.column("id__").to_pylist()
-        vectors += b.column("v__").to_pylist()
-        while len(ids) >= rows:
-            yield row(ids[:rows], vectors[:rows])
-            ids, vectors = ids[rows:], vectors[rows:]
-    if ids:
-        yield row(ids, vectors)
+        for i, v in zip(b.column("id__").to_pylist(), b.column("v__").to_pylist(), strict=True):
+            large = bool(v) and (max(v) >= SMALL or min(v) <= -SMALL)
+            ids, vectors = held[large]
+            ids.append(i)
+            vectors.append(v)
+            if len(ids) == rows:
+                yield row(ids, vectors, large)
+                held[large] = ([], [])
+    for large, (ids, vectors) in held.items():
+        if ids:
+            yield row(ids, vectors, large)
+
+
+def unpacked(raw: bytes, n: int, width: int, to: int) -> np.ndarray:
+    """A block's vectors in 256ths, padded to `to` columns: 64-bit integers, or Python's where those do not hold them."""
+    if len(raw) == n * width * 4:
+        block = np.frombuffer(raw, np.int32).reshape(n, width).astype(np.int64)
+    else:
+        block = np.frombuffer(raw, np.float64).reshape(n, width)
+        if np.abs(block).max(initial=0) < 2**54:
+            block = (block * 256).astype(np.int64)
+        else:
+            block = np.array([int(x) * 256 if abs(x) >= WHOLE else int(x * 256) for x in block.ravel().tolist()], object).reshape(n, width)
+    return np.pad(block, ((0, 0), (0, to - width)))
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of the integers."""
+    size = (score.bit_length() + 7) // 8
+    magnitude = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + magnitude if score >= 0 else b"\0" + bytes(255 - x for x in magnitude)
 
 
 class Lists:
@@ -100,8 +135,20 @@ class Lists:
         return ids, scores
 
 
+class Scores:
+    """A block's rows of Python integers, all scored."""
+
+    def __init__(self, ids: np.ndarray, block: np.ndarray):
+        self.ids, self.block = ids, block
+
+    def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.block @ query.astype(object)
+        first = heapq.nsmallest(k, ((-x, i) for i, x in zip(self.ids.tolist(), scores.tolist(), strict=True) if i != own))
+        return np.array([i for _, i in first], np.int64), np.array([-x for x, _ in first], object)
+
+
 def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows for each query; vectors are ARRAY<BIGINT>."""
+    """(query_id, rank, vec_id, score) of the k best rows for each query; vectors are ARRAY<DOUBLE> as `quantised` gives them."""
     made = "n int, width int, ids binary, vectors binary"
     blocks = rows.select(F.col(id_col).cast("long").alias("id__"), F.col(vector).alias("v__")).mapInArrow(lambda b: _packed(b, BLOCK_ROWS), made)
     asked = queries.groupBy(F.col(id_col).cast("long").alias("id__")).agg(F.min(vector).alias("v__"))
@@ -124,23 +171,20 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int
         for b in batches:
             for r in b.to_pylist():
                 width = max(r["width"], r["q_width"])
-
-                def wide(raw: bytes, n: int, w: int, width: int = width) -> np.ndarray:
-                    return np.pad(np.frombuffer(raw, np.int32).reshape(n, w), ((0, 0), (0, width - w)))
-
-                block, asked_for = wide(r["vectors"], r["n"], r["width"]), wide(r["q_vectors"], r["q_n"], r["q_width"])
+                block, asked_for = unpacked(r["vectors"], r["n"], r["width"], width), unpacked(r["q_vectors"], r["q_n"], r["q_width"], width)
                 most = width * int(np.abs(block).max(initial=0)) * int(np.abs(asked_for).max(initial=0))
-                kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # sums stay exact
-                lists = Lists(np.frombuffer(r["ids"], np.int64), block.astype(kind))
+                kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object  # sums stay exact
+                rows = np.frombuffer(r["ids"], np.int64)
+                lists = Scores(rows, block.astype(object)) if kind is object else Lists(rows, block.astype(kind))
                 out: list[tuple] = []
                 for own, q in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), asked_for, strict=True):
                     ids, scores = lists.best(own, q, k)
-                    out += zip([own] * len(ids), ids.tolist(), scores.tolist(), strict=True)
-                cols = list(zip(*out, strict=True)) if out else [[], [], []]
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+                    out += [(own, i, x if -(2**63) <= x < 2**63 else None, sort_key(x)) for i, x in zip(ids.tolist(), scores.tolist(), strict=True)]
+                cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "key" else pa.int64()) for c, v in zip(("query_id", "vec_id", "score", "key"), cols, strict=True)})
 
-    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, key binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("key").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -7,6 +7,7 @@ import struct
 import wave
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -187,6 +188,17 @@ def test_top_k_odd_rows(spark):
     assert topk.search_report(df.limit(0)).count() == 0
 
 
+def test_top_k_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 300, 3).tolist()) for i in range(120)]
+    rows += [(150, [2.0**18, 1.0, -0.3]), (151, [-(2.0**30) - 0.001, 5.5, 0.0]), (200, [3.0e38, -1e-9, 2.0]), (201, [1e300, 1.0, 1.0]), (202, [1e300, 1.0, 2.0]), (250, [-1.7e308, 7.0]), (203, [0.0, 0.0, 2.0**52 + 1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    exact = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    want = [(q, r, i, s if -(2**63) <= s < 2**63 else None) for q, r, i, s in brute_top(exact, 5)]
+    got = [tuple(r) for r in topk.search_report(df).collect()]
+    assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2]) and {150, 200, 250} <= {r[0] for r in got}
+
+
 def test_threshold_stops_early(monkeypatch):
     rng = np.random.default_rng(5)
     block = rng.integers(0, 10, (4000, 3)).astype(np.float64)
