@@ -269,7 +269,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "size_recommendation": (lambda s, d: rounded(storage.recommend(storage.evaluate_sizes(storage.candidate_grid(s), daily_rain(s, d).where(F.year("day").between(1996, 2000)), 4000.0)), 3), None),
     # contours, projection, parsing
     "contour_statistics": (lambda s, d: contours.statistics(sound_contours(s, d)), sql.CONTOUR_STATS),
-    "contour_interval": (lambda s, d: contours.interval(order_contours(s, d).where("elevation < 60")), sql.CONTOUR_INTERVAL),
+    "contour_interval": (lambda s, d: contours.interval(order_contours(s, d)), sql.CONTOUR_INTERVAL),
     "contour_gaps": (lambda s, d: contours.elevation_gaps(order_contours(s, d)), sql.CONTOUR_GAPS),
     "contour_violations": (lambda s, d: contours.violations(order_contours(s, d)), sql.CONTOUR_VIOLATIONS),
     "contour_vertices": (lambda s, d: contours.vertices(sound_contours(s, d)), sql.CONTOUR_VERTICES),

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rainfold import catalog
 from rainfold.functions import geometry, parsing
 from rainfold.operators import contours, graph, hydrology, rainfall, raster, sites, storage, surfaces
 from rainfold.plans import analysis
@@ -41,6 +42,15 @@ def test_slope_of_a_ramp(spark):
     assert np.allclose(slope, math.degrees(math.atan(0.4)))
 
 
+def test_contour_interval_takes_all_orders(spark, tmp_path):
+    orders = [(k, 1, 20000.0 * k) for k in range(14)] + [(20, 1, 20000.0 * 17)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.createDataFrame([(0, 1, 1, 1)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries()["contour_interval"](spark, str(tmp_path)).first()
+    assert got["contour_interval_m"] == 5 and not got["contour_interval_uniform"]
+
+
 def test_nearest_fill_reaches_every_cell(spark):
     places = [("g", r, c, 10.0 * c, 10.0 * r) for r in range(0, 3000, 150) for c in range(4)] + [("lone", 0, 0, 0.0, 0.0)]
     cells = spark.createDataFrame(places, "survey string, row int, col int, x double, y double").withColumn("z", F.lit(None).cast("double"))
