@@ -2,7 +2,7 @@
 
 `learn` takes, for every language, the whole-table sample of at most `SAMPLE_ROWS` rows (a documented bound: the row
 with the least hash in each of so many buckets, so any executor finds the same rows) and keeps up to `SAMPLE_CHARS`
-characters of each as a raw-content dictionary. `classify` compresses every whole text (its words in small letters), in
+characters of each as a raw-content dictionary: a block from each of `SAMPLE_BLOCKS` equal stretches of its text. `classify` compresses every whole text (its words in small letters), in
 blocks, with each dictionary;
 the language whose frames are smallest in sum wins, and the margin to the second decides whether the text is rejected.
 
@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.llm.common import batch_of, fields, slices, with_input
 
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 96, 1024, 256
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_BLOCKS, MAX_LANGUAGES = 96, 1024, 4, 256
 LEVEL, BLOCK = 12, 1 << 12
 #: A text whose best language saves less than this share of the bytes of the second is rejected.
 MARGIN = 0.02
@@ -38,6 +38,18 @@ def plain(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).encode()
 
 
+def spread_sample(text: str, seed: str, chars: int) -> Column:
+    """The text, or where it is longer than `chars` a block from each stretch of it, placed by a hash of `seed`."""
+    n, size = F.length(text), chars // SAMPLE_BLOCKS
+
+    def block(i: int) -> Column:
+        first, end = (F.floor(n * F.lit(k) / SAMPLE_BLOCKS).cast("int") for k in (i, i + 1))
+        free = F.greatest(F.lit(1), end - first - size + 1)
+        return F.substring(F.col(text), first + 1 + F.pmod(F.xxhash64(seed, F.lit(i)), free).cast("int"), F.lit(size))
+
+    return F.when(n <= chars, F.col(text)).otherwise(F.concat_ws(" ", *map(block, range(SAMPLE_BLOCKS))))
+
+
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary bytes by language, from the labelled rows of df."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -50,7 +62,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if not chosen:
         return {}
     hashes = sorted({r["hash__"] for r in chosen})
-    picked = keyed.where(F.col("hash__").isin(hashes)).groupBy(F.col(lang).alias("lang__"), "bucket__", "hash__").agg(F.min(F.substring(text, 1, chars)).alias("part"))
+    picked = keyed.where(F.col("hash__").isin(hashes)).groupBy(F.col(lang).alias("lang__"), "bucket__", "hash__").agg(F.min(spread_sample(text, "hash__", chars)).alias("part"))
     wanted = {(r["lang__"], r["bucket__"], r["hash__"]) for r in chosen}
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in picked.collect():

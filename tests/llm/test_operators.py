@@ -199,6 +199,14 @@ def test_top_k_large_components(spark):
     assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2]) and {150, 200, 250} <= {r[0] for r in got}
 
 
+def test_language_sample_spans_texts(spark):
+    opening = "the same opening passage " * 60
+    rows = [(i, "de", opening + f"frühling{i % 5} " * 120 + "ende " * 300) for i in range(20)] + [(99, "fr", "court texte")]
+    known = language.learn(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert all(w in known["de"].decode() for w in ("opening", "frühling", "ende")) and known["fr"] == b"court texte"
+    assert len(known["de"].decode()) <= 20 * (language.SAMPLE_CHARS + 4)
+
+
 def test_threshold_stops_early(monkeypatch):
     rng = np.random.default_rng(5)
     block = rng.integers(0, 10, (4000, 3)).astype(np.float64)
