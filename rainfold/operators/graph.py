@@ -44,16 +44,44 @@ def targets_below(edges: DataFrame, keys: list[str], node: str, receiver: str, t
     raise ValueError("the receivers form a cycle")
 
 
+#: Rows of one key from which on the key is salted; it also has to hold a hundredth of all rows, so there are a hundred such keys at most.
+HEAVY_ROWS = 1000
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with `values`, of which each key has few; `counts` are (key, n__): about how many of `rows` have a key.
+
+    Rows of heavy keys are dealt over salts by their hash and meet a copy of the key's value in each, so no task gets all
+    rows of one key. `counts` is read by a job of its own and so should be cheap.
+    """
+    most, total = counts.agg(F.max("n__"), F.sum("n__")).first()
+    limit = max(HEAVY_ROWS, int(total or 0) // 100)
+    if int(most or 0) <= limit:
+        return rows.join(values, key, how)
+    salts = 2 * -(-int(most) // limit)
+    heavy = F.broadcast(counts.where(F.col("n__") > limit).select(key, F.lit(True).alias("heavy__")))  # 100 rows at most
+    every = F.when(F.col("heavy__"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = values.join(heavy, key, "left").withColumn("salt__", F.explode(every)).drop("heavy__")
+    salt = F.when(F.col("heavy__"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = rows.join(heavy, key, "left").withColumn("salt__", salt).drop("heavy__")
+    return dealt.join(spread, [key, "salt__"], how).drop("salt__")
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) + the least v of each u, hubs spread over tasks."""
+    of = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n__"))
+    return salted_join(pairs, of.drop("n__"), "u", of.select("u", "n__"))
+
+
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(node, component): the least node that a node is connected with; large-star and small-star steps until nothing moves."""
-    now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u > v").distinct()
+    now = cut(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u > v").distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        large = cut(_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(small.select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
+        now = cut(_least(large).select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
