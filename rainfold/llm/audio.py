@@ -4,7 +4,8 @@
 a lookup table, ADPCM blocks by numpy with all blocks of a slice of rows side by side) and resamples to 16-bit PCM.
 Rows are independent, so both are maps without a shuffle; memory is bounded by a slice of some MB or one longer row.
 
-Null or empty payloads are stored as an empty data chunk. Bytes of an unknown codec name raise a ValueError.
+Null or empty payloads are stored as an empty data chunk. Repeated rows give a row each, an empty table gives none. Bytes of an
+unknown codec name raise a ValueError.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ lies behind a character that is not white space: the pattern's one look-ahead co
 the same pre-tokens as in its text. A text with a chunk that does not meet the one before it in the overlap (a run of
 many thousand letters, say) is encoded as one piece, so every text gets the ids of an undivided encoding.
 
-Null and empty texts have no ids. Repeated rows and repeated doc_ids each give a row of their own.
+Null and empty texts have no ids. Repeated rows and repeated doc_ids each give a row of their own; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -4,9 +4,11 @@ Rows are dealt by conversation and sorted by turn within their partitions; a tas
 turn at a time, so a conversation may be longer than memory. `segments` emits for each turn an opening mark, the escaped
 text and a closing mark, each with its loss flag; `read_back` parses the segments again into turns and a loss text.
 
-Escapes: a backslash is doubled, and each control string gets a backslash behind its first character, so no control string is
-left inside a text; dropping each backslash and keeping what follows it undoes both. Null texts and roles are empty. Rows
-of one turn go by role and text. An order that the machine does not allow is formatted all the same and flagged.
+Escapes: a backslash is doubled, and wherever a control string starts, overlapping ones included, a backslash comes behind
+its first character, so no control string is left inside a text; dropping each backslash and keeping what follows it undoes
+both. Control strings have two characters or more and hold no backslash. Null texts and roles are empty. Rows of one turn
+go by role and text; repeated rows stay. Rows without a conv_id are one conversation, without a turn they come first. An order
+that the machine does not allow is formatted all the same and flagged. An empty table gives the rows of an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +32,8 @@ TEMPLATE = {
 
 
 def escape(text: str, control: list[str]) -> str:
-    text = text.replace("\\", "\\\\")
-    for mark in control:
-        text = text.replace(mark, mark[0] + "\\" + mark[1:])
-    return text
+    starts = "|".join(map(re.escape, control))
+    return re.sub(rf"(?=({starts})).", r"\g<0>\\", text.replace("\\", "\\\\"), flags=re.DOTALL)
 
 
 def unescape(text: str) -> str:

@@ -7,8 +7,9 @@ blocks, with each dictionary;
 the language whose frames are smallest in sum wins, and the margin to the second decides whether the text is rejected.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language first by code
-point; with no labelled row all texts are `und`; with one language the score is 1. More than MAX_LANGUAGES languages
-raise a ValueError, as the dictionaries are sent to every task.
+point; with no labelled row all texts are `und`; with one language the score is 1. Repeated rows give a row each with equal
+values and count once in the sample; an empty table gives an empty result. More than MAX_LANGUAGES languages raise a
+ValueError, as the dictionaries are sent to every task.
 """
 
 from __future__ import annotations
@@ -55,10 +56,10 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     keyed = labelled.withColumns({"hash__": F.xxhash64(key), "bucket__": F.pmod(F.xxhash64(key, F.lit(1)), F.lit(rows)).cast("int")})
     least = keyed.groupBy(F.col(lang).alias("lang__"), "bucket__").agg(F.min("hash__").alias("hash__"))
-    chosen = least.collect()  # at most `rows` for each language
-    names = {r["lang__"] for r in chosen}
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MAX_LANGUAGES} dictionaries are sent to the tasks")
+    most = MAX_LANGUAGES * rows
+    chosen = least.limit(most + 1).collect()  # no more, however many values the column holds
+    if len(chosen) > most or len({r["lang__"] for r in chosen}) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages; at most so many dictionaries are sent to the tasks")
     if not chosen:
         return {}
     hashes = sorted({r["hash__"] for r in chosen})

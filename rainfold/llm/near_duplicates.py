@@ -13,14 +13,19 @@ similarity 0.8 only if their symmetric difference has at most (a + b) / 9 member
   least class; pairs that the Hamming distance of their sketches allows are verified on the exact sets. Then only pairs of
   different components are left to test: in each bucket each component with its nearest others, then all that are left.
   Groups of near copies thus cost a star each and not all their pairs, and no link between components is lost.
+* A bucket's members are compared in pairs of blocks of at most `BLOCK_ROWS` members each, a task of its own for each pair.
 * Components of verified links by alternating large-star and small-star steps.
 
+Classes are named by a digest of their set and numbered; a number stands for one set, whatever doc_ids its rows have.
+
 Memory: rows of parts are (part, class) pairs; exact sets exist only for classes of pairs whose sketches are near and are
 joined by shuffles. Which ids those are comes as a Bloom filter of a fixed size; what it lets pass too much is
-joined away. Checkpoints in the shared folder cut the lineage between the rounds.
+joined away. Checkpoints in the shared folder cut the lineage between the rounds. Keys that hold over a hundredth of all
+rows (a pivot with very many near copies, a bucket) are salted in joins.
 
 Defined results: null and empty texts have 0 shingles and are their own component; texts of one to four words are one
-shingle; repeated rows and doc_ids give a row each; a row without doc_id is in its copies' component, alone null.
+shingle; repeated rows and doc_ids give a row each, and different texts with one doc_id are linked or not by their own
+words. A component's id is its least doc_id; rows without a doc_id take part, and have a null one where all lack it.
 """
 
 from __future__ import annotations
@@ -34,11 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import cut, in_batches, slices
+from rainfold.llm.common import batch_of, cut, fields, in_batches, slices
+from rainfold.operators.graph import components, salted_join
 
 WORDS = 5
 BLOOM_BITS = 1 << 25
+#: What stands for a null doc_id in a Bloom filter; rows of such an id would only pass it too much.
+NO_ID = -(2**63) + 1
 REMEMBERED = 150_000
+#: Members of a bucket's block, and shingles that a block's members have about in sum at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 25
 #: Which neighbour each component of a bucket is tested with in each round; None tests all pairs that are left.
 ROUNDS = (0, 1, None)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -128,36 +138,60 @@ def fold(words: np.ndarray, to: int) -> np.ndarray:
     return words
 
 
-def _over_texts(docs: DataFrame, per_slice, schema: str) -> DataFrame:
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _texts(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return in_batches(docs).select(*keep, F.col("doc_id").cast("long").alias("id__"), F.col("text").alias("text__"))
+
+
+def set_classes(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """keep + (id__, n_shingles, digest__, sketch__): equal digests mean equal sets."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for b in slices(batches, ["text"], 512, 2 << 20):
-            made = per_slice(b.column("doc_id").to_pylist(), (shingles(t, hashes) for t in b.column("text").to_pylist()))
-            if made is not None:
-                yield made
+        for b in slices(batches, ["text__"], 512, 2 << 20):
+            rows = [(len(s), _digest(s), sketch(s).tobytes()) for s in (shingles(t, hashes) for t in b.column("text__").to_pylist())]
+            yield batch_of(b, [*keep, "id__"], n_shingles=pa.array([n for n, _, _ in rows], pa.int64()), digest__=pa.array([d for _, d, _ in rows], pa.binary()), sketch__=pa.array([k for _, _, k in rows], pa.binary()))
 
-    return in_batches(docs).select("doc_id", "text").mapInArrow(kernel, schema)
+    made = _texts(docs, keep)
+    return made.mapInArrow(kernel, fields(made, [*keep, "id__"]) + ", n_shingles bigint, digest__ binary, sketch__ binary")
 
 
-def set_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch): equal digests mean equal sets."""
+def keyed_parts(docs: DataFrame) -> DataFrame:
+    """(id__, digest__, keys ARRAY<BIGINT>); repeats of an id and set within a task are left out as long as the memory holds."""
 
-    def one(ids: list, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-        rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes()) for s in sets]
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([n for n, _, _ in rows], pa.int64()), "digest": pa.array([d for _, d, _ in rows], pa.binary()), "sketch": pa.array([k for _, _, k in rows], pa.binary())})
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = Hashes(), set()
+        for b in slices(batches, ["text__"], 512, 2 << 20):
+            ids, digests, keys = [], [], []
+            for i, t in zip(b.column("id__").to_pylist(), b.column("text__").to_pylist(), strict=True):
+                own = shingles(t, hashes)
+                name = (i, _digest(own))
+                if len(own) and name not in known:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known.add(name)
+                    ids.append(i)
+                    digests.append(name[1])
+                    keys.append(part_keys(own))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"id__": pa.array(ids, pa.int64()), "digest__": pa.array(digests, pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
-    return _over_texts(docs, one, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+    return _texts(docs).mapInArrow(kernel, "id__ bigint, digest__ binary, keys array<bigint>")
 
 
-def keyed_parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys ARRAY<BIGINT>)."""
+def of_classes(rows: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """(cls, *columns): from rows with (id__, digest__) one row for each of classes (cls, rep, digest__)."""
 
-    def one(ids: list, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-        keys = [part_keys(s) for s in sets]
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))})
+    def named(df: DataFrame, of: str, *rest: str) -> DataFrame:
+        return df.select(F.coalesce(of, F.lit(0)).alias("id__"), F.col(of).isNull().alias("none__"), "digest__", *rest)
 
-    return _over_texts(docs, one, "doc_id bigint, keys array<bigint>")
+    key = ["id__", "none__", "digest__"]
+    met = named(rows, "id__", *columns).join(named(classes, "rep", "cls"), key)
+    return met.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("cls", *columns)]).drop(*key)
 
 
 def _bloom_places(ids: np.ndarray) -> np.ndarray:
@@ -166,7 +200,7 @@ def _bloom_places(ids: np.ndarray) -> np.ndarray:
 
 
 def bloom_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """BLOOM_BITS / 8 bytes, whatever the number of ids; each task sends the filter of its rows to one of a few unions."""
+    """BLOOM_BITS / 8 bytes, whatever the number of ids; each of a few tasks sends the filter of its rows to one of a few unions."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BLOOM_BITS, np.uint8)
@@ -183,31 +217,35 @@ def bloom_filter(ids: DataFrame, column: str) -> np.ndarray:
                 total |= np.frombuffer(raw, np.uint8)
         yield pa.RecordBatch.from_pydict({"no": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
-    filled = ids.select(column).coalesce(16).mapInArrow(fill, "no int, bits binary")
+    filled = ids.select(column).repartition(16).mapInArrow(fill, "no int, bits binary")
     out = np.zeros((64, BLOOM_BITS // 8 // 64), np.uint8)
     for r in filled.groupBy("no").applyInArrow(union, "no int, bits binary").collect():
         out[r["no"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
-def exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, members BINARY) of the documents in `ids` (one column, doc_id), and of a few that the filter lets pass."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(ids, "doc_id").tobytes())
+def exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, members BINARY) of the classes in `wanted` (cls, rep, digest__)."""
+    asked = F.coalesce("rep", F.lit(NO_ID))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select(asked.alias("rep")), "rep").tobytes())
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = Hashes(), np.frombuffer(bits.value, np.uint8)
-        for b in slices(batches, ["text"], 512, 2 << 20):
-            b = b.filter(b.column("doc_id").is_valid())
-            if not b.num_rows:
-                continue
-            at = _bloom_places(b.column("doc_id").to_numpy())
+        for b in slices(batches, ["text__"], 512, 2 << 20):
+            at = _bloom_places(b.column("id__").fill_null(NO_ID).to_numpy())
             hit = ((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).reshape(3, -1).all(axis=0)
             b = b.filter(pa.array(hit))
             if b.num_rows:
-                sets = [shingles(t, hashes).tobytes() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "members": pa.array(sets, pa.binary())})
+                sets = [shingles(t, hashes) for t in b.column("text__").to_pylist()]
+                yield batch_of(b, ["id__"], digest__=pa.array(map(_digest, sets), pa.binary()), members=pa.array([s.tobytes() for s in sets], pa.binary()))
+
+    return of_classes(_texts(docs).mapInArrow(kernel, "id__ bigint, digest__ binary, members binary"), wanted, "members")
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id bigint, members binary")
+
+def with_side(pairs: DataFrame, side: str, values: DataFrame) -> DataFrame:
+    """pairs + the columns of values (cls, ...) for one of their ends, named with the end's letter in front; ends with very many pairs are salted."""
+    named = values.select(F.col("cls").alias(side), *[F.col(c).alias(side + c) for c in values.columns if c != "cls"])
+    return salted_join(pairs, named, side, pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n__")))
 
 
 def near(a: int, b: int, apart: int) -> bool:
@@ -216,167 +254,178 @@ def near(a: int, b: int, apart: int) -> bool:
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (x, y) that the Hamming distance of their sketches does not rule out."""
+    """The pairs (x, y) that the Hamming distance of their sketches does not rule out; sketches are (cls, size, sketch)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, ["sx", "sy"], 4096):
+        for b in slices(batches, ["xsketch", "ysketch"], 4096):
             keep = []
-            for a, z, p, q in zip(*(b.column(c).to_pylist() for c in ("nx", "ny", "sx", "sy")), strict=True):
+            for a, z, p, q in zip(*(b.column(c).to_pylist() for c in ("xsize", "ysize", "xsketch", "ysketch")), strict=True):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 least = min(len(p), len(q))
                 keep.append(near(a, z, int(np.bitwise_count(fold(p, least) ^ fold(q, least)).sum())))
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    of_y = pairs.join(sketches.select(F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("sketch").alias("sy")), "y")
-    both = of_y.join(sketches.select(F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("sketch").alias("sx")), "x")
-    return both.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(kernel, "x bigint, y bigint")
+    both = with_side(with_side(pairs, "y", sketches), "x", sketches)
+    return both.select("x", "y", "xsize", "ysize", "xsketch", "ysketch").mapInArrow(kernel, "x bigint, y bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sets are linked, by one more pass over the texts for the sets of these pairs."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, ["mx", "my"], 256):
-            rows = zip(b.column("mx").to_pylist(), b.column("my").to_pylist(), strict=True)
+        for b in slices(batches, ["xmembers", "ymembers"], 256):
+            rows = zip(b.column("xmembers").to_pylist(), b.column("ymembers").to_pylist(), strict=True)
             keep = pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in rows], pa.bool_())
             yield b.select(["x", "y"]).filter(keep)
 
-    sets = exact_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    of_y = sets.select(F.col("doc_id").alias("y"), F.col("members").alias("my")).join(pairs, "y")
-    both = sets.select(F.col("doc_id").alias("x"), F.col("members").alias("mx")).join(of_y, "x")
-    return both.select("x", "y", "mx", "my").mapInArrow(kernel, "x bigint, y bigint").distinct()
-
-
-def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(node, component): the least node reachable, for every node of an edge."""
-    now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u > v").distinct()
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.min("v").over(Window.partitionBy("u"))
-        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        now = cut(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct())
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if got == state:
-            break
-        state = got
-    node = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return node.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def cross_pairs(buckets: DataFrame, sketches: DataFrame, found: DataFrame, rank: int | None) -> DataFrame:
-    """(x, y) in one bucket but in different components, near enough by sketch, and rows with the key of each such bucket.
-
-    A bucket without such a pair has none in later rounds either. With a rank, each component of a bucket gives one pair at most: its rank-th nearest; with None all pairs are given.
-    """
-    labels = found.select(F.col("node").alias("rep"), "component")
-    named = buckets.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    whole = Window.partitionBy("key")
-    apart = named.withColumn("apart", F.min("component").over(whole) != F.max("component").over(whole)).where("apart").select("key", "rep", "component")
-    rows = apart.join(sketches, "rep").repartition("key").sortWithinPartitions("key", "component", "rep")
-
-    def pairs(reps: np.ndarray, comps: np.ndarray, sizes: np.ndarray, raw: list) -> tuple[np.ndarray, np.ndarray, bool]:
-        words = [np.frombuffer(s, np.uint64) for s in raw]
-        least = min(map(len, words))
-        bits = np.stack([fold(w, least) for w in words])
-        step, xs, ys, far, some = max(1, (4 << 20) // (8 * least * len(reps))), [], [], [], False
-        for a in range(0, len(reps), step):
-            z = slice(a, a + step)
-            distance = np.bitwise_count(bits[z, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            may = (9 * distance <= sizes[z, None] + sizes[None, :]) & (5 * sizes[z, None] >= 4 * sizes[None, :]) & (5 * sizes[None, :] >= 4 * sizes[z, None])
-            may &= comps[z, None] != comps[None, :]
-            some |= bool(may.any())
-            if rank is None:
-                i, k = np.nonzero(may & (comps[z, None] < comps[None, :]))
-            else:
-                distance[~may] = np.iinfo(np.int64).max
-                at = min(rank, len(reps) - 1)
-                k = np.argpartition(distance, at, axis=1)[:, at]
-                i = np.arange(len(k))
-                near_by = distance[i, k]
-                there = near_by < np.iinfo(np.int64).max
-                i, k = i[there], k[there]
-                far.append(near_by[there])
-            xs.append(i + a)
-            ys.append(k)
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        if rank is not None and len(x):  # the nearest of each component's members
-            order = np.lexsort((x, np.concatenate(far), comps[x]))
-            x, y = x[order], y[order]
-            first = np.ones(len(x), bool)
-            first[1:] = comps[x[1:]] != comps[x[:-1]]
-            x, y = x[first], y[first]
-        return reps[x], reps[y], some
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+    sets = exact_sets(docs, cut(classes.join(asked, "cls")))
+    both = with_side(with_side(pairs, "y", sets), "x", sets)
+    return both.select("x", "y", "xmembers", "ymembers").mapInArrow(kernel, "x bigint, y bigint")
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [[], [], [], []]  # rep, component, size, sketch of the last, perhaps unfinished bucket
-        held_key = None
-        given: set[tuple[int, int]] = set()  # many buckets give the same pairs
-
-        def flush(made: list) -> None:
-            if len(held[0]) > 1:
-                x, y, near_by = pairs(*(np.array(held[i], np.int64) for i in range(3)), held[3])
-                some = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - given
-                if len(given) > REMEMBERED:
-                    given.clear()
-                given.update(some)
-                if near_by:
-                    made.append((int(held_key), None, None))
-                made.extend((None, *p) for p in some)
-            for part in held:
-                part.clear()
-
-        def out(made: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("key", "x", "y"), zip(*made, strict=True) if made else ([], [], []), strict=True)})
 
-        for b in batches:
-            made: list = []
-            columns = [b.column(c).to_pylist() for c in ("rep", "component", "size", "sketch")]
-            keys = b.column("key").to_numpy()
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for a, z in zip(edges, edges[1:], strict=False):
-                if z > a:
-                    if held_key is not None and held_key != keys[a]:
-                        flush(made)
-                    held_key = keys[a]
-                    for part, column in zip(held, columns, strict=True):
-                        part.extend(column[a:z])
-            yield out(made)
-        made = []
-        flush(made)
+def block_pairs(sizes: np.ndarray, raw: list, comps: np.ndarray, blocks: np.ndarray | None, rank: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places (x, y) of members of different components that are near by sketch, and whether there are any.
+
+    With `blocks` only members of different blocks are compared. With a rank, each component gives one pair at most: its
+    rank-th nearest; with None all pairs are given.
+    """
+    words = [np.frombuffer(s, np.uint64) for s in raw]
+    least, n = min(map(len, words)), len(raw)
+    bits = np.stack([fold(w, least) for w in words])
+    step, xs, ys, far, some = max(1, (4 << 20) // (8 * least * n)), [], [], [], False
+    for a in range(0, n, step):
+        z = slice(a, a + step)
+        distance = np.bitwise_count(bits[z, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+        may = (9 * distance <= sizes[z, None] + sizes[None, :]) & (5 * sizes[z, None] >= 4 * sizes[None, :]) & (5 * sizes[None, :] >= 4 * sizes[z, None])
+        may &= comps[z, None] != comps[None, :]
+        if blocks is not None:
+            may &= blocks[z, None] != blocks[None, :]
+        some |= bool(may.any())
+        if rank is None:
+            i, k = np.nonzero(may & (comps[z, None] < comps[None, :]))
+        else:
+            distance[~may] = np.iinfo(np.int64).max
+            at = min(rank, n - 1)
+            k = np.argpartition(distance, at, axis=1)[:, at]
+            i = np.arange(len(k))
+            near_by = distance[i, k]
+            there = near_by < np.iinfo(np.int64).max
+            i, k = i[there], k[there]
+            far.append(near_by[there])
+        xs.append(i + a)
+        ys.append(k)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    if rank is not None and len(x):  # the nearest of each component's members
+        order = np.lexsort((x, np.concatenate(far), comps[x]))
+        x, y = x[order], y[order]
+        first = np.ones(len(x), bool)
+        first[1:] = comps[x[1:]] != comps[x[:-1]]
+        x, y = x[first], y[first]
+    return x, y, some
+
+
+def compared(batches: Iterator[pa.RecordBatch], rank: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows that come sorted by (key, low, high); see `cross_pairs`."""
+    columns = ("cls", "component", "size", "block__", "sketch")
+    held: list[list] = [[] for _ in columns]  # the last, perhaps unfinished group
+    at: tuple | None = None
+    given: set[tuple[int, int]] = set()  # many buckets give the same pairs
+
+    def flush(made: list) -> None:
+        if len(held[0]) > 1:
+            cls, comps, sizes, blocks = (np.array(held[i], np.int64) for i in range(4))
+            x, y, near_by = block_pairs(sizes, held[4], comps, blocks if at[1] != at[2] else None, rank)
+            some = set(zip(np.minimum(cls[x], cls[y]).tolist(), np.maximum(cls[x], cls[y]).tolist(), strict=True)) - given
+            if len(given) > REMEMBERED:
+                given.clear()
+            given.update(some)
+            if near_by:
+                made.append((at[0], None, None))
+            made.extend((None, *p) for p in some)
+        for part in held:
+            part.clear()
+
+    def out(made: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("key", "x", "y"), zip(*made, strict=True) if made else ([], [], []), strict=True)})
+
+    for b in batches:
+        made: list = []
+        values = [b.column(c).to_pylist() for c in columns]
+        names = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], axis=1)
+        edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+        for a, z in zip(edges, edges[1:], strict=False):
+            if z > a:
+                name = tuple(names[a].tolist())
+                if at is not None and at != name:
+                    flush(made)
+                at = name
+                for part, column in zip(held, values, strict=True):
+                    part.extend(column[a:z])
         yield out(made)
+    made = []
+    flush(made)
+    yield out(made)
 
-    return rows.select("key", "rep", "component", "size", "sketch").mapInArrow(kernel, "key bigint, x bigint, y bigint")
 
+def cross_pairs(buckets: DataFrame, sketches: DataFrame, found: DataFrame, rank: int | None) -> tuple[DataFrame, DataFrame]:
+    """(key, x, y): pairs in one bucket but in different components, near enough by sketch, and rows with the key of each
+    such bucket; and the number of members of each bucket looked at.
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sized = cut(set_classes(docs))
-    classes = cut(sized.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = classes.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct()
-    rows = keyed_parts(docs).join(reps, "doc_id").select(F.explode("keys").alias("part"), F.col("doc_id").alias("rep"))
+    A bucket without such a pair has none in later rounds either. Large buckets are cut into blocks by a hash, and each
+    pair of blocks is a group of its own, so a task holds two blocks at a time. See `block_pairs` for the rank.
+    """
+    labels = found.select(F.col("node").alias("cls"), "component")
+    named = cut(buckets.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    apart = F.min("component") != F.max("component")
+    open_ones = cut(named.groupBy("key").agg(apart.alias("apart"), F.count(F.lit(1)).alias("n__"), F.sum("size").alias("shingles__")).where("apart").drop("apart"))
+    rows = salted_join(named, open_ones, "key", open_ones.select("key", "n__")).join(sketches.drop("size"), "cls")
+    blocks = F.greatest(F.ceil(F.col("n__") / BLOCK_ROWS), F.ceil(F.col("shingles__") / BLOCK_SHINGLES)).cast("int")
+    split = rows.withColumn("blocks__", blocks).withColumn("block__", F.pmod(F.xxhash64("cls"), F.col("blocks__")).cast("int"))
+    paired = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks__") - 1)))
+    dealt = paired.withColumns({"low": F.least("block__", "other"), "high": F.greatest("block__", "other")}).select("key", "low", "high", "cls", "component", "size", "block__", "sketch")
+    sorted_rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "component", "cls")
+    return sorted_rows.mapInArrow(lambda b: compared(b, rank), "key bigint, x bigint, y bigint"), open_ones.select("key", "n__")
+
+
+def jaccard_rows(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """keep + (n_shingles, root, component_id), one row for each row of docs (doc_id, text, ...).
+
+    `root` is a number that linked and equal sets have in common, null for sets that nothing else is linked with.
+    """
+    sized = cut(set_classes(docs, keep))
+    classes = cut(sized.where("n_shingles > 0").groupBy("digest__").agg(F.min("id__").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("cls", F.monotonically_increasing_id()))
+    names = classes.select("cls", "rep", "digest__")
+    rows = of_classes(keyed_parts(docs), names, "keys").select(F.explode("keys").alias("part"), "cls")
     whole = Window.partitionBy("part")
-    met = rows.withColumns({"pivot": F.min("rep").over(whole), "last": F.max("rep").over(whole), "key": F.bit_xor(F.xxhash64("rep")).over(whole)})
+    met = rows.withColumns({"pivot": F.min("cls").over(whole), "last": F.max("cls").over(whole), "key": F.bit_xor(F.xxhash64("cls")).over(whole)})
     # buckets with the same members are one: their key is a digest of the members
-    buckets = cut(met.where("pivot < last").select("key", "rep", "pivot").distinct())
-    own = sized.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "sketch")
-    sketches = cut(own.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
-    stars = buckets.where("rep > pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y")).distinct()
+    found = cut(met.where("pivot < last").select("key", "cls", "pivot").distinct())
+    own = of_classes(sized.select("id__", "digest__", F.col("n_shingles").alias("size"), F.col("sketch__").alias("sketch")), names.join(found.select("cls").distinct(), "cls", "left_semi"), "size", "sketch")
+    sketches = cut(own)
+    buckets = found.select("key", "cls").join(sketches.select("cls", "size"), "cls")
+    stars = cut(found.where("cls > pivot").select(F.col("pivot").alias("x"), F.col("cls").alias("y")).distinct())
     tested = cut(near_pairs(stars, sketches))
-    edges = cut(verified(tested, docs))
-    open_buckets = buckets.select("key", "rep")
+    edges = cut(verified(tested, docs, names))
     for rank in ROUNDS:
-        met = cut(cross_pairs(open_buckets, sketches, components(edges), rank))
-        open_buckets = cut(open_buckets.join(met.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi"))
-        more = cut(met.where("x IS NOT NULL").select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
+        given, counts = cross_pairs(buckets, sketches, components(edges), rank)
+        given = cut(given)
+        left = cut(given.where("key IS NOT NULL").select("key").distinct())
+        buckets = salted_join(buckets, left, "key", counts.join(left, "key"))
+        more = cut(given.where("x IS NOT NULL").select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
         if not more.isEmpty():
-            tested, edges = tested.unionByName(more), cut(edges.unionByName(verified(more, docs)))
-    label = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    moved = classes.join(label, "rep", "left").where((F.col("copies") > 1) | F.col("root").isNotNull()).select("digest", F.coalesce("root", "rep").alias("component_id"))
-    out = sized.drop("sketch").join(moved, (sized["digest"] == moved["digest"]) & (sized["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            tested, edges = tested.unionByName(more), cut(edges.unionByName(verified(more, docs, names)))
+    label = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    joined = classes.join(label, "cls", "left").where((F.col("copies") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "cls"))
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    moved = cut(joined.join(least, "root").select("digest__", "root", "component_id", F.col("copies").alias("n__")))
+    out = salted_join(sized.drop("sketch__"), moved.drop("n__"), "digest__", moved.select("digest__", "n__"), "left")
+    return out.select(*keep, "n_shingles", "root", F.coalesce("component_id", "id__").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of docs (doc_id, text)."""
+    return jaccard_rows(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"]).select("doc_id", "n_shingles", "component_id")
 
 
 def component_report(docs: DataFrame) -> DataFrame:
@@ -385,7 +434,14 @@ def component_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Of each component the document with the least id, once; rows without an id have nothing to be told apart by and stay."""
-    least = jaccard_components(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*columns).unionByName(docs.where(F.col("doc_id").isNull()).select(*columns))
+    """Of each component one row: the one with the least doc_id, null last, and of these with the least digest of its text.
+
+    Rows are told apart by doc_id and text; of rows equal in both one is kept. Texts without words are all kept.
+    """
+    key = ["id__", "none__", "text_md5__"]
+    keyed = docs.withColumns({"id__": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none__": F.col("doc_id").isNull(), "text_md5__": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    rows = jaccard_rows(keyed.select("doc_id", "text", F.col("id__").alias("k__"), "none__", "text_md5__"), ["k__", "none__", "text_md5__"]).withColumnRenamed("k__", "id__")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("none__", "id__", "text_md5__")).alias("f"))
+    kept = first.select("f.*").select(*key, F.lit(True).alias("once__")).unionByName(rows.where("root IS NULL").select(*key, F.lit(False).alias("once__")).distinct())
+    found = keyed.join(kept, key).withColumn("row__", F.when(F.col("once__"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return found.dropDuplicates([*key, "row__"]).select(*columns)

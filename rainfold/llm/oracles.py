@@ -4,14 +4,13 @@ from __future__ import annotations
 
 TOP_K = """
 WITH fine AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE) OR abs(x::DOUBLE) >= 262144)) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::HUGEINT AS score
   FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+SELECT query_id, rank, vec_id, TRY_CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 5
 """
 
 MIX = r"""
@@ -42,7 +41,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
 made AS (
-  SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '#\##'), '</turn>', '<\/turn>')) + length(role) + length('### :') + 1 + length('</turn>') + 1 AS n,
+  SELECT *, length(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)::BIGINT + length(role) + length('### :') + 1 + length('</turn>') + 1 AS n,
     lag(role) OVER w AS before FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 checked AS (
   SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user'

@@ -5,7 +5,8 @@ token. A text is split into pre-tokens by the vocabulary's own pattern; pre-toke
 the rest is merged (by the tokenizer's library, each distinct one once a task as long as the memory of counts holds it).
 Texts are split at the special strings first, as the library does by default; each of those counts one.
 
-The table has at most as many entries as the vocabulary, a fixed size. Null and empty texts have no tokens.
+The table has at most as many entries as the vocabulary, a fixed size. Null and empty texts have no tokens; repeated rows give a
+row each, an empty table none.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Rows are gathered into blocks within their partitions (no shuffle); queries into blocks likewise, and each pair of a row
-block and a query block meets by an equi-join on the query block's number: a stated query set against all rows, in blocks.
+Rows are gathered into blocks within their partitions (no shuffle), queries into blocks likewise: a stated query set against
+all rows, in blocks. Both are dealt over a grid of groups, rows over its lines and queries over its columns, and each cell of
+the grid is an equi-join, so a block is shipped once for each group of the other side and not once for each block of it.
 In a block, every dimension has a list of the rows sorted by value. For a query the lists are read from their best ends,
 to doubling depths; rows seen are scored in full, and the search of the block stops when the sum of what the lists may
 still give is below the k-th score. Equal scores go to the smaller id, so the bound has to be strictly below.
@@ -25,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS, QUERY_ROWS, FIRST_DEPTH = 8192, 1024, 16
-#: Groups of row blocks that a query block is sent to, so that few query blocks still keep many tasks busy.
-SPREAD = 16
+#: Cells of the grid at least, so that few blocks still keep many tasks busy, and pairs of blocks that a cell has about.
+LEAST_CELLS, CELL_PAIRS = 16, 16
 #: Components below it fit a block of 32-bit integers; doubles from WHOLE on are whole numbers of 256ths.
 SMALL, WHOLE = float(2**18), float(2**44)
 
@@ -147,12 +148,22 @@ class Scores:
         return np.array([i for _, i in first], np.int64), np.array([-x for x, _ in first], object)
 
 
+def grid_sides(n_rows: int, n_queries: int) -> tuple[int, int]:
+    """Groups of row blocks and of query blocks: as many cells as there is work for, of the shape that ships least."""
+    row_blocks, query_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
+    cells = max(LEAST_CELLS, row_blocks * query_blocks // CELL_PAIRS)
+    across = min(query_blocks, max(1, round((cells * query_blocks * QUERY_ROWS / (row_blocks * BLOCK_ROWS)) ** 0.5)))
+    return -(-cells // across), across
+
+
 def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for each query; vectors are ARRAY<DOUBLE> as `quantised` gives them."""
     made = "n int, width int, ids binary, vectors binary"
     blocks = rows.select(F.col(id_col).cast("long").alias("id__"), F.col(vector).alias("v__")).mapInArrow(lambda b: _packed(b, BLOCK_ROWS), made)
     asked = queries.groupBy(F.col(id_col).cast("long").alias("id__")).agg(F.min(vector).alias("v__"))
-    n_blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    n_queries = queries.count()
+    n_blocks = max(1, -(-n_queries // QUERY_ROWS))
+    down, across = grid_sides(rows.count(), n_queries)
     asked = asked.withColumn("no", F.pmod(F.xxhash64("id__"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "no").sortWithinPartitions("no")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +175,9 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int
                     yield pa.RecordBatch.from_pydict({"no": pa.array([x], pa.int32()), "q_n": packed["n"], "q_width": packed["width"], "q_ids": packed["ids"], "q_vectors": packed["vectors"]})
 
     query_blocks = asked.mapInArrow(ask, "no int, q_n int, q_width int, q_ids binary, q_vectors binary")
-    dealt = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(SPREAD)).cast("int")).withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = dealt.join(query_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["no", "part"])
+    dealt = blocks.withColumn("line", F.pmod(F.xxhash64("ids"), F.lit(down)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    asking = query_blocks.withColumn("column", F.pmod("no", F.lit(across))).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    pairs = dealt.join(asking, ["line", "column"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

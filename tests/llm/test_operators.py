@@ -199,6 +199,18 @@ def test_top_k_large_components(spark):
     assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2]) and {150, 200, 250} <= {r[0] for r in got}
 
 
+def test_top_k_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    monkeypatch.setattr(topk, "CELL_PAIRS", 1)
+    down, across = topk.grid_sides(2000, 40)
+    assert down > 1 and across > 1
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-9, 9, 3).astype(float).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, topk.search_report(df).collect())) == sorted(brute_top([(i, [int(256 * x) for x in v]) for i, v in rows], 5))
+
+
 def test_language_sample_spans_texts(spark):
     opening = "the same opening passage " * 60
     rows = [(i, "de", opening + f"frühling{i % 5} " * 120 + "ende " * 300) for i in range(20)] + [(99, "fr", "court texte")]
@@ -276,6 +288,32 @@ def test_chat(spark, sf_dir):
     assert all(p.count("</turn>") == 1 and p.count("###") == 1 for p in parts)
 
 
+@pytest.mark.parametrize("text", ["#### Title", "#####", "######", "##", "</</turn>", "</turn></turn>", "\\###", "#\\###\\#", "\\", "</turn", ""])
+def test_chat_escapes_overlapping_marks(text):
+    made = chat.escape(text, chat.TEMPLATE["control"])
+    assert chat.unescape(made) == text and not any(mark in made for mark in chat.TEMPLATE["control"])
+    marks = ["aba", "ab", "aa"]
+    for odd in ("ababa", "aaaa", "abaaba\\aba"):
+        made = chat.escape(odd, marks)
+        assert chat.unescape(made) == odd and not any(mark in made for mark in marks)
+
+
+def test_chat_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    from rainfold.llm import oracles
+
+    said = ["#### a", "##### b \\ </</turn>", "##", "######", None, "é###\n"]
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", said[(c + k) % len(said)]) for c in range(6) for k in range(4)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    df.write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = con.sql(oracles.CHAT)
+    got = chat.chat_report(df).select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
 def word_sets(rows):
     out = []
     for i, t in rows:
@@ -285,10 +323,11 @@ def word_sets(rows):
 
 
 def brute_components(rows):
-    sets, root = word_sets(rows), {}
+    """(doc_id, size of its set, least doc_id reachable) of each row; rows are told apart by their place, not by their id."""
+    sets, root = word_sets(rows), list(range(len(rows)))
 
     def find(x):
-        while root.setdefault(x, x) != x:
+        while root[x] != x:
             x = root[x]
         return x
 
@@ -304,9 +343,12 @@ def brute_components(rows):
                     seen.add((a, b))
                     p, q = sets[a][1], sets[b][1]
                     if 100 * len(p & q) >= 80 * len(p | q):
-                        x, y = sorted((find(sets[a][0]), find(sets[b][0])))
+                        x, y = sorted((find(a), find(b)))
                         root[y] = x
-    return Counter((i, len(s), find(i)) for i, s in sets)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least.setdefault(find(k), []).append(i)
+    return Counter((i, len(s), min((x for x in least[find(k)] if x is not None), default=None)) for k, (i, s) in enumerate(sets))
 
 
 def test_jaccard_components(docs):
@@ -335,6 +377,48 @@ def test_jaccard_chains_and_short_texts(spark):
     assert near_duplicates.component_report(df.limit(0)).count() == 0
 
 
+def test_jaccard_names_sets_not_ids(spark):
+    """Null ids, one id with several texts and chains through both, whatever the order of the rows."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (5, 20, 40)]
+    rows = [(8, " ".join(words)), (None, near[0]), (7, near[1]), (7, "another text of a few words that stands alone"), (7, near[2]), (None, None), (5, "ANOTHER text of a few words that stands alone"), (None, "no id and no copy of this one"), (None, "no id and no copy of this one")]
+    chain = list(words)
+    for k in range(12):  # each linked with the next one only, every other one without an id
+        chain = [*chain[4:], *[f"c{k}_{i}" for i in range(4)]]
+        rows.append((None if k % 2 else 100 - k, " ".join(chain)))
+    want = brute_components(rows)
+    for some in (rows, rows[::-1], sorted(rows, key=repr)):
+        df = spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)
+        assert Counter(map(tuple, near_duplicates.component_report(df).collect())) == want
+
+
+def test_jaccard_splits_large_buckets(spark, monkeypatch):
+    """Buckets cut into blocks and salted keys lose no link, in families some of whose members are linked and some are not."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 7)
+    monkeypatch.setattr("rainfold.operators.graph.HEAVY_ROWS", 4)
+    rng, rows = np.random.default_rng(13), []
+    for family in range(3):
+        base = [f"f{family}_{i}" for i in range(120)]
+        for k in range(50):
+            own = list(base)
+            for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+                own[at] = f"m{family}_{k}_{at}"
+            rows.append((family * 1000 + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, near_duplicates.component_report(df).collect())) == brute_components(rows)
+
+
+def test_one_of_each_keeps_distinct_texts(spark):
+    rows = [(5, "one text of five words or more", "a"), (5, "quite another text that shares the id", "b"), (5, "one text of five words or more", "c"), (None, "One TEXT of five words or more", "d"), (None, None, "e"), (None, None, "e"), (6, "", "f"), (6, "", "f"), (None, "alone and without an id it is", "g"), (9, "same text twice under the very id", "h"), (9, "same text twice under the very id", "h")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = Counter(tuple(r) for r in near_duplicates.one_of_each(df, ["doc_id", "text", "source"]).collect())
+    first = [r for r in got if r[1] == rows[0][1]]
+    assert len(first) == 1 and first[0] in (rows[0], rows[2]) and got[first[0]] == 1
+    del got[first[0]]
+    assert got == Counter({rows[1]: 1, rows[4]: 2, rows[6]: 2, rows[8]: 1, rows[9]: 1})
+    assert near_duplicates.one_of_each(df.limit(0), ["doc_id"]).count() == 0
+
+
 def test_part_keys_meet():
     """The guarantee behind the join: linked sets share a key, at the very edge of the threshold."""
     rng = np.random.default_rng(11)
