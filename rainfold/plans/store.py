@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +13,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only on one machine, as in tests, a temporary one stands in where none is set."""
+    sc = spark.sparkContext
+    known = sc.getConf().get("spark.checkpoint.dir")
+    if known is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        known = sc._jsc.sc().getCheckpointDir().get()
+    if known is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="rainfold-")
+        sc.setCheckpointDir(known)
+    return known
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the session's shared folder, so that iterations keep a short plan and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "rainfold-checkpoints"))
-    return df.checkpoint()
+    """df as a table written to the shared folder and read again.
+
+    Iterations keep a short plan, survive lost executors, and the planner goes by the table's true size, which a chain of
+    checkpoints would estimate by multiplying the sizes of all joins before.
+    """
+    path = os.path.join(shared_folder(df.sparkSession), f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
