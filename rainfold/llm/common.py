@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainfold.plans.store import cut, table  # noqa: F401
+
 #: Words are maximal runs of bytes other than space and the controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder of spark.checkpoint.dir and go on from there.
-
-    The folder is the session's own; one is made only where none is set, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "rainfold-checkpoints"))
-    return df.checkpoint()
-
-
 def in_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     """df, with Arrow batches of at most `rows` rows in its session from now on, as texts and sketches are long."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,7 +10,8 @@ Texts are read once, by a map; all else are aggregations and joins of small rows
 BROADCAST_SITES rows, beyond by shuffle, where adaptive execution splits a large site.
 
 Defined results: texts without a word have quality 0 and are rejected; with fewer than MIN_LABELS labels of either kind
-the evidence of all others is 0 and none is rejected; null hosts and paths are sites of their own.
+the evidence of all others is 0 and none is rejected; null hosts and paths are sites of their own. Repeated rows give a row
+each and count each in their site; an empty table gives none. Rows without an id are judged, but no label is theirs.
 """
 
 from __future__ import annotations
@@ -130,9 +131,9 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return shrunk.drop("rate_host").withColumnsRenamed({"n": "n_path", "total": "total_path"}).withColumns({"prior": F.lit(prior), "host_strength": F.lit(float(a)), "path_strength": F.lit(float(b))})
 
 
-def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """(key, host, path, evidence, host_posterior, path_posterior, quality, rejected), one row for each row of df."""
-    stats = cut(text_statistics(df.select(F.col(key), host.alias("host"), path.alias("path"), F.col(text).alias("text")), [key, "host", "path"]))
+def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, keep..., host, path, evidence, host_posterior, path_posterior, quality, rejected), one row for each row of df."""
+    stats = cut(text_statistics(df.select(F.col(key), *keep, host.alias("host"), path.alias("path"), F.col(text).alias("text")), [key, *keep, "host", "path"]))
     x, good = labelled_sample(stats, labels, key, label)
     if min((good == 1).sum(), (good == 0).sum()) >= MIN_LABELS:
         w, mean, spread = fit(x, good)
@@ -149,7 +150,7 @@ def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
     rows = rows.withColumn("path_posterior", (F.col("total_path") - F.col("p") + b * F.col("host_posterior")) / (F.col("n_path") - 1 + b))
     judged = sigmoid(F.col("evidence") + SITE_WEIGHT * (logit(F.col("path_posterior")) - logit(F.col("prior"))))
     rows = rows.withColumn("quality", F.coalesce(judged, F.lit(0.0)))
-    return rows.select(key, "host", "path", "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") < REJECT_BELOW).alias("rejected"))
+    return rows.select(key, *keep, "host", "path", "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") < REJECT_BELOW).alias("rejected"))
 
 
 def url_levels(url: Column) -> tuple[Column, Column]:

@@ -15,6 +15,8 @@ Null texts have size 0 and are never taken. Repeated rows have equal keys and li
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +84,10 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     return mixed.withColumn("taken", F.col("epochs__") * F.col(size) + F.col("fraction__")).drop("key__", "bucket__", "edge__", "before__", "part__", "epochs__", "fraction__")
 
 
-def with_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight): what a mix needs of each document."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars__"))
-    return sized.select("doc_id", "source", "size", quality_weight(F.col("chars__"), F.col("size")).alias("weight"))
+def with_sizes(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """keep + (doc_id, source, size, weight): what a mix needs of each document."""
+    sized = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars__"))
+    return sized.select("doc_id", "source", *keep, "size", quality_weight(F.col("chars__"), F.col("size")).alias("weight"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

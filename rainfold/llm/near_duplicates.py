@@ -242,10 +242,16 @@ def exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return of_classes(_texts(docs).mapInArrow(kernel, "id__ bigint, digest__ binary, members binary"), wanted, "members")
 
 
-def with_side(pairs: DataFrame, side: str, values: DataFrame) -> DataFrame:
-    """pairs + the columns of values (cls, ...) for one of their ends, named with the end's letter in front; ends with very many pairs are salted."""
-    named = values.select(F.col("cls").alias(side), *[F.col(c).alias(side + c) for c in values.columns if c != "cls"])
-    return salted_join(pairs, named, side, pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n__")))
+def with_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (x, y), from a checkpoint, + the columns of values (cls, ...) for both ends, named with the end's letter in front.
+
+    An end that very many pairs have in common is salted.
+    """
+    both = pairs
+    for side in ("y", "x"):
+        named = values.select(F.col("cls").alias(side), *[F.col(c).alias(side + c) for c in values.columns if c != "cls"])
+        both = salted_join(both, named, side, pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n__")))
+    return both
 
 
 def near(a: int, b: int, apart: int) -> bool:
@@ -265,7 +271,7 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 keep.append(near(a, z, int(np.bitwise_count(fold(p, least) ^ fold(q, least)).sum())))
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    both = with_side(with_side(pairs, "y", sketches), "x", sketches)
+    both = with_ends(pairs, sketches)
     return both.select("x", "y", "xsize", "ysize", "xsketch", "ysketch").mapInArrow(kernel, "x bigint, y bigint")
 
 
@@ -280,7 +286,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     asked = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
     sets = exact_sets(docs, cut(classes.join(asked, "cls")))
-    both = with_side(with_side(pairs, "y", sets), "x", sets)
+    both = with_ends(pairs, sets)
     return both.select("x", "y", "xmembers", "ymembers").mapInArrow(kernel, "x bigint, y bigint")
 
 
@@ -411,7 +417,7 @@ def jaccard_rows(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
         given, counts = cross_pairs(buckets, sketches, components(edges), rank)
         given = cut(given)
         left = cut(given.where("key IS NOT NULL").select("key").distinct())
-        buckets = salted_join(buckets, left, "key", counts.join(left, "key"))
+        buckets = cut(salted_join(buckets, left, "key", counts.join(left, "key")))
         more = cut(given.where("x IS NOT NULL").select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
         if not more.isEmpty():
             tested, edges = tested.unionByName(more), cut(edges.unionByName(verified(more, docs, names)))
