@@ -28,6 +28,23 @@ def subtree_sums(edges: DataFrame, keys: list[str], node: str, receiver: str, we
     raise ValueError("the receivers form a cycle")
 
 
+def ring_order(step: DataFrame, keys: list[str], node: str, onward: str) -> DataFrame:
+    """keys + (node, place): the place of each node of closed rings, 0 at the least node; `step` has keys, a ring each, node and the next.
+
+    The ring is opened at its least node and pointers double: a node knows how many steps on the 2**k-th one lies.
+    """
+    least = step.groupBy(*keys).agg(F.min(node).alias("least__"))
+    opened = step.join(least, keys)
+    now = cut(opened.select(*keys, F.col(node).alias("node"), F.when(F.col(onward) != F.col("least__"), F.col(onward)).alias("up"), F.lit(0).cast("long").alias("left")).withColumn("left", F.when(F.col("up").isNotNull(), F.lit(1)).otherwise(0).cast("long")))
+    for _ in range(now.count().bit_length() + 1):
+        if now.where(F.col("up").isNotNull()).isEmpty():
+            last = now.groupBy(*keys).agg(F.max("left").alias("most__"))
+            return now.join(last, keys).select(*keys, "node", (F.col("most__") - F.col("left")).alias("place"))
+        further = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("left").alias("more"))
+        now = cut(now.join(further, [*keys, "up"], "left").select(*keys, "node", F.col("next").alias("up"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+    raise ValueError("the steps are no closed rings")
+
+
 def targets_below(edges: DataFrame, keys: list[str], node: str, receiver: str, targets: DataFrame, target: str) -> DataFrame:
     """keys + (node, target): every node with each target that its path to the outlet meets, itself included.
 
@@ -67,24 +84,27 @@ def salted_join(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame,
     return dealt.join(spread, [key, "salt__"], how).drop("salt__")
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) + the least v of each u, hubs spread over tasks."""
-    of = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n__"))
-    return salted_join(pairs, of.drop("n__"), "u", of.select("u", "n__"))
+def _degrees(pairs: DataFrame) -> DataFrame:
+    """(u, m, n__): the least v of each u and how many it has."""
+    return cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n__")))
+
+
+def _with_least(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
+    """pairs (u, v) + m, hubs spread over tasks."""
+    return salted_join(pairs, degrees.select("u", "m"), "u", degrees.select("u", "n__"))
 
 
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(node, component): the least node that a node is connected with; large-star and small-star steps until nothing moves."""
+    """(node, component): the least node that a node is connected with; large-star and small-star steps until all are stars."""
     now = cut(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u > v").distinct())
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(_least(large).select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        degrees = _degrees(both)
+        # in stars each node has one neighbour, a lesser one, or none that is lesser
+        if degrees.where("m < u AND n__ > 1").isEmpty():
             break
-        seen = state
+        large = cut(_with_least(both, degrees).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = cut(_with_least(large, _degrees(large)).select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
     node = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return node.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
