@@ -247,10 +247,12 @@ def with_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
     An end that very many pairs have in common is salted.
     """
+    each = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("cls")) for side in ("y", "x")]))
+    counts = cut(pairs.select(each.alias("e")).groupBy("e.side", "e.cls").agg(F.count(F.lit(1)).alias("n__")))
     both = pairs
     for side in ("y", "x"):
         named = values.select(F.col("cls").alias(side), *[F.col(c).alias(side + c) for c in values.columns if c != "cls"])
-        both = salted_join(both, named, side, pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n__")))
+        both = salted_join(both, named, side, counts.where(F.col("side") == side).select(F.col("cls").alias(side), "n__"))
     return both
 
 
@@ -381,8 +383,8 @@ def cross_pairs(buckets: DataFrame, sketches: DataFrame, found: DataFrame, rank:
     A bucket without such a pair has none in later rounds either. Large buckets are cut into blocks by a hash, and each
     pair of blocks is a group of its own, so a task holds two blocks at a time. See `block_pairs` for the rank.
     """
-    labels = found.select(F.col("node").alias("cls"), "component")
-    named = cut(buckets.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    own = found.select(F.col("node").alias("cls"), "component")
+    named = cut(buckets.join(own, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     apart = F.min("component") != F.max("component")
     open_ones = cut(named.groupBy("key").agg(apart.alias("apart"), F.count(F.lit(1)).alias("n__"), F.sum("size").alias("shingles__")).where("apart").drop("apart"))
     rows = salted_join(named, open_ones, "key", open_ones.select("key", "n__")).join(sketches.drop("size"), "cls")
@@ -412,16 +414,18 @@ def jaccard_rows(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     buckets = found.select("key", "cls").join(sketches.select("cls", "size"), "cls")
     stars = cut(found.where("cls > pivot").select(F.col("pivot").alias("x"), F.col("cls").alias("y")).distinct())
     tested = cut(near_pairs(stars, sketches))
-    edges = cut(verified(tested, docs, names))
+    labels = components(verified(tested, docs, names))
     for rank in ROUNDS:
-        given, counts = cross_pairs(buckets, sketches, components(edges), rank)
+        given, counts = cross_pairs(buckets, sketches, labels, rank)
         given = cut(given)
         left = cut(given.where("key IS NOT NULL").select("key").distinct())
         buckets = cut(salted_join(buckets, left, "key", counts.join(left, "key")))
         more = cut(given.where("x IS NOT NULL").select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
         if not more.isEmpty():
-            tested, edges = tested.unionByName(more), cut(edges.unionByName(verified(more, docs, names)))
-    label = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+            tested, new = tested.unionByName(more), verified(more, docs, names)
+            # the components so far stand for the edges they came from
+            labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(new))
+    label = labels.select(F.col("node").alias("cls"), F.col("component").alias("root"))
     joined = classes.join(label, "cls", "left").where((F.col("copies") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = cut(joined.join(least, "root").select("digest__", "root", "component_id", F.col("copies").alias("n__")))
