@@ -1,6 +1,6 @@
 """Flow over rasters: depressions, directions, flats, accumulation, channels, catchments.
 
-Fixed points are driver loops over window steps with checkpoints; what follows single paths doubles its pointers, so it ends after a logarithm of their length.
+Fixed points are driver loops over blocks of cells, each round written; what follows single paths doubles its pointers, so it ends after a logarithm of their length.
 Cells are those of `raster`; `sink` (optional) marks outlets that are kept.
 """
 
@@ -9,12 +9,13 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.operators import graph
-from rainfold.operators.raster import DIRECTIONS, with_neighbours
+from rainfold.operators.raster import BOUNDS, DIRECTIONS, with_bounds, with_neighbours
 from rainfold.plans.store import cut
 
 HIGH = float("inf")
@@ -25,68 +26,92 @@ def _prepared(cells: DataFrame) -> DataFrame:
     return made.withColumn("valid", F.col("valid") & F.col("z").isNotNull() & ~F.isnan("z"))
 
 
-def with_extent(cells: DataFrame) -> DataFrame:
-    """cells + whether a cell lies on the rectangle's rim, and whether the rectangle is too thin to have an inside."""
-    grid = Window.partitionBy("survey")
-    last_r, last_c = F.max("row").over(grid), F.max("col").over(grid)
-    first_r, first_c = F.min("row").over(grid), F.min("col").over(grid)
-    rim = (F.col("row") == first_r) | (F.col("row") == last_r) | (F.col("col") == first_c) | (F.col("col") == last_c)
-    return cells.withColumn("rim", rim)
+def relaxed(block: pa.Table, kind: str) -> pa.Table:
+    """The block's own cells with the least levels that the levels at hand allow, and whether a level at its border moved.
 
-
-def lowered(block: pa.Table) -> pa.Table:
-    """The block's own cells with the least levels that the levels at hand allow, and whether a level at its border moved."""
-    row, col = (block.column(c).to_numpy() for c in ("row", "col"))
+    `fill`: a level passes on as it is, and is raised to a valid cell's z. `flat`: it passes on over valid cells of equal z, with one
+    more a step. A level lies in double precision; infinity means none yet. Best first, so each cell is settled once.
+    """
+    row, col = (block.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
     valid, halo, shared = (block.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("valid", "halo", "shared"))
-    z, level = block.column("z__").to_numpy(), block.column("level").to_numpy().copy()
-    before, place = level.copy(), {p: i for i, p in enumerate(zip(row.tolist(), col.tolist(), strict=True))}
-    heap = [(v, i) for i, v in enumerate(level.tolist()) if v < HIGH]
+    z, level = block.column("z__").to_numpy(zero_copy_only=False), block.column("level").to_numpy(zero_copy_only=False).copy()
+    before = level.copy()
+    wide = int(col.max() - col.min()) + 3
+    spot = (row - row.min() + 1) * wide + (col - col.min() + 1)
+    place = np.full((int(row.max() - row.min()) + 3) * wide, -1)
+    place[spot] = np.arange(len(row))
+    at, own, heights, levels = place.tolist(), (valid & ~halo).tolist(), z.tolist(), level.tolist()
+    steps, spots, fill, live = [dr * wide + dc for _, dr, dc in DIRECTIONS], spot.tolist(), kind == "fill", valid.tolist()
+    heap = [(v, i) for i, v in enumerate(levels) if v < HIGH]
     heapq.heapify(heap)
     while heap:
         v, i = heapq.heappop(heap)
-        if v > level[i]:
+        if v > levels[i]:
             continue
-        for _, dr, dc in DIRECTIONS:
-            n = place.get((row[i] + dr, col[i] + dc))
-            if n is not None and valid[n] and not halo[n] and (low := max(z[n], v)) < level[n]:
-                level[n] = low
+        here = spots[i]
+        for step in steps:
+            n = at[here + step]
+            if n < 0 or not own[n]:
+                continue
+            if fill:
+                low = heights[n] if heights[n] > v else v
+            elif live[i] and heights[n] == heights[i]:
+                low = v + 1
+            else:
+                continue
+            if low < levels[n]:
+                levels[n] = low
                 heapq.heappush(heap, (low, n))
+    level = np.array(levels, float)
     made = block.set_column(block.schema.get_field_index("level"), "level", pa.array(level))
     return made.append_column("moved", pa.array(shared & (level != before))).filter(pa.array(~halo)).drop_columns(["halo", "br", "bc"])
 
 
-def fill_depressions(cells: DataFrame, side: int = 128) -> DataFrame:
-    """cells + z_filled: the lowest level at which a cell drains to the rim, to an invalid cell or to a kept sink.
+def settled(state: DataFrame, kind: str, side: int) -> DataFrame:
+    """state (survey, row, col, valid, z__, level, bounds of with_bounds, ...) with its levels brought to rest over square blocks.
 
-    level = max(z, least level about it), from infinity downwards and from z where water leaves, until nothing changes. Each round
-    brings square blocks of `side` cells to rest, given the levels just beyond their borders, and is checkpointed. No level
-    rises and each is one of the z, so it ends, after as many rounds as the longest drain path has crossings of blocks.
+    Each round brings blocks of `side` cells to rest, given the levels just beyond their borders, and is written. No level rises
+    and each is bounded from below, so it ends, after as many rounds as the longest path has crossings of blocks. A task holds
+    one block; a survey no larger than a block is done in one round.
     """
-    made = cut(with_extent(_prepared(cells)))
-    leaves = F.col("rim") | F.col("sink")
-    z = F.when(F.col("valid"), F.col("z").cast("double")).otherwise(F.lit(-HIGH))
     block = [F.floor(F.col(c) / side).cast("long").alias(b) for c, b in (("row", "br"), ("col", "bc"))]
-    grid = Window.partitionBy("survey")
 
     def about(c: str) -> Column:
         """Blocks of the lines on and beside a cell's own, those without cells left out."""
-        lines = [F.greatest(F.min(c).over(grid), F.least(F.max(c).over(grid), F.col(c) + k)) for k in (0, -1, 1)]
+        lines = [F.greatest(F.col(f"first_{c[0]}__"), F.least(F.col(f"last_{c[0]}__"), F.col(c) + k)) for k in (0, -1, 1)]
         return F.array_distinct(F.array(*[F.floor(line / side).cast("long") for line in lines]))
 
-    now = made.select("survey", "row", "col", "valid", z.alias("z__"), F.when(leaves | ~F.col("valid"), z).otherwise(F.lit(HIGH)).alias("level"), about("row").alias("r__"), about("col").alias("c__")).withColumn("shared", (F.size("r__") > 1) | (F.size("c__") > 1))
+    now = state.withColumns({"r__": about("row"), "c__": about("col")}).drop(*BOUNDS).withColumn("shared", (F.size("r__") > 1) | (F.size("c__") > 1))
     shape = ", ".join(f"{c} {k}" for c, k in now.dtypes) + ", moved boolean"
     while True:
         own = now.select("*", *block)
         seen = own.withColumn("to_r", F.explode("r__")).withColumn("to_c", F.explode("c__"))
         halo = (F.col("to_r") != F.col("br")) | (F.col("to_c") != F.col("bc"))
         dealt = seen.withColumn("halo", halo).withColumns({"br": F.col("to_r"), "bc": F.col("to_c")}).drop("to_r", "to_c")
-        step = cut(dealt.groupBy("survey", "br", "bc").applyInArrow(lowered, shape))
+        step = cut(dealt.groupBy("survey", "br", "bc").applyInArrow(lambda t: relaxed(t, kind), shape))
         now = step.drop("moved")
         if step.where("moved").isEmpty():
-            break
+            return now.drop("r__", "c__", "shared")
+
+
+def _with_levels(cells: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """cells + columns of what `settled` gave for them."""
     keys = [F.col(f"m.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("survey", "row", "col")]
-    done = made.alias("m").join(now.select("survey", "row", "col", "level").alias("n"), keys, "left").select("m.*", "n.level")
-    return done.withColumn("z_filled", F.when(F.col("valid"), F.col("level"))).drop("level", "rim")
+    return cells.alias("m").join(found.select("survey", "row", "col", *columns).alias("n"), keys, "left").select("m.*", *[f"n.{c}" for c in columns])
+
+
+def fill_depressions(cells: DataFrame, side: int = 512) -> DataFrame:
+    """cells + z_filled: the lowest level at which a cell drains to the rim, to an invalid cell or to a kept sink.
+
+    level = max(z, least level about it), from infinity downwards and from z where water leaves, until nothing changes; see `settled`.
+    """
+    made = cut(_prepared(cells))
+    rim = (F.col("row") == F.col("first_r__")) | (F.col("row") == F.col("last_r__")) | (F.col("col") == F.col("first_c__")) | (F.col("col") == F.col("last_c__"))
+    z = F.when(F.col("valid"), F.col("z").cast("double")).otherwise(F.lit(-HIGH))
+    sized = with_bounds(made.select("survey", "row", "col", "valid", "sink", z.alias("z__")))
+    state = sized.withColumn("level", F.when(rim | F.col("sink") | ~F.col("valid"), F.col("z__")).otherwise(F.lit(HIGH))).drop("sink")
+    done = _with_levels(made, settled(state, "fill", side), "level")
+    return done.withColumn("z_filled", F.when(F.col("valid"), F.col("level"))).drop("level")
 
 
 def _slopes(resolution: float, surface: str = "s") -> Column:
@@ -114,26 +139,23 @@ def flow_direction(cells: DataFrame, resolution: float, surface: str = "z", flat
     return sloped.withColumn("fdir", code.cast("smallint")).drop("slopes", "near", "s")
 
 
-def _spread(state: DataFrame, start: Column, rounds: int = 100_000) -> DataFrame:
-    """dist set outwards from `start` over neighbours of exactly equal elevation, one hop a step."""
-    now = cut(state.withColumn("dist", F.when(start, F.coalesce("dist", F.lit(0))).otherwise(F.col("dist"))))
-    for _ in range(rounds):
-        near = with_neighbours(now, "s", "valid", "dist", name="by")
-        reach = F.array_min(F.transform(F.filter("by", lambda n: F.coalesce(n["valid"], F.lit(False)) & (n["s"] == F.col("s")) & n["dist"].isNotNull()), lambda n: n["dist"]))
-        step = cut(near.withColumn("new__", F.col("dist").isNull() & F.col("valid") & reach.isNotNull()).withColumn("dist", F.when(F.col("new__"), reach + 1).otherwise(F.col("dist"))).drop("by"))
-        now = step.drop("new__")
-        if step.where("new__").isEmpty():
-            return now
-    raise ValueError("flats did not come to rest")
-
-
-def _resolve_flats(sloped: DataFrame, resolution: float) -> DataFrame:
+def _resolve_flats(sloped: DataFrame, resolution: float, side: int = 512) -> DataFrame:
+    """Slopes towards the nearest way down over cells of exactly equal elevation, or else towards the domain's edge; see `settled`."""
     beside = F.forall("near", lambda n: F.coalesce(n["valid"], F.lit(False)))
-    state = sloped.withColumns({"downhill": F.array_max("slopes") > 0, "boundary": ~beside, "dist": F.lit(None).cast("int")})
-    first = _spread(state, F.col("valid") & (F.col("downhill") | F.col("sink")))
-    outlet = first.withColumn("outlet", (F.col("boundary") & F.col("valid") & F.col("dist").isNull()) | F.col("sink"))
-    second = _spread(outlet, F.col("outlet") & F.col("dist").isNull())
-    seen = with_neighbours(second, "s", "valid", "dist", name="by")
+    base = cut(sloped.withColumns({"downhill": F.array_max("slopes") > 0, "boundary": ~beside}))
+    state = cut(with_bounds(base.select("survey", "row", "col", "valid", F.col("s").cast("double").alias("z__"), "downhill", "boundary", "sink")))
+
+    def steps(start: Column, over: Column) -> DataFrame:
+        """state + the number of steps from a start cell, over the cells marked."""
+        asked = state.withColumns({"valid": over, "level": F.when(start, 0.0).otherwise(F.lit(HIGH))})
+        return settled(asked, "flat", side).withColumn("dist", F.when(F.col("level") < HIGH, F.col("level")).cast("int")).drop("level", "valid")
+
+    first = steps(F.col("valid") & (F.col("downhill") | F.col("sink")), F.col("valid"))
+    state = cut(_with_levels(state, first, "dist"))
+    state = state.withColumnRenamed("dist", "dist1").withColumn("outlet", (F.col("boundary") & F.col("valid") & F.col("dist1").isNull()) | F.col("sink"))
+    second = steps(F.col("outlet") & F.col("dist1").isNull(), F.col("valid") & F.col("dist1").isNull())
+    found = second.withColumn("dist", F.coalesce("dist1", "dist"))
+    seen = with_neighbours(_with_levels(base, found, "dist", "outlet"), "s", "valid", "dist", name="by")
     slots = []
     for k, (_, dr, dc) in enumerate(DIRECTIONS):
         n, far = F.col("by")[k], resolution * (math.sqrt(2.0) if dr and dc else 1.0)
@@ -144,17 +166,15 @@ def _resolve_flats(sloped: DataFrame, resolution: float) -> DataFrame:
 
 def with_receiver(cells: DataFrame) -> DataFrame:
     """cells + (node, receiver): numbers of a cell and of the one it drains to, itself without one or at the grid's edge."""
-    grid = Window.partitionBy("survey")
-    wide = F.max("col").over(grid) + 1
     known = F.map_from_arrays(F.array(*[F.lit(c) for c, _, _ in DIRECTIONS]), F.array(*[F.struct(F.lit(dr).alias("r"), F.lit(dc).alias("c")) for _, dr, dc in DIRECTIONS]))
-    step = F.element_at(known, F.col("fdir").cast("int"))
-    made = cells.withColumns({"w__": wide, "h__": F.max("row").over(grid), "step__": step})
+    made = with_bounds(cells).withColumn("step__", F.element_at(known, F.col("fdir").cast("int")))
+    wide = (F.col("last_c__") + 1).cast("long")
     strange = F.raise_error(F.format_string("unknown flow code %d", F.col("fdir"))).cast("long")
-    to_r = F.greatest(F.lit(0), F.least(F.col("h__"), F.col("row") + F.col("step__.r")))
-    to_c = F.greatest(F.lit(0), F.least(F.col("w__") - 1, F.col("col") + F.col("step__.c")))
-    node = F.col("row").cast("long") * F.col("w__") + F.col("col")
-    receiver = F.when(F.col("fdir") == 0, node).when(F.col("step__").isNull(), strange).otherwise(to_r.cast("long") * F.col("w__") + to_c)
-    return made.withColumns({"node": node, "receiver": receiver}).drop("w__", "h__", "step__")
+    to_r = F.greatest(F.lit(0), F.least(F.col("last_r__"), F.col("row") + F.col("step__.r")))
+    to_c = F.greatest(F.lit(0), F.least(F.col("last_c__"), F.col("col") + F.col("step__.c")))
+    node = F.col("row").cast("long") * wide + F.col("col")
+    receiver = F.when(F.col("fdir") == 0, node).when(F.col("step__").isNull(), strange).otherwise(to_r.cast("long") * wide + to_c)
+    return made.withColumns({"node": node, "receiver": receiver}).drop(*BOUNDS, "step__")
 
 
 def flow_accumulation(cells: DataFrame) -> DataFrame:
@@ -191,9 +211,8 @@ def run_hydrology(cells: DataFrame, resolution: float, fill: bool = True) -> Dat
 
 def depressions(cells: DataFrame, least_fill: float = 1e-6) -> DataFrame:
     """cells (with z_filled) that were raised + component: the least cell number of their 8-connected group."""
-    grid = Window.partitionBy("survey")
-    wet = cells.withColumn("wet", F.col("valid") & (F.col("z_filled") - F.col("z") > least_fill))
-    numbered = wet.withColumn("node", F.col("row").cast("long") * (F.max("col").over(grid) + 1) + F.col("col"))
+    wet = with_bounds(cells).withColumn("wet", F.col("valid") & (F.col("z_filled") - F.col("z") > least_fill))
+    numbered = wet.withColumn("node", F.col("row").cast("long") * (F.col("last_c__") + 1) + F.col("col")).drop(*BOUNDS)
     near = with_neighbours(numbered, "wet", "node").where("wet")
     key = F.struct("survey", "node")
     pairs = near.select(key.alias("x"), F.explode(F.filter("near", lambda n: F.coalesce(n["wet"], F.lit(False)) & (n["node"] < F.col("node")))).alias("n"), "survey").select("x", F.struct("survey", F.col("n.node").alias("node")).alias("y"))
@@ -207,6 +226,24 @@ def trace_catchments(cells: DataFrame, targets: DataFrame) -> DataFrame:
     return graph.targets_below(linked, ["survey"], "node", "receiver", targets, "site")
 
 
+def pour_points(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(survey, node, site) of points (survey, site, row, col) on cells with node and valid; a point off the grid or on an invalid cell raises an error."""
+    at = cells.select("survey", "row", "col", "node", "valid")
+    placed = points.join(at, ["survey", "row", "col"], "left")
+    bad = F.raise_error(F.format_string("site %d has no valid cell as its pour point", F.col("site"))).cast("bigint")
+    return placed.select("survey", F.when(F.col("node").isNull() | ~F.col("valid"), bad).otherwise(F.col("node")).alias("node"), "site")
+
+
+def catchment_polygons(traced: DataFrame, cells: DataFrame) -> DataFrame:
+    """(survey, site, component, shell, holes, area) of catchments (survey, node, site) in grid units; see `surfaces.outline_polygons`."""
+    from rainfold.operators import surfaces
+
+    placed = traced.join(cells.select("survey", "node", "row", "col"), ["survey", "node"])
+    named = placed.select(F.struct("survey", "site").alias("survey"), "row", "col", F.lit(True).alias("in_it"))
+    made = surfaces.outline_polygons(named, "in_it")
+    return made.select("survey.survey", "survey.site", "component", "shell", "holes", "area")
+
+
 def catchment_areas(traced: DataFrame, cells: DataFrame, resolution: float) -> DataFrame:
     """(survey, site, cells, area_m2, area_ha, area_km2, boundary_truncated); cells need node and boundary."""
     whole = traced.join(cells.select("survey", "node", "boundary"), ["survey", "node"])

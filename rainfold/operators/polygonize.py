@@ -43,20 +43,19 @@ def faces(lines: DataFrame, keys: list[str]) -> DataFrame:
     def whole(ends: list[Column]) -> Column:
         return F.struct(*[F.col(k) for k in keys], *[e.alias(c) for e, c in zip(ends, ENDS, strict=True)])
 
-    pairs = step.select(whole([F.col(c) for c in ENDS]).alias("x"), whole([F.col(f"n.{c}") for c in ENDS]).alias("y"))
-    of_face = cut(graph.components(pairs).select("node", "component"))
-    placed = step.withColumns({"node": whole([F.col(c) for c in ENDS]), "twin": whole([F.col("x1"), F.col("y1"), F.col("x0"), F.col("y0")])}).join(of_face, "node")
-    beyond = of_face.select(F.col("node").alias("twin"), F.col("component").alias("beyond"))
-    ends = F.struct(*ENDS)
-    grouped = placed.join(beyond, "twin").groupBy(*keys, F.col("component").alias("face")).agg(
-        (F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area"),
-        F.count(F.lit(1)).alias("edges"),
-        F.count_if(F.col("component") == F.col("beyond")).alias("loose"),
-        F.map_from_entries(F.collect_list(F.struct(ends, "n"))).alias("go"),
+    pairs = cut(step.select(whole([F.col(c) for c in ENDS]).alias("x"), whole([F.col(f"n.{c}") for c in ENDS]).alias("y")))
+    of_face = cut(graph.components(pairs).select("node", F.col("component").alias("face")))
+    placed = cut(graph.ring_order(pairs.join(of_face, pairs["x"] == of_face["node"]).select("face", "x", "y"), ["face"], "x", "y"))
+    twin = F.struct(*[F.col(f"node.{k}").alias(k) for k in keys], *[F.col(f"node.{o}").alias(c) for c, o in zip(ENDS, ("x1", "y1", "x0", "y0"), strict=True)])
+    beyond = of_face.select(F.col("node").alias("twin"), F.col("face").alias("beyond"))
+    made = placed.withColumn("twin", twin).join(beyond, "twin").groupBy("face").agg(
+        (F.sum(F.col("node.x0") * F.col("node.y1") - F.col("node.x1") * F.col("node.y0")) / 2).alias("area"),
+        F.count_if(F.col("face") == F.col("beyond")).alias("loose"),
+        F.sort_array(F.collect_list(F.struct("place", F.col("node.x0").alias("x"), F.col("node.y0").alias("y")))).alias("at"),
     )
-    start = F.struct(*[F.col(f"face.{c}").alias(c) for c in ENDS])
-    walk = F.aggregate(F.sequence(F.lit(1), F.col("edges")), F.array(start), lambda w, _: F.concat(w, F.array(F.element_at(F.col("go"), F.element_at(w, -1)))))
-    return grouped.select(*keys, "face", F.transform(walk, lambda e: F.struct(e["x0"].alias("x"), e["y0"].alias("y"))).alias("points"), "area", "loose")
+    points = F.transform("at", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    closed = F.concat(points, F.slice(points, 1, 1))
+    return made.select(*[F.col(f"face.{k}").alias(k) for k in keys], F.struct(*[F.col(f"face.{c}").alias(c) for c in ENDS]).alias("face"), closed.alias("points"), "area", "loose")
 
 
 def relation_areas(relations: DataFrame) -> DataFrame:

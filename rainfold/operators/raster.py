@@ -1,13 +1,17 @@
 """Rasters in long form: one row a cell (survey, row, col, z, valid), every cell of the rectangle present.
 
 Rows increase with y. Neighbours come from windows over a grid line, not from joins: a lag and a lead along the row, then along the
-column, so a step costs two sorts and no exploded rows, and a survey of any size is spread by its lines.
+column, so a step costs two sorts and no exploded rows, and a survey of any size is spread by its lines. What concerns a survey as a
+whole, as its bounds, is aggregated and joined, so no task gets all cells of one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -25,6 +29,15 @@ def along_col() -> WindowSpec:
     return Window.partitionBy("survey", "col").orderBy("row")
 
 
+def with_bounds(cells: DataFrame) -> DataFrame:
+    """cells + (first_r__, last_r__, first_c__, last_c__) of their survey."""
+    of = cells.groupBy(F.col("survey").alias("of__")).agg(*[f(c).alias(f"{n}_{c[0]}__") for c in ("row", "col") for n, f in (("first", F.min), ("last", F.max))])
+    return cells.join(of, F.col("survey").eqNullSafe(F.col("of__"))).drop("of__")
+
+
+BOUNDS = ("first_r__", "last_r__", "first_c__", "last_c__")
+
+
 def with_neighbours(cells: DataFrame, *columns: str, name: str = "near") -> DataFrame:
     """cells + an array of eight structs of `columns` in the order of DIRECTIONS, null beyond the edge."""
     me = F.struct(*columns)
@@ -64,6 +77,12 @@ def grid_statistics(cells: DataFrame, value: str = "z") -> DataFrame:
     return cells.groupBy("survey").agg(F.min(there).alias("lowest"), F.max(there).alias("highest"), F.avg(there).alias("mean"), F.avg(there.isNull().cast("int")).alias("missing_fraction"), F.count(F.lit(1)).alias("cells"))
 
 
+def slope_statistics(cells: DataFrame) -> DataFrame:
+    """One row a survey: extremes and mean of slope_deg over all cells, extrapolated ones included, and the share of those."""
+    there = F.when(~F.isnan("slope_deg"), F.col("slope_deg"))
+    return cells.groupBy("survey").agg(F.min(there).alias("slope_min"), F.max(there).alias("slope_max"), F.avg(there).alias("slope_mean"), F.avg((~F.col("valid")).cast("int")).alias("extrapolated_fraction"))
+
+
 def reflected(position: Column, n: Column) -> Column:
     """Index beyond the edge mirrored at it, the edge cell doubled (d c b a | a b c d | d c b a)."""
     at = F.pmod(position, 2 * n)
@@ -121,23 +140,58 @@ def with_boundary(cells: DataFrame) -> DataFrame:
     return near.withColumn("boundary", ~inside).drop("near")
 
 
-def with_edge_distance(cells: DataFrame, resolution: float) -> DataFrame:
+def nearest_squared(height: np.ndarray) -> np.ndarray:
+    """min over j of (i - j)**2 + height[j]**2 for each i, in time linear in the line: the lower envelope of parabolas."""
+    n = len(height)
+    low, at, start = height.astype(float) ** 2, [0], [-np.inf]
+    for j in range(1, n):
+        while True:
+            i = at[-1]
+            meet = ((low[j] + j * j) - (low[i] + i * i)) / (2 * (j - i))
+            if meet > start[-1]:
+                break
+            at.pop()
+            start.pop()
+        at.append(j)
+        start.append(meet)
+    own = np.arange(n)
+    best = np.array(at)[np.searchsorted(start, own, side="right") - 1]
+    return (own - best) ** 2 + low[best]
+
+
+def with_edge_distance(cells: DataFrame, resolution: float, padded: bool = True) -> DataFrame:
     """cells + metres from the centre of a valid cell to the outer edge of the valid area (Euclidean), 0 for invalid ones.
 
-    Cells beyond the grid are invalid. Down the columns a window finds the nearest invalid cell; along each row the least of
-    squared column distance plus squared row distance is taken over the row's array.
+    Cells beyond the grid are invalid. Down the columns a window finds the nearest invalid cell; along each row a task takes the
+    least of squared column distance plus squared row distance, in time linear in the row. With padded=False cells beyond
+    the grid do not count and the distance is that to the nearest invalid cell's centre; infinity without one.
     """
     up, down = along_col().rowsBetween(Window.unboundedPreceding, 0), along_col().rowsBetween(0, Window.unboundedFollowing)
-    size = Window.partitionBy("survey")
     bad = F.when(~F.col("valid"), F.col("row"))
-    above = F.coalesce(F.max(bad).over(up), F.min("row").over(size) - 1)
-    below = F.coalesce(F.min(bad).over(down), F.max("row").over(size) + 1)
-    tall = cells.withColumn("g__", F.least(F.col("row") - above, below - F.col("row")).cast("double"))
-    lines = tall.groupBy("survey", "row").agg(F.sort_array(F.collect_list(F.struct("col", "g__"))).alias("line"))
-    beyond = F.least(F.col("c") - F.array_min("line.col") + 1, F.array_max("line.col") + 1 - F.col("c")).cast("double")
-    least = F.array_min(F.transform("line", lambda p: (p["col"] - F.col("c")) * (p["col"] - F.col("c")) + p["g__"] * p["g__"]))
-    squared = lines.select("survey", "row", "line", F.explode("line.col").alias("c")).select("survey", "row", F.col("c").alias("col"), F.least(least, beyond * beyond).alias("d2__"))
-    return cells.join(squared, ["survey", "row", "col"]).withColumn("edge_distance_m", F.when(F.col("valid"), F.sqrt("d2__") * resolution - resolution / 2).otherwise(0.0)).drop("d2__")
+    sized = with_bounds(cells.select("survey", "row", "col", "valid"))
+    far = F.lit(1e9)
+    above = F.coalesce(F.col("row") - F.max(bad).over(up), F.col("row") - F.col("first_r__") + 1 if padded else far)
+    below = F.coalesce(F.min(bad).over(down) - F.col("row"), F.col("last_r__") + 1 - F.col("row") if padded else far)
+    tall = sized.withColumn("g__", F.least(above, below).cast("double"))
+    lines = tall.groupBy("survey", "row").agg(F.sort_array(F.collect_list(F.struct("col", "g__"))).alias("line")).select("survey", "row", F.col("line.col").alias("cols"), F.col("line.g__").alias("g"))
+
+    def envelope(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for g in b.column("g").to_pylist():
+                d2, n = nearest_squared(np.array(g)), len(g)
+                if padded:
+                    edge = np.minimum(np.arange(n) + 1, n - np.arange(n))
+                    d2 = np.minimum(d2, edge * edge)
+                done.append(d2)
+            yield b.drop_columns(["g"]).append_column("d2", pa.array(done, pa.list_(pa.float64())))
+
+    kind = dict(cells.dtypes)
+    squared = lines.mapInArrow(envelope, f"survey {kind['survey']}, row {kind['row']}, cols array<{kind['col']}>, d2 array<double>")
+    squared = squared.select(F.col("survey").alias("s__"), F.col("row").alias("r__"), F.explode(F.arrays_zip("cols", "d2")).alias("p")).select("s__", "r__", F.col("p.cols").alias("c__"), F.col("p.d2").alias("d2__"))
+    met = cells.join(squared, F.col("survey").eqNullSafe(F.col("s__")) & (F.col("row") == F.col("r__")) & (F.col("col") == F.col("c__"))).drop("s__", "r__", "c__")
+    root = F.when(F.col("d2__") >= 1e17, F.lit(float("inf"))).otherwise(F.sqrt("d2__"))
+    return met.withColumn("edge_distance_m", F.when(F.col("valid"), root * resolution - (resolution / 2 if padded else 0.0)).otherwise(0.0)).drop("d2__")
 
 
 def regular_grid(bounds: DataFrame, resolution: Column) -> DataFrame:

@@ -27,12 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return os.path.join(shared_folder(spark), f"{kind}-{uuid.uuid4().hex}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read again.
 
     Iterations keep a short plan, survive lost executors, and the planner goes by the table's true size, which a chain of
     checkpoints would estimate by multiplying the sizes of all joins before.
     """
-    path = os.path.join(shared_folder(df.sparkSession), f"cut-{uuid.uuid4().hex}")
+    path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
