@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.operators.hydrology import with_receiver
+from rainfold.operators.raster import BOUNDS, with_bounds
+from rainfold.plans.store import cut
 
 
 def allowed_cells(cells: DataFrame, setback_m: float = 0.0, max_slope: float = 8.0, border: int = 3) -> DataFrame:
     """cells (valid, land, water, edge_distance_m, slope_deg) that may hold a site, away from the grid's rim."""
-    grid = Window.partitionBy("survey")
-    rim = (F.col("row") >= border) & (F.col("row") <= F.col("last_r") - border) & (F.col("col") >= border) & (F.col("col") <= F.col("last_c") - border)
+    rim = (F.col("row") >= border) & (F.col("row") <= F.col("last_r__") - border) & (F.col("col") >= border) & (F.col("col") <= F.col("last_c__") - border)
     fine = F.col("valid") & F.col("land") & ~F.col("water") & (F.col("edge_distance_m") >= setback_m) & ~F.isnan("slope_deg") & (F.col("slope_deg") <= max_slope)
-    return cells.withColumns({"last_r": F.max("row").over(grid), "last_c": F.max("col").over(grid)}).where(fine & rim).drop("last_r", "last_c")
+    return with_bounds(cells).where(fine & rim).drop(*BOUNDS)
 
 
 def network_threshold(cells: DataFrame, share: float = 0.99) -> DataFrame:
@@ -41,9 +42,8 @@ def depression_targets(wet: DataFrame, allowed: DataFrame) -> DataFrame:
     `wet` are the rows of hydrology.depressions with land, water and clearance (cells to the component's rim).
     """
     marked = wet.join(allowed.select("survey", "row", "col", F.lit(True).alias("allowed__")), ["survey", "row", "col"], "left").withColumn("allowed__", F.coalesce("allowed__", F.lit(False)))
-    group = Window.partitionBy("survey", "component")
-    low = F.min(F.when(F.col("allowed__"), F.col("z"))).over(group)
-    named = marked.withColumn("low__", low)
+    low = marked.groupBy("survey", "component").agg(F.min(F.when(F.col("allowed__"), F.col("z"))).alias("low__"))
+    named = marked.join(low, ["survey", "component"])
     best = F.max_by("node", F.when(F.col("allowed__") & (F.col("z") <= F.col("low__") + 1e-6), F.struct("clearance", -F.col("node"))))
     kept = named.groupBy("survey", "component").agg(F.count(F.lit(1)).alias("cells"), F.bool_or("water").alias("w"), F.bool_and("land").alias("l"), F.bool_or("allowed__").alias("a"), (F.max("z_filled") - F.min("z_filled")).alias("r"), F.min("z").alias("bottom"), best.alias("node"))
     return kept.where((F.col("cells") >= 3) & ~F.col("w") & F.col("l") & F.col("a") & (F.col("r") <= 1e-5)).select("survey", "component", "node", "cells", "bottom")
@@ -53,17 +53,23 @@ def scored(targets: DataFrame, cell_m2: float, max_slope: float = 8.0, min_ha: f
     """targets (survey, row, col, area_cells, local_slope_deg) within the area limits + drainage, slope and total score; low is good."""
     ha = F.col("area_cells") * cell_m2 / 1e4
     fits = targets.where((ha >= min_ha) & (ha <= max_ha if max_ha is not None else F.lit(True)))
-    most = F.max("area_cells").over(Window.partitionBy("survey"))
-    drainage = 1 - F.log1p("area_cells") / F.log1p(most)
+    most = fits.groupBy(F.col("survey").alias("of__")).agg(F.max("area_cells").alias("most__"))
+    drainage = 1 - F.log1p("area_cells") / F.log1p("most__")
     slope = F.least(F.col("local_slope_deg") / max_slope, F.lit(1.0))
-    return fits.withColumns({"drainage_score": drainage, "slope_score": slope}).withColumn("score", 0.75 * F.col("drainage_score") + 0.25 * F.col("slope_score"))
+    made = fits.join(most, F.col("survey").eqNullSafe(F.col("of__"))).withColumns({"drainage_score": drainage, "slope_score": slope}).drop("of__", "most__")
+    return made.withColumn("score", 0.75 * F.col("drainage_score") + 0.25 * F.col("slope_score"))
 
 
 def overlaps(traced: DataFrame) -> DataFrame:
-    """(survey, site_a, site_b, iou) of catchments that share a cell: one equi-join on the cell, counts by pair."""
-    sizes = traced.groupBy("survey", "site").agg(F.count(F.lit(1)).alias("n"))
-    a, b = traced.withColumnRenamed("site", "site_a"), traced.withColumnRenamed("site", "site_b")
-    common = a.join(b, ["survey", "node"]).where("site_a < site_b").groupBy("survey", "site_a", "site_b").agg(F.count(F.lit(1)).alias("both"))
+    """(survey, site_a, site_b, iou) of catchments that share a cell.
+
+    Cells that lie in the same catchments are counted together first; there are about as many such sets as sites, as
+    catchments are nested or apart, so pairs arise for each set and not for each cell.
+    """
+    sets = traced.groupBy("survey", "node").agg(F.sort_array(F.collect_set("site")).alias("in")).groupBy("survey", "in").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sets.select("survey", F.explode("in").alias("site"), "n").groupBy("survey", "site").agg(F.sum("n").alias("n"))
+    pairs = F.flatten(F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b > a), lambda b: F.struct(a.alias("site_a"), b.alias("site_b")))))
+    common = sets.select("survey", F.explode(pairs).alias("p"), "n").groupBy("survey", F.col("p.site_a").alias("site_a"), F.col("p.site_b").alias("site_b")).agg(F.sum("n").alias("both"))
     sized = common.join(sizes.select("survey", F.col("site").alias("site_a"), F.col("n").alias("na")), ["survey", "site_a"]).join(sizes.select("survey", F.col("site").alias("site_b"), F.col("n").alias("nb")), ["survey", "site_b"])
     return sized.select("survey", "site_a", "site_b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("iou"))
 
@@ -84,20 +90,31 @@ def site_conflicts(sites: DataFrame, shared: DataFrame, resolution: float, min_d
 
 
 def select_sites(ranked: DataFrame, conflicts: DataFrame, k: int = 5) -> DataFrame:
-    """The best k sites of each survey, none in conflict with a better one that was taken: a fold over the sites by score.
+    """The best k sites of each survey, none in conflict with a better one that was taken, with their rank from 1.
 
-    A site's conflicts ride along as an array; a survey's targets are folded in one row, so they should be the filtered ones.
+    In each of k rounds every survey takes its best site left, by an aggregation, and that site and those in conflict with
+    it go. Ties of scores go to the larger area, then the smaller row, column and number.
     """
-    against = conflicts.groupBy("survey", "site").agg(F.collect_set("other").alias("against"))
-    rows = ranked.join(against, ["survey", "site"], "left").withColumn("against", F.coalesce("against", F.array().cast("array<bigint>")))
-    order = F.struct("score", -F.col("area_cells"), "row", "col", "site", "against")
-    lists = rows.groupBy("survey").agg(F.sort_array(F.collect_list(order)).alias("all"))
-
-    def step(taken: Column, x: Column) -> Column:
-        return F.when((F.size(taken) < k) & ~F.arrays_overlap(taken, x["against"]), F.concat(taken, F.array(x["site"]))).otherwise(taken)
-
-    chosen = lists.select("survey", F.posexplode(F.aggregate("all", F.array().cast("array<bigint>"), step)).alias("at", "site"))
-    return ranked.join(chosen, ["survey", "site"]).withColumn("rank", F.col("at") + 1).drop("at")
+    order = F.struct("score", -F.col("area_cells"), "row", "col", "site")
+    left, against, rounds = cut(ranked.select("survey", "site", order.alias("order__"))), cut(conflicts), []
+    for rank in range(1, k + 1):
+        best = cut(left.groupBy("survey").agg(F.min_by("site", "order__").alias("site")))
+        if best.isEmpty():
+            break
+        rounds.append(best.withColumn("rank", F.lit(rank)))
+        gone = best.unionByName(best.join(against, ["survey", "site"]).select("survey", F.col("other").alias("site")))
+        left = cut(left.join(gone.distinct(), ["survey", "site"], "left_anti"))
+    if not rounds:
+        return ranked.withColumn("rank", F.lit(1)).limit(0)
+    taken = rounds[0]
+    for more in rounds[1:]:
+        taken = taken.unionByName(more)
+    return ranked.join(taken, ["survey", "site"])
+
+
+def centre(sites: DataFrame) -> DataFrame:
+    """One row: mean longitude and latitude of sites (lon, lat), where rain is asked for if no land is chosen; null without sites."""
+    return sites.agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
 
 
 def assessment(filled: DataFrame, unfilled: DataFrame, cells: DataFrame) -> DataFrame:

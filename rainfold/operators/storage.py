@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rainfold.plans.store import cut
+
 SEASONS = {"monsoon": [6, 7, 8, 9], "post_monsoon": [10, 11], "dry": [12, 1, 2, 3, 4, 5]}
 LENGTHS, WIDTHS, DEPTHS, SIDE_SLOPE, FREEBOARD = (30.0, 45.0, 60.0), (20.0, 30.0, 40.0), (1.5, 2.5), 2.0, 0.5
 FLOWS = ("rainfall_mm", "runoff_m3", "direct_rain_m3", "inflow_m3", "overflow_m3", "evaporation_m3", "seepage_m3", "supplied_m3", "unmet_demand_m3")
@@ -75,55 +77,65 @@ def size_tiers(grid: DataFrame) -> DataFrame:
 
 
 def _surface(storage: np.ndarray, deep: np.ndarray, length: np.ndarray, width: np.ndarray, slope: np.ndarray) -> np.ndarray:
-    """Water surface at a storage: bisection on the depth, the area at the last depth tried; many ponds at once."""
-    low, high = np.zeros_like(deep), deep.copy()
-    h = low
-    for _ in range(BISECTIONS):
-        h = (low + high) / 2
-        less = length * width * h + slope * (length + width) * h**2 + 4 * slope**2 * h**3 / 3 < storage
-        low, high = np.where(less, h, low), np.where(less, high, h)
-    return np.where(storage > 0, (length + 2 * slope * h) * (width + 2 * slope * h), 0.0)
+    """Water surface at a storage: the depth by BISECTIONS halvings of its range, the area at the last one tried."""
+    span, base = deep / 2, np.zeros_like(deep)  # the depth tried is base + span
+    for k in range(BISECTIONS):
+        tried = base + span
+        holds = tried * (length * width + tried * (slope * (length + width) + tried * (4 * slope**2 / 3)))
+        if k + 1 < BISECTIONS:
+            base, span = np.where(holds < storage, tried, base), span / 2
+    return np.where(storage > 0, (length + 2 * slope * tried) * (width + 2 * slope * tried), 0.0)
 
 
 DESIGN = ["design_id", "capacity_m3", "water_depth_m", "bottom_length_m", "bottom_width_m", "side_slope", "footprint_area_m2", "runoff_area_m2", "runoff_coefficient", "evaporation_mm_day", "seepage_mm_day", "demand_m3_day", "initial_storage_fraction"]
 DAILY = "design_id bigint, day date, " + ", ".join(f"{c} double" for c in FLOWS) + ", start_storage_m3 double, end_storage_m3 double, full int, empty int"
 
 
+#: Rows that a group of ponds may give in all.
+GROUP_ROWS = 250_000
+
+
+def balance_step(level: np.ndarray, mm: float, p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """One day of many ponds from their level: the values of DAILY after the day, of which the last but two is the new level."""
+    runoff, direct = mm / 1000 * p["runoff_area_m2"] * p["runoff_coefficient"], mm / 1000 * p["footprint_area_m2"]
+    inflow, cap = runoff + direct, p["capacity_m3"]
+    held = np.minimum(cap, level + runoff + direct)
+    spilled = np.maximum(0, level + runoff + direct - cap)
+    if p["lossy"]:
+        surface = _surface(held, p["water_depth_m"], p["bottom_length_m"], p["bottom_width_m"], p["side_slope"])
+        evaporated = np.minimum(held, p["evaporation_mm_day"] / 1000 * surface)
+        seeped = np.minimum(held - evaporated, p["seepage_mm_day"] / 1000 * surface)
+    else:
+        evaporated = seeped = np.zeros_like(held)
+    supplied = np.minimum(held - evaporated - seeped, p["demand_m3_day"])
+    after = held - evaporated - seeped - supplied
+    return np.full(len(held), mm), runoff, direct, inflow, spilled, evaporated, seeped, supplied, p["demand_m3_day"] - supplied, level, after, (held >= cap - TOLERANCE).astype(int), (after <= TOLERANCE).astype(int)
+
+
 def daily_balance(designs: DataFrame, daily: DataFrame) -> DataFrame:
-    """One row a design and day. Designs are dealt out in groups, each group steps through the days side by side.
+    """One row a design and day. Designs are dealt into groups of about GROUP_ROWS rows of output, each of which steps through the days.
 
-    The day's rain reaches every task with the designs: a cogroup on the group's number, the series once a group.
+    The number of groups follows the numbers of designs and days, so a task's memory does not grow with either. The rain
+    reaches the groups by a cogroup on their number.
     """
-    groups = 8
+    n_designs, n_days = designs.count(), daily.count()
+    groups = -(-n_designs // max(1, GROUP_ROWS // max(1, n_days))) or 1
     keyed = designs.select(*DESIGN).withColumn("group__", F.pmod(F.xxhash64("design_id"), F.lit(groups)).cast("int"))
     rain = daily.select("day", F.col("rain_mm").cast("double").alias("rain_mm")).withColumn("group__", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    columns = [*FLOWS, "start_storage_m3", "end_storage_m3", "full", "empty"]
 
     def simulate(key: tuple, ponds: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
         if ponds.empty or days.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in DAILY.split(", ")])
-        p = {c: ponds[c].to_numpy(float) for c in DESIGN[1:]}
-        storage, parts = p["initial_storage_fraction"] * p["capacity_m3"], []
+            return pd.DataFrame(columns=["design_id", "day", *columns])
         days = days.sort_values("day")
-        for day, mm in zip(days["day"], days["rain_mm"], strict=True):
-            start = storage
-            runoff = mm / 1000 * p["runoff_area_m2"] * p["runoff_coefficient"]
-            direct = mm / 1000 * p["footprint_area_m2"]
-            available = start + runoff + direct
-            overflow = np.maximum(0, available - p["capacity_m3"])
-            storage = np.minimum(p["capacity_m3"], available)
-            full = storage >= p["capacity_m3"] - TOLERANCE
-            area = _surface(storage, p["water_depth_m"], p["bottom_length_m"], p["bottom_width_m"], p["side_slope"])
-            evaporation = np.minimum(storage, p["evaporation_mm_day"] / 1000 * area)
-            seepage = np.minimum(storage - evaporation, p["seepage_mm_day"] / 1000 * area)
-            left = storage - evaporation - seepage
-            supplied = np.minimum(left, p["demand_m3_day"])
-            storage = left - supplied
-            values = (np.full(len(storage), mm), runoff, direct, runoff + direct, overflow, evaporation, seepage, supplied, p["demand_m3_day"] - supplied, start, storage, full.astype(int), (storage <= TOLERANCE).astype(int))
-            parts.append((day, values))
-        out = pd.DataFrame({"design_id": np.tile(ponds["design_id"].to_numpy(), len(parts)), "day": np.repeat([d for d, _ in parts], len(ponds))})
-        for k, name in enumerate([*FLOWS, "start_storage_m3", "end_storage_m3", "full", "empty"]):
-            out[name] = np.concatenate([v[k] for _, v in parts])
-        return out
+        p: dict = {c: ponds[c].to_numpy(float) for c in DESIGN[1:]}
+        p["lossy"] = bool((p["evaporation_mm_day"] != 0).any() or (p["seepage_mm_day"] != 0).any())
+        level, made = p["initial_storage_fraction"] * p["capacity_m3"], []
+        for mm in days["rain_mm"]:
+            made.append(balance_step(level, mm, p))
+            level = made[-1][columns.index("end_storage_m3")]
+        out = {"design_id": np.tile(ponds["design_id"].to_numpy(), len(days)), "day": np.repeat(days["day"].to_numpy(), len(ponds))}
+        return pd.DataFrame(out | {c: np.concatenate([v[k] for v in made]) for k, c in enumerate(columns)})
 
     return keyed.groupBy("group__").cogroup(rain.groupBy("group__")).applyInPandas(simulate, DAILY)
 
@@ -198,7 +210,7 @@ def evaluate_sizes(grid: DataFrame, daily: DataFrame, catchment_m2: float, coeff
             "initial_storage_fraction": F.lit(initial),
         }
     )
-    months = monthly(daily_balance(designs, daily)).persist()
+    months = cut(monthly(daily_balance(designs, daily)))
     summary = seasonal_summary(seasonal(months, season_table(grid.sparkSession)), designs.select("design_id", "capacity_m3"))
     inflow = annual(months).groupBy("design_id").agg((F.sum("inflow_m3") / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("mean_annual_inflow_m3"))
     return designs.select("design_id", "length_m", "width_m", "depth_m", "capacity_m3", "runoff_area_m2").join(summary, "design_id").join(inflow, "design_id")

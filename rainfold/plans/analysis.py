@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainfold.operators import hydrology, rainfall, raster, sites, storage
@@ -26,11 +29,11 @@ def rank_sites(cells: DataFrame, resolution: float, land: DataFrame | None = Non
     allowed = cut(sites.allowed_cells(marked, setback_m, max_slope, border))
 
     pools = hydrology.depressions(marked)
-    rim = raster.with_edge_distance(marked.withColumn("valid", F.col("wet")), 1.0).select(*spot, F.col("edge_distance_m").alias("clearance"))
+    rim = raster.with_edge_distance(marked.withColumn("valid", F.col("wet")), 1.0, padded=False).select(*spot, F.col("edge_distance_m").alias("clearance"))
     hollows = sites.depression_targets(pools.join(rim, spot), allowed).select("survey", "node", "component", F.lit("depression").alias("kind"))
     ends = sites.outlet_nodes(marked.join(allowed.select(*spot, F.lit(True).alias("allowed")), spot, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))).select("survey", "node", F.lit(None).cast("long").alias("component"), F.lit("outlet").alias("kind"))
     targets = hollows.unionByName(ends)
-    named = cut(targets.withColumn("site", F.row_number().over(Window.partitionBy("survey").orderBy("node", "kind")).cast("long")))
+    named = cut(targets.withColumn("site", F.col("node") * 2 + (F.col("kind") == "outlet").cast("long")))
     inside = pools.select("survey", "component", F.col("node").alias("cell"))
     starts = named.join(inside, ["survey", "component"], "left").select("survey", F.coalesce("cell", "node").alias("node"), "site")
     traced = cut(hydrology.trace_catchments(marked, starts))
@@ -43,6 +46,40 @@ def rank_sites(cells: DataFrame, resolution: float, land: DataFrame | None = Non
     return chosen.join(judged.drop("boundary_truncated"), ["survey", "site"])
 
 
+def number(data: dict, key: str, default: float | None, least: float, most: float) -> float:
+    """data[key] as a finite number within limits; booleans are no numbers."""
+    value = data.get(key, default)
+    try:
+        if isinstance(value, bool) or not math.isfinite(got := float(value)) or not least <= got <= most:
+            raise ValueError
+    except (TypeError, ValueError, OverflowError) as bad:
+        raise ValueError(f"{key} must be a number from {least} to {most}.") from bad
+    return got
+
+
+def expanded_sites(analyse: Callable[[float], DataFrame], buffers: tuple[float, ...] = (2000.0, 4000.0), failures: tuple[type[Exception], ...] = (ValueError,)) -> tuple[DataFrame, float, str]:
+    """(sites, buffer, expansion_status): sites with boundary_truncated, from ever wider terrain until no catchment reaches its edge.
+
+    `analyse` gives the sites for a buffer. If a wider extent fails in one of the ways of `failures`, the sites of the one before
+    stay and the status is `unavailable`; if the first fails, so does the whole. Otherwise it is `not_needed`, `expanded`, or
+    `limit_reached` where a catchment still reaches the edge.
+    """
+    last: tuple[DataFrame, float, str] | None = None
+    for k, buffer_m in enumerate(buffers):
+        try:
+            found = cut(analyse(buffer_m))
+        except failures:
+            if last is None:
+                raise
+            return last[0], last[1], "unavailable"
+        if found.where("boundary_truncated").isEmpty():
+            return found, buffer_m, "not_needed" if k == 0 else "expanded"
+        last = found, buffer_m, "limit_reached"
+    if last is None:
+        raise ValueError("no terrain buffer to try")
+    return last
+
+
 def simulate_pond(designs: DataFrame, daily: DataFrame) -> dict[str, DataFrame]:
     """Monthly, annual, seasonal and total balances and the summary of designs (see storage.DESIGN)."""
     months = cut(storage.monthly(storage.daily_balance(designs, daily)))
