@@ -17,6 +17,22 @@ def signed_area(ring: Column) -> Column:
     return F.aggregate(segments(ring), F.lit(0.0), lambda t, s: t + (s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]) / 2)
 
 
+def centroid(ring: Column) -> tuple[Column, Column]:
+    """(x, y) of a ring's centre of area; null for a ring without area."""
+    first = F.get(ring, F.lit(0))  # sums are taken about a point of the ring, as coordinates may be large
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(t: Column, s: Column) -> Column:
+        ax, ay = s["a"]["x"] - first["x"], s["a"]["y"] - first["y"]
+        bx, by = s["b"]["x"] - first["x"], s["b"]["y"] - first["y"]
+        cross = ax * by - bx * ay
+        return F.struct((t["a"] + cross).alias("a"), (t["x"] + (ax + bx) * cross).alias("x"), (t["y"] + (ay + by) * cross).alias("y"))
+
+    got = F.aggregate(segments(ring), zero, add)
+    whole = F.nullif(3 * got["a"], F.lit(0.0))
+    return first["x"] + got["x"] / whole, first["y"] + got["y"] / whole
+
+
 def is_closed(ring: Column) -> Column:
     first, last = F.get(ring, F.lit(0)), F.element_at(ring, -1)
     return (F.size(ring) >= 4) & (first["x"] == last["x"]) & (first["y"] == last["y"])

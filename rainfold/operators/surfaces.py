@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.functions import geometry, parsing
+from rainfold.plans.store import cut
+
+
+HOLES = "array<array<struct<x:double,y:double>>>"
 
 
 def mask_runs(cells: DataFrame, flag: str) -> DataFrame:
@@ -20,9 +24,9 @@ def mask_runs(cells: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def outline_edges(cells: DataFrame, flag: str) -> DataFrame:
-    """(survey, x0, y0, x1, y1): unit edges between marked cells and the rest, the marked cell on the left; grid units."""
-    some = cells.where(flag).select("survey", "row", "col")
+def outline_edges(cells: DataFrame, flag: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(survey, keep..., x0, y0, x1, y1): unit edges between marked cells and the rest, the marked cell on the left; grid units."""
+    some = cells.where(flag).select("survey", "row", "col", *keep)
     sides = F.explode(
         F.array(
             *[
@@ -31,38 +35,87 @@ def outline_edges(cells: DataFrame, flag: str) -> DataFrame:
             ]
         )
     )
-    asked = some.select("survey", "row", "col", sides.alias("s")).select("survey", (F.col("row") + F.col("s.dr")).alias("r"), (F.col("col") + F.col("s.dc")).alias("c"), F.col("row"), F.col("col"), "s")
+    asked = some.select("survey", "row", "col", *keep, sides.alias("s")).select("survey", *keep, (F.col("row") + F.col("s.dr")).alias("r"), (F.col("col") + F.col("s.dc")).alias("c"), F.col("row"), F.col("col"), "s")
     there = some.select("survey", F.col("row").alias("r"), F.col("col").alias("c"))
     rim = asked.join(there, ["survey", "r", "c"], "left_anti")
-    return rim.select("survey", *[(F.col(base) + F.col(f"s.{k}")).cast("int").alias(name) for base, k, name in (("col", "a", "x0"), ("row", "b", "y0"), ("col", "c", "x1"), ("row", "d", "y1"))])
+    return rim.select("survey", *keep, *[(F.col(base) + F.col(f"s.{k}")).cast("int").alias(name) for base, k, name in (("col", "a", "x0"), ("row", "b", "y0"), ("col", "c", "x1"), ("row", "d", "y1"))])
 
 
-def outline_rings(edges: DataFrame) -> DataFrame:
-    """(survey, ring, points, area): closed rings of outline edges, shells with positive area, holes with negative.
+def outline_rings(edges: DataFrame, keys: tuple[str, ...] = ("survey",)) -> DataFrame:
+    """keys + (ring, points, area): closed rings of outline edges, shells with positive area, holes with negative.
 
     Each edge points to the one that goes on from its end, turning right where four edges meet, so cells that touch at a corner stay
-    apart. The edges of a ring are a component of that relation; their order is a walk over the ring's own edges.
+    apart. The edges of a ring are a component of that relation; their order comes from doubling pointers along it.
     """
     from rainfold.operators import graph
 
+    ends = ("x0", "y0", "x1", "y1")
     turn = (F.col("x1") - F.col("x0")) * (F.col("ny1") - F.col("ny0")) - (F.col("y1") - F.col("y0")) * (F.col("nx1") - F.col("nx0"))
-    key = F.struct("survey", "x0", "y0", "x1", "y1")
-    nxt = edges.select(F.col("survey").alias("nsurvey"), *[F.col(c).alias(f"n{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = edges.join(nxt, (F.col("survey") == F.col("nsurvey")) & (F.col("x1") == F.col("nx0")) & (F.col("y1") == F.col("ny0"))).select("survey", "x0", "y0", "x1", "y1", "nx0", "ny0", "nx1", "ny1")
-    follow = both.groupBy("survey", "x0", "y0", "x1", "y1").agg(F.max_by(F.struct("nx0", "ny0", "nx1", "ny1"), turn).alias("n"))
-    pairs = follow.select(key.alias("x"), F.struct("survey", F.col("n.nx0").alias("x0"), F.col("n.ny0").alias("y0"), F.col("n.nx1").alias("x1"), F.col("n.ny1").alias("y1")).alias("y"))
-    ring = graph.components(pairs).select(F.col("node.survey").alias("survey"), *[F.col(f"node.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], F.col("component").alias("ring"))
-    step = follow.join(ring, ["survey", "x0", "y0", "x1", "y1"])
-    area = F.sum((F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2)
-    grouped = step.groupBy("survey", "ring").agg(
-        area.alias("area"),
-        F.count(F.lit(1)).alias("edges"),
-        F.map_from_entries(F.collect_list(F.struct(F.struct("x0", "y0", "x1", "y1"), F.struct(F.col("n.nx0").alias("x0"), F.col("n.ny0").alias("y0"), F.col("n.nx1").alias("x1"), F.col("n.ny1").alias("y1"))))).alias("go"),
-    )
-    start = F.struct(F.col("ring.x0").alias("x0"), F.col("ring.y0").alias("y0"), F.col("ring.x1").alias("x1"), F.col("ring.y1").alias("y1"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.col("edges") - 1), F.array(start), lambda w, _: F.concat(w, F.array(F.element_at(F.col("go"), F.element_at(w, -1)))))
-    points = F.when(F.col("edges") > 1, F.transform(walk, lambda e: F.struct(e["x0"].alias("x"), e["y0"].alias("y"))))
-    return grouped.select("survey", "ring", points.alias("points"), "area")
+    nxt = edges.select(*[F.col(k).alias(f"n{k}") for k in keys], *[F.col(x).alias(f"n{x}") for x in ends])
+    same = [F.col(k).eqNullSafe(F.col(f"n{k}")) for k in keys]
+    both = edges.join(nxt, [*same, F.col("x1") == F.col("nx0"), F.col("y1") == F.col("ny0")])
+    follow = both.groupBy(*keys, *ends).agg(F.max_by(F.struct("nx0", "ny0", "nx1", "ny1"), turn).alias("n"))
+    step = cut(follow.select(F.struct(*keys, *ends).alias("x"), F.struct(*keys, *[F.col(f"n.n{x}").alias(x) for x in ends]).alias("y")))
+    ring = graph.components(step).select("node", F.col("component").alias("ring"))
+    named = cut(step.join(ring, step["x"] == ring["node"]).select("ring", "x", "y"))
+    placed = graph.ring_order(named, ["ring"], "x", "y")
+    area = F.sum((F.col("node.x0") * F.col("node.y1") - F.col("node.x1") * F.col("node.y0")) / 2)
+    made = placed.groupBy("ring").agg(area.alias("area"), F.sort_array(F.collect_list(F.struct("place", F.col("node.x0").alias("x"), F.col("node.y0").alias("y")))).alias("at"))
+    points = F.transform("at", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return made.select(*[F.col(f"ring.{k}").alias(k) for k in keys], "ring", points.alias("points"), "area")
+
+
+def outline_polygons(cells: DataFrame, flag: str) -> DataFrame:
+    """(survey, component, shell, holes, area): the marked cells' connected parts (by their sides) as closed rings in grid units.
+
+    A part is named by its least cell; `area` is in cells. Holes come with the shell they lie in, as both bound the same part.
+    """
+    from rainfold.operators import graph
+
+    some = cut(cells.where(flag).select("survey", "row", "col"))
+    at = F.struct("survey", "row", "col")
+    beside = [some.select(at.alias("x"), F.struct("survey", (F.col("row") + dr).cast("int").alias("row"), (F.col("col") + dc).cast("int").alias("col")).alias("y")) for dr, dc in ((0, 1), (1, 0))]
+    pairs = beside[0].unionByName(beside[1]).join(some.select(at.alias("y")), "y", "left_semi")
+    found = graph.components(pairs)
+    parts = cut(some.withColumn("node", at).join(found, "node", "left").select("survey", "row", "col", F.coalesce("component", "node").alias("component")))
+    named = outline_edges(parts.withColumn("marked", F.lit(True)), "marked", ("component",))
+    rings = outline_rings(named, ("survey", "component"))
+    closed = F.transform(F.concat("points", F.slice("points", 1, 1)), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    made = rings.withColumn("closed", closed).groupBy("survey", "component").agg(F.max(F.when(F.col("area") > 0, F.col("closed"))).alias("shell"), F.sort_array(F.collect_list(F.when(F.col("area") < 0, F.col("closed")))).alias("holes"), F.sum("area").cast("double").alias("area"))
+    return made.select("survey", F.struct(F.col("component.row").alias("row"), F.col("component.col").alias("col")).alias("component"), "shell", "holes", "area")
+
+
+def in_degrees(polygons: DataFrame, epsg: int, west: float, south: float, resolution: float) -> DataFrame:
+    """polygons (shell, holes in grid units) in degrees of WGS84: (west, south) is the centre of the cell at row and column 0 in the UTM zone's metres."""
+    from rainfold.functions import geodesy
+
+    zone, below = F.lit(epsg % 100), F.lit(epsg >= 32700)
+
+    def moved(ring: Column) -> Column:
+        def point(p: Column) -> Column:
+            lon, lat = geodesy.from_utm(west + (p["x"] - 0.5) * resolution, south + (p["y"] - 0.5) * resolution, zone, below)
+            return F.struct(lon.alias("x"), lat.alias("y"))
+
+        return F.transform(ring, point)
+
+    return polygons.withColumns({"shell": moved(F.col("shell")), "holes": F.transform("holes", moved)})
+
+
+def largest_outline(polygons: DataFrame) -> DataFrame:
+    """(survey, shell): the shell of each survey's largest polygon, ties to the least component."""
+    best = F.max_by("shell", F.struct("area", -F.col("component.row"), -F.col("component.col")))
+    return polygons.groupBy("survey").agg(best.alias("shell"))
+
+
+def terrain_outline(bounds: DataFrame, epsg: int, resolution: float) -> DataFrame:
+    """bounds (min_x, min_y, max_x, max_y of cell centres) + ring in degrees: the outer cell edges of a raster, closed."""
+    from rainfold.functions import geodesy
+
+    half = resolution / 2
+    sides = {"x": (F.col("min_x") - half, F.col("max_x") + half), "y": (F.col("min_y") - half, F.col("max_y") + half)}
+    corners = [(sides["x"][i], sides["y"][j]) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]
+    made = [geodesy.from_utm(x, y, F.lit(epsg % 100), F.lit(epsg >= 32700)) for x, y in corners]
+    return bounds.withColumn("ring", F.array(*[F.struct(lon.alias("x"), lat.alias("y")) for lon, lat in made]))
 
 
 def ring_of(points: Column) -> Column:
@@ -70,67 +123,143 @@ def ring_of(points: Column) -> Column:
 
 
 def land_errors(areas: DataFrame) -> DataFrame:
-    """areas (land_id, ring ARRAY<STRUCT<x, y>> in degrees) + error: the first check a selected land fails, else null."""
+    """areas (land_id, ring ARRAY<STRUCT<x, y>> in degrees, perhaps holes) + error: the first check a selected land fails, else null.
+
+    Holes have to be closed, simple and covered by the ring, and count among the vertices.
+    """
     ring = F.col("ring")
+    holes = F.coalesce("holes", F.array().cast(HOLES)) if "holes" in areas.columns else F.array().cast(HOLES)
+    vertices = F.size(ring) + F.aggregate(holes, F.lit(0), lambda t, h: t + F.size(h))
+    bad_hole = F.exists(holes, lambda h: ~F.coalesce(geometry.is_closed(h), F.lit(False)) | (geometry.signed_area(h) == 0) | ~geometry.simple(h) | F.exists(h, lambda p: ~geometry.covers_point(ring, p["x"], p["y"])))
     finite = F.forall(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) <= 180) & (F.abs(p["y"]) <= 90))
     wide = F.array_max(F.transform(ring, lambda p: p["x"])) - F.array_min(F.transform(ring, lambda p: p["x"]))
     return areas.withColumn(
         "error",
         F.when(ring.isNull() | (F.size(ring) == 0), "missing")
-        .when(F.size(ring) > 10_000, "too_many_vertices")
+        .when(vertices > 10_000, "too_many_vertices")
         .when(~F.coalesce(geometry.is_closed(ring), F.lit(False)), "not_closed")
         .when(~F.coalesce(finite, F.lit(False)), "out_of_range")
         .when(wide > 180, "too_wide")
         .when(geometry.signed_area(ring) == 0, "no_area")
-        .when(~geometry.simple(ring), "self_intersecting"),
+        .when(~geometry.simple(ring), "self_intersecting")
+        .when(F.coalesce(bad_hole, F.lit(True)), "bad_hole"),
     )
 
 
+def with_holes(features: DataFrame) -> DataFrame:
+    """features with a column `holes` that is never null."""
+    none = F.array().cast(HOLES)
+    return features.withColumn("holes", F.coalesce("holes", none) if "holes" in features.columns else none)
+
+
+def over_squares(features: DataFrame, ring: str, side: float, reach: Column | float = 0.0) -> DataFrame:
+    """features + (bx, by): a row for each square of a grid that the bounds of a ring, grown by `reach`, overlap."""
+    grown = F.lit(reach) if isinstance(reach, float) else reach
+    for axis, name in (("x", "bx"), ("y", "by")):
+        low = F.floor((F.array_min(F.col(f"{ring}.{axis}")) - grown) / side).cast("long")
+        high = F.floor((F.array_max(F.col(f"{ring}.{axis}")) + grown) / side).cast("long")
+        features = features.withColumn(name, F.explode(F.sequence(low, high)))
+    return features
+
+
+def on_squares(cells: DataFrame, side: float) -> DataFrame:
+    """cells (x, y) + (bx, by): the square that a cell's centre lies in."""
+    return cells.withColumns({"bx": F.floor(F.col("x") / side).cast("long"), "by": F.floor(F.col("y") / side).cast("long")})
+
+
 def land_mask(cells: DataFrame, lands: DataFrame, resolution: float) -> DataFrame:
     """(survey, land_id, row, col): cells whose whole square lies in a land's ring and in none of its holes.
 
-    Lands carry ring and holes in the cells' metres; cells and lands of a survey meet, the bounds first, the exact test after.
+    Lands carry ring and holes in the cells' metres; cells and lands meet in the squares that a land's bounds overlap.
     """
-    half = resolution / 2
-    box = lands.select("survey", "land_id", "ring", F.coalesce("holes", F.array().cast("array<array<struct<x:double,y:double>>>")).alias("holes"), *[agg(F.col(f"ring.{axis}")).alias(f"{name}_{axis}") for axis in ("x", "y") for name, agg in (("low", F.array_min), ("high", F.array_max))])
-    near = cells.join(box, "survey").where((F.col("x") - half >= F.col("low_x")) & (F.col("x") + half <= F.col("high_x")) & (F.col("y") - half >= F.col("low_y")) & (F.col("y") + half <= F.col("high_y")))
+    half, side = resolution / 2, 16 * resolution
+    spread = over_squares(with_holes(lands).select("survey", "land_id", "ring", "holes"), "ring", side)
+    near = on_squares(cells, side).join(spread, ["survey", "bx", "by"])
     sides = (F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)
     outside = F.forall("holes", lambda h: ~geometry.covers_point(h, F.col("x"), F.col("y")) & ~geometry.crosses_box(h, *sides))
     return near.where(geometry.covers_box(F.col("ring"), *sides) & outside).select("survey", "land_id", "row", "col")
 
 
 def land_coverage(cells: DataFrame, lands: DataFrame, resolution: float) -> DataFrame:
-    """(survey, land_id, area_ha, terrain_coverage_fraction, partial_terrain_coverage): how much of a land the raster's cells hold."""
-    half = resolution / 2
-    near = cells.join(lands.select("survey", "land_id", "ring"), "survey")
+    """(survey, land_id, area_ha, terrain_coverage_fraction, partial_terrain_coverage): how much of a land, its holes taken out, the
+    raster's cells hold; 0 for a land that no cell meets."""
+    half, side = resolution / 2, 16 * resolution
+    whole_lands = with_holes(lands).select("survey", "land_id", "ring", "holes")
+    spread = over_squares(whole_lands, "ring", side, half)
+    box = (F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)
+
+    def cut_area(ring: Column) -> Column:
+        return F.abs(geometry.signed_area(geometry.clip_ring(ring, *box)))
+
     bounds = [agg(F.col(f"ring.{axis}")) for axis in ("x", "y") for agg in (F.array_min, F.array_max)]
-    meets = (F.col("x") + half >= bounds[0]) & (F.col("x") - half <= bounds[1]) & (F.col("y") + half >= bounds[2]) & (F.col("y") - half <= bounds[3])
-    clipped = F.abs(geometry.signed_area(geometry.clip_ring(F.col("ring"), F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)))
-    part = F.when(meets, clipped).otherwise(0.0)  # only squares that meet the ring's bounds are clipped
-    whole = F.abs(geometry.signed_area(F.col("ring")))
-    made = near.groupBy("survey", "land_id").agg(F.sum(part).alias("part"), F.max(whole).alias("whole"))
-    share = F.least(F.lit(1.0), F.col("part") / F.col("whole"))
+    meets = (box[2] >= bounds[0]) & (box[0] <= bounds[1]) & (box[3] >= bounds[2]) & (box[1] <= bounds[3])
+    near = on_squares(cells, side).join(spread, ["survey", "bx", "by"]).where(meets)
+    parts = near.groupBy("survey", "land_id").agg(F.sum(cut_area(F.col("ring")) - F.aggregate("holes", F.lit(0.0), lambda t, h: t + cut_area(h))).alias("part"))
+    whole = F.abs(geometry.signed_area(F.col("ring"))) - F.aggregate("holes", F.lit(0.0), lambda t, h: t + F.abs(geometry.signed_area(h)))
+    made = whole_lands.select("survey", "land_id", whole.alias("whole")).join(parts, ["survey", "land_id"], "left")
+    share = F.least(F.lit(1.0), F.coalesce("part", F.lit(0.0)) / F.col("whole"))
     return made.select("survey", "land_id", (F.col("whole") / 1e4).alias("area_ha"), share.alias("terrain_coverage_fraction"), (share < 1 - 1e-6).alias("partial_terrain_coverage"))
 
 
 def water_mask(cells: DataFrame, features: DataFrame, buffer_m: float, resolution: float) -> DataFrame:
     """(survey, row, col) of cells whose centre is within a feature's reach or inside a water area.
 
-    Features are (survey, feature_id, line ARRAY<STRUCT<x, y>>, area BOOLEAN, width STRING). Cells and features meet in
-    square buckets that a feature's bounds, grown by its reach, overlap: an equi-join, whatever the extent.
+    Features are (survey, feature_id, line ARRAY<STRUCT<x, y>>, area BOOLEAN, width STRING) and may have `holes`, islands of an area
+    that stay dry but for the reach of their shores. Cells and features meet in the squares that a feature's bounds, grown by its
+    reach, overlap: an equi-join, whatever the extent.
     """
     reach = F.lit(buffer_m + resolution / 2**0.5) + F.when(F.col("area"), 0.0).otherwise(parsing.width_metres(F.col("width")) / 2)
     side = 16 * resolution
-    grown = features.withColumn("reach", reach)
-    low = {a: F.floor((F.array_min(F.col(f"line.{a}")) - F.col("reach")) / side).cast("long") for a in ("x", "y")}
-    high = {a: F.floor((F.array_max(F.col(f"line.{a}")) + F.col("reach")) / side).cast("long") for a in ("x", "y")}
-    spread = grown.withColumn("bx", F.explode(F.sequence(low["x"], high["x"]))).withColumn("by", F.explode(F.sequence(low["y"], high["y"])))
-    dealt = cells.withColumns({"bx": F.floor(F.col("x") / side).cast("long"), "by": F.floor(F.col("y") / side).cast("long")})
-    near = dealt.join(spread.select("survey", "bx", "by", "line", "area", "reach"), ["survey", "bx", "by"])
-    wet = (geometry.line_distance(F.col("line"), F.col("x"), F.col("y")) <= F.col("reach")) | (F.col("area") & geometry.covers_point(F.col("line"), F.col("x"), F.col("y")))
+    spread = over_squares(with_holes(features).withColumn("reach", reach), "line", side, F.col("reach"))
+    near = on_squares(cells, side).join(spread.select("survey", "bx", "by", "line", "holes", "area", "reach"), ["survey", "bx", "by"])
+    shore = F.exists("holes", lambda h: geometry.line_distance(h, F.col("x"), F.col("y")) <= F.col("reach"))
+    inside = F.col("area") & geometry.covers_point(F.col("line"), F.col("x"), F.col("y")) & ~F.exists("holes", lambda h: geometry.covers_point(h, F.col("x"), F.col("y")))
+    wet = (geometry.line_distance(F.col("line"), F.col("x"), F.col("y")) <= F.col("reach")) | shore | inside
     return near.where(wet).select("survey", "row", "col").distinct()
 
 
+def water_features(ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """(feature_id, line, holes, area, width, error) of mapped water, in degrees, from assembled ways and relations.
+
+    Ways come from `assemble_ways`, relations from `assemble_relations`. Water areas of ways are closed lines; relations that are areas
+    give a row for each shell with the relation's holes, others one for each way. Where geometry lacks or does not close, `error`
+    says so and no line is given, so such water is never taken for dry land.
+    """
+    from rainfold.operators import polygonize
+
+    area = F.coalesce(F.col("tags")["natural"] == "water", F.lit(False)) | F.coalesce(F.col("tags")["waterway"] == "riverbank", F.lit(False)) | F.coalesce(F.col("tags")["landuse"] == "reservoir", F.lit(False))
+    none = F.array().cast(HOLES)
+    line = ring_of(F.col("geometry"))
+    wet_ways = ways.where(parsing.is_water(F.col("tags"))).select(F.concat(F.lit("way/"), "way_id").alias("feature_id"), line.alias("line"), area.alias("area"), F.col("tags")["width"].alias("width"), "missing")
+    way_error = F.when((F.col("missing") > 0) | (F.size("line") < 2), "missing_geometry").when(F.col("area") & ~F.coalesce(geometry.is_closed(F.col("line")), F.lit(False)), "not_closed")
+    of_ways = wet_ways.withColumn("error", way_error).select("feature_id", F.when(F.col("error").isNull(), F.col("line")).alias("line"), none.alias("holes"), "area", "width", "error")
+    wet = relations.where(parsing.is_water(F.col("tags"))).withColumn("area", area)
+    name = F.concat(F.lit("relation/"), "relation_id").alias("feature_id")
+    width = F.col("tags")["width"].alias("width")
+    closed = polygonize.relation_areas(wet.where("area").select("relation_id", "members")).join(wet.select("relation_id", "tags", "missing"), "relation_id")
+    bad = F.when(F.col("missing") > 0, "missing_geometry").otherwise(F.col("error"))
+    shells = closed.withColumn("bad", bad).select(name, F.explode_outer(F.when(F.col("bad").isNull(), F.col("shells"))).alias("line"), F.when(F.col("bad").isNull(), F.col("holes")).otherwise(none).alias("holes"), F.lit(True).alias("area"), width, F.col("bad").alias("error"))
+    open_lines = wet.where(~F.col("area")).withColumn("bad", F.when((F.col("missing") > 0) | (F.size("members") == 0) | F.exists("members", lambda m: F.size(m["geometry"]) < 2), "missing_geometry"))
+    lines = open_lines.select(name, F.explode_outer(F.when(F.col("bad").isNull(), F.transform("members", lambda m: ring_of(m["geometry"])))).alias("line"), none.alias("holes"), F.lit(False).alias("area"), width, F.col("bad").alias("error"))
+    return of_ways.unionByName(shells).unionByName(lines)
+
+
+def in_metres(features: DataFrame, epsg: int) -> DataFrame:
+    """features with line and holes in a UTM zone's metres."""
+    from rainfold.functions import geodesy
+
+    zone, south = F.lit(epsg % 100), F.lit(epsg >= 32700)
+
+    def moved(ring: Column) -> Column:
+        def point(p: Column) -> Column:
+            x, y = geodesy.to_utm(p["x"], p["y"], zone, south)
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        return F.transform(ring, point)
+
+    return features.withColumns({"line": moved(F.col("line")), "holes": F.transform("holes", moved)})
+
+
 def assemble_ways(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """(way_id, tags, geometry, missing): node coordinates in the order of a way's references; `missing` counts those without one."""
     refs = ways.select("way_id", "tags", F.posexplode("refs").alias("at", "node_id"))

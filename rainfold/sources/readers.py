@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -124,17 +126,52 @@ def osm_objects(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select(F.col("_id").alias("relation_id"), F.transform("member", lambda m: F.struct(m["_type"].alias("type"), m["_ref"].alias("ref"), m["_role"].alias("role"))).alias("members"), named)
 
 
+def elements_of_json(rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(ways, relations) of JSON texts whose `elements` carry their geometry, as `surfaces.water_features` takes them.
+
+    A way or member without geometry, or with a point that lacks a coordinate, counts as missing. Texts with a `remark` are
+    incomplete answers and raise an error, as do those without elements.
+    """
+    point = "array<struct<lat:double,lon:double>>"
+    member = f"struct<type:string,ref:bigint,role:string,geometry:{point}>"
+    parsed = F.from_json(column, f"struct<remark:string,elements:array<struct<type:string,id:bigint,tags:map<string,string>,geometry:{point},members:array<{member}>>>>")
+    whole = rows.select(parsed.alias("j")).select(F.when(F.col("j.remark").isNotNull() | F.col("j.elements").isNull(), F.raise_error(F.lit("the map data is incomplete")).cast("array<string>")).alias("bad"), F.col("j.elements").alias("elements"))
+    each = whole.where(F.col("bad").isNull()).select(F.explode("elements").alias("e"))
+
+    def lacks(line: Column) -> Column:
+        return F.coalesce((F.size(line) < 1) | F.exists(line, lambda p: p["lon"].isNull() | p["lat"].isNull()), F.lit(True))
+
+    def placed(line: Column) -> Column:
+        return F.transform(line, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+
+    tags = F.coalesce(F.col("e.tags"), F.create_map().cast("map<string,string>")).alias("tags")
+    ways = each.where("e.type = 'way'").select(F.col("e.id").alias("way_id"), tags, placed(F.col("e.geometry")).alias("geometry"), lacks(F.col("e.geometry")).cast("int").alias("missing"))
+    of_ways = F.filter(F.coalesce("e.members", F.array().cast(f"array<{member}>")), lambda m: m["type"] == "way")
+    made = F.transform(of_ways, lambda m: F.struct(m["role"].alias("role"), placed(m["geometry"]).alias("geometry")))
+    relations = each.where("e.type = 'relation'").select(F.col("e.id").alias("relation_id"), tags, made.alias("members"), F.size(F.filter(of_ways, lambda m: lacks(m["geometry"]))).alias("missing"))
+    return ways, relations
+
+
 def write_raster(cells: DataFrame, path: str) -> None:
     """A raster in Parquet, partitioned by survey, so that a survey is read alone."""
     cells.write.mode("overwrite").partitionBy("survey").parquet(path)
 
 
-def read_raster(spark: SparkSession, path: str, need_finite: bool = False) -> DataFrame:
-    """A raster written before; with need_finite a missing height raises an error."""
+def raster_key(*parts: str) -> str:
+    """A name for a stored raster: a digest of its adapter, source and grid."""
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
+
+def read_raster(spark: SparkSession, path: str, need_finite: bool = False, shape: tuple[int, int] | None = None) -> DataFrame:
+    """A raster written before; with need_finite a missing height raises an error, with a shape a survey of other numbers of rows and columns."""
     cells = spark.read.parquet(path)
     if need_finite:
         bad = F.col("z").isNull() | F.isnan("z")
         cells = cells.withColumn("z", F.when(bad, F.raise_error(F.lit("a cell of the raster has no height")).cast("double")).otherwise(F.col("z")))
+    if shape is not None:
+        sizes = cells.groupBy(F.col("survey").alias("of__")).agg(((F.max("row") == shape[0] - 1) & (F.max("col") == shape[1] - 1) & (F.min("row") == 0) & (F.min("col") == 0) & (F.count(F.lit(1)) == shape[0] * shape[1])).alias("fits__"))
+        checked = sizes.withColumn("of__", F.when(F.col("fits__"), F.col("of__")).otherwise(F.raise_error(F.lit("a survey of the raster has another shape")).cast(sizes.schema["of__"].dataType)))
+        cells = cells.join(checked.drop("fits__"), F.col("survey").eqNullSafe(F.col("of__"))).drop("of__")
     return cells
 
 
