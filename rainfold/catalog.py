@@ -266,7 +266,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "balance_totals": (lambda s, d: rounded(storage.totals(_monthly(s, d)).select("design_id", "inflow_m3", "overflow_m3", "supplied_m3", "residual_m3"), 5), sql.BALANCE_TOTALS),
     "balance_summary": (lambda s, d: rounded(_summary(s, d), 5), sql.BALANCE_SUMMARY),
     "balance_losses": (lambda s, d: rounded(storage.totals(storage.monthly(balance(s, d, True))).select("design_id", "evaporation_m3", "seepage_m3", "overflow_m3", "residual_m3"), 5), sql.BALANCE_LOSSES),
-    "size_recommendation": (lambda s, d: rounded(storage.recommend(storage.evaluate_sizes(storage.candidate_grid(s), daily_rain(s, d).where(F.year("day").between(1996, 2000)), 4000.0)), 3), None),
+    "size_recommendation": (lambda s, d: rounded(storage.recommend(storage.evaluate_sizes(storage.candidate_grid(s), daily_rain(s, d).where(F.year("day").between(1996, 2000)), 4000.0)), 3), sql.SIZE_RECOMMENDATION),
     # contours, projection, parsing
     "contour_statistics": (lambda s, d: contours.statistics(sound_contours(s, d)), sql.CONTOUR_STATS),
     "contour_interval": (lambda s, d: contours.interval(order_contours(s, d)), sql.CONTOUR_INTERVAL),
@@ -297,8 +297,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "nearest_fill": (_nearest, sql.NEAREST),
     "mask_runs": (lambda s, d: surfaces.mask_runs(part_grid(s, d), "valid").drop("survey"), sql.MASK_RUNS),
     "outline_rings": (_outline, sql.OUTLINE),
-    "land_mask": (lambda s, d: surfaces.land_mask(placed(part_grid(s, d)), part_lands(s, d), RESOLUTION).select("land_id", "row", "col"), None),
-    "land_coverage": (lambda s, d: rounded(surfaces.land_coverage(placed(part_grid(s, d)), part_lands(s, d), RESOLUTION)), None),
+    "land_mask": (lambda s, d: surfaces.land_mask(placed(part_grid(s, d)), part_lands(s, d), RESOLUTION).select("land_id", "row", "col"), sql.LAND_MASK),
+    "land_coverage": (lambda s, d: rounded(surfaces.land_coverage(placed(part_grid(s, d)), part_lands(s, d), RESOLUTION)), sql.LAND_COVERAGE),
     "water_mask": (lambda s, d: surfaces.water_mask(placed(part_grid(s, d)), part_water(s, d), 10.0, RESOLUTION).select("row", "col"), sql.WATER_MASK),
     # flow
     "d8_direction": (lambda s, d: hydrology.flow_direction(tile_grid(s, d), RESOLUTION).select("survey", "row", "col", "fdir"), sql.D8),
@@ -306,13 +306,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "fill_depressions": (lambda s, d: hydrology.fill_depressions(tile_grid(s, d)).select("survey", "row", "col", "z_filled"), sql.FILL),
     "flow_accumulation": (lambda s, d: flow_tiles(s, d).select("survey", "row", "col", "acc"), sql.ACCUMULATION),
     "channel_statistics": (lambda s, d: rounded(_tile_channels(s, d)), sql.CHANNELS),
-    "hydrology": (_hydrology, None),
+    "hydrology": (_hydrology, sql.HYDROLOGY),
     "depressions": (_depressions, sql.DEPRESSIONS),
     # sites
     "catchment_areas": (_catchments, sql.CATCHMENTS),
     "catchment_overlap": (_iou, sql.IOU),
     "site_scores": (_scores, sql.SCORES),
-    "site_selection": (_selected, None),
+    "site_selection": (_selected, sql.SELECTION),
     "outlet_nodes": (_outlets, sql.OUTLETS),
     # maps
     "osm_ways": (osm_ways, sql.OSM_WAYS),
@@ -331,10 +331,15 @@ def _utm_back(s: SparkSession, d: str) -> DataFrame:
     return rounded(metres.select("id", lon.alias("lon"), lat.alias("lat")), 7)
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    from rainfold import catalog_land  # it uses this module's tables
+
+    return QUERIES | catalog_land.QUERIES
+
+
 def queries() -> dict[str, Query]:
-    return {name: q for name, (q, _) in QUERIES.items()}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in QUERIES.items() if text}
-
+    return {name: text for name, (_, text) in _all().items() if text}

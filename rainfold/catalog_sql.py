@@ -47,7 +47,7 @@ SIZE_TOO_LARGE = f"WITH {_GRID} SELECT FALSE AS meets_target, candidate, capacit
 SIZE_TIERS = f"WITH {_GRID} SELECT candidate, CASE candidate WHEN 0 THEN 'small' WHEN 6 THEN 'intermediate' ELSE 'large' END AS label, capacity_m3 FROM grid WHERE candidate IN (0, 6, 12)"
 
 
-def _balance(losses: bool) -> str:
+def _balance(losses: bool, demand: float = 20.0, initial: float = 0.25) -> str:
     """The daily balance as recursion over days; with losses the water surface comes from 40 bisections."""
     if losses:
         volume = "bl * bw * ((a.lo + a.hi) / 2) + 2 * (bl + bw) * ((a.lo + a.hi) / 2) ** 2 + 16 * ((a.lo + a.hi) / 2) ** 3 / 3"
@@ -59,9 +59,9 @@ def _balance(losses: bool) -> str:
     return f"""{DAILY}, days AS (SELECT day, rain_mm, row_number() OVER (ORDER BY day) AS n FROM daily WHERE year(day) BETWEEN 1996 AND 2000), {_GRID},
 bal AS (
   SELECT candidate::BIGINT AS design_id, 0::BIGINT AS n, NULL::DATE AS day, capacity_m3 AS cap, deep, bl, bw, length_m * width_m AS fp, 0.0::DOUBLE AS rain, 0.0::DOUBLE AS runoff, 0.0::DOUBLE AS direct, 0.0::DOUBLE AS over,
-    0.0::DOUBLE AS start_s, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS evap, 0.0::DOUBLE AS seep, 0.0::DOUBLE AS sup, 0.25::DOUBLE * capacity_m3 AS end_s FROM grid
+    0.0::DOUBLE AS start_s, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS evap, 0.0::DOUBLE AS seep, 0.0::DOUBLE AS sup, {initial}::DOUBLE * capacity_m3 AS end_s FROM grid
   UNION ALL
-  SELECT design_id, n, day, cap, deep, bl, bw, fp, rain, runoff, direct, over, start_s, s1, evap, seep, least(s1 - evap - seep, 20.0::DOUBLE), s1 - evap - seep - least(s1 - evap - seep, 20.0::DOUBLE) FROM (
+  SELECT design_id, n, day, cap, deep, bl, bw, fp, rain, runoff, direct, over, start_s, s1, evap, seep, least(s1 - evap - seep, {demand}::DOUBLE), s1 - evap - seep - least(s1 - evap - seep, {demand}::DOUBLE) FROM (
     SELECT *, {seepage} AS seep FROM (SELECT *, {evaporation} AS evap FROM (SELECT *, {area} AS area FROM (
       SELECT *, greatest(0, start_s + runoff + direct - cap) AS over, least(cap, start_s + runoff + direct) AS s1 FROM (
         SELECT b.design_id, d.n, d.day, b.cap, b.deep, b.bl, b.bw, b.fp, d.rain_mm AS rain, d.rain_mm / 1000 * (4000 - b.fp) * 0.3::DOUBLE AS runoff, d.rain_mm / 1000 * b.fp AS direct, b.end_s AS start_s
@@ -84,6 +84,13 @@ SELECT design_id, count(*)::BIGINT AS years_analysed, count(*) FILTER (filled)::
   round(avg(m), 5) + 0.0 AS mean_monsoon_end_m3, round(100 * avg(m) / any_value(cap), 5) + 0.0 AS mean_monsoon_end_percent FROM y GROUP BY design_id"""
 BALANCE_LOSSES = f"WITH RECURSIVE {_balance(True)} SELECT design_id, round(sum(evap), 5) + 0.0 AS evaporation_m3, round(sum(seep), 5) + 0.0 AS seepage_m3, round(sum(over), 5) + 0.0 AS overflow_m3, 0.0::DOUBLE AS residual_m3 FROM flows GROUP BY design_id"
 
+SIZE_RECOMMENDATION = f"""WITH RECURSIVE {_balance(True, 0.0, 0.0)}, y AS (SELECT design_id, year, any_value(cap) AS cap, max(is_full) > 0 AS filled, sum(over) AS over, sum(inflow) AS inflow, arg_max(end_s, day) FILTER (season = 'monsoon') AS m FROM flows GROUP BY ALL),
+rated AS (SELECT design_id, count(*)::BIGINT AS years_analysed, count(*) FILTER (filled)::BIGINT AS years_filled, avg(over) AS mean_over, avg(m) AS mean_m, any_value(cap) AS cap, sum(inflow) / count(*) AS mean_in FROM y GROUP BY design_id),
+tiers AS (SELECT rated.*, g.length_m, g.width_m, g.depth_m, CASE design_id WHEN 0 THEN 'small' WHEN 6 THEN 'intermediate' ELSE 'large' END AS label FROM rated JOIN grid g ON g.candidate = design_id WHERE design_id IN (0, 6, 12))
+SELECT design_id, length_m, width_m, depth_m, cap AS capacity_m3, 4000 - length_m * width_m AS runoff_area_m2, years_analysed, years_filled, round(100.0::DOUBLE * years_filled / years_analysed, 3) + 0.0 AS fill_rate_percent, round(mean_over, 3) + 0.0 AS mean_overflow_m3,
+  round(mean_m, 3) + 0.0 AS mean_monsoon_end_m3, round(100 * mean_m / cap, 3) + 0.0 AS mean_monsoon_end_percent, round(mean_in, 3) + 0.0 AS mean_annual_inflow_m3, label,
+  label = CASE WHEN (SELECT years_filled FROM tiers WHERE label = 'intermediate') = 0 THEN 'small' ELSE 'intermediate' END AS recommended, label || ': fills in ' || years_filled || ' of ' || years_analysed || ' years' AS reasoning FROM tiers"""
+
 # contours, projection, parsing
 _CONTOURS = """verts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 360 - 180)::DOUBLE + l_linenumber / 8.0::DOUBLE AS lon, (l_suppkey % 93)::DOUBLE + l_linenumber / 4.0::DOUBLE AS lat FROM lineitem),
 lines AS (SELECT l_orderkey, list({'lon': lon, 'lat': lat} ORDER BY l_linenumber, l_partkey, l_suppkey, lon, lat) AS v FROM verts GROUP BY 1),
@@ -95,7 +102,7 @@ CONTOUR_VIOLATIONS = f"WITH {_CONTOURS} SELECT contour_id, violation, CASE WHEN
 CONTOUR_STATS = f"""WITH {_CONTOURS}, p AS (SELECT contour_id, elevation, len(v) AS n, list_min(list_transform(v, lambda p: p.lon)) AS a, list_max(list_transform(v, lambda p: p.lon)) AS b, list_min(list_transform(v, lambda p: p.lat)) AS c, list_max(list_transform(v, lambda p: p.lat)) AS d FROM sound)
 SELECT count(*)::BIGINT AS contour_count, min(elevation) AS min_elevation_m, max(elevation) AS max_elevation_m, sum(n)::BIGINT AS total_points, min(a) AS min_lon, min(c) AS min_lat, max(b) AS max_lon, max(d) AS max_lat FROM p"""
 CONTOUR_GAPS = f"WITH {_CONTOURS}, g AS (SELECT elevation, lead(elevation) OVER (ORDER BY elevation) - elevation AS gap FROM (SELECT DISTINCT elevation FROM contours)) SELECT elevation, gap FROM g WHERE gap IS NOT NULL"
-CONTOUR_INTERVAL = f"""WITH {_CONTOURS}, g AS (SELECT elevation, lead(elevation) OVER (ORDER BY elevation) - elevation AS gap FROM (SELECT DISTINCT elevation FROM contours WHERE elevation < 60)),
+CONTOUR_INTERVAL = f"""WITH {_CONTOURS}, g AS (SELECT elevation, lead(elevation) OVER (ORDER BY elevation) - elevation AS gap FROM (SELECT DISTINCT elevation FROM contours)),
 c AS (SELECT round_even(gap, 4) AS r, count(*) AS n, min(elevation) AS low FROM g WHERE gap IS NOT NULL GROUP BY 1)
 SELECT (SELECT r FROM c ORDER BY n DESC, low LIMIT 1) AS contour_interval_m, max(gap) - min(gap) <= 1e-6 AS contour_interval_uniform, round_even(min(gap), 4) AS least_gap_m FROM g"""
 CONTOUR_VERTICES = f"WITH {_CONTOURS} SELECT contour_id, i::INTEGER AS seq, v[i + 1].lon AS lon, v[i + 1].lat AS lat, elevation FROM sound, range(20) t(i) WHERE i < len(v)"
@@ -170,7 +177,7 @@ BOUNDARY = f"WITH {PART}, {DIRS} SELECT c.row, c.col, count(n.row) < 8 AS bounda
 EDGE_DISTANCE = f"""WITH {PART}, {_SIZE}, d AS (SELECT c.row, c.col, any_value(c.valid) AS valid, min((c.row - n.row) ** 2 + (c.col - n.col) ** 2) AS d2, any_value(least(c.row + 1, h - c.row, c.col + 1, w - c.col)) AS e FROM cells c CROSS JOIN size LEFT JOIN cells n ON NOT n.valid GROUP BY c.row, c.col)
 SELECT row, col, CASE WHEN valid THEN round(sqrt(least(coalesce(d2, 1e18), e * e)) * 10 - 5, 6) ELSE 0 END + 0.0::DOUBLE AS edge_distance_m FROM d"""
 NEAREST = f"""WITH {PART}, s AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 397)::DOUBLE AS x, (s_suppkey * 71 % 499)::DOUBLE AS y, s_acctbal AS z FROM supplier),
-f AS (SELECT c.row, c.col, arg_min(s.z, ((c.col * 10 - s.x) * (c.col * 10 - s.x) + (c.row * 10 - s.y) * (c.row * 10 - s.y), s.id)) AS z FROM cells c JOIN s ON NOT c.valid AND abs(floor(c.col * 10 / 200.0) - floor(s.x / 200)) <= 1 AND abs(floor(c.row * 10 / 200.0) - floor(s.y / 200)) <= 1 GROUP BY ALL)
+f AS (SELECT c.row, c.col, arg_min(s.z, ((c.col * 10 - s.x) * (c.col * 10 - s.x) + (c.row * 10 - s.y) * (c.row * 10 - s.y), s.id)) AS z FROM cells c JOIN s ON NOT c.valid GROUP BY ALL)
 SELECT c.row, c.col, CASE WHEN c.valid THEN c.z ELSE f.z END AS z FROM cells c LEFT JOIN f USING (row, col)"""
 MASK_RUNS = f"""WITH {PART}, m AS (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS k FROM cells WHERE valid)
 SELECT row, min(col) AS first_col, max(col) AS last_col, count(*)::BIGINT AS cells FROM m GROUP BY row, k"""
@@ -225,6 +232,56 @@ s AS (SELECT n.*, n.network AND (n.row + n.col) % 5 <> 0 AND n.recv <> n.node AN
 i AS (SELECT survey, recv AS node, count(*) AS k FROM n WHERE network AND recv <> node GROUP BY 1, 2)
 SELECT s.survey, s.row, s.col, s.acc FROM s JOIN s b ON b.survey = s.survey AND b.node = s.recv LEFT JOIN i ON i.survey = s.survey AND i.node = s.node WHERE s.supported AND (coalesce(i.k, 0) >= 2 OR NOT b.supported)"""
 
+_AROUND = ("p + 2", "p + 12", "p + 11", "p + 10", "p", "p - 10", "p - 9", "p - 8")  # neighbours of cell p of a tile with a rim of nulls, in the order of dirs
+_FLAT_STEP = "list_transform(range(100), lambda p: CASE WHEN z[p + 1] IS NULL THEN 1e9 ELSE least(d[p + 1], list_min([" + ", ".join(f"CASE WHEN z[{j}] = z[p + 1] THEN d[{j}] + 1 ELSE 1e9 END" for j in _AROUND) + "])) END)"
+_LOWEST = "list_min([" + ", ".join(f"coalesce(z[{j}], 1e300)" for j in _AROUND) + "])"
+_STEEP = "[" + ", ".join(
+    f"CASE WHEN outlet THEN 0.0 WHEN z[{j}] IS NULL THEN '-inf'::DOUBLE WHEN NOT downhill AND d[p + 1] > 0 AND z[{j}] = z[p + 1] AND d[{j}] < d[p + 1] THEN (d[p + 1] - d[{j}]) / {far} ELSE (z[p + 1] - z[{j}]) / {far} END"
+    for j, far in zip(_AROUND, ("10.0::DOUBLE", "(10.0::DOUBLE * sqrt(2.0::DOUBLE))") * 4, strict=True)
+) + "]"
+HYDROLOGY = f"""WITH RECURSIVE {_FILL}, {DIRS},
+pad AS (SELECT survey, list_transform(range(100), lambda p: CASE WHEN p // 10 BETWEEN 1 AND 8 AND p % 10 BETWEEN 1 AND 8 THEN zs[(p // 10 - 1) * 8 + p % 10] END) AS z FROM (SELECT survey, list(z_filled ORDER BY row, col) AS zs FROM filled GROUP BY survey)),
+near_low AS (SELECT survey, z, list_transform(range(100), lambda p: CASE WHEN z[p + 1] IS NOT NULL AND {_LOWEST} < z[p + 1] THEN 0.0::DOUBLE ELSE 1e9::DOUBLE END) AS d0 FROM pad),
+first AS (SELECT survey, 0 AS k, z, d0, d0 AS d FROM near_low UNION ALL SELECT survey, k + 1, z, d0, {_FLAT_STEP} FROM first WHERE k < 63),
+out AS (SELECT survey, z, d0, d AS d1, list_transform(range(100), lambda p: z[p + 1] IS NOT NULL AND (p // 10 IN (1, 8) OR p % 10 IN (1, 8)) AND d[p + 1] >= 1e9) AS outlets FROM first WHERE k = 63),
+second AS (SELECT survey, 0 AS k, z, d0, d1, outlets, list_transform(range(100), lambda p: CASE WHEN outlets[p + 1] THEN 0.0::DOUBLE ELSE 1e9::DOUBLE END) AS d FROM out UNION ALL SELECT survey, k + 1, z, d0, d1, outlets, {_FLAT_STEP} FROM second WHERE k < 63),
+dist AS (SELECT survey, z, d0, outlets, list_transform(range(100), lambda p: least(d1[p + 1], d[p + 1])) AS d FROM second WHERE k = 63),
+steep AS (SELECT survey, (p // 10 - 1)::INTEGER AS row, (p % 10 - 1)::INTEGER AS col, z[p + 1] AS z_filled, {_STEEP} AS s FROM (SELECT *, outlets[p + 1] AS outlet, d0[p + 1] = 0 AS downhill FROM dist, range(100) t(p) WHERE z[p + 1] IS NOT NULL)),
+flow AS (SELECT *, CASE WHEN list_max(s) > 0 THEN [1, 2, 4, 8, 16, 32, 64, 128][list_position(s, list_max(s))] ELSE 0 END::SMALLINT AS fdir FROM steep),
+edges AS (SELECT f.survey, f.row * 8 + f.col AS node, greatest(0, least(7, f.row + coalesce(d.dr, 0))) * 8 + greatest(0, least(7, f.col + coalesce(d.dc, 0))) AS recv FROM flow f LEFT JOIN dirs d ON d.code = f.fdir),
+up AS (SELECT survey, node, node AS anc FROM edges UNION ALL SELECT u.survey, u.node, e.recv FROM up u JOIN edges e ON e.survey = u.survey AND e.node = u.anc WHERE e.recv <> e.node),
+acc AS (SELECT survey, anc AS node, count(*)::BIGINT AS acc FROM up GROUP BY 1, 2),
+limits AS (SELECT survey, quantile_cont(acc, 0.99) AS threshold FROM acc GROUP BY 1)
+SELECT f.survey, f.row, f.col, f.z_filled, f.fdir, a.acc, a.acc >= threshold AS is_channel FROM flow f JOIN acc a ON a.survey = f.survey AND a.node = f.row * 8 + f.col JOIN limits l ON l.survey = f.survey"""
+SELECTION = f"""WITH RECURSIVE {_SITES}, n AS (SELECT survey, site, count(*) AS n FROM traced GROUP BY 1, 2), b AS (SELECT a.survey, a.site AS s, b.site AS o, count(*) AS k FROM traced a JOIN traced b ON a.survey = b.survey AND a.node = b.node AND a.site <> b.site GROUP BY ALL),
+alike AS (SELECT b.survey, s, o FROM b JOIN n x ON x.survey = b.survey AND x.site = s JOIN n y ON y.survey = b.survey AND y.site = o WHERE k / (x.n + y.n - k) >= 0.8),
+five AS (SELECT survey, site, node // 8 AS r, node % 8 AS c, acc FROM ranked WHERE site <= 5),
+close AS (SELECT a.survey, a.site AS s, b.site AS o FROM five a JOIN five b ON a.survey = b.survey AND a.site <> b.site AND sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 10 < 25),
+bad AS (SELECT survey, s, list(DISTINCT o) AS os FROM (SELECT * FROM alike UNION SELECT * FROM close) GROUP BY 1, 2),
+ordered AS (SELECT f.survey, f.site, coalesce(os, []) AS os, row_number() OVER (PARTITION BY f.survey ORDER BY -acc, -acc, r, c, f.site) AS i FROM five f LEFT JOIN bad ON bad.survey = f.survey AND bad.s = f.site),
+walk AS (SELECT DISTINCT survey, 0::BIGINT AS i, []::BIGINT[] AS taken FROM ordered UNION ALL
+  SELECT w.survey, o.i, CASE WHEN len(taken) < 3 AND NOT list_has_any(taken, os) THEN list_append(taken, o.site) ELSE taken END FROM walk w JOIN ordered o ON o.survey = w.survey AND o.i = w.i + 1)
+SELECT survey, unnest(taken) AS site, unnest(range(1, len(taken) + 1))::INTEGER AS rank FROM (SELECT survey, arg_max(taken, i) AS taken FROM walk GROUP BY 1)"""
+
+# lands
+_LANDS = f"""{PART}, lands AS (SELECT n_nationkey AS k, n_regionkey % 2 = 0 AS holed, 12.0::DOUBLE * n_nationkey AS ox, 15.0::DOUBLE * n_nationkey AS oy FROM nation),
+side(hole, ax, ay, bx, b_y) AS (VALUES (FALSE, -13.0::DOUBLE, -7.0::DOUBLE, 151.0::DOUBLE, 23.0::DOUBLE), (FALSE, 151, 23, 41, 137), (FALSE, 41, 137, -13, -7), (TRUE, 41, 31, 77, 33), (TRUE, 77, 33, 52, 66), (TRUE, 52, 66, 41, 31))"""
+LAND_MASK = f"""WITH {_LANDS}, corner(a, b) AS (VALUES (-5, -5), (-5, 5), (5, -5), (5, 5)),
+q AS (SELECT k, holed, row, col, col * 10 - ox AS u, row * 10 - oy AS v FROM cells, lands),
+sides AS (SELECT q.k, q.row, q.col, s.hole, min((bx - ax) * (v + b - ay) - (b_y - ay) * (u + a - ax)) AS least, max((bx - ax) * (v + b - ay) - (b_y - ay) * (u + a - ax)) AS most, any_value(holed) AS holed, any_value(u) AS u, any_value(v) AS v FROM q, side s, corner GROUP BY q.k, q.row, q.col, s.hole, s.ax)
+SELECT k AS land_id, row, col FROM sides GROUP BY k, row, col
+HAVING min(least) FILTER (NOT hole) >= 0 AND (NOT any_value(holed) OR min(most) FILTER (hole) <= 0 OR any_value(u) + 5 <= 41 OR any_value(u) - 5 >= 77 OR any_value(v) + 5 <= 31 OR any_value(v) - 5 >= 66)"""
+LAND_COVERAGE = f"""WITH {_LANDS}, frame AS (SELECT min(col) * 10 - 5.0::DOUBLE AS x0, max(col) * 10 + 5.0::DOUBLE AS x1, min(row) * 10 - 5.0::DOUBLE AS y0, max(row) * 10 + 5.0::DOUBLE AS y1 FROM cells),
+e AS (SELECT k, hole, ax + ox AS ax, ay + oy AS ay, bx + ox AS bx, b_y + oy AS b_y, x0, x1, y0, y1 FROM lands JOIN side ON holed OR NOT hole, frame),
+ys AS (SELECT k, hole, greatest(y0, least(y1, ay)) AS y FROM e UNION SELECT k, hole, y0 FROM e UNION SELECT k, hole, y1 FROM e
+  UNION SELECT k, hole, greatest(y0, least(y1, ay + (x - ax) / (bx - ax) * (b_y - ay))) FROM (SELECT *, unnest([x0, x1]) AS x FROM e WHERE bx <> ax) WHERE (x - ax) * (x - bx) < 0),
+strips AS (SELECT k, hole, y, lead(y) OVER (PARTITION BY k, hole ORDER BY y) AS y2 FROM ys),
+wide AS (SELECT s.k, s.hole, s.y, any_value(s.y2 - s.y) AS h, greatest(0, least(any_value(x1), max(ax + ((s.y + s.y2) / 2 - ay) / (b_y - ay) * (bx - ax))) - greatest(any_value(x0), min(ax + ((s.y + s.y2) / 2 - ay) / (b_y - ay) * (bx - ax)))) AS w
+  FROM strips s JOIN e ON e.k = s.k AND e.hole = s.hole AND (s.y + s.y2) / 2 BETWEEN least(ay, b_y) AND greatest(ay, b_y) WHERE s.y2 > s.y GROUP BY s.k, s.hole, s.y),
+part AS (SELECT k, sum(CASE WHEN hole THEN -h * w ELSE h * w END) AS part FROM wide GROUP BY k),
+whole AS (SELECT k, sum(CASE WHEN hole THEN -1 ELSE 1 END * (ax * b_y - bx * ay) / 2) AS whole FROM e GROUP BY k)
+SELECT 'part' AS survey, k AS land_id, round(whole / 1e4, 6) AS area_ha, round(least(1, coalesce(part, 0) / whole), 6) + 0.0 AS terrain_coverage_fraction, least(1, coalesce(part, 0) / whole) < 1 - 1e-6 AS partial_terrain_coverage FROM whole LEFT JOIN part USING (k)"""
+
 # maps
 OSM_WAYS = f"""WITH {POINTS}, r AS (SELECT l_orderkey AS way_id, l_linenumber AS pos, l_partkey % 150 AS ref FROM lineitem),
 j AS (SELECT r.*, p.lon FROM r LEFT JOIN pts p ON p.id = r.ref AND p.id % 7 <> 3)

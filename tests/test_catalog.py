@@ -28,7 +28,7 @@ def plain(rows, columns):
     return sorted(([value(r[i]) for i in order] for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query(name, spark, sf_dir, duck):
     got = catalog.queries()[name](spark, sf_dir)
     rows = plain(got.collect(), got.columns)
