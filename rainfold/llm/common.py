@@ -14,8 +14,18 @@ from rainfold.plans.store import cut, table  # noqa: F401
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+def is_small(df: DataFrame, rows: int = 10_000, size: int = 8 << 20) -> bool:
+    """Whether a table has at most so many rows and bytes of strings that it may be broadcast; for tables that are written or cheap."""
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(0))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(length)).first()
+    return n <= rows and (total or 0) <= size
+
+
 def in_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
-    """df, with Arrow batches of at most `rows` rows in its session from now on, as texts and sketches are long."""
+    """df, with Arrow batches of at most `rows` rows in its session from now on, as texts and sketches are long.
+
+    Spark reads that setting when a plan runs and not when it is made, so it cannot be set back here; the README says so.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))

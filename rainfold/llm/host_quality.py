@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import batch_of, cut, fields, in_batches, slices
+from rainfold.llm.common import batch_of, cut, fields, in_batches, is_small, slices
 
 SAMPLE, MIN_LABELS, BROADCAST_SITES = 20_000, 5, 10_000
 #: Weight of the site beside the document, and the quality under which a document is rejected.
@@ -143,7 +143,7 @@ def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
         evidence = F.lit(0.0)
     scored = stats.withColumn("evidence", F.when(F.col("stats").isNotNull(), evidence)).withColumn("p", sigmoid(F.col("evidence"))).drop("stats")
     sites = cut(site_posteriors(scored).withColumnsRenamed({"host": "host__", "path": "path__"}))
-    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    sites = F.broadcast(sites) if is_small(sites, BROADCAST_SITES) else sites
     rows = scored.join(sites, F.col("host").eqNullSafe(F.col("host__")) & F.col("path").eqNullSafe(F.col("path__")), "left")
     a, b = F.col("host_strength"), F.col("path_strength")
     rows = rows.withColumn("host_posterior", (F.col("total_host") - F.col("p") + a * F.col("prior")) / (F.col("n_host") - 1 + a))

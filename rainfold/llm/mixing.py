@@ -20,10 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainfold.llm.common import WORD_PATTERN, cut
+from rainfold.llm.common import WORD_PATTERN, cut, is_small
 
 BUCKETS = 4096
-#: Sources up to which their one row each is broadcast; beyond, the rows are joined by a shuffle.
+#: Sources up to which their one row each is broadcast, if their names are short; beyond, the rows are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
 
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     plan = source_targets(totals, cap).withColumn("epochs__", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("part__", F.round(F.col("target") - F.col("epochs__") * F.col("source_size")).cast("long"))
     plan = cut(plan.withColumnRenamed("source", "source__"))
-    few = plan.count() <= BROADCAST_SOURCES
+    few = is_small(plan, BROADCAST_SOURCES)
     plan = F.broadcast(plan) if few else plan
     before = Window.partitionBy(source).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
     edges = sums.withColumn("before__", F.coalesce(F.sum("words__").over(before), F.lit(0)))

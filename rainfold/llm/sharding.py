@@ -1,7 +1,9 @@
 """Shards by a Feistel permutation with cycle walking over global row numbers, in DataFrame functions only.
 
-Row numbers come without a sort of all rows: a mix of the key deals rows to buckets, bucket sizes are summed up (one row
-a bucket), and a row's number is its bucket's offset plus its place in the bucket. A permutation of 0..side**2-1, the
+Row numbers come without a sort of all rows: a mix of the key and of what orders its rows deals rows to buckets, bucket sizes are
+summed up (one row a bucket), and a row's number is its bucket's offset plus its place in the bucket. There are as many buckets as
+keep one at about `BUCKET_ROWS` rows, and very many rows of one key (or without one) fall into many buckets, as long as they
+differ. A permutation of 0..side**2-1, the
 least square that holds all rows, maps numbers to positions; positions past the end walk on. How long the longest walk
 is is found beforehand from the few numbers past the end, so every row takes a fixed number of steps. Position p lies in
 shard p mod n at slot p div n: counts differ by one at most, slots have no gap, and both can be computed from the number.
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from rainfold.llm.common import cut
 
 PRIME = (1 << 31) - 1
-BUCKETS = 1024
+#: Buckets at least, rows that a bucket has about beyond that, and buckets up to which their offsets are broadcast.
+BUCKETS, BUCKET_ROWS, BROADCAST_BUCKETS = 1024, 250_000, 1 << 16
 ROUND_KEYS = (1_234_577, 87_178_291, 433_494_437, 1_073_676_287, 715_827_883, 370_248_451)
 
 
@@ -67,24 +70,28 @@ def longest_walk(df: DataFrame, n: int, side: int) -> int:
     return steps
 
 
-def bucket_of(key: Column) -> Column:
-    return F.pmod(mix(F.coalesce(key, F.lit(-1)), ROUND_KEYS[0]), F.lit(BUCKETS)).cast("int")
+def bucket_of(key: Column, ties: list[Column], buckets: int) -> Column:
+    x = mix(F.coalesce(key, F.lit(-1)), ROUND_KEYS[0])
+    for t in ties:
+        x = mix(x + F.pmod(F.coalesce(t, F.lit(-1)).cast("long"), F.lit(PRIME).cast("long")), ROUND_KEYS[1])
+    return F.pmod(x, F.lit(buckets)).cast("int")
 
 
 def assign(df: DataFrame, key: str, shards: int = 8, ties: tuple[str, ...] = ()) -> DataFrame:
-    """df + (row_number BIGINT, shard INT, slot BIGINT). `ties` orders rows of one key."""
-    counts = df.groupBy(bucket_of(F.col(key)).alias("bucket__")).agg(F.count(F.lit(1)).alias("rows__"))
-    before = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
-    found = counts.withColumn("offset__", F.coalesce(F.sum("rows__").over(before), F.lit(0))).collect()  # at most BUCKETS rows
-    n = sum(r["rows__"] for r in found)
+    """df + (row_number BIGINT, shard INT, slot BIGINT). `ties` names whole-number columns that order rows of one key."""
+    n = df.count()
+    buckets = max(BUCKETS, -(-n // BUCKET_ROWS))
+    own = bucket_of(F.col(key), [F.col(t) for t in ties], buckets)
+    counts = df.groupBy(own.alias("bucket__")).agg(F.count(F.lit(1)).alias("rows__"))
+    before = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    offsets = counts.select("bucket__", F.coalesce(F.sum("rows__").over(before), F.lit(0)).cast("long").alias("offset__"))
+    offsets = F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets
     side = isqrt(max(n, 1) - 1) + 1
     steps = longest_walk(df, n, side) if n else 1
-    by_bucket = dict.fromkeys(range(BUCKETS), 0) | {r["bucket__"]: r["offset__"] for r in found}
-    offsets = F.array(*[F.lit(by_bucket[b]).cast("long") for b in range(BUCKETS)])
     place = F.row_number().over(Window.partitionBy("bucket__").orderBy(F.col(key).asc_nulls_first(), *ties)).cast("long")
-    numbered = df.withColumn("bucket__", bucket_of(F.col(key))).withColumn("row_number", F.element_at(offsets, F.col("bucket__") + 1) + place - 1)
+    numbered = df.withColumn("bucket__", own).withColumn("place__", place).join(offsets, "bucket__").withColumn("row_number", F.col("offset__") + F.col("place__") - 1)
     placed = numbered.withColumn("position__", walk(F.col("row_number"), F.lit(n).cast("long"), F.lit(side).cast("long"), steps))
-    return placed.withColumns({"shard": F.pmod("position__", F.lit(shards)).cast("int"), "slot": F.floor(F.col("position__") / shards).cast("long")}).drop("bucket__", "position__")
+    return placed.withColumns({"shard": F.pmod("position__", F.lit(shards)).cast("int"), "slot": F.floor(F.col("position__") / shards).cast("long")}).drop("bucket__", "position__", "offset__", "place__")
 
 
 def shard_report(docs: DataFrame) -> DataFrame:
