@@ -84,9 +84,9 @@ def salted_join(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame,
     return dealt.join(spread, [key, "salt__"], how).drop("salt__")
 
 
-def _degrees(pairs: DataFrame) -> DataFrame:
+def _degrees(pairs: DataFrame, rows: int) -> DataFrame:
     """(u, m, n__): the least v of each u and how many it has."""
-    return cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n__")))
+    return cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n__")), rows)
 
 
 def _with_least(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -97,14 +97,15 @@ def _with_least(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(node, component): the least node that a node is connected with; large-star and small-star steps until all are stars."""
     now = cut(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u > v").distinct())
+    rows = 2 * now.count()  # no step makes more edges than there were, either way
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        degrees = _degrees(both)
+        degrees = _degrees(both, rows)
         # in stars each node has one neighbour, a lesser one, or none that is lesser
         if degrees.where("m < u AND n__ > 1").isEmpty():
             break
-        large = cut(_with_least(both, degrees).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        large = cut(_with_least(both, degrees).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), rows)
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(_with_least(large, _degrees(large)).select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
+        now = cut(_with_least(large, _degrees(large, rows)).select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct(), rows)
     node = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return node.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -32,12 +32,19 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return os.path.join(shared_folder(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Narrow rows that a task of an iteration's small table holds at least.
+TASK_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df as a table written to the shared folder and read again.
 
     Iterations keep a short plan, survive lost executors, and the planner goes by the table's true size, which a chain of
-    checkpoints would estimate by multiplying the sizes of all joins before.
+    checkpoints would estimate by multiplying the sizes of all joins before. With a bound on its number of rows a table gets
+    no more tasks and files than they need; for narrow tables behind a shuffle.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from rainfold.functions import geodesy, geometry
 from rainfold.operators import feasibility, graph, hydrology, raster, sites, storage, surfaces, terrain
 from rainfold.plans import analysis
 from rainfold.sources import readers
+from rainfold.streaming import rain
 
 RING = "array<struct<x:double,y:double>>"
 SQUARE = [(0.0, 0.0), (400.0, 0.0), (400.0, 400.0), (0.0, 400.0), (0.0, 0.0)]
@@ -291,3 +292,26 @@ def test_holes_of_lands(spark):
     rows = [(1, ring, []), (2, ring, [inside]), (3, ring, [inside, beyond]), (4, ring, [open_]), (5, ring, None)]
     got = surfaces.land_errors(spark.createDataFrame(rows, f"land_id int, ring {RING}, holes array<{RING}>")).collect()
     assert {r["land_id"]: r["error"] for r in got} == {1: None, 2: None, 3: "bad_hole", 4: "bad_hole", 5: None}
+
+
+def test_storage_as_stream_state(spark, tmp_path):
+    rows = [(s, f"2024-05-{d:02d}", float(mm)) for s, start in ((1, 0), (2, 3)) for d, mm in enumerate([5, 40, 0, 60, 10], start + 1)]
+    days = spark.createDataFrame(rows, "station long, day string, rain_mm double").withColumn("day", F.to_date("day"))
+    for k, part in enumerate((days.where("day < '2024-05-04'"), days.where("day >= '2024-05-04'"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(days.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = rain.running_storage(stream, 20.0, 1000.0).writeStream.format("memory").queryName("levels").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = {(r["station"], r["day"].isoformat()): (r["overflow_m3"], r["storage_m3"]) for r in spark.table("levels").collect()}
+    for station in (1, 2):
+        level = 0.0
+        for s, day, mm in sorted(rows):
+            if s == station:
+                have = level + mm / 1000 * 1000 * 0.3
+                level = min(20.0, have)
+                assert got[s, day] == (pytest.approx(max(0.0, have - 20.0)), pytest.approx(level))
+
+
+def test_rain_files(spark, tmp_path):
+    (tmp_path / "rain.json").write_text('{"20240101": 1.5, "20240102": "x", "20240103": -999}')
+    assert {(r["day"].day, r["rain_mm"]) for r in readers.read_rain(spark, str(tmp_path)).collect()} == {(1, 1.5), (2, None), (3, -999.0)}
