@@ -248,7 +248,7 @@ def with_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
     An end that very many pairs have in common is salted.
     """
     each = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("cls")) for side in ("y", "x")]))
-    counts = cut(pairs.select(each.alias("e")).groupBy("e.side", "e.cls").agg(F.count(F.lit(1)).alias("n__")))
+    counts = cut(pairs.select(each.alias("e")).groupBy("e.side", "e.cls").agg(F.count(F.lit(1)).alias("n__")), 2 * pairs.count())
     both = pairs
     for side in ("y", "x"):
         named = values.select(F.col("cls").alias(side), *[F.col(c).alias(side + c) for c in values.columns if c != "cls"])
@@ -384,12 +384,13 @@ def cross_pairs(buckets: DataFrame, sketches: DataFrame, found: DataFrame, rank:
     pair of blocks is a group of its own, so a task holds two blocks at a time. See `block_pairs` for the rank.
     """
     own = found.select(F.col("node").alias("cls"), "component")
-    named = cut(buckets.join(own, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    rows = buckets.count()
+    named = cut(buckets.join(own, "cls", "left").withColumn("component", F.coalesce("component", "cls")), rows)
     apart = F.min("component") != F.max("component")
-    open_ones = cut(named.groupBy("key").agg(apart.alias("apart"), F.count(F.lit(1)).alias("n__"), F.sum("size").alias("shingles__")).where("apart").drop("apart"))
-    rows = salted_join(named, open_ones, "key", open_ones.select("key", "n__")).join(sketches.drop("size"), "cls")
+    open_ones = cut(named.groupBy("key").agg(apart.alias("apart"), F.count(F.lit(1)).alias("n__"), F.sum("size").alias("shingles__")).where("apart").drop("apart"), rows)
+    met = salted_join(named, open_ones, "key", open_ones.select("key", "n__")).join(sketches.drop("size"), "cls")
     blocks = F.greatest(F.ceil(F.col("n__") / BLOCK_ROWS), F.ceil(F.col("shingles__") / BLOCK_SHINGLES)).cast("int")
-    split = rows.withColumn("blocks__", blocks).withColumn("block__", F.pmod(F.xxhash64("cls"), F.col("blocks__")).cast("int"))
+    split = met.withColumn("blocks__", blocks).withColumn("block__", F.pmod(F.xxhash64("cls"), F.col("blocks__")).cast("int"))
     paired = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks__") - 1)))
     dealt = paired.withColumns({"low": F.least("block__", "other"), "high": F.greatest("block__", "other")}).select("key", "low", "high", "cls", "component", "size", "block__", "sketch")
     sorted_rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "component", "cls")
@@ -411,16 +412,17 @@ def jaccard_rows(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     found = cut(met.where("pivot < last").select("key", "cls", "pivot").distinct())
     own = of_classes(sized.select("id__", "digest__", F.col("n_shingles").alias("size"), F.col("sketch__").alias("sketch")), names.join(found.select("cls").distinct(), "cls", "left_semi"), "size", "sketch")
     sketches = cut(own)
-    buckets = found.select("key", "cls").join(sketches.select("cls", "size"), "cls")
-    stars = cut(found.where("cls > pivot").select(F.col("pivot").alias("x"), F.col("cls").alias("y")).distinct())
+    n_rows = found.count()
+    buckets = cut(found.select("key", "cls").join(sketches.select("cls", "size"), "cls"), n_rows)
+    stars = cut(found.where("cls > pivot").select(F.col("pivot").alias("x"), F.col("cls").alias("y")).distinct(), n_rows)
     tested = cut(near_pairs(stars, sketches))
     labels = components(verified(tested, docs, names))
     for rank in ROUNDS:
         given, counts = cross_pairs(buckets, sketches, labels, rank)
         given = cut(given)
-        left = cut(given.where("key IS NOT NULL").select("key").distinct())
-        buckets = cut(salted_join(buckets, left, "key", counts.join(left, "key")))
-        more = cut(given.where("x IS NOT NULL").select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
+        left = cut(given.where("key IS NOT NULL").select("key").distinct(), n_rows)
+        buckets = cut(salted_join(buckets, left, "key", counts.join(left, "key")), n_rows)
+        more = cut(given.where("x IS NOT NULL").select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"), given.count())
         if not more.isEmpty():
             tested, new = tested.unionByName(more), verified(more, docs, names)
             # the components so far stand for the edges they came from
