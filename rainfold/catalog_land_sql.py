@@ -78,8 +78,8 @@ raw AS (
   SELECT k, TRUE, TRUE, 4 + 10 / sqrt(2.0::DOUBLE), ox, oy, unnest([{{'ax': 16.0::DOUBLE, 'ay': 16.0::DOUBLE, 'bx': 48.0::DOUBLE, 'b_y': 16.0::DOUBLE}}, {{'ax': 48.0::DOUBLE, 'ay': 16.0::DOUBLE, 'bx': 48.0::DOUBLE, 'b_y': 64.0::DOUBLE}}, {{'ax': 48.0::DOUBLE, 'ay': 64.0::DOUBLE, 'bx': 16.0::DOUBLE, 'b_y': 16.0::DOUBLE}}]) FROM rel WHERE e IS NULL AND k % 3 = 0
   UNION ALL
   SELECT k, FALSE, FALSE, 4 + 10 / sqrt(2.0::DOUBLE) + 3, ox, oy, unnest([{{'ax': 0.0::DOUBLE, 'ay': 0.0::DOUBLE, 'bx': w, 'b_y': 0.0::DOUBLE}}, {{'ax': w, 'ay': 0.0::DOUBLE, 'bx': w, 'b_y': h}}]) FROM rel WHERE k % 4 = 0),
-seg AS (SELECT k, lake, isle, reach, ox + s.ax AS ax, oy + s.ay AS ay, ox + s.bx AS bx, oy + s.b_y AS b_y FROM raw),
-t AS (SELECT c.row, c.col, s.*, c.col * 10.0::DOUBLE AS x, c.row * 10.0::DOUBLE AS y, greatest(0, least(1, ((c.col * 10 - ax) * (bx - ax) + (c.row * 10 - ay) * (b_y - ay)) / ((bx - ax) ** 2 + (b_y - ay) ** 2))) AS p FROM cells c JOIN seg s ON abs(c.col * 10 - ax) < 200 AND abs(c.row * 10 - ay) < 300),
+seg AS (SELECT k, lake, isle, reach, ox, oy, ox + s.ax AS ax, oy + s.ay AS ay, ox + s.bx AS bx, oy + s.b_y AS b_y FROM raw),
+t AS (SELECT c.row, c.col, s.*, c.col * 10.0::DOUBLE AS x, c.row * 10.0::DOUBLE AS y, greatest(0, least(1, ((c.col * 10 - ax) * (bx - ax) + (c.row * 10 - ay) * (b_y - ay)) / ((bx - ax) ** 2 + (b_y - ay) ** 2))) AS p FROM cells c JOIN seg s ON abs(c.col * 10 - s.ox) < 300 AND abs(c.row * 10 - s.oy) < 300),
 d AS (SELECT row, col, k, lake, isle, any_value(reach) AS reach, min(sqrt((x - ax - p * (bx - ax)) ** 2 + (y - ay - p * (b_y - ay)) ** 2)) AS dist, sum(CASE WHEN (ay > y) <> (b_y > y) AND x < ax + (y - ay) / (b_y - ay) * (bx - ax) THEN 1 ELSE 0 END) % 2 = 1 AS within FROM t GROUP BY row, col, k, lake, isle)
 SELECT row, col FROM d GROUP BY row, col, k, lake HAVING min(dist - reach) <= 0 OR (lake AND coalesce(bool_or(within) FILTER (NOT isle), FALSE) AND NOT coalesce(bool_or(within) FILTER (isle), FALSE))"""
 MAP_WATER = f"SELECT DISTINCT row, col FROM ({MAP_WATER})"
