@@ -32,6 +32,12 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return os.path.join(shared_folder(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that `new_path` named and that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Narrow rows that a task of an iteration's small table holds at least.
 TASK_ROWS = 100_000
 
