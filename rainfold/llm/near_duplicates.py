@@ -224,6 +224,12 @@ def bloom_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.ravel()
 
 
+def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be in the filter; of those in it all are."""
+    at = _bloom_places(ids)
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).reshape(3, -1).all(axis=0)
+
+
 def exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, members BINARY) of the classes in `wanted` (cls, rep, digest__)."""
     asked = F.coalesce("rep", F.lit(NO_ID))
@@ -232,9 +238,7 @@ def exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = Hashes(), np.frombuffer(bits.value, np.uint8)
         for b in slices(batches, ["text__"], 512, 2 << 20):
-            at = _bloom_places(b.column("id__").fill_null(NO_ID).to_numpy())
-            hit = ((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).reshape(3, -1).all(axis=0)
-            b = b.filter(pa.array(hit))
+            b = b.filter(pa.array(may_hold(known, b.column("id__").fill_null(NO_ID).to_numpy())))
             if b.num_rows:
                 sets = [shingles(t, hashes) for t in b.column("text__").to_pylist()]
                 yield batch_of(b, ["id__"], digest__=pa.array(map(_digest, sets), pa.binary()), members=pa.array([s.tobytes() for s in sets], pa.binary()))

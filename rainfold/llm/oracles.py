@@ -56,5 +56,71 @@ FROM checked GROUP BY conv_id
 """
 
 
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Each round as two more tables: assignments to its codebooks, and the next codebooks."""
+    made = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+cells AS MATERIALIZED (SELECT rn, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+book0 AS MATERIALIZED (SELECT p, rn - 1 AS e, x AS c FROM cells WHERE rn <= {entries})"""]
+    for n in range(rounds + 1):
+        made.append(f"""far{n} AS MATERIALIZED (
+  SELECT rn, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT rn, c.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cells c JOIN book{n} b ON c.p = b.p) GROUP BY rn, p)""")
+        if n < rounds:
+            made.append(f"""book{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % k) + k) % k) // k ORDER BY i) AS c FROM (
+      SELECT p, e, i, sum(x[i]) AS s, count(*)::HUGEINT AS k FROM (SELECT f.p, f.e, x, unnest(range(1, len(x) + 1)) AS i FROM far{n} f JOIN cells c ON c.rn = f.rn AND c.p = f.p) GROUP BY p, e, i)
+    GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH {", ".join(made)},
+coded AS (SELECT rn, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM far{rounds} GROUP BY rn)
+SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (rn)
+"""
+
+
+WINNOWING = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+found AS (
+  SELECT t.rn, t.i, t.n, x.item_id FROM (
+    SELECT rn, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM (SELECT rn, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM texts, lengths WHERE len(w) >= n)) t
+  JOIN windows x ON x.n = t.n AND x.s = t.s),
+hit AS (SELECT rn, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT rn, unnest(range(i, i + n)) AS q FROM (SELECT DISTINCT rn, i, n FROM found)) GROUP BY rn),
+named AS (SELECT rn, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id COLLATE "C") AS ids FROM (SELECT DISTINCT rn, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (rn) LEFT JOIN named USING (rn)
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) t(k) WHERE len(w) >= k) GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::HUGEINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+frequent AS MATERIALIZED (SELECT lang, k, phrase, a FROM grams WHERE a >= 100),
+cuts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM frequent WHERE k > 1),
+scores AS (
+  SELECT u.lang, u.k, u.phrase, u.a, u.c, l.a AS l, r.a AS r, n, (1000 * u.a * n) // (l.a * r.a) AS score FROM cuts u JOIN totals t ON t.lang = u.lang
+  JOIN frequent l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1 : u.c], ' ') JOIN frequent r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[u.c + 1 : u.k], ' ')),
+worst AS (SELECT lang, k, phrase, a, n, min(score) AS score, arg_min(l, (score, c)) AS l, arg_min(r, (score, c)) AS r FROM scores GROUP BY lang, k, phrase, a, n),
+free AS (
+  SELECT * FROM worst s WHERE NOT EXISTS (SELECT 1 FROM frequent x WHERE x.lang = s.lang AND x.k > s.k AND 100 * x.a >= 100 * s.a AND contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM free)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_threshold_topk": TOP_K, "op6_mix_sources": MIX, "op7_chat_format": CHAT}
+    return {"op5_threshold_topk": TOP_K, "op6_mix_sources": MIX, "op7_chat_format": CHAT, "op11_vector_codes": vector_codes(), "op12_winnowing": WINNOWING, "op13_collocations": COLLOCATIONS}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainfold.llm import audio, bpe, chat, host_quality, language, mixing, near_duplicates, sharding, token_counts, topk
+from rainfold.llm import audio, bpe, chat, decontaminate, host_quality, language, mixing, near_duplicates, phrases, sharding, token_counts, topk, vector_codes
 from rainfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,4 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": lambda s, d: token_counts.token_count_report(table(s, d, "documents")),
         "op9_host_quality": lambda s, d: host_quality.quality_report(table(s, d, "documents"), table(s, d, "labels")),
         "op10_jaccard_join": lambda s, d: near_duplicates.component_report(table(s, d, "documents")),
+        "op11_vector_codes": lambda s, d: vector_codes.code_report(table(s, d, "embeddings")),
+        "op12_winnowing": lambda s, d: decontaminate.contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op13_collocations": lambda s, d: phrases.collocations(table(s, d, "documents")),
     }
