@@ -10,7 +10,8 @@ Items of n < `window` words are one window of n words; for each such n that occu
 
 Shuffles. Items' hashes are broadcast if there are at most `BROADCAST_HASHES` of them (8 bytes each), so texts meet them without a
 shuffle; else both sides are shuffled by hash, and the adaptive planner splits hot hashes. Only texts with a match are then asked
-for the words about it. Items that share a passage meet a text once, as one context with a set of items. Equal texts are told by a
+for the words about it: the matches are a written table, broadcast up to `BROADCAST_MARKS` of them, else joined by digests of which
+hot ones are salted. Items that share a passage meet a text once, as one context with a set of items. Equal texts are told by a
 digest of their words, so copies of a text are matched as one.
 
 Memory: a text's words and hashes are arrays of its row; of a text's matches no more come together than it has words.
@@ -26,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.llm.common import cut
+from rainfold.operators.graph import salted_join
 
 WINDOW = 10
 #: Hashes of items up to which they are broadcast, 16 MB of numbers.
 BROADCAST_HASHES = 2_000_000
+#: Matches, or hit texts and their items, up to which they are broadcast, some 30 bytes each.
+BROADCAST_MARKS = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -122,6 +126,15 @@ def documents_with_words(docs: DataFrame) -> DataFrame:
     return cut(made.select("doc_id", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"), n.cast("long").alias("n_words"), "norm"))
 
 
+def by_digest(texts: DataFrame, values: DataFrame, sized: str, how: str = "inner") -> DataFrame:
+    """Texts joined with a written table of one row a digest, of which the array `sized` is the large column."""
+    rows, total = values.agg(F.count(F.lit(1)), F.sum(F.size(sized))).first()
+    if rows + (total or 0) <= BROADCAST_MARKS:
+        return texts.join(F.broadcast(values), "digest", how)
+    copies = cut(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n__")).join(values.select("digest"), "digest", "left_semi"))
+    return salted_join(texts, values, "digest", copies, how)
+
+
 def hits(texts: DataFrame, contexts: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(digest, first, past, items): spans of whole windows in texts (digest, norm), and the ids of items that hold the span."""
     lengths = [r["n"] for r in contexts.select("n").distinct().orderBy("n").collect()]  # at most `window`
@@ -130,8 +143,9 @@ def hits(texts: DataFrame, contexts: DataFrame, broadcast_hashes: int = BROADCAS
     hashes = contexts.select("h").distinct()
     few = contexts.count() <= broadcast_hashes
     met = marks.join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
-    matched = met.groupBy("digest").agg(F.collect_set("m").alias("marks"))
-    about = some.join(matched, "digest").select("digest", "words", F.explode("marks").alias("m"))
+    matched = cut(met.groupBy("digest").agg(F.collect_set("m").alias("marks")))
+    about = by_digest(texts.select("digest", "norm"), matched, "marks").select("digest", words("norm").alias("words"), "marks")
+    about = exploded(about, "digest", "words")
     found = about.select("digest", F.col("m.h").alias("h"), F.col("m.n").alias("n"), F.col("m.p").alias("p"), context(F.col("m.n"), F.col("m.p")).alias("c"))
     found = found.select("digest", "h", "n", "p", F.col("c.before").alias("before__"), F.col("c.gram").alias("gram__"), F.col("c.after").alias("after__"))
     both = found.join(F.broadcast(contexts) if few else contexts, ["h", "n"]).where(F.col("gram__") == F.col("gram"))
@@ -151,7 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
     spans = hits(texts, contexts, broadcast_hashes)
     each = spans.groupBy("digest").agg(F.collect_set(F.struct("first", "past")).alias("spans"), F.collect_set("items").alias("items"))
     found = each.select("digest", covered(F.col("spans")).alias("n_hit"), F.array_sort(F.array_distinct(F.transform(F.flatten("items"), lambda x: x.cast("string")))).alias("items"))
-    out = texts.select("doc_id", "digest", "n_words").join(found, "digest", "left")
+    out = by_digest(texts.select("doc_id", "digest", "n_words"), cut(found), "items", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
