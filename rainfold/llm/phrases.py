@@ -28,27 +28,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.llm.common import cut, in_batches, slices
-from rainfold.llm.near_duplicates import Hashes, bloom_filter, may_hold, mixed
+from rainfold.llm.near_duplicates import bloom_filter, may_hold, mixed
 
 #: Words that a task counts at a time, and groups that a language's phrases are ranked in at first.
-BLOCK, RANK_GROUPS = 2_000_000, 64
+BLOCK, RANK_GROUPS = 1_000_000, 64
 _UPPER, _BREAKS = bytes(range(65, 91)), b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _BREAKS + b"\t", _UPPER.lower() + b"." * len(_BREAKS) + b" ")
 
-class WordHashes(Hashes):
-    """Hashes of words, of which none is 0; that is the end of a piece."""
+class Block:
+    """Texts as numbers: each word has one by its first place among the distinct words, and 0 ends a piece."""
 
-    def __missing__(self, word: bytes) -> int:
-        got = 0 if word == b"." else super().__missing__(word) or 1
-        self[word] = got
-        return got
+    def __init__(self) -> None:
+        self.names: dict[bytes, int] = {b".": 0}
+        self.langs: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.tongues: list[int] = []
+        self.size = 0
 
+    def add(self, lang: str, words: list[bytes]) -> None:
+        self.parts.append(np.fromiter((self.names.setdefault(w, len(self.names)) for w in words), np.int32, len(words)))
+        self.tongues.append(self.langs.setdefault(lang, len(self.langs)))
+        self.size += len(words)
 
-Block = list[tuple[str, list[bytes]]]
+    def ids(self) -> np.ndarray:
+        return np.concatenate(self.parts).astype(np.int64)
+
+    def tongue(self) -> np.ndarray:
+        """The language's number at each place."""
+        return np.repeat(np.array(self.tongues, np.int64), [len(p) for p in self.parts])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,15 +69,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    block, size = [], 0
+    block = Block()
     for b in slices(batches, ["text__"], 512, 2 << 20):
         for lang, text in zip(b.column("lang__").to_pylist(), b.column("text__").to_pylist(), strict=True):
-            block.append((lang, words_of(text)))
-            size += len(block[-1][1])
-            if size >= BLOCK:
+            block.add(lang, words_of(text))
+            if block.size >= BLOCK:
                 yield block
-                block, size = [], 0
-    if block:
+                block = Block()
+    if block.size:
         yield block
 
 
@@ -73,24 +84,22 @@ def _texts(docs: DataFrame) -> DataFrame:
     return in_batches(docs).select(F.coalesce("lang", F.lit("und")).alias("lang__"), F.col("text").alias("text__"))
 
 
-def _pairs(block: Block, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At each place a hash of the language, the word and the next one; which places have a word; which have a pair."""
-    lengths = [len(words) for _, words in block]
-    each = np.fromiter((hashes[w] for _, words in block for w in words), np.uint64, sum(lengths))
-    tongue = np.repeat(np.array([hashes[b" " + lang.encode()] for lang, _ in block], np.uint64), lengths)
-    word = each != 0
-    pair = np.zeros(len(each), bool)
-    pair[:-1] = word[:-1] & word[1:]
-    return mixed(mixed(each + tongue) + np.roll(each, -1)), word, pair
+def _pairs(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """At each place a hash of the language, the word and the next one, and whether these are two words of a piece."""
+    ids = block.ids()
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, block.names), np.uint64, len(block.names))[ids]
+    tongue = np.fromiter((xxhash.xxh3_64_intdigest(lang) for lang in block.langs), np.uint64, len(block.langs))[block.tongue()]
+    pair = np.zeros(len(ids), bool)
+    pair[:-1] = (ids[:-1] > 0) & (ids[1:] > 0)
+    return mixed(mixed(each + tongue) + np.roll(each, -1)), pair
 
 
 def pair_counts(docs: DataFrame) -> DataFrame:
     """(pair BIGINT, n BIGINT): occurrences of neighbours by a hash of language and words."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for block in _blocks(batches):
-            keys, _, pair = _pairs(block, hashes)
+            keys, pair = _pairs(block)
             found, n = np.unique(keys[pair], return_counts=True)
             for at in range(0, len(found), 1 << 16):
                 yield pa.RecordBatch.from_pydict({"pair": pa.array(found[at : at + (1 << 16)].view(np.int64)), "n": pa.array(n[at : at + (1 << 16)].astype(np.int32))})
@@ -103,16 +112,11 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True, return_counts=True)
 
 
-def _grams(block: Block, word: np.ndarray, pair: np.ndarray, max_words: int) -> Iterator[tuple[list[str], list[bytes], np.ndarray]]:
+def _grams(block: Block, pair: np.ndarray, max_words: int) -> Iterator[tuple[list[str], list[bytes], np.ndarray]]:
     """(lang, phrase, count) of the block's n-grams of each length, of those only whose neighbours are all in `pair`."""
-    names: dict[bytes, int] = {}
-    langs: dict[str, int] = {}
-    lengths = [len(words) for _, words in block]
-    each = np.fromiter((names.setdefault(w, len(names)) for _, words in block for w in words), np.int64, sum(lengths))
-    tongue = np.repeat(np.array([langs.setdefault(lang, len(langs)) for lang, _ in block], np.int64), lengths)
-    spelled, spoken = list(names), list(langs)
-    at = np.flatnonzero(word)
-    found, place, n = _numbered(tongue[at] * len(spelled) + each[at])
+    spelled, spoken, each = list(block.names), list(block.langs), block.ids()
+    at = np.flatnonzero(each)
+    found, place, n = _numbered(block.tongue()[at] * len(spelled) + each[at])
     own = [spoken[k // len(spelled)] for k in found.tolist()]
     phrases = [spelled[k % len(spelled)] for k in found.tolist()]
     yield own, phrases, n
@@ -137,14 +141,13 @@ def gram_counts(docs: DataFrame, max_words: int = 5, least: int = 1) -> DataFram
     known = None if frequent is None else docs.sparkSession.sparkContext.broadcast(bloom_filter(frequent, "pair").tobytes())
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         bits = None if known is None else np.frombuffer(known.value, np.uint8)
         for block in _blocks(batches):
-            keys, word, pair = _pairs(block, hashes)
+            keys, pair = _pairs(block)
             if bits is not None:
                 some = np.flatnonzero(pair)
                 pair[some] = may_hold(bits, keys[some])
-            for size, (own, phrases, n) in enumerate(_grams(block, word, pair, max_words), 1):
+            for size, (own, phrases, n) in enumerate(_grams(block, pair, max_words), 1):
                 for i in range(0, len(n), 1 << 15):
                     part = slice(i, i + (1 << 15))
                     yield pa.RecordBatch.from_pydict({"lang": pa.array(own[part], pa.string()), "phrase": pa.array(phrases[part], pa.binary()).cast(pa.string()), "words": pa.array(np.full(len(n[part]), size, np.int32)), "n": pa.array(n[part].astype(np.int64))})
