@@ -1,16 +1,22 @@
 """Whether a pond fits its land and keeps clear of mapped water, and how much of a catchment it leaves to run off.
 
-A pond's rectangle is looked at in its own frame, where it is a box about the origin: rings and lines are turned instead, and the
-tests on boxes of `functions.geometry` serve for any bearing.
+A pond's rectangle is looked at in its own frame, where it is a box about the origin: edges of rings and lines are turned instead, and
+the tests on boxes of `overlay` serve for any bearing. Ponds meet land and water in squares.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.functions import geometry, parsing
-from rainfold.operators.surfaces import on_squares, over_squares, with_holes
+from rainfold.functions import parsing
+from rainfold.operators import overlay
+from rainfold.operators.surfaces import held_area, with_holes
+from rainfold.plans.store import cut
 
 #: Limits of a design's inputs: column, least and most value (fixed values of the planning tool).
 LIMITS = [("length_m", 5.0, 500.0), ("width_m", 5.0, 500.0), ("depth_m", 0.5, 3.0), ("bearing", 0.0, 360.0), ("side_slope", 1.0, 4.0), ("freeboard_m", 0.1, 1.0), ("margin_m", 1.0, 30.0)]
@@ -34,24 +40,36 @@ def is_local(lon: Column, lat: Column, west: Column, south: Column, east: Column
     return F.coalesce((south >= -80) & (north <= 84) & (far <= 3), F.lit(False))
 
 
-def turned(ring: Column, x: Column, y: Column, bearing: Column) -> Column:
-    """A ring or line in the frame of a rectangle about (x, y): x across, y along its length."""
-    c, s = F.cos(F.radians(bearing)), F.sin(F.radians(bearing))
-    return F.transform(ring, lambda p: F.struct(((p["x"] - x) * c - (p["y"] - y) * s).alias("x"), ((p["x"] - x) * s + (p["y"] - y) * c).alias("y")))
+def turned(edges: np.ndarray, x: np.ndarray, y: np.ndarray, bearing: np.ndarray) -> np.ndarray:
+    """(n, m, 4): m edges in the frames of n rectangles about (x, y): x across, y along their length."""
+    c, s = (f(np.radians(bearing))[:, None, None] for f in (np.cos, np.sin))
+    u, v = edges[None, :, 0::2] - x[:, None, None], edges[None, :, 1::2] - y[:, None, None]
+    return np.stack([u * c - v * s, u * s + v * c], axis=3).reshape(len(x), len(edges), 4)
+
+
+def crosses_box(edges: np.ndarray, half_w: np.ndarray, half_l: np.ndarray) -> np.ndarray:
+    return overlay.crosses(edges, -half_w, -half_l, half_w, half_l)
 
 
-def box_distance(line: Column, half_w: Column, half_l: Column) -> Column:
-    """Distance of a line from a box about the origin, 0 where they meet."""
+def box_distance(edges: np.ndarray, half_w: np.ndarray, half_l: np.ndarray) -> np.ndarray:
+    """Distances of n boxes about the origin from their (n, m, 4) edges, 0 where they meet."""
+    beyond = [np.maximum(np.abs(edges[:, :, k::2]) - half[:, None, None], 0.0) for k, half in ((0, half_w), (1, half_l))]
+    out = np.hypot(*beyond).min(axis=(1, 2), initial=np.inf)
+    for a in (-1, 1):
+        for b in (-1, 1):
+            out = np.minimum(out, overlay.distance(edges, a * half_w, b * half_l))
+    return np.where(crosses_box(edges, half_w, half_l), 0.0, out)
 
-    def to_box(p: Column) -> Column:
-        return F.hypot(F.greatest(F.abs(p["x"]) - half_w, F.lit(0.0)), F.greatest(F.abs(p["y"]) - half_l, F.lit(0.0)))
 
-    corners = [(half_w * a, half_l * b) for a in (-1, 1) for b in (-1, 1)]
-    apart = F.array_min(F.transform(geometry.segments(line), lambda s: F.least(to_box(s["a"]), to_box(s["b"]), *[geometry.segment_distance(u, v, s) for u, v in corners])))
-    return F.when(geometry.crosses_box(line, -half_w, -half_l, half_w, half_l), 0.0).otherwise(apart)
+def around(designs: DataFrame, side: float) -> DataFrame:
+    """designs + (bx, by): a row for each square that the circle about a design's rectangle overlaps."""
+    far = F.hypot("half_w", "half_l")
+    for axis, name in (("x", "bx"), ("y", "by")):
+        designs = designs.withColumn(name, F.explode(F.sequence(F.floor((F.col(axis) - far) / side).cast("long"), F.floor((F.col(axis) + far) / side).cast("long"))))
+    return designs
 
 
-def pond_feasibility(designs: DataFrame, lands: DataFrame, water: DataFrame, buffer_m: float = 30.0, side: float = 256.0) -> DataFrame:
+def pond_feasibility(designs: DataFrame, lands: DataFrame, water: DataFrame, buffer_m: float = 30.0, side: float = 64.0) -> DataFrame:
     """(survey, design_id, error, within_selected_land, avoids_mapped_water, screening_status) of every design.
 
     Designs are (survey, design_id, land_id, x, y, length_m, width_m, depth_m, bearing, side_slope, freeboard_m, margin_m, water_known),
@@ -60,27 +78,49 @@ def pond_feasibility(designs: DataFrame, lands: DataFrame, water: DataFrame, buf
     does not fit the land, or has no land, is not asked about water. A design with an error has nulls and the status `invalid`.
     """
     half_w, half_l = F.col("width_m") / 2 + F.col("margin_m"), F.col("length_m") / 2 + F.col("margin_m")
-    frame = (F.col("x"), F.col("y"), F.col("bearing"))
-    box = (-F.col("half_w"), -F.col("half_l"), F.col("half_w"), F.col("half_l"))
+    frame = ["x", "y", "bearing", "half_w", "half_l"]
     sized = designs.withColumns({"half_w": half_w, "half_l": half_l, "error": design_error(designs.columns)})
-    placed = sized.join(with_holes(lands).select("survey", "land_id", "ring", "holes"), ["survey", "land_id"], "left")
-    clear = F.forall("holes", lambda h: ~geometry.covers_point(turned(h, *frame), F.lit(0.0), F.lit(0.0)) & ~geometry.crosses_box(turned(h, *frame), *box))
-    inside = F.coalesce(geometry.covers_box(turned(F.col("ring"), *frame), *box) & clear, F.lit(False))
-    fitted = placed.withColumn("within_selected_land", F.when(F.col("error").isNull(), inside)).drop("ring", "holes")
 
-    asked = fitted.where(F.col("within_selected_land") & F.col("water_known"))
+    names, ids = ["design_id", *frame], dict(designs.dtypes)["design_id"]
+    ask = [*names, "bx", "by"]
+
+    def home(v: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the square is the one that a design's middle lies in."""
+        return (np.floor(x / side) == v["bx"]) & (np.floor(y / side) == v["by"])
+
+    def decided(v: dict, near: overlay.Parts, far: float, exact: Callable[..., np.ndarray]) -> np.ndarray:
+        """Where edges come within `far` of a rectangle: by the circles in and about it, exactly only between these."""
+        x, y, bearing, half_w, half_l = (np.array(v[c]) for c in frame)
+        apart = np.min([overlay.distance(e, x, y) for e in near], axis=0) - far
+        out = apart < np.minimum(half_w, half_l) * (1 - 1e-9)
+        at = np.flatnonzero(~out & (apart <= np.hypot(half_w, half_l) * (1 + 1e-9)))
+        for edges in near if len(at) else ():
+            out[at] |= exact(turned(edges, x[at], y[at], bearing[at]), half_w[at], half_l[at])
+        return out
+
+    def on_land(v: dict, _: float, near: overlay.Parts, band: overlay.Parts) -> dict:
+        x, y = np.array(v["x"]), np.array(v["y"])
+        crossed = decided(v, near, 0.0, crosses_box)
+        return {"design_id": np.array(v["design_id"]), "crossed": crossed, "covered": home(v, x, y) & overlay.inside(near, band, x, y)}
+
+    fine = around(sized.where("error IS NULL").select("survey", "land_id", *names), side)
+    land = overlay.pieces(with_holes(lands), ["survey", "land_id"], side, "ring")
+    met = overlay.met(overlay.grouped(fine, ["survey", "land_id", "bx", "by"], names), land, ["survey", "land_id", "bx", "by"])
+    found = overlay.refined(met, ["survey"], ask, on_land, f"design_id {ids}, crossed boolean, covered boolean")
+    within = found.groupBy("survey", "design_id").agg((F.bool_or("covered") & ~F.bool_or("crossed")).alias("within__"))
+    fitted = cut(sized.join(within, ["survey", "design_id"], "left").withColumn("within_selected_land", F.when(F.col("error").isNull(), F.coalesce("within__", F.lit(False)))).drop("within__"))
+
+    def in_water(v: dict, far: float, near: overlay.Parts, band: overlay.Parts) -> dict | None:
+        x, y = np.array(v["x"]), np.array(v["y"])
+        wet = decided(v, near, far, lambda edges, w, l: box_distance(edges, w, l) <= far)
+        wet |= home(v, x, y) & overlay.inside(near, band, x, y)
+        return {"design_id": np.array(v["design_id"])[wet]} if wet.any() else None
+
+    asked = around(fitted.where(F.col("within_selected_land") & F.col("water_known")).select("survey", *names), side)
     reach = F.lit(buffer_m) + F.when(F.col("area"), 0.0).otherwise(parsing.width_metres(F.col("width")) / 2)
-    spread = over_squares(with_holes(water).withColumn("reach", reach), "line", side, F.col("reach")).select("survey", "bx", "by", "line", "holes", "area", "reach")
-    round_ = F.hypot("half_w", "half_l")
-    corner = F.array(*[F.struct((F.col("x") + a * round_).alias("x"), (F.col("y") + a * round_).alias("y")) for a in (-1, 1)])
-    around = over_squares(asked.withColumn("corner", corner), "corner", side).drop("corner")
-    both = around.join(spread, ["survey", "bx", "by"])
-    line = turned(F.col("line"), *frame)
-    near = box_distance(line, F.col("half_w"), F.col("half_l")) <= F.col("reach")
-    shore = F.exists("holes", lambda h: box_distance(turned(h, *frame), F.col("half_w"), F.col("half_l")) <= F.col("reach"))
-    centre = (F.lit(0.0), F.lit(0.0))
-    within = F.col("area") & geometry.covers_point(line, *centre) & ~F.exists("holes", lambda h: geometry.covers_point(turned(h, *frame), *centre))
-    wet = both.where(near | shore | within).select("survey", "design_id", F.lit(True).alias("wet")).distinct()
+    of = overlay.pieces(with_holes(water), ["survey"], side, "line", reach, F.col("area"))
+    met = overlay.met(overlay.grouped(asked, ["survey", "bx", "by"], names), of, ["survey", "bx", "by"])
+    wet = overlay.refined(met, ["survey"], ask, in_water, f"design_id {ids}").distinct().withColumn("wet", F.lit(True))
     known = fitted.join(wet, ["survey", "design_id"], "left")
     avoids = F.when(F.col("within_selected_land") & F.col("water_known"), F.col("wet").isNull())
     status = (
@@ -104,9 +144,11 @@ def runoff_area(catchments: DataFrame, cells: DataFrame, designs: DataFrame, res
     corners = footprint_corners(F.col("x"), F.col("y"), F.col("length_m"), F.col("width_m"), F.col("bearing"), F.lit(0.0))
     rings = designs.withColumn("c__", corners).select("survey", "site", "design_id", F.concat("c__", F.slice("c__", 1, 1)).alias("ring"))
     placed = catchments.select("survey", "node", "site").join(cells.select("survey", "node", "x", "y"), ["survey", "node"])
-    near = on_squares(placed, side).join(over_squares(rings, "ring", side, half), ["survey", "site", "bx", "by"])
-    part = F.abs(geometry.signed_area(geometry.clip_ring(F.col("ring"), F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)))
-    covered = near.groupBy("survey", "site", "design_id").agg(F.sum(part).alias("covered_m2"))
+    of = overlay.pieces(rings, ["survey", "site", "design_id"], side, "ring", half)
+    squares = placed.select("survey", "site", F.floor(F.col("x") / side).cast("long").alias("bx"), F.floor(F.col("y") / side).cast("long").alias("by"), "x", "y")
+    met = overlay.met(overlay.grouped(squares, ["survey", "site", "bx", "by"], ["x", "y"]), of, ["survey", "site", "bx", "by"])
+    part = overlay.refined(met, ["survey", "site", "design_id"], ["x", "y"], lambda v, _, near, band: {"part": np.array([held_area(v["x"], v["y"], half, near, band)])}, "part double")
+    covered = part.groupBy("survey", "site", "design_id").agg(F.sum("part").alias("covered_m2"))
     whole = catchments.groupBy("survey", "site").agg((F.count(F.lit(1)) * (resolution * resolution)).alias("catchment_m2"))
     made = designs.select("survey", "site", "design_id").join(whole, ["survey", "site"]).join(covered, ["survey", "site", "design_id"], "left").withColumn("covered_m2", F.coalesce("covered_m2", F.lit(0.0)))
     return made.withColumn("runoff_area_m2", F.col("catchment_m2") - F.col("covered_m2"))

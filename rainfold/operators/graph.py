@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +111,118 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         now = cut(_with_least(large, _degrees(large, rows)).select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct(), rows)
     node = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return node.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Steps that a block of `rings` has about at most.
+RING_STEPS = 50_000
+
+
+def chains(block: pa.Table) -> pa.Table:
+    """(head, onward, nodes): the longest paths within a block of steps x -> y; onward is the step that a path leaves the block by, null for a ring."""
+    x, y = (block.column(c).combine_chunks() for c in ("x", "y"))
+    names = [repr(d) for d in x.to_pylist()]
+    number = {n: i for i, n in enumerate(names)}
+    onward = [number.get(repr(d), -1) for d in y.to_pylist()]
+    starts = [True] * len(names)
+    for i in onward:
+        if i >= 0:
+            starts[i] = False
+    order = [*(i for i, s in enumerate(starts) if s), *(i for i, s in enumerate(starts) if not s)]  # what is left after paths are rings
+    flat: list[int] = []
+    heads, lasts, ends, seen = [], [], [0], [False] * len(names)
+    for head in order:
+        if not seen[head]:
+            at = head
+            while at >= 0 and not seen[at]:
+                seen[at] = True
+                flat.append(at)
+                at = onward[at]
+            heads.append(head)
+            lasts.append(None if at == head else flat[-1])
+            ends.append(len(flat))
+    nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x.take(pa.array(flat, pa.int64())))
+    return pa.table({"head": x.take(pa.array(heads, pa.int64())), "onward": y.take(pa.array(lasts, pa.int64())), "nodes": nodes})
+
+
+def rings(step: DataFrame, keys: list[str], px: str, py: str) -> DataFrame:
+    """(nodes ARRAY): the closed rings of steps (x, y), each from its least node on; x and y are structs with the fields keys, px and py.
+
+    Two levels: steps are dealt by the place of x into blocks, and a task joins those of a block to paths. Rings within a block are done;
+    of others only one row for each path is left, whose order comes from components and doubling pointers.
+    """
+    at = step.select("x", "y", F.struct(*[F.col(f"x.{k}").alias(k) for k in keys]).alias("k__"), F.col(f"x.{px}").cast("double").alias("px__"), F.col(f"x.{py}").cast("double").alias("py__"))
+    blocks = F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(RING_STEPS))).cast("int")
+    extent = at.groupBy("k__").agg(*[f(p).alias(f"{n}{p}") for p in ("px__", "py__") for n, f in (("low", F.min), ("high", F.max))], blocks.alias("blocks__"))
+    dealt = at.join(extent.withColumnRenamed("k__", "of__"), F.col("k__") == F.col("of__"))
+    for p in ("px__", "py__"):
+        dealt = dealt.withColumn(f"b{p}", F.floor((F.col(p) - F.col(f"low{p}")) / F.greatest(F.col(f"high{p}") - F.col(f"low{p}"), F.lit(1e-12)) * F.col("blocks__") * 0.999999).cast("int"))
+    few = max(int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-step.count() // RING_STEPS))
+    group = F.when(F.col("blocks__") == 1, F.pmod(F.xxhash64("k__"), F.lit(few))).otherwise(F.xxhash64("k__", "bpx__", "bpy__"))  # small keys share blocks
+    kind = step.schema["x"].dataType.simpleString()
+    paths = cut(dealt.select(group.alias("group__"), "x", "y").groupBy("group__").applyInArrow(chains, f"head {kind}, onward {kind}, nodes array<{kind}>"))
+    whole = paths.where("onward IS NULL").select("nodes")
+    open_ = paths.where("onward IS NOT NULL")
+    if not open_.isEmpty():
+        links = open_.select(F.col("head").alias("x"), F.col("onward").alias("y"))
+        named = components(links).select("node", F.col("component").alias("ring"))
+        order = ring_order(cut(links.join(named, F.col("x") == F.col("node")).select("ring", "x", "y")), ["ring"], "x", "y")
+        parts = order.join(open_, F.col("node") == F.col("head")).groupBy("ring").agg(F.sort_array(F.collect_list(F.struct("place", "nodes"))).alias("parts"))
+        whole = whole.unionByName(parts.select(F.flatten("parts.nodes").alias("nodes")))
+    least = whole.select("nodes", F.array_position("nodes", F.array_min("nodes")).cast("int").alias("from__"))
+    return cut(least.select(F.concat(F.slice("nodes", F.col("from__"), F.size("nodes")), F.slice("nodes", F.lit(1), F.col("from__") - 1)).alias("nodes")))
+
+
+def labelled(block: pa.Table, diagonal: bool) -> pa.Table:
+    """The block's cells with the least cell of their connected part within the block."""
+    row, col = (block.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+    order = np.lexsort((col, row))
+    row, col = row[order], col[order]
+    start = np.ones(len(row), bool)  # runs of cells in a row
+    start[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
+    run = np.cumsum(start) - 1
+    first = np.flatnonzero(start)
+    last = np.append(first[1:], len(row)) - 1
+    up = list(range(len(first)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    rows, begin, end = row[first].tolist(), col[first].tolist(), col[last].tolist()
+    reach, below = int(diagonal), 0
+    for i, r in enumerate(rows):
+        while rows[below] < r - 1 or (rows[below] == r - 1 and end[below] < begin[i] - reach):
+            below += 1
+        k = below
+        while k < i and rows[k] == r - 1 and begin[k] <= end[i] + reach:
+            a, b = root(i), root(k)
+            up[max(a, b)] = min(a, b)
+            k += 1
+    least = first[np.array([root(i) for i in range(len(up))], int)][run] if len(row) else first
+    return block.take(pa.array(order)).append_column("crow", pa.array(row[least], pa.int64())).append_column("ccol", pa.array(col[least], pa.int64()))
+
+
+def grid_components(cells: DataFrame, diagonal: bool, side: int = 512) -> DataFrame:
+    """(survey, row, col, crow, ccol) of distinct cells (survey, row, col): the least cell of the part of the raster they lie in.
+
+    Two levels: a task labels a block of `side` by `side` cells; only pairs of labels across the borders of blocks go into a
+    search of components. Cells touch by their sides, with `diagonal` also at corners.
+    """
+    kind = dict(cells.dtypes)["survey"]
+    dealt = cells.select("survey", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    dealt = dealt.withColumns({"br__": F.floor(F.col("row") / side).cast("long"), "bc__": F.floor(F.col("col") / side).cast("long")})
+    local = cut(dealt.groupBy("survey", "br__", "bc__").applyInArrow(lambda t: labelled(t, diagonal), f"survey {kind}, row bigint, col bigint, br__ bigint, bc__ bigint, crow bigint, ccol bigint"))
+    label = F.struct("survey", "crow", "ccol")
+    rim = local.where(F.pmod("row", F.lit(side)).isin(0, side - 1) | F.pmod("col", F.lit(side)).isin(0, side - 1)).withColumn("label", label)
+    moves = [(0, 1), (1, 0), (1, 1), (1, -1)] if diagonal else [(0, 1), (1, 0)]
+    onward = F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in moves]))
+    asked = rim.select("survey", F.col("label").alias("x"), onward.alias("n")).select("survey", "x", "n.row", "n.col")
+    pairs = cut(asked.join(rim.select("survey", "row", "col", F.col("label").alias("y")), ["survey", "row", "col"]).where("x <> y").select("x", "y").distinct())
+    local = local.drop("br__", "bc__")
+    if pairs.isEmpty():
+        return local
+    joined = components(pairs).select(F.col("node.survey").alias("survey"), F.col("node.crow").alias("crow"), F.col("node.ccol").alias("ccol"), F.col("component.crow").alias("r__"), F.col("component.ccol").alias("c__"))
+    out = local.join(joined, ["survey", "crow", "ccol"], "left")
+    return out.select("survey", "row", "col", F.coalesce("r__", "crow").alias("crow"), F.coalesce("c__", "ccol").alias("ccol"))

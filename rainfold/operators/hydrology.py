@@ -212,12 +212,12 @@ def run_hydrology(cells: DataFrame, resolution: float, fill: bool = True) -> Dat
 def depressions(cells: DataFrame, least_fill: float = 1e-6) -> DataFrame:
     """cells (with z_filled) that were raised + component: the least cell number of their 8-connected group."""
     wet = with_bounds(cells).withColumn("wet", F.col("valid") & (F.col("z_filled") - F.col("z") > least_fill))
-    numbered = wet.withColumn("node", F.col("row").cast("long") * (F.col("last_c__") + 1) + F.col("col")).drop(*BOUNDS)
-    near = with_neighbours(numbered, "wet", "node").where("wet")
-    key = F.struct("survey", "node")
-    pairs = near.select(key.alias("x"), F.explode(F.filter("near", lambda n: F.coalesce(n["wet"], F.lit(False)) & (n["node"] < F.col("node")))).alias("n"), "survey").select("x", F.struct("survey", F.col("n.node").alias("node")).alias("y"))
-    joined = graph.components(pairs).select(F.col("node.survey").alias("survey"), F.col("node.node").alias("node"), F.col("component.node").alias("component"))
-    return near.drop("near").join(joined, ["survey", "node"], "left").withColumn("component", F.coalesce("component", "node"))
+    numbered = wet.withColumn("node", F.col("row").cast("long") * (F.col("last_c__") + 1) + F.col("col"))
+    some = cut(numbered.where("wet").withColumn("width__", F.col("last_c__") + 1).drop(*BOUNDS))
+    types = dict(some.dtypes)
+    parts = graph.grid_components(some, diagonal=True).select("survey", *[F.col(c).cast(types[c]).alias(c) for c in ("row", "col")], "crow", "ccol")
+    named = some.join(parts, ["survey", "row", "col"], "left")
+    return named.withColumn("component", F.col("crow") * F.col("width__") + F.col("ccol")).drop("crow", "ccol", "width__")
 
 
 def trace_catchments(cells: DataFrame, targets: DataFrame) -> DataFrame:

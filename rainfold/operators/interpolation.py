@@ -62,14 +62,15 @@ def weights(corners: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([1 - second - third, second, third], axis=1)
 
 
-def triangles(points: np.ndarray, at: np.ndarray, rounds: int = 500) -> np.ndarray:
+def triangles(points: np.ndarray, at: np.ndarray, greedy: int = 200) -> np.ndarray:
     """Positions (n, 3) of the Delaunay triangle of `points` about each place of `at`; -1 where there is none.
 
     Lifted to the paraboloid, the triangle about a place is the facet of the lower hull over it: the optimum of a linear
     program in three unknowns. All places take dual simplex steps together: the point furthest below the facet comes in,
     the corner that leaves keeps the place inside. Three far corners, lifted out of the way, start it. Places are moved by
     a billionth towards the middle, so none lies on an edge; which of the triangulations of cocircular points is
-    taken is open.
+    taken is open. Steps go on until no place moves. After `greedy` of them the first point below the facet comes in and of
+    corners that may leave the first does (Bland's rule), which cannot go round in circles, however degenerate the points are.
     """
     middle, scale = points.mean(axis=0), max(np.ptp(points, axis=0).max(), np.ptp(at, axis=0).max(), np.abs(at - points.mean(axis=0)).max(), 1e-12)
     p, q = (points - middle) / scale, (at - middle) / scale
@@ -80,7 +81,9 @@ def triangles(points: np.ndarray, at: np.ndarray, rounds: int = 500) -> np.ndarr
     lift[n:] = 1e7
     found = np.tile(np.arange(n, n + 3), (len(q), 1))
     open_, step = np.arange(len(q)), max(1, BLOCK // (n + 3))
-    for _ in range(rounds):
+    rounds = 0
+    while len(open_):
+        rounds += 1
         still = []
         for some in np.array_split(open_, max(1, -(-len(open_) // step))):
             corners, high = p[found[some]], lift[found[some]]
@@ -91,17 +94,18 @@ def triangles(points: np.ndarray, at: np.ndarray, rounds: int = 500) -> np.ndarr
             base = high[:, 0] - sx * corners[:, 0, 0] - sy * corners[:, 0, 1]
             gap = lift[None, :n] - sx[:, None] * p[None, :n, 0] - sy[:, None] * p[None, :n, 1] - base[:, None]
             gap[np.arange(len(some))[:, None], np.minimum(found[some], n - 1)] = np.where(found[some] < n, 0.0, gap[np.arange(len(some))[:, None], np.minimum(found[some], n - 1)])
-            least = gap.argmin(axis=1)
-            moves = gap[np.arange(len(some)), least] < -1e-12 * np.maximum(1.0, np.abs(base))
+            below = gap < -1e-12 * np.maximum(1.0, np.abs(base))[:, None]
+            least = gap.argmin(axis=1) if rounds <= greedy else below.argmax(axis=1)
+            moves = below[np.arange(len(some)), least]
             some, least, corners = some[moves], least[moves], corners[moves]
             if len(some):
                 come, here = weights(corners, p[least]), weights(corners, q[some])
                 ratio = np.where(come > 1e-14, here / np.where(come > 1e-14, come, 1.0), np.inf)
-                found[some, ratio.argmin(axis=1)] = least
+                tied = ratio <= ratio.min(axis=1, keepdims=True)
+                leaves = ratio.argmin(axis=1) if rounds <= greedy else np.where(tied, found[some], np.iinfo(np.int64).max).argmin(axis=1)
+                found[some, leaves] = least
                 still.append(some)
-        if not still:
-            break
-        open_ = np.concatenate(still)
+        open_ = np.concatenate(still) if still else np.empty(0, int)
     found[(found >= n).any(axis=1)] = -1
     return found
 

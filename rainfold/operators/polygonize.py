@@ -27,7 +27,7 @@ def faces(lines: DataFrame, keys: list[str]) -> DataFrame:
     """keys + (face, points, area, loose): what line work bounds, each face once, closed, the face on the left.
 
     Bounded faces have positive area, the outside of each connected part a negative one. From the end of a half-edge a
-    face goes on by the first way clockwise from where it came; the half-edges of a face are a component of that relation.
+    face goes on by the first way clockwise from where it came; see `graph.rings`.
     `loose` counts half-edges with the same face on either side: dead ends and bridges. Lines meet at their vertices.
     """
     edges = cut(half_edges(lines, keys))
@@ -44,8 +44,9 @@ def faces(lines: DataFrame, keys: list[str]) -> DataFrame:
         return F.struct(*[F.col(k) for k in keys], *[e.alias(c) for e, c in zip(ends, ENDS, strict=True)])
 
     pairs = cut(step.select(whole([F.col(c) for c in ENDS]).alias("x"), whole([F.col(f"n.{c}") for c in ENDS]).alias("y")))
-    of_face = cut(graph.components(pairs).select("node", F.col("component").alias("face")))
-    placed = cut(graph.ring_order(pairs.join(of_face, pairs["x"] == of_face["node"]).select("face", "x", "y"), ["face"], "x", "y"))
+    made = graph.rings(pairs, keys, "x0", "y0")
+    placed = made.select(F.get("nodes", F.lit(0)).alias("face"), F.posexplode("nodes").alias("place", "node"))
+    of_face = placed.select("node", "face")
     twin = F.struct(*[F.col(f"node.{k}").alias(k) for k in keys], *[F.col(f"node.{o}").alias(c) for c, o in zip(ENDS, ("x1", "y1", "x0", "y0"), strict=True)])
     beyond = of_face.select(F.col("node").alias("twin"), F.col("face").alias("beyond"))
     made = placed.withColumn("twin", twin).join(beyond, "twin").groupBy("face").agg(

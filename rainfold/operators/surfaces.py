@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.functions import geometry, parsing
+from rainfold.operators import overlay
 from rainfold.plans.store import cut
 
-
 HOLES = "array<array<struct<x:double,y:double>>>"
 
 
@@ -45,7 +46,7 @@ def outline_rings(edges: DataFrame, keys: tuple[str, ...] = ("survey",)) -> Data
     """keys + (ring, points, area): closed rings of outline edges, shells with positive area, holes with negative.
 
     Each edge points to the one that goes on from its end, turning right where four edges meet, so cells that touch at a corner stay
-    apart. The edges of a ring are a component of that relation; their order comes from doubling pointers along it.
+    apart. See `graph.rings`.
     """
     from rainfold.operators import graph
 
@@ -56,13 +57,10 @@ def outline_rings(edges: DataFrame, keys: tuple[str, ...] = ("survey",)) -> Data
     both = edges.join(nxt, [*same, F.col("x1") == F.col("nx0"), F.col("y1") == F.col("ny0")])
     follow = both.groupBy(*keys, *ends).agg(F.max_by(F.struct("nx0", "ny0", "nx1", "ny1"), turn).alias("n"))
     step = cut(follow.select(F.struct(*keys, *ends).alias("x"), F.struct(*keys, *[F.col(f"n.n{x}").alias(x) for x in ends]).alias("y")))
-    ring = graph.components(step).select("node", F.col("component").alias("ring"))
-    named = cut(step.join(ring, step["x"] == ring["node"]).select("ring", "x", "y"))
-    placed = graph.ring_order(named, ["ring"], "x", "y")
-    area = F.sum((F.col("node.x0") * F.col("node.y1") - F.col("node.x1") * F.col("node.y0")) / 2)
-    made = placed.groupBy("ring").agg(area.alias("area"), F.sort_array(F.collect_list(F.struct("place", F.col("node.x0").alias("x"), F.col("node.y0").alias("y")))).alias("at"))
-    points = F.transform("at", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return made.select(*[F.col(f"ring.{k}").alias(k) for k in keys], "ring", points.alias("points"), "area")
+    made = graph.rings(step, list(keys), "x0", "y0").withColumn("ring", F.get("nodes", F.lit(0)))
+    area = F.aggregate("nodes", F.lit(0).cast("long"), lambda t, n: t + n["x0"].cast("long") * n["y1"] - n["x1"].cast("long") * n["y0"]) / 2
+    points = F.transform("nodes", lambda p: F.struct(p["x0"].alias("x"), p["y0"].alias("y")))
+    return made.select(*[F.col(f"ring.{k}").alias(k) for k in keys], "ring", points.alias("points"), area.alias("area"))
 
 
 def outline_polygons(cells: DataFrame, flag: str) -> DataFrame:
@@ -73,11 +71,10 @@ def outline_polygons(cells: DataFrame, flag: str) -> DataFrame:
     from rainfold.operators import graph
 
     some = cut(cells.where(flag).select("survey", "row", "col"))
-    at = F.struct("survey", "row", "col")
-    beside = [some.select(at.alias("x"), F.struct("survey", (F.col("row") + dr).cast("int").alias("row"), (F.col("col") + dc).cast("int").alias("col")).alias("y")) for dr, dc in ((0, 1), (1, 0))]
-    pairs = beside[0].unionByName(beside[1]).join(some.select(at.alias("y")), "y", "left_semi")
-    found = graph.components(pairs)
-    parts = cut(some.withColumn("node", at).join(found, "node", "left").select("survey", "row", "col", F.coalesce("component", "node").alias("component")))
+    types = dict(some.dtypes)
+    found = graph.grid_components(some, diagonal=False)
+    row, col = (F.col(f"c{c}").cast(types[c]).alias(c) for c in ("row", "col"))
+    parts = cut(found.select("survey", *[F.col(c).cast(types[c]).alias(c) for c in ("row", "col")], F.struct("survey", row, col).alias("component")))
     named = outline_edges(parts.withColumn("marked", F.lit(True)), "marked", ("component",))
     rings = outline_rings(named, ("survey", "component"))
     closed = F.transform(F.concat("points", F.slice("points", 1, 1)), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
@@ -152,70 +149,72 @@ def with_holes(features: DataFrame) -> DataFrame:
     return features.withColumn("holes", F.coalesce("holes", none) if "holes" in features.columns else none)
 
 
-def over_squares(features: DataFrame, ring: str, side: float, reach: Column | float = 0.0) -> DataFrame:
-    """features + (bx, by): a row for each square of a grid that the bounds of a ring, grown by `reach`, overlap."""
-    grown = F.lit(reach) if isinstance(reach, float) else reach
-    for axis, name in (("x", "bx"), ("y", "by")):
-        low = F.floor((F.array_min(F.col(f"{ring}.{axis}")) - grown) / side).cast("long")
-        high = F.floor((F.array_max(F.col(f"{ring}.{axis}")) + grown) / side).cast("long")
-        features = features.withColumn(name, F.explode(F.sequence(low, high)))
-    return features
-
-
-def on_squares(cells: DataFrame, side: float) -> DataFrame:
-    """cells (x, y) + (bx, by): the square that a cell's centre lies in."""
-    return cells.withColumns({"bx": F.floor(F.col("x") / side).cast("long"), "by": F.floor(F.col("y") / side).cast("long")})
-
-
 def land_mask(cells: DataFrame, lands: DataFrame, resolution: float) -> DataFrame:
     """(survey, land_id, row, col): cells whose whole square lies in a land's ring and in none of its holes.
 
-    Lands carry ring and holes in the cells' metres; cells and lands meet in the squares that a land's bounds overlap.
+    Lands carry ring and holes in the cells' metres; cells and lands meet in squares, see `overlay`.
     """
     half, side = resolution / 2, 16 * resolution
-    spread = over_squares(with_holes(lands).select("survey", "land_id", "ring", "holes"), "ring", side)
-    near = on_squares(cells, side).join(spread, ["survey", "bx", "by"])
-    sides = (F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)
-    outside = F.forall("holes", lambda h: ~geometry.covers_point(h, F.col("x"), F.col("y")) & ~geometry.crosses_box(h, *sides))
-    return near.where(geometry.covers_box(F.col("ring"), *sides) & outside).select("survey", "land_id", "row", "col")
+    of = overlay.pieces(with_holes(lands), ["survey", "land_id"], side, "ring", half)
+
+    def test(v: dict, _: float, near: overlay.Parts, band: overlay.Parts) -> dict | None:
+        x, y = np.array(v["xs"]), np.array(v["ys"])
+        fine = overlay.inside(near, band, x, y)
+        for edges in near:
+            if len(edges) and fine.any():
+                fine &= ~overlay.crosses(edges, x - half, y - half, x + half, y + half)
+        return {"row": np.array(v["rows"])[fine], "col": np.array(v["cols"])[fine]} if fine.any() else None
+
+    met = overlay.met(overlay.cell_squares(cells, ["survey"], side), of, ["survey", "bx", "by"])
+    return overlay.refined(met, ["survey", "land_id"], ["rows", "cols", "xs", "ys"], test, "row int, col int")
 
 
 def land_coverage(cells: DataFrame, lands: DataFrame, resolution: float) -> DataFrame:
     """(survey, land_id, area_ha, terrain_coverage_fraction, partial_terrain_coverage): how much of a land, its holes taken out, the
-    raster's cells hold; 0 for a land that no cell meets."""
+    raster's cells hold; 0 for a land that no cell meets. Squares wholly inside count their cells, only others look at edges."""
     half, side = resolution / 2, 16 * resolution
     whole_lands = with_holes(lands).select("survey", "land_id", "ring", "holes")
-    spread = over_squares(whole_lands, "ring", side, half)
-    box = (F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half)
+    of = overlay.pieces(whole_lands, ["survey", "land_id"], side, "ring", half)
 
-    def cut_area(ring: Column) -> Column:
-        return F.abs(geometry.signed_area(geometry.clip_ring(ring, *box)))
+    def test(v: dict, _: float, near: overlay.Parts, band: overlay.Parts) -> dict:
+        return {"part": np.array([held_area(v["xs"], v["ys"], half, near, band)])}
 
-    bounds = [agg(F.col(f"ring.{axis}")) for axis in ("x", "y") for agg in (F.array_min, F.array_max)]
-    meets = (box[2] >= bounds[0]) & (box[0] <= bounds[1]) & (box[3] >= bounds[2]) & (box[1] <= bounds[3])
-    near = on_squares(cells, side).join(spread, ["survey", "bx", "by"]).where(meets)
-    parts = near.groupBy("survey", "land_id").agg(F.sum(cut_area(F.col("ring")) - F.aggregate("holes", F.lit(0.0), lambda t, h: t + cut_area(h))).alias("part"))
+    met = overlay.met(overlay.cell_squares(cells, ["survey"], side), of, ["survey", "bx", "by"])
+    parts = overlay.refined(met, ["survey", "land_id"], ["xs", "ys"], test, "part double").groupBy("survey", "land_id").agg(F.sum("part").alias("part"))
     whole = F.abs(geometry.signed_area(F.col("ring"))) - F.aggregate("holes", F.lit(0.0), lambda t, h: t + F.abs(geometry.signed_area(h)))
     made = whole_lands.select("survey", "land_id", whole.alias("whole")).join(parts, ["survey", "land_id"], "left")
     share = F.least(F.lit(1.0), F.coalesce("part", F.lit(0.0)) / F.col("whole"))
     return made.select("survey", "land_id", (F.col("whole") / 1e4).alias("area_ha"), share.alias("terrain_coverage_fraction"), (share < 1 - 1e-6).alias("partial_terrain_coverage"))
 
 
+def held_area(xs: list[float], ys: list[float], half: float, near: overlay.Parts, band: overlay.Parts) -> float:
+    """The area that cells have in common with a piece's ring, its holes taken out."""
+    x, y = np.array(xs), np.array(ys)
+    if not any(map(len, near)):
+        return len(x) * (2 * half) ** 2
+    ring, *holes = (overlay.area_in(edges, x - half, y - half, x + half, y + half).sum() for edges in band)
+    return float(ring - sum(holes))
+
+
 def water_mask(cells: DataFrame, features: DataFrame, buffer_m: float, resolution: float) -> DataFrame:
     """(survey, row, col) of cells whose centre is within a feature's reach or inside a water area.
 
     Features are (survey, feature_id, line ARRAY<STRUCT<x, y>>, area BOOLEAN, width STRING) and may have `holes`, islands of an area
-    that stay dry but for the reach of their shores. Cells and features meet in the squares that a feature's bounds, grown by its
-    reach, overlap: an equi-join, whatever the extent.
+    that stay dry but for the reach of their shores. Cells and features meet in squares, see `overlay`.
     """
     reach = F.lit(buffer_m + resolution / 2**0.5) + F.when(F.col("area"), 0.0).otherwise(parsing.width_metres(F.col("width")) / 2)
     side = 16 * resolution
-    spread = over_squares(with_holes(features).withColumn("reach", reach), "line", side, F.col("reach"))
-    near = on_squares(cells, side).join(spread.select("survey", "bx", "by", "line", "holes", "area", "reach"), ["survey", "bx", "by"])
-    shore = F.exists("holes", lambda h: geometry.line_distance(h, F.col("x"), F.col("y")) <= F.col("reach"))
-    inside = F.col("area") & geometry.covers_point(F.col("line"), F.col("x"), F.col("y")) & ~F.exists("holes", lambda h: geometry.covers_point(h, F.col("x"), F.col("y")))
-    wet = (geometry.line_distance(F.col("line"), F.col("x"), F.col("y")) <= F.col("reach")) | shore | inside
-    return near.where(wet).select("survey", "row", "col").distinct()
+    of = overlay.pieces(with_holes(features), ["survey"], side, "line", reach, F.col("area"))
+
+    def test(v: dict, far: float, near: overlay.Parts, band: overlay.Parts) -> dict | None:
+        x, y = np.array(v["xs"]), np.array(v["ys"])
+        wet = overlay.inside(near, band, x, y)
+        for edges in near:
+            wet |= overlay.distance(edges, x, y) <= far
+        return {"row": np.array(v["rows"])[wet], "col": np.array(v["cols"])[wet]} if wet.any() else None
+
+    met = overlay.met(overlay.cell_squares(cells, ["survey"], side), of, ["survey", "bx", "by"])
+    return overlay.refined(met, ["survey"], ["rows", "cols", "xs", "ys"], test, "row int, col int").distinct()
 
 
 def water_features(ways: DataFrame, relations: DataFrame) -> DataFrame:

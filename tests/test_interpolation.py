@@ -74,3 +74,27 @@ def test_relation_areas(spark):
     assert {k: sorted(map(area, r["shells"])) for k, r in got.items() if r["error"] is None} == {1: [81.0], 4: [4.5, 81.0], 8: [2.0, 81.0]}
     assert [area(h) for h in got[1]["holes"]] == [2.0]
     assert all(ring[0] == ring[-1] for r in got.values() for ring in r["shells"])
+
+
+@pytest.mark.parametrize("greedy", [200, 0])
+def test_triangles_of_degenerate_points_end(greedy):
+    """A cocircular grid, a sliver along the hull and a circle: every triangle's circle is empty, whichever pivots lead to it."""
+    rng = np.random.default_rng(5)
+    square = np.array([(i, j) for i in range(12) for j in range(12)], float)
+    sliver = np.vstack([np.stack([np.linspace(0, 1000, 60), 1e-3 * np.sin(np.arange(60))], axis=1), [[500.0, 3.0]]])
+    angle = np.linspace(0, 2 * np.pi, 41)[:-1]
+    circle = np.vstack([np.stack([np.cos(angle), np.sin(angle)], axis=1), [[0.1, 0.05]]])
+    for points in (square, sliver, circle):
+        at = points.min(axis=0) + rng.random((200, 2)) * np.ptp(points, axis=0)
+        found = interpolation.triangles(points, at, greedy)
+        fine = found[:, 0] >= 0
+        assert fine.any() and (found[fine] < len(points)).all()
+        inside = interpolation.weights(points[found[fine]], at[fine])
+        assert (inside > -1e-6).all()
+        a, b, c = (points[found[fine]][:, k] for k in range(3))
+        whole = 2 * ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0])
+        bb, cc = ((b - a) ** 2).sum(axis=1), ((c - a) ** 2).sum(axis=1)
+        centre = a + np.stack([(c - a)[:, 1] * bb - (b - a)[:, 1] * cc, (b - a)[:, 0] * cc - (c - a)[:, 0] * bb], axis=1) / whole[:, None]
+        radius = np.hypot(*(a - centre).T)
+        away = np.hypot(points[None, :, 0] - centre[:, None, 0], points[None, :, 1] - centre[:, None, 1])
+        assert (away >= radius[:, None] * (1 - 1e-6)).all()
