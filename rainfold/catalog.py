@@ -245,6 +245,12 @@ def _outline(s: SparkSession, d: str) -> DataFrame:
     return rings.groupBy("survey").agg(F.sum("area").alias("area"), F.sum(F.size("points")).cast("long").alias("edges"))
 
 
+def part_sites(s: SparkSession, d: str) -> DataFrame:
+    """Parts as sites with room for a pond of limited length and width, and the volume that is asked for."""
+    k = F.col("p_partkey")
+    return table(s, d, "part").select(k.alias("site"), (30 + F.col("p_size") % 40).cast("double").alias("max_length_m"), (19 + k % 25).cast("double").alias("max_width_m"), F.round(F.col("p_retailprice").cast("double"), 2).alias("target_m3"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     # rain and runoff
     "rain_annual_totals": (lambda s, d: rainfall.annual_totals(daily_rain(s, d)), sql.RAIN_TOTALS),
@@ -255,10 +261,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     # storage design and sizing
     "pond_geometry": (lambda s, d: rounded(ponds(s, d).withColumns(storage.pond_geometry(F.col("length_m"), F.col("width_m"), F.col("depth_m"), F.lit(2.0), F.lit(0.5)) | {"clearance_m2": storage.clearance_area(F.col("length_m"), F.col("width_m"), F.lit(5.0))})), sql.POND_GEOMETRY),
     "pond_corners": (lambda s, d: rounded(ponds(s, d).select("design_id", F.posexplode(storage.footprint_corners(F.lit(100.0), F.lit(200.0), F.col("length_m"), F.col("width_m"), F.col("bearing"), F.lit(5.0))).alias("corner", "p")).select("design_id", "corner", "p.x", "p.y"), 4), sql.POND_CORNERS),
-    "capacity_grid": (lambda s, d: rounded(storage.candidate_grid(s).select("candidate", "length_m", "width_m", "depth_m", "capacity_m3")), sql.CAPACITY_GRID),
-    "size_target": (lambda s, d: storage.size_for_target(storage.candidate_grid(s), 1500.0), sql.SIZE_TARGET),
-    "size_target_too_large": (lambda s, d: storage.size_for_target(storage.candidate_grid(s), 99999.0), sql.SIZE_TOO_LARGE),
-    "size_tiers": (lambda s, d: storage.size_tiers(storage.candidate_grid(s)).select("candidate", "label", "capacity_m3"), sql.SIZE_TIERS),
+    "capacity_grid": (lambda s, d: rounded(storage.site_sizes(part_sites(s, d)).select("site", "candidate", "length_m", "width_m", "depth_m", "capacity_m3")), sql.CAPACITY_GRID),
+    "size_target": (lambda s, d: storage.sizes_for_targets(storage.site_sizes(part_sites(s, d))), sql.SIZE_TARGET),
+    "size_target_too_large": (lambda s, d: storage.sizes_for_targets(storage.site_sizes(part_sites(s, d).withColumn("target_m3", F.col("target_m3") * 100))).where("NOT meets_target").select("site", "candidate", "capacity_m3"), sql.SIZE_TOO_LARGE),
+    "size_tiers": (lambda s, d: storage.site_tiers(storage.site_sizes(part_sites(s, d))).select("site", "candidate", "label", "capacity_m3"), sql.SIZE_TIERS),
     "balance_daily": (lambda s, d: rounded(balance(s, d).select("design_id", "day", "overflow_m3", "supplied_m3", "end_storage_m3", "full", "empty"), 6), sql.BALANCE_DAILY),
     "balance_monthly": (lambda s, d: rounded(_monthly(s, d).select("design_id", "month", "rainfall_mm", "inflow_m3", "overflow_m3", "supplied_m3", "start_storage_m3", "end_storage_m3", "days_full", "days_empty"), 5), sql.BALANCE_MONTHLY),
     "balance_annual": (lambda s, d: rounded(storage.annual(_monthly(s, d)).select("design_id", "year", "inflow_m3", "overflow_m3", "supplied_m3", "end_storage_m3", "days_full"), 5), sql.BALANCE_ANNUAL),

@@ -40,11 +40,22 @@ _GRID = """made AS (
   FROM (VALUES (30), (45), (60)) a(l), (VALUES (20), (30), (40)) b(w), (VALUES (1.5), (2.5)) c(d)),
 sized AS (SELECT *, round_even(deep / 6 * (bl * bw + 4 * (bl + 2 * deep) * (bw + 2 * deep) + (length_m - 2) * (width_m - 2)), 2) AS capacity_m3 FROM made),
 grid AS (SELECT *, (row_number() OVER (ORDER BY capacity_m3, length_m, width_m, depth_m) - 1)::INTEGER AS candidate FROM sized)"""
-CAPACITY_GRID = f"WITH {_GRID} SELECT candidate, length_m, width_m, depth_m, capacity_m3 FROM grid"
-SIZE_TARGET = f"""WITH {_GRID}, n AS (SELECT candidate, capacity_m3, lead(capacity_m3) OVER (ORDER BY capacity_m3) AS next_capacity_m3 FROM grid)
-SELECT TRUE AS meets_target, candidate, capacity_m3, next_capacity_m3 FROM n WHERE capacity_m3 >= 1500 ORDER BY capacity_m3 LIMIT 1"""
-SIZE_TOO_LARGE = f"WITH {_GRID} SELECT FALSE AS meets_target, candidate, capacity_m3, NULL::DOUBLE AS next_capacity_m3 FROM grid ORDER BY capacity_m3 DESC LIMIT 1"
-SIZE_TIERS = f"WITH {_GRID} SELECT candidate, CASE candidate WHEN 0 THEN 'small' WHEN 6 THEN 'intermediate' ELSE 'large' END AS label, capacity_m3 FROM grid WHERE candidate IN (0, 6, 12)"
+_SITES = """sites AS (SELECT p_partkey AS site, 30 + p_size % 40 AS max_length_m, 19 + p_partkey % 25 AS max_width_m, round(p_retailprice::DOUBLE, 2) AS target_m3 FROM part),
+fits AS (SELECT site, target_m3, length_m, width_m, depth_m, capacity_m3, (row_number() OVER (PARTITION BY site ORDER BY capacity_m3, length_m, width_m, depth_m) - 1)::INTEGER AS candidate
+  FROM sites JOIN grid ON length_m <= max_length_m AND width_m <= max_width_m)"""
+CAPACITY_GRID = f"WITH {_GRID}, {_SITES} SELECT site, candidate, length_m, width_m, depth_m, capacity_m3 FROM fits"
+SIZE_TARGET = f"""WITH {_GRID}, {_SITES}, n AS (SELECT *, lead(capacity_m3) OVER (PARTITION BY site ORDER BY capacity_m3, candidate) AS up FROM fits),
+best AS (SELECT * FROM n WHERE capacity_m3 >= target_m3 QUALIFY row_number() OVER (PARTITION BY site ORDER BY capacity_m3, candidate) = 1),
+most AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY site ORDER BY capacity_m3 DESC, candidate DESC) = 1)
+SELECT m.site, m.target_m3, b.site IS NOT NULL AS meets_target, coalesce(b.candidate, m.candidate) AS candidate, coalesce(b.capacity_m3, m.capacity_m3) AS capacity_m3, b.up AS next_capacity_m3,
+  CASE WHEN b.site IS NULL THEN printf('no size that fits holds %.2f m3; the largest has %.2f m3', m.target_m3, m.capacity_m3)
+    WHEN b.up IS NULL THEN printf('%.2f m3 is the least size that holds %.2f m3; there is none above it', b.capacity_m3, m.target_m3)
+    ELSE printf('%.2f m3 is the least size that holds %.2f m3; the next one up has %.2f m3', b.capacity_m3, m.target_m3, b.up) END AS reasoning
+FROM most m LEFT JOIN best b ON b.site = m.site"""
+SIZE_TOO_LARGE = f"WITH {_GRID}, {_SITES} SELECT site, arg_max(candidate, (capacity_m3, candidate)) AS candidate, max(capacity_m3) AS capacity_m3 FROM fits GROUP BY site HAVING max(capacity_m3) < any_value(target_m3) * 100"
+SIZE_TIERS = f"""WITH {_GRID}, {_SITES}, n AS (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM fits),
+l AS (SELECT *, CASE WHEN candidate = 0 THEN 'small' WHEN candidate = least(round_even(n / 3.0::DOUBLE, 0), n - 1) THEN 'intermediate' WHEN candidate = least(round_even(2 * n / 3.0::DOUBLE, 0), n - 1) THEN 'large' END AS label FROM n)
+SELECT site, candidate, label, capacity_m3 FROM l WHERE label IS NOT NULL"""
 
 
 def _balance(losses: bool, demand: float = 20.0, initial: float = 0.25) -> str:

@@ -76,6 +76,47 @@ def size_tiers(grid: DataFrame) -> DataFrame:
     return grid.withColumn("label", label).where(F.col("label").isNotNull())
 
 
+def site_sizes(sites: DataFrame) -> DataFrame:
+    """sites (site, max_length_m, max_width_m, ...) + (length_m, width_m, depth_m, capacity_m3, candidate): the sizes that fit each
+    site, smallest capacity first, numbered from 0. A site that is too small for all, or has no limits, has no row.
+
+    The sizes are expressions of a site's row and the order is one within a site, so any number of sites are done at once.
+    """
+    each = sites
+    for name, values in (("length_m", LENGTHS), ("width_m", WIDTHS), ("depth_m", DEPTHS)):
+        each = each.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    fits = each.where((F.col("length_m") <= F.col("max_length_m")) & (F.col("width_m") <= F.col("max_width_m")))
+    capacity = pond_geometry(F.col("length_m"), F.col("width_m"), F.col("depth_m"), F.lit(SIDE_SLOPE), F.lit(FREEBOARD))["capacity_m3"]
+    sized = fits.withColumn("capacity_m3", F.bround(capacity, 2)).where("capacity_m3 IS NOT NULL")
+    order = Window.partitionBy("site").orderBy("capacity_m3", "length_m", "width_m", "depth_m")
+    return sized.withColumn("candidate", F.row_number().over(order) - 1)
+
+
+def sizes_for_targets(sizes: DataFrame) -> DataFrame:
+    """(site, target_m3, meets_target, candidate, capacity_m3, next_capacity_m3, reasoning) of site_sizes with a target_m3 each: the least
+    size that holds the target and the next one up, or the largest, not recommended, where none does; a null target has no row."""
+    up = F.lead("capacity_m3").over(Window.partitionBy("site").orderBy("capacity_m3", "candidate"))
+    holds = F.col("capacity_m3") >= F.col("target_m3")
+    of = F.struct("candidate", "capacity_m3", "next_capacity_m3")
+    made = sizes.where("target_m3 IS NOT NULL").withColumn("next_capacity_m3", up).groupBy("site", "target_m3").agg(
+        F.bool_or(holds).alias("meets_target"), F.min(F.when(holds, F.struct("capacity_m3", of.alias("s")))).alias("least"), F.max(F.struct("capacity_m3", of.alias("s"))).alias("most")
+    )
+    got = F.when(F.col("meets_target"), F.col("least.s")).otherwise(F.col("most.s"))
+    named = made.select("site", "target_m3", "meets_target", got.alias("s")).select("site", "target_m3", "meets_target", "s.*")
+    fine = F.format_string("%.2f m3 is the least size that holds %.2f m3", "capacity_m3", "target_m3")
+    more = F.when(F.col("next_capacity_m3").isNotNull(), F.format_string("; the next one up has %.2f m3", "next_capacity_m3")).otherwise(F.lit("; there is none above it"))
+    none = F.format_string("no size that fits holds %.2f m3; the largest has %.2f m3", "target_m3", "capacity_m3")
+    return named.withColumn("reasoning", F.when(F.col("meets_target"), F.concat(fine, more)).otherwise(none))
+
+
+def site_tiers(sizes: DataFrame) -> DataFrame:
+    """site_sizes + label of those that are small, intermediate and large for their site: ordinals 0, n/3 and 2n/3, without repeats."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("site"))
+    at = F.col("candidate").cast("long")
+    label = F.when(at == 0, "small").when(at == F.least(F.bround(n / 3), n - 1).cast("long"), "intermediate").when(at == F.least(F.bround(2 * n / 3), n - 1).cast("long"), "large")
+    return sizes.withColumn("label", label).where(F.col("label").isNotNull())
+
+
 def _surface(storage: np.ndarray, deep: np.ndarray, length: np.ndarray, width: np.ndarray, slope: np.ndarray) -> np.ndarray:
     """Water surface at a storage: the depth by BISECTIONS halvings of its range, the area at the last one tried."""
     span, base = deep / 2, np.zeros_like(deep)  # the depth tried is base + span

@@ -84,3 +84,16 @@ def test_pieces_keep_what_matters(side):
             assert bool(overlay.inside(*piece, np.array([x]), np.array([y]))[0]) == want
             near = min(overlay.distance(e, np.array([x]), np.array([y]))[0] for e in piece[0])
             assert (near <= 0.7) == (far <= 0.7)
+
+
+def test_sizes_of_sites(spark):
+    from rainfold.operators import storage
+
+    sites = spark.createDataFrame([(1, 60.0, 40.0, 1000.0), (2, 30.0, 20.0, 1000.0), (3, 29.0, 40.0, 1.0), (4, None, 40.0, 1.0), (5, 45.0, 30.0, None), (6, 60.0, 40.0, 3682.67)], "site int, max_length_m double, max_width_m double, target_m3 double")
+    sizes = storage.site_sizes(sites)
+    assert {r["site"]: r["count"] for r in sizes.groupBy("site").count().collect()} == {1: 18, 2: 2, 5: 8, 6: 18}
+    got = {r["site"]: (r["meets_target"], r["capacity_m3"], r["next_capacity_m3"]) for r in storage.sizes_for_targets(sizes).collect()}
+    assert got.keys() == {1, 2, 6} and got[1][0] and got[1][1] >= 1000 and got[1][2] > got[1][1]
+    assert not got[2][0] and got[2][2] is None and got[6] == (True, 3682.67, None)
+    tiers = {(r["site"], r["label"]): r["candidate"] for r in storage.site_tiers(sizes).collect()}
+    assert [tiers[1, x] for x in ("small", "intermediate", "large")] == [0, 6, 12] and tiers[2, "small"] == 0
