@@ -310,6 +310,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "d8_direction": (lambda s, d: hydrology.flow_direction(tile_grid(s, d), RESOLUTION).select("survey", "row", "col", "fdir"), sql.D8),
     "d8_histogram": (lambda s, d: hydrology.flow_direction(part_grid(s, d), RESOLUTION).groupBy("fdir").agg(F.count(F.lit(1)).alias("cells")), sql.D8_PART),
     "fill_depressions": (lambda s, d: hydrology.fill_depressions(tile_grid(s, d)).select("survey", "row", "col", "z_filled"), sql.FILL),
+    "fill_over_blocks": (lambda s, d: hydrology.fill_depressions(tile_grid(s, d), side=3).select("survey", "row", "col", "z_filled"), sql.FILL),
     "flow_accumulation": (lambda s, d: flow_tiles(s, d).select("survey", "row", "col", "acc"), sql.ACCUMULATION),
     "channel_statistics": (lambda s, d: rounded(_tile_channels(s, d)), sql.CHANNELS),
     "hydrology": (_hydrology, sql.HYDROLOGY),

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.operators import graph
+from rainfold.operators import graph, spill
 from rainfold.operators.raster import BOUNDS, DIRECTIONS, with_bounds, with_neighbours
 from rainfold.plans.store import cut
 
@@ -103,15 +103,14 @@ def _with_levels(cells: DataFrame, found: DataFrame, *columns: str) -> DataFrame
 def fill_depressions(cells: DataFrame, side: int = 512) -> DataFrame:
     """cells + z_filled: the lowest level at which a cell drains to the rim, to an invalid cell or to a kept sink.
 
-    level = max(z, least level about it), from infinity downwards and from z where water leaves, until nothing changes; see `settled`.
+    Blocks of `side` cells are flooded once each and raised by the spills between them; see `spill`.
     """
     made = cut(_prepared(cells))
     rim = (F.col("row") == F.col("first_r__")) | (F.col("row") == F.col("last_r__")) | (F.col("col") == F.col("first_c__")) | (F.col("col") == F.col("last_c__"))
     z = F.when(F.col("valid"), F.col("z").cast("double")).otherwise(F.lit(-HIGH))
     sized = with_bounds(made.select("survey", "row", "col", "valid", "sink", z.alias("z__")))
-    state = sized.withColumn("level", F.when(rim | F.col("sink") | ~F.col("valid"), F.col("z__")).otherwise(F.lit(HIGH))).drop("sink")
-    done = _with_levels(made, settled(state, "fill", side), "level")
-    return done.withColumn("z_filled", F.when(F.col("valid"), F.col("level"))).drop("level")
+    found = spill.raised(sized.withColumn("outlet", rim | F.coalesce("sink", F.lit(False)) | ~F.col("valid")).drop("sink", "valid"), side)
+    return _with_levels(made, found, "level").withColumn("z_filled", F.when(F.col("valid"), F.col("level"))).drop("level")
 
 
 def _slopes(resolution: float, surface: str = "s") -> Column:
