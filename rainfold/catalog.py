@@ -217,6 +217,12 @@ def _catchments(s: SparkSession, d: str) -> DataFrame:
     return hydrology.catchment_areas(traced, raster.with_boundary(flow), RESOLUTION)
 
 
+def _catchments_over_blocks(s: SparkSession, d: str) -> DataFrame:
+    flow = tile_sites(s, d)
+    traced = hydrology.trace_catchments(flow, flow.where(F.col("site").isNotNull()).select("survey", "node", "site"), side=3)
+    return hydrology.catchment_areas(traced, raster.with_boundary(flow), RESOLUTION)
+
+
 def _iou(s: SparkSession, d: str) -> DataFrame:
     return rounded(sites.overlaps(traced_sites(s, d)[1]))
 
@@ -312,11 +318,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "fill_depressions": (lambda s, d: hydrology.fill_depressions(tile_grid(s, d)).select("survey", "row", "col", "z_filled"), sql.FILL),
     "fill_over_blocks": (lambda s, d: hydrology.fill_depressions(tile_grid(s, d), side=3).select("survey", "row", "col", "z_filled"), sql.FILL),
     "flow_accumulation": (lambda s, d: flow_tiles(s, d).select("survey", "row", "col", "acc"), sql.ACCUMULATION),
+    "accumulation_over_blocks": (lambda s, d: hydrology.flow_accumulation(hydrology.flow_direction(tile_grid(s, d), RESOLUTION), side=3).select("survey", "row", "col", "acc"), sql.ACCUMULATION),
     "channel_statistics": (lambda s, d: rounded(_tile_channels(s, d)), sql.CHANNELS),
     "hydrology": (_hydrology, sql.HYDROLOGY),
     "depressions": (_depressions, sql.DEPRESSIONS),
     # sites
     "catchment_areas": (_catchments, sql.CATCHMENTS),
+    "catchments_over_blocks": (_catchments_over_blocks, sql.CATCHMENTS),
     "catchment_overlap": (_iou, sql.IOU),
     "site_scores": (_scores, sql.SCORES),
     "site_selection": (_selected, sql.SELECTION),

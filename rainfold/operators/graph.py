@@ -10,23 +10,34 @@ from pyspark.sql import functions as F
 from rainfold.plans.store import cut
 
 
+def _pointers(edges: DataFrame, keys: list[str], node: str, receiver: str, *columns: Column) -> DataFrame:
+    """(at, up, ...): nodes as structs of keys and node; up is null at the end of a path."""
+    up = F.when(F.col(receiver) != F.col(node), F.struct(*keys, F.col(receiver).alias("node")))
+    return cut(edges.select(F.struct(*keys, F.col(node).alias("node")).alias("at"), up.alias("up"), *columns))
+
+
+def _onward(live: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows with an `up` + what `values` (up, next, ...) hold for it; on long rivers most rows ask for few nodes, so these are salted."""
+    counts = cut(live.groupBy("up").agg(F.count(F.lit(1)).alias("n__")))
+    return salted_join(live, values, "up", counts, "left")
+
+
 def subtree_sums(edges: DataFrame, keys: list[str], node: str, receiver: str, weight: Column) -> DataFrame:
     """keys + (node, total): the weights of a node and of everything that drains to it.
 
     Pointer doubling: after round k a node holds the sum over what lies less than 2**k steps above it and knows its
     2**k-th receiver. Rounds are the logarithm of the longest path; a row left after the logarithm of all rows is on a cycle.
+    A node without a receiver has null or itself as one.
     """
-    now = cut(edges.select(*keys, F.col(node).alias("node"), F.when(F.col(receiver) != F.col(node), F.col(receiver)).alias("up"), weight.alias("total")))
+    now = _pointers(edges, keys, node, receiver, weight.alias("total"))
     for _ in range(now.count().bit_length() + 1):
-        if now.where(F.col("up").isNotNull()).isEmpty():
-            return now.drop("up")
-        given = now.where(F.col("up").isNotNull()).groupBy(*keys, F.col("up").alias("node")).agg(F.sum("total").alias("more"))
-        onward = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"))
-        now = cut(
-            now.join(given, [*keys, "node"], "left")
-            .join(onward, [*keys, "up"], "left")
-            .select(*keys, "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
-        )
+        live = now.where(F.col("up").isNotNull())
+        if live.isEmpty():
+            return now.select("at.*", "total")
+        given = live.groupBy(F.col("up").alias("at")).agg(F.sum("total").alias("more"))
+        moved = _onward(live, now.select(F.col("at").alias("up"), F.col("up").alias("next"))).select("at", F.col("next").alias("up"), "total")
+        both = moved.unionByName(now.where(F.col("up").isNull()))
+        now = cut(both.join(given, "at", "left").select("at", "up", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
     raise ValueError("the receivers form a cycle")
 
 
@@ -47,19 +58,16 @@ def ring_order(step: DataFrame, keys: list[str], node: str, onward: str) -> Data
     raise ValueError("the steps are no closed rings")
 
 
-def targets_below(edges: DataFrame, keys: list[str], node: str, receiver: str, targets: DataFrame, target: str) -> DataFrame:
-    """keys + (node, target): every node with each target that its path to the outlet meets, itself included.
-
-    `targets` has keys, node and a target's number; the numbers on a path are held as an array while pointers double.
-    """
-    marks = targets.groupBy(*keys, F.col(node).alias("node")).agg(F.sort_array(F.collect_set(target)).alias("met"))
-    now = edges.select(*keys, F.col(node).alias("node"), F.when(F.col(receiver) != F.col(node), F.col(receiver)).alias("up")).join(marks, [*keys, "node"], "left")
-    now = cut(now.withColumn("met", F.coalesce("met", F.array().cast(marks.schema["met"].dataType))))
+def marks_ahead(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + (node, met): of rows keys + (node, up, met), up null at an end, the union of the arrays `met` on each node's path."""
+    now = _pointers(edges, keys, "node", "up", F.col("met"))
     for _ in range(now.count().bit_length() + 1):
-        if now.where(F.col("up").isNotNull()).isEmpty():
-            return now.select(*keys, "node", F.explode("met").alias(target))
-        onward = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("met").alias("further"))
-        now = cut(now.join(onward, [*keys, "up"], "left").select(*keys, "node", F.col("next").alias("up"), F.array_union("met", F.coalesce("further", F.array().cast(marks.schema["met"].dataType))).alias("met")))
+        live = now.where(F.col("up").isNotNull())
+        if live.isEmpty():
+            return now.select("at.*", "met")
+        values = now.select(F.col("at").alias("up"), F.col("up").alias("next"), F.col("met").alias("further"))
+        moved = _onward(live, values).select("at", F.col("next").alias("up"), F.array_union("met", F.coalesce("further", F.array().cast(now.schema["met"].dataType))).alias("met"))
+        now = cut(moved.unionByName(now.where(F.col("up").isNull())))
     raise ValueError("the receivers form a cycle")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.operators import graph, spill
+from rainfold.operators import forest, graph, spill
 from rainfold.operators.raster import BOUNDS, DIRECTIONS, with_bounds, with_neighbours
 from rainfold.plans.store import cut
 
@@ -176,11 +176,9 @@ def with_receiver(cells: DataFrame) -> DataFrame:
     return made.withColumns({"node": node, "receiver": receiver}).drop(*BOUNDS, "step__")
 
 
-def flow_accumulation(cells: DataFrame) -> DataFrame:
-    """cells (with fdir) + acc: valid cells that drain through a cell, itself included. A cycle raises a ValueError."""
-    linked = with_receiver(cells)
-    sums = graph.subtree_sums(linked, ["survey"], "node", "receiver", F.col("valid").cast("long")).withColumnRenamed("total", "acc")
-    return linked.join(sums, ["survey", "node"])
+def flow_accumulation(cells: DataFrame, side: int = 512) -> DataFrame:
+    """cells (with fdir) + acc: valid cells that drain through a cell, itself included. A cycle raises a ValueError; see `forest`."""
+    return forest.accumulation(cut(with_receiver(cells)), "valid", "acc", side)
 
 
 def channels(cells: DataFrame, share: float = 0.99) -> DataFrame:
@@ -219,10 +217,10 @@ def depressions(cells: DataFrame, least_fill: float = 1e-6) -> DataFrame:
     return named.withColumn("component", F.col("crow") * F.col("width__") + F.col("ccol")).drop("crow", "ccol", "width__")
 
 
-def trace_catchments(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """(survey, node, site): the cells that drain to any of a site's cells; targets are (survey, node, site)."""
-    linked = cells if "receiver" in cells.columns else with_receiver(cells)
-    return graph.targets_below(linked, ["survey"], "node", "receiver", targets, "site")
+def trace_catchments(cells: DataFrame, targets: DataFrame, side: int = 512) -> DataFrame:
+    """(survey, node, site): the cells that drain to any of a site's cells; targets are (survey, node, site). See `forest`."""
+    linked = cells if "receiver" in cells.columns else cut(with_receiver(cells))
+    return forest.marks_below(linked, targets, "site", side)
 
 
 def pour_points(cells: DataFrame, points: DataFrame) -> DataFrame:
