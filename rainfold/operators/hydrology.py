@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.operators import forest, graph, spill
+from rainfold.operators.percentiles import exact_percentile
 from rainfold.operators.raster import BOUNDS, DIRECTIONS, with_bounds, with_neighbours
 from rainfold.plans.store import cut
 
@@ -183,7 +184,7 @@ def flow_accumulation(cells: DataFrame, side: int = 512) -> DataFrame:
 
 def channels(cells: DataFrame, share: float = 0.99) -> DataFrame:
     """cells (with acc) + (threshold, is_channel): cells at or over the exact percentile of the positive accumulations."""
-    limit = cells.where("acc > 0").groupBy("survey").agg(F.percentile("acc", F.lit(share)).alias("threshold"))
+    limit = exact_percentile(cells.where("acc > 0"), "survey", "acc", share, "threshold")
     made = cells.join(limit, "survey", "left").withColumn("threshold", F.coalesce("threshold", F.lit(1.0)))
     return made.withColumn("is_channel", F.col("acc") >= F.col("threshold"))
 
@@ -203,7 +204,7 @@ def hydrology_statistics(cells: DataFrame) -> DataFrame:
 def run_hydrology(cells: DataFrame, resolution: float, fill: bool = True) -> DataFrame:
     """Fill, directions, flats, accumulation and channels in one go."""
     made = fill_depressions(cells) if fill else _prepared(cells).withColumn("z_filled", F.col("z"))
-    return channels(flow_accumulation(cut(flow_direction(made, resolution, "z_filled", flats=fill))))
+    return channels(cut(flow_accumulation(flow_direction(made, resolution, "z_filled", flats=fill))))
 
 
 def depressions(cells: DataFrame, least_fill: float = 1e-6) -> DataFrame:

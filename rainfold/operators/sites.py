@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.operators.hydrology import with_receiver
+from rainfold.operators.percentiles import exact_percentile
 from rainfold.operators.raster import BOUNDS, with_bounds
 from rainfold.plans.store import cut
 
@@ -19,7 +20,8 @@ def allowed_cells(cells: DataFrame, setback_m: float = 0.0, max_slope: float = 8
 
 def network_threshold(cells: DataFrame, share: float = 0.99) -> DataFrame:
     """(survey, network_threshold): the exact percentile of accumulation over valid cells, 3 at least."""
-    return cells.where("valid").groupBy("survey").agg(F.greatest(F.lit(3.0), F.percentile("acc", F.lit(share))).alias("network_threshold"))
+    made = exact_percentile(cells.where("valid"), "survey", "acc", share, "network_threshold")
+    return made.withColumn("network_threshold", F.greatest(F.lit(3.0), "network_threshold"))
 
 
 def outlet_nodes(cells: DataFrame, least_drop: float = 1e-6, share: float = 0.99) -> DataFrame:
