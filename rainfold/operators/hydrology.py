@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ def _prepared(cells: DataFrame) -> DataFrame:
     return made.withColumn("valid", F.col("valid") & F.col("z").isNotNull() & ~F.isnan("z"))
 
 
-def relaxed(block: pa.Table, kind: str) -> pa.Table:
+def relaxed(block: pa.Table) -> pa.Table:
     """The block's own cells with the least levels that the levels at hand allow, and whether a level at its border moved.
 
-    `fill`: a level passes on as it is, and is raised to a valid cell's z. `flat`: it passes on over valid cells of equal z, with one
-    more a step. A level lies in double precision; infinity means none yet. Best first, so each cell is settled once.
+    A level passes on over valid cells of equal z, with one more a step, and lies in double precision; infinity means none yet. Best
+    first, so each cell is settled once.
     """
     row, col = (block.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
     valid, halo, shared = (block.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("valid", "halo", "shared"))
@@ -42,7 +43,7 @@ def relaxed(block: pa.Table, kind: str) -> pa.Table:
     place = np.full((int(row.max() - row.min()) + 3) * wide, -1)
     place[spot] = np.arange(len(row))
     at, own, heights, levels = place.tolist(), (valid & ~halo).tolist(), z.tolist(), level.tolist()
-    steps, spots, fill, live = [dr * wide + dc for _, dr, dc in DIRECTIONS], spot.tolist(), kind == "fill", valid.tolist()
+    steps, spots, live = [dr * wide + dc for _, dr, dc in DIRECTIONS], spot.tolist(), valid.tolist()
     heap = [(v, i) for i, v in enumerate(levels) if v < HIGH]
     heapq.heapify(heap)
     while heap:
@@ -54,12 +55,9 @@ def relaxed(block: pa.Table, kind: str) -> pa.Table:
             n = at[here + step]
             if n < 0 or not own[n]:
                 continue
-            if fill:
-                low = heights[n] if heights[n] > v else v
-            elif live[i] and heights[n] == heights[i]:
-                low = v + 1
-            else:
+            if not live[i] or heights[n] != heights[i]:
                 continue
+            low = v + 1
             if low < levels[n]:
                 levels[n] = low
                 heapq.heappush(heap, (low, n))
@@ -68,14 +66,18 @@ def relaxed(block: pa.Table, kind: str) -> pa.Table:
     return made.append_column("moved", pa.array(shared & (level != before))).filter(pa.array(~halo)).drop_columns(["halo", "br", "bc"])
 
 
-def settled(state: DataFrame, kind: str, side: int) -> DataFrame:
+#: Rounds after which the tables of `settled` are written as one.
+ROUNDS_KEPT = 8
+
+
+def settled(state: DataFrame, side: int) -> DataFrame:
     """state (survey, row, col, valid, z__, level, bounds of with_bounds, ...) with its levels brought to rest over square blocks.
 
-    Each round brings blocks of `side` cells to rest, given the levels just beyond their borders, and is written. No level rises
-    and each is bounded from below, so it ends, after as many rounds as the longest path has crossings of blocks. A task holds
-    one block; a survey no larger than a block is done in one round.
+    The first round brings each block of `side` cells to rest, given the levels just beyond its borders. Later ones take only the blocks
+    beside which a level moved, and write only their cells; each block counts by the last table that holds it. No level rises
+    and each is bounded from below, so it ends. A task holds one block; a survey no larger than a block is done in one round.
     """
-    block = [F.floor(F.col(c) / side).cast("long").alias(b) for c, b in (("row", "br"), ("col", "bc"))]
+    own = [F.floor(F.col(c) / side).cast("long").alias(b) for c, b in (("row", "br"), ("col", "bc"))]
 
     def about(c: str) -> Column:
         """Blocks of the lines on and beside a cell's own, those without cells left out."""
@@ -84,15 +86,35 @@ def settled(state: DataFrame, kind: str, side: int) -> DataFrame:
 
     now = state.withColumns({"r__": about("row"), "c__": about("col")}).drop(*BOUNDS).withColumn("shared", (F.size("r__") > 1) | (F.size("c__") > 1))
     shape = ", ".join(f"{c} {k}" for c, k in now.dtypes) + ", moved boolean"
-    while True:
-        own = now.select("*", *block)
-        seen = own.withColumn("to_r", F.explode("r__")).withColumn("to_c", F.explode("c__"))
+
+    def seen(cells: DataFrame) -> DataFrame:
+        """A row for each block that a cell lies in or beside; `at` names the block."""
+        made = cells.select("*", *own).withColumn("to_r", F.explode("r__")).withColumn("to_c", F.explode("c__"))
         halo = (F.col("to_r") != F.col("br")) | (F.col("to_c") != F.col("bc"))
-        dealt = seen.withColumn("halo", halo).withColumns({"br": F.col("to_r"), "bc": F.col("to_c")}).drop("to_r", "to_c")
-        step = cut(dealt.groupBy("survey", "br", "bc").applyInArrow(lambda t: relaxed(t, kind), shape))
-        now = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return now.drop("r__", "c__", "shared")
+        return made.withColumn("halo", halo).withColumns({"br": F.col("to_r"), "bc": F.col("to_c")}).drop("to_r", "to_c").withColumn("at", F.struct("survey", "br", "bc"))
+
+    def rested(cells: DataFrame) -> DataFrame:
+        return cut(cells.drop("at").groupBy("survey", "br", "bc").applyInArrow(relaxed, shape))
+
+    def current(tables: list[DataFrame], latest: DataFrame | None) -> DataFrame:
+        if latest is None:
+            return tables[0].drop("moved")
+        every = reduce(DataFrame.unionByName, [t.withColumn("table__", F.lit(k)) for k, t in enumerate(tables)])
+        named = every.withColumn("in__", F.struct("survey", *own)).join(latest, F.col("in__") == F.col("at"), "left")
+        return named.where(F.col("table__") == F.coalesce("last__", F.lit(0))).drop("table__", "in__", "at", "last__", "moved")
+
+    tables, latest = [rested(seen(now))], None
+    last = tables[0]
+    while True:
+        active = cut(seen(last.where("moved")).where("halo").select("at").distinct())
+        if active.isEmpty():
+            return current(tables, latest).drop("r__", "c__", "shared")
+        if len(tables) == ROUNDS_KEPT:
+            tables, latest = [cut(current(tables, latest)).withColumn("moved", F.lit(False))], None
+        last = rested(seen(current(tables, latest)).join(active, "at", "left_semi"))
+        renewed = active.withColumn("last__", F.lit(len(tables)))
+        latest = renewed if latest is None else cut(latest.unionByName(renewed).groupBy("at").agg(F.max("last__").alias("last__")))
+        tables.append(last)
 
 
 def _with_levels(cells: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
@@ -148,7 +170,7 @@ def _resolve_flats(sloped: DataFrame, resolution: float, side: int = 512) -> Dat
     def steps(start: Column, over: Column) -> DataFrame:
         """state + the number of steps from a start cell, over the cells marked."""
         asked = state.withColumns({"valid": over, "level": F.when(start, 0.0).otherwise(F.lit(HIGH))})
-        return settled(asked, "flat", side).withColumn("dist", F.when(F.col("level") < HIGH, F.col("level")).cast("int")).drop("level", "valid")
+        return settled(asked, side).withColumn("dist", F.when(F.col("level") < HIGH, F.col("level")).cast("int")).drop("level", "valid")
 
     first = steps(F.col("valid") & (F.col("downhill") | F.col("sink")), F.col("valid"))
     state = cut(_with_levels(state, first, "dist"))
