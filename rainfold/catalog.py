@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rainfold import catalog_sql as sql
 from rainfold.functions import geodesy, geometry, parsing
-from rainfold.operators import contours, hydrology, interpolation, polygonize, rainfall, raster, sites, storage, surfaces
+from rainfold.operators import contours, forest, hydrology, interpolation, polygonize, rainfall, raster, sites, storage, surfaces
 from rainfold.plans.store import cut, table
 from rainfold.sources import readers
 
@@ -223,8 +223,18 @@ def _catchments_over_blocks(s: SparkSession, d: str) -> DataFrame:
     return hydrology.catchment_areas(traced, raster.with_boundary(flow), RESOLUTION)
 
 
+def spanned_sites(s: SparkSession, d: str, side: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Sites of the tiles and their catchments as intervals."""
+    flow = tile_sites(s, d)
+    return flow, cut(sites.spans(forest.tour(flow, side), flow.where(F.col("site").isNotNull()).select("survey", "node", "site")))
+
+
 def _iou(s: SparkSession, d: str) -> DataFrame:
-    return rounded(sites.overlaps(traced_sites(s, d)[1]))
+    return rounded(sites.overlaps(spanned_sites(s, d)[1]))
+
+
+def _iou_over_blocks(s: SparkSession, d: str) -> DataFrame:
+    return rounded(sites.overlaps(spanned_sites(s, d, side=3)[1]))
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
@@ -234,9 +244,9 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 
 def _selected(s: SparkSession, d: str) -> DataFrame:
     """Of each tile's five sites the best three that do not conflict."""
-    flow, traced = traced_sites(s, d)
+    flow, spanned = spanned_sites(s, d)
     ranked = flow.where(F.col("site").isNotNull()).select("survey", "site", "row", "col", F.col("acc").alias("area_cells"), (-F.col("acc")).cast("double").alias("score"))
-    return sites.select_sites(ranked, sites.site_conflicts(ranked, sites.overlaps(traced), RESOLUTION, 25.0), 3).select("survey", "site", "rank")
+    return sites.select_apart(ranked, spanned, RESOLUTION, 25.0, k=3).select("survey", "site", "rank")
 
 
 def _outlets(s: SparkSession, d: str) -> DataFrame:
@@ -326,6 +336,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "catchment_areas": (_catchments, sql.CATCHMENTS),
     "catchments_over_blocks": (_catchments_over_blocks, sql.CATCHMENTS),
     "catchment_overlap": (_iou, sql.IOU),
+    "overlap_over_blocks": (_iou_over_blocks, sql.IOU),
     "site_scores": (_scores, sql.SCORES),
     "site_selection": (_selected, sql.SELECTION),
     "outlet_nodes": (_outlets, sql.OUTLETS),

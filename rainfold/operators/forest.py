@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -169,3 +169,88 @@ def marks_below(cells: DataFrame, targets: DataFrame, target: str, side: int = 5
     fields = dealt.select("survey", "node").schema.fields
     done = dealt.groupBy(*BLOCK).cogroup(marks.unionByName(later).groupBy(*BLOCK)).applyInArrow(second, StructType([*fields, StructField("met", ArrayType(kind))]))
     return done.select("survey", "node", F.explode("met").alias(target))
+
+
+def _numbered(block: pa.Table, inflow: dict[int, int]) -> tuple[np.ndarray, list[int], list[int], list[int], list[int]]:
+    """Of a block sorted by node: the nodes, onward places, sizes of subtrees, numbers from the end of each cell's way within the block, and these ends.
+
+    The cells that drain into one are numbered behind it: first those of other blocks, then its own, the order of its block's walk.
+    """
+    node, to, order = _downward(block)
+    size = _totals(block, inflow, to, order, node)
+    free = [1 + inflow.get(n, 0) for n in node.tolist()]
+    number, end = [0] * len(to), list(range(len(to)))
+    for i in order:
+        if to[i] >= 0:
+            number[i] = free[to[i]]
+            free[to[i]] += size[i]
+    for i in reversed(order):
+        if to[i] >= 0:
+            number[i] += number[to[i]]
+            end[i] = end[to[i]]
+    return node, to, size, number, end
+
+
+def tour(cells: DataFrame, side: int = 512) -> DataFrame:
+    """(survey, node, receiver, root, first, size): numbers of a walk over each tree, so that what drains to a cell is the numbers from `first` on, `size` of them.
+
+    A cell x drains to y, or is y, if their roots are the same and x.first lies in [y.first, y.first + y.size): catchments are intervals.
+    Subtrees of other blocks are placed by the rows on borders alone; see `accumulation` for the two levels. A cycle raises a ValueError.
+    """
+    dealt = _dealt(cells.select("survey", "row", "col", F.col("node").cast("long").alias("node"), F.col("receiver").cast("long").alias("receiver"), F.lit(1).cast("long").alias("weight__")), side)
+
+    def local(block: pa.Table) -> pa.Table:
+        node, to, order = _downward(block)
+        total = _totals(block, {}, to, order, node)
+        made, keep = _rim(block, to, order, side)
+        return made.append_column("total", pa.array([total[i] for i in keep], pa.int64()))
+
+    rim = cut(dealt.groupBy(*BLOCK).applyInArrow(local, _kinds(dealt, "total bigint")))
+    _refuse_cycles(rim)
+    given = rim.where("leaves").groupBy("survey", F.col("receiver").alias("node")).agg(F.sum("total").alias("total"))
+    entries = cut(_joined(rim.select(*BLOCK, "node", "up"), given))
+    sums = graph.subtree_sums(entries, ["survey"], "node", "up", F.col("total"))
+    inflow = cut(_joined(entries.select(*BLOCK, "node"), sums).select(*BLOCK, "node", "total"))
+
+    def ways(block: pa.Table, more: pa.Table) -> pa.Table:
+        """The cells that leave the block with their sizes, and its entries with the numbers and ends of their ways."""
+        sorted_ = block.sort_by("node")
+        known = dict(zip(more.column("node").to_pylist(), more.column("total").to_pylist()))
+        node, to, size, number, end = _numbered(sorted_, known) if block.num_rows else (np.zeros(0, np.int64), [], [], [], [])
+        leaves = [i for i, t in enumerate(to) if t == LEAVES]
+        enters = [i for i, n in enumerate(node.tolist()) if n in known]
+        keep, to_elsewhere = leaves + enters, sorted_.column("receiver").to_pylist()
+        made = sorted_.select([*BLOCK, "node"]).take(pa.array(keep, pa.int64()))
+        ends = [end[i] for i in keep]
+        return (
+            made.append_column("entry", pa.array([False] * len(leaves) + [True] * len(enters), pa.bool_()))
+            .append_column("receiver", pa.array([to_elsewhere[e] if to[e] == LEAVES else None for e in ends], pa.int64()))
+            .append_column("size", pa.array([size[i] for i in keep], pa.int64()))
+            .append_column("number", pa.array([number[i] for i in keep], pa.int64()))
+            .append_column("end", pa.array([int(node[e]) for e in ends], pa.int64()))
+        )
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in dealt.select(*BLOCK).dtypes) + ", node bigint, entry boolean, receiver bigint, size bigint, number bigint, end bigint"
+    way = cut(dealt.groupBy(*BLOCK).cogroup(inflow.groupBy(*BLOCK)).applyInArrow(ways, kinds))
+    brothers = Window.partitionBy("survey", "receiver").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # neighbours of one cell
+    starts = cut(way.where("NOT entry").withColumn("start", 1 + F.coalesce(F.sum("size").over(brothers), F.lit(0))).select(*BLOCK, "node", "receiver", "start"))
+    begun = starts.select(F.col("survey").alias("s__"), F.col("node").alias("k__"), "start")
+    placed = way.where("entry").join(begun, F.col("survey").eqNullSafe(F.col("s__")) & (F.col("end") == F.col("k__")), "left")
+    steps = placed.select("survey", "node", F.col("receiver").alias("up"), (F.col("number") + F.coalesce("start", F.lit(0))).alias("step"), F.col("end").alias("last"))
+    reached = graph.path_sums(steps, ["survey"]).select("survey", F.col("node").alias("receiver"), "step", "last")
+    handed = _joined(starts, reached, "receiver").select(*BLOCK, "node", (F.col("start") + F.col("step")).alias("total"), F.col("last").alias("root"))
+    told = inflow.withColumn("root", F.lit(None).cast("long")).unionByName(handed)
+
+    def whole(block: pa.Table, more: pa.Table) -> pa.Table:
+        sorted_ = block.sort_by("node")
+        rows = list(zip(more.column("node").to_pylist(), more.column("total").to_pylist(), more.column("root").to_pylist()))
+        node, to, size, number, end = _numbered(sorted_, {n: t for n, t, r in rows if r is None}) if block.num_rows else (np.zeros(0, np.int64), [], [], [], [])
+        beyond = {n: (t, r) for n, t, r in rows if r is not None}
+        bases = [beyond[int(node[e])] if to[e] == LEAVES else (0, int(node[e])) for e in end]
+        made = sorted_.select(["survey", "node", "receiver"]).append_column("root", pa.array([r for _, r in bases], pa.int64()))
+        made = made.append_column("first", pa.array([n + b for n, (b, _) in zip(number, bases)], pa.int64()))
+        return made.append_column("size", pa.array(size, pa.int64()))
+
+    fields = dealt.select("survey", "node", "receiver").schema.fields
+    shape = StructType([*fields, *(StructField(c, LongType()) for c in ("root", "first", "size"))])
+    return dealt.groupBy(*BLOCK).cogroup(told.groupBy(*BLOCK)).applyInArrow(whole, shape)

@@ -71,6 +71,19 @@ def marks_ahead(edges: DataFrame, keys: list[str]) -> DataFrame:
     raise ValueError("the receivers form a cycle")
 
 
+def path_sums(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + (node, step, last): of rows keys + (node, up, step, last), up null at an end, the sum of `step` on each node's path and the `last` of its end."""
+    now = _pointers(edges, keys, "node", "up", F.col("step"), F.col("last"))
+    for _ in range(now.count().bit_length() + 1):
+        live = now.where(F.col("up").isNotNull())
+        if live.isEmpty():
+            return now.select("at.*", "step", "last")
+        values = now.select(F.col("at").alias("up"), F.col("up").alias("next"), F.col("step").alias("more"), F.col("last").alias("further"))
+        moved = _onward(live, values).select("at", F.col("next").alias("up"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"), F.coalesce("further", "last").alias("last"))
+        now = cut(moved.unionByName(now.where(F.col("up").isNull())))
+    raise ValueError("the receivers form a cycle")
+
+
 #: Rows of one key from which on the key is salted; it also has to hold a hundredth of all rows, so there are a hundred such keys at most.
 HEAVY_ROWS = 1000
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.operators.hydrology import with_receiver
@@ -62,16 +62,41 @@ def scored(targets: DataFrame, cell_m2: float, max_slope: float = 8.0, min_ha: f
     return made.withColumn("score", 0.75 * F.col("drainage_score") + 0.25 * F.col("slope_score"))
 
 
-def overlaps(traced: DataFrame) -> DataFrame:
-    """(survey, site_a, site_b, iou) of catchments that share a cell.
+def spans(toured: DataFrame, starts: DataFrame) -> DataFrame:
+    """(survey, site, root, first, size): a site's catchment as intervals that are apart, one where its water leaves by one cell.
 
-    Cells that lie in the same catchments are counted together first; there are about as many such sets as sites, as
-    catchments are nested or apart, so pairs arise for each set and not for each cell.
+    `toured` is forest.tour, `starts` are (survey, node, site), many cells for a depression. Cells whose tree holds another of the same site's go.
     """
-    sets = traced.groupBy("survey", "node").agg(F.sort_array(F.collect_set("site")).alias("in")).groupBy("survey", "in").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sets.select("survey", F.explode("in").alias("site"), "n").groupBy("survey", "site").agg(F.sum("n").alias("n"))
-    pairs = F.flatten(F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b > a), lambda b: F.struct(a.alias("site_a"), b.alias("site_b")))))
-    common = sets.select("survey", F.explode(pairs).alias("p"), "n").groupBy("survey", F.col("p.site_a").alias("site_a"), F.col("p.site_b").alias("site_b")).agg(F.sum("n").alias("both"))
+    links = starts.join(toured, ["survey", "node"]).select("survey", "site", "node", "root", "first", "size", "receiver").distinct()
+    own = links.select("survey", "site", F.col("node").alias("receiver"), F.col("node").alias("below__"))
+    exits = links.join(own, ["survey", "site", "receiver"], "left").where(F.col("below__").isNull() | (F.col("below__") == F.col("node")))
+    before = Window.partitionBy("survey", "site", "root").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # the exits of one site
+    reach = F.max(F.col("first") + F.col("size")).over(before)
+    return exits.withColumn("reach__", reach).where(F.col("reach__").isNull() | (F.col("first") >= F.col("reach__"))).select("survey", "site", "root", "first", "size")
+
+
+def span_sizes(spanned: DataFrame) -> DataFrame:
+    """(survey, site, n): the cells of catchments given as intervals."""
+    return spanned.groupBy("survey", "site").agg(F.sum("size").alias("n"))
+
+
+def overlaps(spanned: DataFrame) -> DataFrame:
+    """(survey, site_a, site_b, iou) of catchments (see `spans`) that share a cell.
+
+    Intervals are nested or apart. They meet in blocks of numbers as long as the outer one, rounded up to a power of two, so an
+    interval asks once for each such length and not for every other one.
+    """
+    level = F.length(F.bin(F.col("size") - 1))
+    held = spanned.withColumn("level", level.cast("int")).withColumn("block", F.explode(F.expr("array_distinct(array(shiftright(first, level), shiftright(first + size - 1, level)))")))
+    outer = held.select("survey", "root", "level", "block", F.col("site").alias("outer"), F.col("first").alias("f__"), F.col("size").alias("n__"))
+    levels = held.select("survey", "root", "level").distinct()
+    asks = spanned.join(levels, ["survey", "root"]).where(F.col("level") >= level).withColumn("block", F.expr("shiftright(first, level)"))
+    met = asks.join(outer, ["survey", "root", "level", "block"])
+    inside = (F.col("first") >= F.col("f__")) & (F.col("first") < F.col("f__") + F.col("n__"))
+    once = (F.col("first") != F.col("f__")) | (F.col("site") < F.col("outer"))
+    pairs = met.where((F.col("site") != F.col("outer")) & inside & once).select("survey", F.least("site", "outer").alias("site_a"), F.greatest("site", "outer").alias("site_b"), "size")
+    common = pairs.groupBy("survey", "site_a", "site_b").agg(F.sum("size").alias("both"))
+    sizes = span_sizes(spanned)
     sized = common.join(sizes.select("survey", F.col("site").alias("site_a"), F.col("n").alias("na")), ["survey", "site_a"]).join(sizes.select("survey", F.col("site").alias("site_b"), F.col("n").alias("nb")), ["survey", "site_b"])
     return sized.select("survey", "site_a", "site_b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("iou"))
 
@@ -114,6 +139,35 @@ def select_sites(ranked: DataFrame, conflicts: DataFrame, k: int = 5) -> DataFra
     return ranked.join(taken, ["survey", "site"])
 
 
+def select_apart(ranked: DataFrame, spanned: DataFrame, resolution: float, min_distance_m: float = 100.0, limit: float = 0.8, k: int = 5) -> DataFrame:
+    """`select_sites` for catchments given as intervals: each round compares the sites left with the one just taken, so no pairs are kept.
+
+    Sites nearer than the distance go, and those whose intervals share at least `limit` of their union with the taken one's.
+    """
+    order = F.struct("score", -F.col("area_cells"), "row", "col", "site")
+    sized = spanned.join(span_sizes(spanned), ["survey", "site"])
+    left, sized, rounds = cut(ranked.select("survey", "site", order.alias("order__"))), cut(sized), []
+    for rank in range(1, k + 1):
+        best = cut(left.groupBy("survey").agg(F.min("order__").alias("b")).select("survey", F.col("b.site").alias("site"), F.col("b.row").alias("r__"), F.col("b.col").alias("c__")))
+        if best.isEmpty():
+            break
+        rounds.append(best.select("survey", "site", F.lit(rank).alias("rank")))
+        far = F.hypot(F.col("order__.row") - F.col("r__"), F.col("order__.col") - F.col("c__")) * resolution
+        near = left.join(best.drop("site"), "survey").where(far < min_distance_m).select("survey", "site")
+        of_best = best.join(sized, ["survey", "site"]).select("survey", "root", F.col("first").alias("f__"), F.col("size").alias("n__"), F.col("n").alias("all__"))
+        others = left.join(sized, ["survey", "site"]).join(of_best, ["survey", "root"])
+        shared = F.when((F.col("first") >= F.col("f__")) & (F.col("first") < F.col("f__") + F.col("n__")), F.col("size")).when((F.col("f__") >= F.col("first")) & (F.col("f__") < F.col("first") + F.col("size")), F.col("n__")).otherwise(0)
+        both = others.groupBy("survey", "site", "n", "all__").agg(F.sum(shared).alias("both"))
+        alike = both.where(F.col("both") / (F.col("n") + F.col("all__") - F.col("both")) >= limit).select("survey", "site")
+        left = cut(left.join(near.unionByName(alike).unionByName(best.select("survey", "site")).distinct(), ["survey", "site"], "left_anti"))
+    if not rounds:
+        return ranked.withColumn("rank", F.lit(1)).limit(0)
+    taken = rounds[0]
+    for more in rounds[1:]:
+        taken = taken.unionByName(more)
+    return ranked.join(taken, ["survey", "site"])
+
+
 def centre(sites: DataFrame) -> DataFrame:
     """One row: mean longitude and latitude of sites (lon, lat), where rain is asked for if no land is chosen; null without sites."""
     return sites.agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))

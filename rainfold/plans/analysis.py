@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainfold.operators import hydrology, rainfall, raster, sites, storage
+from rainfold.operators import forest, hydrology, rainfall, raster, sites, storage
 from rainfold.plans.store import cut
 
 
@@ -16,8 +16,8 @@ def rank_sites(cells: DataFrame, resolution: float, land: DataFrame | None = Non
     """The best k collection sites of every survey, from a raster and optional masks (survey, row, col).
 
     Targets are depressions and the ends and meetings of drainage lines. They are scored by contributing area and slope,
-    their catchments traced, and sites near a better one or with mostly the same catchment left out. The routing
-    sensitivity compares catchments on the filled and on the raw surface.
+    and sites near a better one or with mostly the same catchment left out, with catchments as intervals of a walk over the flow
+    forest. The routing sensitivity compares the chosen sites' catchments on the filled and on the raw surface.
     """
     flow = cut(hydrology.run_hydrology(cells, resolution))
     raw = cut(hydrology.run_hydrology(cells, resolution, fill=False))
@@ -36,14 +36,17 @@ def rank_sites(cells: DataFrame, resolution: float, land: DataFrame | None = Non
     named = cut(targets.withColumn("site", F.col("node") * 2 + (F.col("kind") == "outlet").cast("long")))
     inside = pools.select("survey", "component", F.col("node").alias("cell"))
     starts = named.join(inside, ["survey", "component"], "left").select("survey", F.coalesce("cell", "node").alias("node"), "site")
-    traced = cut(hydrology.trace_catchments(marked, starts))
+    spanned = cut(sites.spans(forest.tour(marked), starts))
+    spots = marked.select("survey", "node", "row", "col", "z", "slope_deg", "local_slope_deg", "edge_distance_m")
+    placed = named.join(spots, ["survey", "node"]).join(sites.span_sizes(spanned).withColumnRenamed("n", "area_cells"), ["survey", "site"])
+    ranked = cut(sites.scored(placed, resolution * resolution, max_slope))
+    chosen = cut(sites.select_apart(ranked, spanned, resolution, min_distance_m, k=k))
+    few = starts.join(chosen.select("survey", "site"), ["survey", "site"], "left_semi").select("survey", "node", "site")
+    traced = cut(hydrology.trace_catchments(marked, few))  # cells are listed for the k sites of a survey only
     areas = hydrology.catchment_areas(traced, marked, resolution)
-    placed = named.join(marked.select("survey", "node", "row", "col", "z", "slope_deg", "local_slope_deg", "edge_distance_m"), ["survey", "node"]).join(areas, ["survey", "site"])
-    ranked = cut(sites.scored(placed.withColumn("area_cells", F.col("cells")), resolution * resolution, max_slope))
-    chosen = sites.select_sites(ranked, sites.site_conflicts(ranked, sites.overlaps(traced), resolution, min_distance_m), k)
-    on_raw = hydrology.trace_catchments(raw, starts)
+    on_raw = hydrology.trace_catchments(raw, few)
     judged = sites.assessment(traced.select("survey", "node", "site"), on_raw.select("survey", "node", "site"), marked)
-    return chosen.join(judged.drop("boundary_truncated"), ["survey", "site"])
+    return chosen.join(areas, ["survey", "site"]).join(judged.drop("boundary_truncated"), ["survey", "site"])
 
 
 def number(data: dict, key: str, default: float | None, least: float, most: float) -> float:
