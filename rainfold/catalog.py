@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rainfold import catalog_sql as sql
 from rainfold.functions import geodesy, geometry, parsing
 from rainfold.operators import contours, forest, hydrology, interpolation, polygonize, rainfall, raster, sites, storage, surfaces
-from rainfold.plans.store import cut, table
-from rainfold.sources import readers
+from rainfold.plans.store import cut, new_path, table
+from rainfold.sources import contour_files, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 RESOLUTION = 10.0
@@ -107,6 +107,16 @@ def kml_round_trip(s: SparkSession, d: str) -> DataFrame:
     return back.select("o_custkey", "contour_id", "elevation", F.size("coordinates").cast("long").alias("points"), F.round(F.aggregate("coordinates", F.lit(0.0), lambda t, p: t + p["lon"] * 2 + p["lat"]), 6).alias("digest"))
 
 
+def contour_folder(s: SparkSession, d: str) -> DataFrame:
+    """Contours written as files for a hundred customers each, every other one an archive, and read by the data source."""
+    some = sound_contours(s, d).withColumn("file", F.floor(F.col("o_custkey") / 100).cast("long"))
+    folder = new_path(s, "contours")
+    contour_files.write(readers.kml_text(some, "file").withColumn("packed", F.col("file") % 2 == 1), folder, "file")
+    back = contour_files.read(s, folder)
+    file = F.regexp_extract("path", r"(\d+)\.km[lz]$", 1).cast("long")
+    return back.select(file.alias("file"), "entry", "contour_id", "elevation", F.size("coordinates").cast("long").alias("points"), F.round(F.aggregate("coordinates", F.lit(0.0), lambda t, p: t + p["lon"] * 2 + p["lat"]), 6).alias("digest"))
+
+
 def part_lands(s: SparkSession, d: str) -> DataFrame:
     """Nations as triangles over the raster of parts, some with a hole."""
     x, y = F.col("n_nationkey") * 12.0, F.col("n_nationkey") * 15.0
@@ -297,6 +307,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "contour_vertices": (lambda s, d: contours.vertices(sound_contours(s, d)), sql.CONTOUR_VERTICES),
     "contour_centre": (lambda s, d: rounded(contours.centre(sound_contours(s, d)), 6), sql.CONTOUR_CENTRE),
     "kml_round_trip": (kml_round_trip, sql.KML),
+    "contour_folder": (contour_folder, sql.CONTOUR_FOLDER),
     "utm_zone": (lambda s, d: points(s, d).select("id", geodesy.utm_zone(F.col("lon"), F.col("lat")).alias("zone"), geodesy.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg")), sql.UTM_ZONE),
     "utm_project": (lambda s, d: rounded(contours.project(points(s, d).withColumn("zone", geodesy.utm_zone(F.col("lon"), F.col("lat"))), F.col("zone"), F.col("lat") < 0).select("id", "x", "y"), 3), sql.utm_project()),
     "utm_round_trip": (lambda s, d: _utm_back(s, d), sql.UTM_BACK),

@@ -120,6 +120,7 @@ CONTOUR_VERTICES = f"WITH {_CONTOURS} SELECT contour_id, i::INTEGER AS seq, v[i
 CONTOUR_CENTRE = f"""WITH {_CONTOURS}, m AS (SELECT avg(p.lon) AS lon, avg(p.lat) AS lat FROM (SELECT unnest(v) AS p FROM sound)), z AS (SELECT *, (floor((lon + 180) / 6) + 1)::INTEGER AS zone FROM m)
 SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, 32600 + zone AS epsg, 'WGS 84 / UTM zone ' || zone || 'N' AS crs, 'metre' AS unit FROM z"""
 KML = f"WITH {_CONTOURS} SELECT o_custkey, contour_id, elevation, len(v)::BIGINT AS points, round(list_sum(list_transform(v, lambda p: p.lon * 2 + p.lat)), 6) AS digest FROM sound"
+CONTOUR_FOLDER = f"WITH {_CONTOURS} SELECT o_custkey // 100 AS file, CASE WHEN o_custkey // 100 % 2 = 1 THEN 'doc.kml' END AS entry, contour_id, elevation, len(v)::BIGINT AS points, round(list_sum(list_transform(v, lambda p: p.lon * 2 + p.lat)), 6) AS digest FROM sound"
 POINTS = "pts AS (SELECT c_custkey AS id, ((c_custkey * 37) % 360 - 180)::DOUBLE + 0.25::DOUBLE AS lon, ((c_custkey * 11) % 164 - 80)::DOUBLE + 0.5::DOUBLE AS lat FROM customer)"
 _ZONED = f"""{POINTS}, zoned AS (SELECT *, (CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat < 84 AND lon >= 0 AND lon < 42 THEN
   CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6) + 1 END)::INTEGER AS zone FROM pts)"""

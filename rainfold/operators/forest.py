@@ -213,7 +213,7 @@ def tour(cells: DataFrame, side: int = 512) -> DataFrame:
     inflow = cut(_joined(entries.select(*BLOCK, "node"), sums).select(*BLOCK, "node", "total"))
 
     def ways(block: pa.Table, more: pa.Table) -> pa.Table:
-        """The cells that leave the block with their sizes, and its entries with the numbers and ends of their ways."""
+        """Of a block that water crosses: the cells that leave it with their sizes, and its entries with the numbers and ends of their ways."""
         sorted_ = block.sort_by("node")
         known = dict(zip(more.column("node").to_pylist(), more.column("total").to_pylist()))
         node, to, size, number, end = _numbered(sorted_, known) if block.num_rows else (np.zeros(0, np.int64), [], [], [], [])
@@ -231,7 +231,9 @@ def tour(cells: DataFrame, side: int = 512) -> DataFrame:
         )
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in dealt.select(*BLOCK).dtypes) + ", node bigint, entry boolean, receiver bigint, size bigint, number bigint, end bigint"
-    way = cut(dealt.groupBy(*BLOCK).cogroup(inflow.groupBy(*BLOCK)).applyInArrow(ways, kinds))
+    crossed = rim.where("leaves").select(*BLOCK).unionByName(inflow.select(*BLOCK)).distinct()
+    some = dealt.join(crossed.withColumnsRenamed({b: f"x_{b}" for b in BLOCK}), [F.col(b).eqNullSafe(F.col(f"x_{b}")) for b in BLOCK], "left_semi")
+    way = cut(some.groupBy(*BLOCK).cogroup(inflow.groupBy(*BLOCK)).applyInArrow(ways, kinds))
     brothers = Window.partitionBy("survey", "receiver").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # neighbours of one cell
     starts = cut(way.where("NOT entry").withColumn("start", 1 + F.coalesce(F.sum("size").over(brothers), F.lit(0))).select(*BLOCK, "node", "receiver", "start"))
     begun = starts.select(F.col("survey").alias("s__"), F.col("node").alias("k__"), "start")

@@ -1,14 +1,10 @@
-"""Readers of contour, map, rain and land files as DataFrames; writers for rasters and responses."""
+"""Readers of contours, maps, rain and land as DataFrames, of contour files see `contour_files`; writers for rasters and responses."""
 
 from __future__ import annotations
 
 import hashlib
-import io
 import json
-import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,30 +46,6 @@ def contours(documents: DataFrame, xml: str = "xml") -> DataFrame:
     return made.where(F.col("elevation").isNotNull() & (F.size("coordinates") > 0)).drop("mark")
 
 
-def _kml_of_kmz(content: bytes) -> str | None:
-    """The text of doc.kml, or else of the first .kml entry, of a zip file; null if there is none."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as box:
-            names = [n for n in box.namelist() if n.lower().endswith(".kml")]
-            chosen = next((n for n in names if n.lower() == "doc.kml"), names[0] if names else None)
-            return box.read(chosen).decode("utf-8", "replace") if chosen else None
-    except zipfile.BadZipFile:
-        return None
-
-
-def read_contours(spark: SparkSession, path: str) -> DataFrame:
-    """(path, idx, contour_id, elevation, coordinates) of all .kml and .kmz files under a path; other files raise an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    known = files.withColumn("kind", F.when(kind.isin("kml", "kmz"), kind).otherwise(F.raise_error(F.format_string("unknown kind of file: %s", F.col("path"))).cast("string")))
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "xml": [_kml_of_kmz(c) if k == "kmz" else bytes(c).decode("utf-8", "replace") for c, k in zip(b["content"], b["kind"], strict=True)]})
-
-    return contours(known.mapInPandas(unpack, "path string, xml string"))
-
-
 def kml_text(contour_rows: DataFrame, by: str) -> DataFrame:
     """(by, xml): contours (contour_id, elevation, coordinates) written as one KML document for each value of `by`."""
     pairs = F.array_join(F.transform("coordinates", lambda p: F.concat_ws(",", p["lon"].cast("string"), p["lat"].cast("string"), F.lit("0"))), " ")

@@ -13,7 +13,7 @@ from rainfold import catalog
 from rainfold.functions import geometry, parsing
 from rainfold.operators import contours, graph, hydrology, rainfall, raster, sites, storage, surfaces
 from rainfold.plans import analysis
-from rainfold.sources import readers
+from rainfold.sources import contour_files, readers
 from rainfold.streaming import rain
 
 
@@ -242,7 +242,7 @@ def test_kml_and_kmz(spark, tmp_path):
         z.writestr("x.kml", "<kml/>")
         z.writestr("doc.kml", KML.replace("275", "-3"))
     (tmp_path / "b.kmz").write_bytes(box.getvalue())
-    got = {(r["path"][-5:], r["idx"]): (r["contour_id"], r["elevation"], len(r["coordinates"])) for r in readers.read_contours(spark, str(tmp_path)).collect()}
+    got = {(r["path"][-5:], r["idx"]): (r["contour_id"], r["elevation"], len(r["coordinates"])) for r in contour_files.read(spark, str(tmp_path)).collect()}
     assert got == {("a.kml", 0): (12, 270.5, 2), ("a.kml", 2): (2, 275.0, 2), ("b.kmz", 0): (12, 270.5, 2), ("b.kmz", 2): (2, -3.0, 2)}
 
 
