@@ -8,19 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.operators import graph
+from rainfold.operators.noding import ENDS, noded
 from rainfold.plans.store import cut
 
-#: Half-edges of a line work, in the order of their columns.
-ENDS = ("x0", "y0", "x1", "y1")
-
 
 def half_edges(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys + (x0, y0, x1, y1): each stretch between two vertices of `line` ARRAY<STRUCT<x, y>> once in either direction."""
+    """keys + (x0, y0, x1, y1): each stretch between two vertices of `line` ARRAY<STRUCT<x, y>> once in either direction, split where lines meet."""
     last = F.size("line") - 1
     pair = F.zip_with(F.slice("line", 1, F.greatest(last, F.lit(0))), F.slice("line", 2, F.greatest(last, F.lit(0))), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
-    one = lines.select(*keys, F.explode(pair).alias("e")).select(*keys, "e.*").where("x0 <> x1 OR y0 <> y1")
+    one = noded(lines.select(*keys, F.explode(pair).alias("e")).select(*keys, "e.*"), keys)
     back = one.select(*keys, F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
-    return one.unionByName(back).distinct()
+    return one.unionByName(back)
 
 
 def faces(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +26,7 @@ def faces(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     Bounded faces have positive area, the outside of each connected part a negative one. From the end of a half-edge a
     face goes on by the first way clockwise from where it came; see `graph.rings`.
-    `loose` counts half-edges with the same face on either side: dead ends and bridges. Lines meet at their vertices.
+    `loose` counts half-edges with the same face on either side: dead ends and bridges. Lines that cross are split there; see `noding`.
     """
     edges = cut(half_edges(lines, keys))
     onward = edges.select(*[F.col(k).alias(f"n_{k}") for k in keys], *[F.col(c).alias(f"n{c}") for c in ENDS])
