@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from rainfold.operators import graph
-from rainfold.plans.store import cut
+from rainfold.operators import blocks, graph
+from rainfold.plans.store import apart, cut
 
 ENDS, LEAVES = -2, -1
 BLOCK = ("survey", "br__", "bc__")
@@ -25,13 +25,21 @@ def _dealt(cells: DataFrame, side: int) -> DataFrame:
     return cells.withColumns({b: F.floor(F.col(c) / side).cast("long") for c, b in (("row", "br__"), ("col", "bc__"))})
 
 
-def _downward(block: pa.Table) -> tuple[np.ndarray, list[int], list[int]]:
-    """Of a block's cells: their numbers, the place of each one's receiver in the block (ENDS: none, LEAVES: elsewhere), and an order from above to below without cells on cycles."""
+def _keys(block: pa.Table, number: np.ndarray, more: pa.Table | None = None, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Numbers that tell cells of all blocks of a call apart: of a block's nodes, of their receivers if these lie in the same block, and of the nodes of `more`."""
     node, receiver = (block.column(c).to_numpy().astype(np.int64) for c in ("node", "receiver"))
-    order = np.argsort(node, kind="stable")
-    spot = np.minimum(np.searchsorted(node[order], receiver), len(node) - 1)
-    onward = np.where(receiver == node, ENDS, np.where(node[order][spot] == receiver, order[spot], LEAVES))
-    waits = np.bincount(onward[onward >= 0], minlength=len(node)).tolist()
+    named = more.column("node").to_numpy().astype(np.int64) if more is not None else np.zeros(0, np.int64)
+    every = np.concatenate([node, receiver, named, [0]])
+    low, span = every.min(), every.max() - every.min() + 1
+    return number * span + node - low, number * span + receiver - low, (of * span + named - low).tolist() if of is not None else []
+
+
+def _downward(key: np.ndarray, receiver: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of cells and receivers by `_keys`: the place of each one's receiver in its block (ENDS: none, LEAVES: elsewhere), and an order from above to below without cells on cycles."""
+    order = np.argsort(key, kind="stable")
+    spot = np.minimum(np.searchsorted(key[order], receiver), len(key) - 1)
+    onward = np.where(receiver == key, ENDS, np.where(key[order][spot] == receiver, order[spot], LEAVES))
+    waits = np.bincount(onward[onward >= 0], minlength=len(key)).tolist()
     to, free = onward.tolist(), np.flatnonzero(np.array(waits) == 0).tolist()
     for i in free:  # grows while it is read
         n = to[i]
@@ -39,7 +47,7 @@ def _downward(block: pa.Table) -> tuple[np.ndarray, list[int], list[int]]:
             waits[n] -= 1
             if waits[n] == 0:
                 free.append(n)
-    return node, to, free
+    return to, free
 
 
 def _ends(receiver: list[int], to: list[int], order: list[int]) -> list[int | None]:
@@ -62,10 +70,10 @@ def _rim(block: pa.Table, to: list[int], order: list[int], side: int) -> tuple[p
     return made.append_column("up", pa.array([ends[i] for i in keep], pa.int64())), keep
 
 
-def _totals(block: pa.Table, inflow: dict[int, int], to: list[int], order: list[int], node: np.ndarray) -> list[int]:
+def _totals(block: pa.Table, inflow: dict[int, int], to: list[int], order: list[int], key: np.ndarray) -> list[int]:
     total = block.column("weight__").to_pylist()
     if inflow:
-        for i, n in enumerate(node.tolist()):
+        for i, n in enumerate(key.tolist()):
             total[i] += inflow.get(n, 0)
     for i in order:
         if to[i] >= 0:
@@ -73,15 +81,15 @@ def _totals(block: pa.Table, inflow: dict[int, int], to: list[int], order: list[
     return total
 
 
-def _met(marks: pa.Table, node: np.ndarray, to: list[int], order: list[int]) -> list[frozenset]:
+def _met(marks: pa.Table, named: list[int], key: np.ndarray, to: list[int], order: list[int]) -> list[frozenset]:
     """The marks on each cell's way, itself included; cells without marks of their own share the set below them."""
     own: dict[int, set] = {}
-    for n, some in zip(marks.column("node").to_pylist(), marks.column("met").to_pylist()):
+    for n, some in zip(named, marks.column("met").to_pylist()):
         own.setdefault(n, set()).update(some)
     out, none = [frozenset()] * len(to), frozenset()
     for i in reversed(order):
         below = out[to[i]] if to[i] >= 0 else none
-        mine = own.get(int(node[i])) if own else None
+        mine = own.get(int(key[i])) if own else None
         out[i] = below | mine if mine else below
     return out
 
@@ -89,7 +97,7 @@ def _met(marks: pa.Table, node: np.ndarray, to: list[int], order: list[int]) ->
 def _joined(rows: DataFrame, values: DataFrame, key: str = "node") -> DataFrame:
     """rows + what `values` hold for their survey, which may be null, and key."""
     other = values.withColumnsRenamed({"survey": "s__", key: "k__"})
-    return rows.join(other, F.col("survey").eqNullSafe(F.col("s__")) & (F.col(key) == F.col("k__"))).drop("s__", "k__")
+    return rows.join(apart(other), F.col("survey").eqNullSafe(F.col("s__")) & (F.col(key) == F.col("k__"))).drop("s__", "k__")
 
 
 def _kinds(cells: DataFrame, *more: str) -> str:
@@ -103,32 +111,34 @@ def _refuse_cycles(rim: DataFrame) -> None:
 
 def accumulation(cells: DataFrame, weight: str, name: str, side: int = 512) -> DataFrame:
     """cells + the sum of `weight`, whole numbers, over a cell and everything that drains to it. A cycle raises a ValueError."""
-    dealt = _dealt(cells.withColumn("weight__", F.col(weight).cast("long")), side)
+    dealt, count = _dealt(cells.withColumn("weight__", F.col(weight).cast("long")), side), cells.count()
 
-    def first(block: pa.Table) -> pa.Table:
-        node, to, order = _downward(block)
-        total = _totals(block, {}, to, order, node)
+    def first(block: pa.Table, number: np.ndarray) -> pa.Table:
+        key, receiver, _ = _keys(block, number)
+        to, order = _downward(key, receiver)
+        total = _totals(block, {}, to, order, key)
         made, keep = _rim(block, to, order, side)
         return made.append_column("total", pa.array([total[i] for i in keep], pa.int64()))
 
     slim = dealt.select(*BLOCK, "row", "col", "node", "receiver", "weight__")
-    rim = cut(slim.groupBy(*BLOCK).applyInArrow(first, _kinds(slim, "total bigint")))
+    rim = cut(blocks.apply(slim, BLOCK, count, first, _kinds(slim, "total bigint")))
     _refuse_cycles(rim)
     given = rim.where("leaves").groupBy("survey", F.col("receiver").alias("node")).agg(F.sum("total").alias("total"))
     entries = cut(_joined(rim.select(*BLOCK, "node", "up"), given))
     sums = graph.subtree_sums(entries, ["survey"], "node", "up", F.col("total"))
     inflow = _joined(entries.select(*BLOCK, "node"), sums).select(*BLOCK, "node", "total")
 
-    def second(block: pa.Table, more: pa.Table) -> pa.Table:
+    def second(block: pa.Table, number: np.ndarray, more: pa.Table, of: np.ndarray) -> pa.Table:
         kept = block.drop_columns(["br__", "bc__", "weight__"])
         if not block.num_rows:
             return kept.append_column(name, pa.array([], pa.int64()))
-        node, to, order = _downward(block)
-        known = dict(zip(more.column("node").to_pylist(), more.column("total").to_pylist()))
-        return kept.append_column(name, pa.array(_totals(block, known, to, order, node), pa.int64()))
+        key, receiver, named = _keys(block, number, more, of)
+        to, order = _downward(key, receiver)
+        known = dict(zip(named, more.column("total").to_pylist()))
+        return kept.append_column(name, pa.array(_totals(block, known, to, order, key), pa.int64()))
 
     shape = StructType([*cells.schema.fields, StructField(name, LongType())])
-    return dealt.groupBy(*BLOCK).cogroup(inflow.groupBy(*BLOCK)).applyInArrow(second, shape)
+    return blocks.coapply(dealt, inflow, BLOCK, count, second, shape)
 
 
 def marks_below(cells: DataFrame, targets: DataFrame, target: str, side: int = 512) -> DataFrame:
@@ -136,49 +146,51 @@ def marks_below(cells: DataFrame, targets: DataFrame, target: str, side: int = 5
 
     Targets are (survey, node, target); those on no cell and repeated ones change nothing. A cycle raises a ValueError.
     """
-    dealt = _dealt(cells.select("survey", "row", "col", "node", "receiver"), side)
+    dealt, count = _dealt(cells.select("survey", "row", "col", "node", "receiver"), side), cells.count()
     sets = targets.groupBy("survey", "node").agg(F.collect_set(target).alias("met"))
     marks = cut(_joined(dealt.select(*BLOCK, "node"), sets).select(*BLOCK, "node", "met"))
     kind = targets.schema[target].dataType
     many = pa.list_(to_arrow_type(kind))
 
-    def first(block: pa.Table, some: pa.Table) -> pa.Table:
+    def first(block: pa.Table, number: np.ndarray, some: pa.Table, of: np.ndarray) -> pa.Table:
         if not block.num_rows:
             return _rim(block, [], [], side)[0].append_column("met", pa.array([], many))
-        node, to, order = _downward(block)
-        met = _met(some, node, to, order)
+        key, receiver, named = _keys(block, number, some, of)
+        to, order = _downward(key, receiver)
+        met = _met(some, named, key, to, order)
         made, keep = _rim(block, to, order, side)
         return made.append_column("met", pa.array([list(met[i]) for i in keep], many))
 
-    rim = cut(dealt.groupBy(*BLOCK).cogroup(marks.groupBy(*BLOCK)).applyInArrow(first, _kinds(dealt, f"met array<{kind.simpleString()}>")))
+    rim = cut(blocks.coapply(dealt, marks, BLOCK, count, first, _kinds(dealt, f"met array<{kind.simpleString()}>")))
     _refuse_cycles(rim)
     asked = rim.where("leaves").select("survey", F.col("receiver").alias("node")).distinct()
     entries = _joined(rim, asked).select("survey", "node", "up", "met")
     found = graph.marks_ahead(entries, ["survey"]).select("survey", F.col("node").alias("receiver"), "met").where(F.size("met") > 0)
     later = _joined(rim.where("leaves").select(*BLOCK, "node", "receiver"), found, "receiver").select(*BLOCK, "node", "met")
 
-    def second(block: pa.Table, some: pa.Table) -> pa.Table:
+    def second(block: pa.Table, number: np.ndarray, some: pa.Table, of: np.ndarray) -> pa.Table:
         if not block.num_rows:
             return block.select(["survey", "node"]).append_column("met", pa.array([], many))
-        node, to, order = _downward(block)
-        met = _met(some, node, to, order)
+        key, receiver, named = _keys(block, number, some, of)
+        to, order = _downward(key, receiver)
+        met = _met(some, named, key, to, order)
         keep = [i for i, m in enumerate(met) if m]
         made = block.select(["survey", "node"]).take(pa.array(keep, pa.int64()))
         return made.append_column("met", pa.array([list(met[i]) for i in keep], many))
 
     fields = dealt.select("survey", "node").schema.fields
-    done = dealt.groupBy(*BLOCK).cogroup(marks.unionByName(later).groupBy(*BLOCK)).applyInArrow(second, StructType([*fields, StructField("met", ArrayType(kind))]))
+    done = blocks.coapply(dealt, marks.unionByName(later), BLOCK, count, second, StructType([*fields, StructField("met", ArrayType(kind))]))
     return done.select("survey", "node", F.explode("met").alias(target))
 
 
-def _numbered(block: pa.Table, inflow: dict[int, int]) -> tuple[np.ndarray, list[int], list[int], list[int], list[int]]:
-    """Of a block sorted by node: the nodes, onward places, sizes of subtrees, numbers from the end of each cell's way within the block, and these ends.
+def _numbered(block: pa.Table, key: np.ndarray, receiver: np.ndarray, inflow: dict[int, int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of blocks sorted by key, with keys of cells and receivers: onward places, sizes of subtrees, numbers from the end of each cell's way within its block, and these ends.
 
     The cells that drain into one are numbered behind it: first those of other blocks, then its own, the order of its block's walk.
     """
-    node, to, order = _downward(block)
-    size = _totals(block, inflow, to, order, node)
-    free = [1 + inflow.get(n, 0) for n in node.tolist()]
+    to, order = _downward(key, receiver)
+    size = _totals(block, inflow, to, order, key)
+    free = [1 + inflow.get(n, 0) for n in key.tolist()]
     number, end = [0] * len(to), list(range(len(to)))
     for i in order:
         if to[i] >= 0:
@@ -188,7 +200,7 @@ def _numbered(block: pa.Table, inflow: dict[int, int]) -> tuple[np.ndarray, list
         if to[i] >= 0:
             number[i] += number[to[i]]
             end[i] = end[to[i]]
-    return node, to, size, number, end
+    return to, size, number, end
 
 
 def tour(cells: DataFrame, side: int = 512) -> DataFrame:
@@ -198,61 +210,69 @@ def tour(cells: DataFrame, side: int = 512) -> DataFrame:
     Subtrees of other blocks are placed by the rows on borders alone; see `accumulation` for the two levels. A cycle raises a ValueError.
     """
     dealt = _dealt(cells.select("survey", "row", "col", F.col("node").cast("long").alias("node"), F.col("receiver").cast("long").alias("receiver"), F.lit(1).cast("long").alias("weight__")), side)
+    count = cells.count()
 
-    def local(block: pa.Table) -> pa.Table:
-        node, to, order = _downward(block)
-        total = _totals(block, {}, to, order, node)
+    def local(block: pa.Table, number: np.ndarray) -> pa.Table:
+        key, receiver, _ = _keys(block, number)
+        to, order = _downward(key, receiver)
+        total = _totals(block, {}, to, order, key)
         made, keep = _rim(block, to, order, side)
         return made.append_column("total", pa.array([total[i] for i in keep], pa.int64()))
 
-    rim = cut(dealt.groupBy(*BLOCK).applyInArrow(local, _kinds(dealt, "total bigint")))
+    rim = cut(blocks.apply(dealt, BLOCK, count, local, _kinds(dealt, "total bigint")))
     _refuse_cycles(rim)
     given = rim.where("leaves").groupBy("survey", F.col("receiver").alias("node")).agg(F.sum("total").alias("total"))
     entries = cut(_joined(rim.select(*BLOCK, "node", "up"), given))
     sums = graph.subtree_sums(entries, ["survey"], "node", "up", F.col("total"))
     inflow = cut(_joined(entries.select(*BLOCK, "node"), sums).select(*BLOCK, "node", "total"))
 
-    def ways(block: pa.Table, more: pa.Table) -> pa.Table:
-        """Of a block that water crosses: the cells that leave it with their sizes, and its entries with the numbers and ends of their ways."""
-        sorted_ = block.sort_by("node")
-        known = dict(zip(more.column("node").to_pylist(), more.column("total").to_pylist()))
-        node, to, size, number, end = _numbered(sorted_, known) if block.num_rows else (np.zeros(0, np.int64), [], [], [], [])
+    def sorted_(block: pa.Table, of: np.ndarray, more: pa.Table, of_more: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray, list[int]]:
+        """Blocks by key, with keys of cells, receivers and the nodes of `more`."""
+        key, receiver, named = _keys(block, of, more, of_more)
+        order = np.argsort(key)
+        return block.take(pa.array(order, pa.int64())), key[order], receiver[order], named
+
+    def ways(block: pa.Table, of: np.ndarray, more: pa.Table, of_more: np.ndarray) -> pa.Table:
+        """Of blocks that water crosses: the cells that leave one with their sizes, and its entries with the numbers and ends of their ways."""
+        block, key, receiver, named = sorted_(block, of, more, of_more)
+        known = dict(zip(named, more.column("total").to_pylist()))
+        to, size, number, end = _numbered(block, key, receiver, known) if block.num_rows else ([], [], [], [])
         leaves = [i for i, t in enumerate(to) if t == LEAVES]
-        enters = [i for i, n in enumerate(node.tolist()) if n in known]
-        keep, to_elsewhere = leaves + enters, sorted_.column("receiver").to_pylist()
-        made = sorted_.select([*BLOCK, "node"]).take(pa.array(keep, pa.int64()))
+        enters = [i for i, n in enumerate(key.tolist()) if n in known]
+        keep, node, to_elsewhere = leaves + enters, block.column("node").to_pylist(), block.column("receiver").to_pylist()
+        made = block.select([*BLOCK, "node"]).take(pa.array(keep, pa.int64()))
         ends = [end[i] for i in keep]
         return (
             made.append_column("entry", pa.array([False] * len(leaves) + [True] * len(enters), pa.bool_()))
             .append_column("receiver", pa.array([to_elsewhere[e] if to[e] == LEAVES else None for e in ends], pa.int64()))
             .append_column("size", pa.array([size[i] for i in keep], pa.int64()))
             .append_column("number", pa.array([number[i] for i in keep], pa.int64()))
-            .append_column("end", pa.array([int(node[e]) for e in ends], pa.int64()))
+            .append_column("end", pa.array([node[e] for e in ends], pa.int64()))
         )
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in dealt.select(*BLOCK).dtypes) + ", node bigint, entry boolean, receiver bigint, size bigint, number bigint, end bigint"
     crossed = rim.where("leaves").select(*BLOCK).unionByName(inflow.select(*BLOCK)).distinct()
-    some = dealt.join(crossed.withColumnsRenamed({b: f"x_{b}" for b in BLOCK}), [F.col(b).eqNullSafe(F.col(f"x_{b}")) for b in BLOCK], "left_semi")
-    way = cut(some.groupBy(*BLOCK).cogroup(inflow.groupBy(*BLOCK)).applyInArrow(ways, kinds))
+    some = dealt.join(apart(crossed.withColumnsRenamed({b: f"x_{b}" for b in BLOCK})), [F.col(b).eqNullSafe(F.col(f"x_{b}")) for b in BLOCK], "left_semi")
+    way = cut(blocks.coapply(some, inflow, BLOCK, count, ways, kinds))
     brothers = Window.partitionBy("survey", "receiver").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # neighbours of one cell
     starts = cut(way.where("NOT entry").withColumn("start", 1 + F.coalesce(F.sum("size").over(brothers), F.lit(0))).select(*BLOCK, "node", "receiver", "start"))
     begun = starts.select(F.col("survey").alias("s__"), F.col("node").alias("k__"), "start")
-    placed = way.where("entry").join(begun, F.col("survey").eqNullSafe(F.col("s__")) & (F.col("end") == F.col("k__")), "left")
+    placed = way.where("entry").join(apart(begun), F.col("survey").eqNullSafe(F.col("s__")) & (F.col("end") == F.col("k__")), "left")
     steps = placed.select("survey", "node", F.col("receiver").alias("up"), (F.col("number") + F.coalesce("start", F.lit(0))).alias("step"), F.col("end").alias("last"))
     reached = graph.path_sums(steps, ["survey"]).select("survey", F.col("node").alias("receiver"), "step", "last")
     handed = _joined(starts, reached, "receiver").select(*BLOCK, "node", (F.col("start") + F.col("step")).alias("total"), F.col("last").alias("root"))
     told = inflow.withColumn("root", F.lit(None).cast("long")).unionByName(handed)
 
-    def whole(block: pa.Table, more: pa.Table) -> pa.Table:
-        sorted_ = block.sort_by("node")
-        rows = list(zip(more.column("node").to_pylist(), more.column("total").to_pylist(), more.column("root").to_pylist()))
-        node, to, size, number, end = _numbered(sorted_, {n: t for n, t, r in rows if r is None}) if block.num_rows else (np.zeros(0, np.int64), [], [], [], [])
-        beyond = {n: (t, r) for n, t, r in rows if r is not None}
-        bases = [beyond[int(node[e])] if to[e] == LEAVES else (0, int(node[e])) for e in end]
-        made = sorted_.select(["survey", "node", "receiver"]).append_column("root", pa.array([r for _, r in bases], pa.int64()))
+    def whole(block: pa.Table, of: np.ndarray, more: pa.Table, of_more: np.ndarray) -> pa.Table:
+        block, key, receiver, named = sorted_(block, of, more, of_more)
+        rows = list(zip(named, more.column("total").to_pylist(), more.column("root").to_pylist()))
+        to, size, number, end = _numbered(block, key, receiver, {n: t for n, t, r in rows if r is None}) if block.num_rows else ([], [], [], [])
+        beyond, node = {n: (t, r) for n, t, r in rows if r is not None}, block.column("node").to_pylist()
+        bases = [beyond[int(key[e])] if to[e] == LEAVES else (0, node[e]) for e in end]
+        made = block.select(["survey", "node", "receiver"]).append_column("root", pa.array([r for _, r in bases], pa.int64()))
         made = made.append_column("first", pa.array([n + b for n, (b, _) in zip(number, bases)], pa.int64()))
         return made.append_column("size", pa.array(size, pa.int64()))
 
     fields = dealt.select("survey", "node", "receiver").schema.fields
     shape = StructType([*fields, *(StructField(c, LongType()) for c in ("root", "first", "size"))])
-    return dealt.groupBy(*BLOCK).cogroup(told.groupBy(*BLOCK)).applyInArrow(whole, shape)
+    return blocks.coapply(dealt, told, BLOCK, count, whole, shape)

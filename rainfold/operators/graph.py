@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.plans.store import cut
+from rainfold.operators import blocks
+from rainfold.plans.store import apart, cut
 
 
 def _pointers(edges: DataFrame, keys: list[str], node: str, receiver: str, *columns: Column) -> DataFrame:
@@ -19,7 +20,7 @@ def _pointers(edges: DataFrame, keys: list[str], node: str, receiver: str, *colu
 def _onward(live: DataFrame, values: DataFrame) -> DataFrame:
     """Rows with an `up` + what `values` (up, next, ...) hold for it; on long rivers most rows ask for few nodes, so these are salted."""
     counts = cut(live.groupBy("up").agg(F.count(F.lit(1)).alias("n__")))
-    return salted_join(live, values, "up", counts, "left")
+    return salted_join(live, values, "up", counts, "left", cells=True)
 
 
 def subtree_sums(edges: DataFrame, keys: list[str], node: str, receiver: str, weight: Column) -> DataFrame:
@@ -37,7 +38,7 @@ def subtree_sums(edges: DataFrame, keys: list[str], node: str, receiver: str, we
         given = live.groupBy(F.col("up").alias("at")).agg(F.sum("total").alias("more"))
         moved = _onward(live, now.select(F.col("at").alias("up"), F.col("up").alias("next"))).select("at", F.col("next").alias("up"), "total")
         both = moved.unionByName(now.where(F.col("up").isNull()))
-        now = cut(both.join(given, "at", "left").select("at", "up", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
+        now = cut(both.join(apart(given), "at", "left").select("at", "up", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
     raise ValueError("the receivers form a cycle")
 
 
@@ -54,7 +55,7 @@ def ring_order(step: DataFrame, keys: list[str], node: str, onward: str) -> Data
             last = now.groupBy(*keys).agg(F.max("left").alias("most__"))
             return now.join(last, keys).select(*keys, "node", (F.col("most__") - F.col("left")).alias("place"))
         further = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("left").alias("more"))
-        now = cut(now.join(further, [*keys, "up"], "left").select(*keys, "node", F.col("next").alias("up"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        now = cut(now.join(apart(further), [*keys, "up"], "left").select(*keys, "node", F.col("next").alias("up"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
     raise ValueError("the steps are no closed rings")
 
 
@@ -86,25 +87,28 @@ def path_sums(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Rows of one key from which on the key is salted; it also has to hold a hundredth of all rows, so there are a hundred such keys at most.
 HEAVY_ROWS = 1000
+#: Rows up to which the planner may take a table of cells for small by its files.
+FEW_ROWS = 100_000
 
 
-def salted_join(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame, how: str = "inner", cells: bool = False) -> DataFrame:
     """rows joined with `values`, of which each key has few; `counts` are (key, n__): about how many of `rows` have a key.
 
     Rows of heavy keys are dealt over salts by their hash and meet a copy of the key's value in each, so no task gets all
-    rows of one key. `counts` is read by a job of its own and so should be cheap.
+    rows of one key. `counts` is read by a job of its own and so should be cheap. With `cells` the values of many rows are never
+    broadcast, see `apart`.
     """
     most, total = counts.agg(F.max("n__"), F.sum("n__")).first()
-    limit = max(HEAVY_ROWS, int(total or 0) // 100)
+    limit, many = max(HEAVY_ROWS, int(total or 0) // 100), cells and int(total or 0) > FEW_ROWS
     if int(most or 0) <= limit:
-        return rows.join(values, key, how)
+        return rows.join(apart(values) if many else values, key, how)
     salts = 2 * -(-int(most) // limit)
     heavy = F.broadcast(counts.where(F.col("n__") > limit).select(key, F.lit(True).alias("heavy__")))  # 100 rows at most
     every = F.when(F.col("heavy__"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = values.join(heavy, key, "left").withColumn("salt__", F.explode(every)).drop("heavy__")
     salt = F.when(F.col("heavy__"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
     dealt = rows.join(heavy, key, "left").withColumn("salt__", salt).drop("heavy__")
-    return dealt.join(spread, [key, "salt__"], how).drop("salt__")
+    return dealt.join(apart(spread) if many else spread, [key, "salt__"], how).drop("salt__")
 
 
 def _degrees(pairs: DataFrame, rows: int) -> DataFrame:
@@ -193,13 +197,13 @@ def rings(step: DataFrame, keys: list[str], px: str, py: str) -> DataFrame:
     return cut(least.select(F.concat(F.slice("nodes", F.col("from__"), F.size("nodes")), F.slice("nodes", F.lit(1), F.col("from__") - 1)).alias("nodes")))
 
 
-def labelled(block: pa.Table, diagonal: bool) -> pa.Table:
-    """The block's cells with the least cell of their connected part within the block."""
+def labelled(block: pa.Table, number: np.ndarray, diagonal: bool) -> pa.Table:
+    """The cells of blocks with these numbers with the least cell of their connected part within their block."""
     row, col = (block.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
+    order = np.lexsort((col, row, number))
+    row, col, number = row[order], col[order], number[order]
     start = np.ones(len(row), bool)  # runs of cells in a row
-    start[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
+    start[1:] = (number[1:] != number[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
     run = np.cumsum(start) - 1
     first = np.flatnonzero(start)
     last = np.append(first[1:], len(row)) - 1
@@ -211,7 +215,9 @@ def labelled(block: pa.Table, diagonal: bool) -> pa.Table:
             i = up[i]
         return i
 
-    rows, begin, end = row[first].tolist(), col[first].tolist(), col[last].tolist()
+    low = int(row.min()) if len(row) else 0
+    rows = (number * (int(row.max()) - low + 3) + row - low if len(row) else row)[first].tolist()  # blocks one behind the other
+    begin, end = col[first].tolist(), col[last].tolist()
     reach, below = int(diagonal), 0
     for i, r in enumerate(rows):
         while rows[below] < r - 1 or (rows[below] == r - 1 and end[below] < begin[i] - reach):
@@ -234,16 +240,16 @@ def grid_components(cells: DataFrame, diagonal: bool, side: int = 512) -> DataFr
     kind = dict(cells.dtypes)["survey"]
     dealt = cells.select("survey", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     dealt = dealt.withColumns({"br__": F.floor(F.col("row") / side).cast("long"), "bc__": F.floor(F.col("col") / side).cast("long")})
-    local = cut(dealt.groupBy("survey", "br__", "bc__").applyInArrow(lambda t: labelled(t, diagonal), f"survey {kind}, row bigint, col bigint, br__ bigint, bc__ bigint, crow bigint, ccol bigint"))
+    local = cut(blocks.apply(dealt, ["survey", "br__", "bc__"], cells.count(), lambda t, number: labelled(t, number, diagonal), f"survey {kind}, row bigint, col bigint, br__ bigint, bc__ bigint, crow bigint, ccol bigint"))
     label = F.struct("survey", "crow", "ccol")
     rim = local.where(F.pmod("row", F.lit(side)).isin(0, side - 1) | F.pmod("col", F.lit(side)).isin(0, side - 1)).withColumn("label", label)
     moves = [(0, 1), (1, 0), (1, 1), (1, -1)] if diagonal else [(0, 1), (1, 0)]
     onward = F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in moves]))
     asked = rim.select("survey", F.col("label").alias("x"), onward.alias("n")).select("survey", "x", "n.row", "n.col")
-    pairs = cut(asked.join(rim.select("survey", "row", "col", F.col("label").alias("y")), ["survey", "row", "col"]).where("x <> y").select("x", "y").distinct())
+    pairs = cut(asked.join(apart(rim.select("survey", "row", "col", F.col("label").alias("y"))), ["survey", "row", "col"]).where("x <> y").select("x", "y").distinct())
     local = local.drop("br__", "bc__")
     if pairs.isEmpty():
         return local
     joined = components(pairs).select(F.col("node.survey").alias("survey"), F.col("node.crow").alias("crow"), F.col("node.ccol").alias("ccol"), F.col("component.crow").alias("r__"), F.col("component.ccol").alias("c__"))
-    out = local.join(joined, ["survey", "crow", "ccol"], "left")
+    out = local.join(apart(joined), ["survey", "crow", "ccol"], "left")
     return out.select("survey", "row", "col", F.coalesce("r__", "crow").alias("crow"), F.coalesce("c__", "ccol").alias("ccol"))

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainfold.operators import graph
+from rainfold.operators import blocks, graph
 from rainfold.operators.raster import DIRECTIONS
-from rainfold.plans.store import cut
+from rainfold.plans.store import apart, cut
 
 HIGH = float("inf")
 OUTLET, NONE = -2, -1
@@ -27,22 +27,21 @@ TASK_SPILLS = 500_000
 LABELS = "level double, lrow bigint, lcol bigint, spills array<struct<xr:bigint,xc:bigint,yr:bigint,yc:bigint,h:double>>"
 
 
-def flooded(block: pa.Table) -> pa.Table:
-    """The block's cells (row, col, z__, outlet, shared) + level, the label's start cell (lrow, lcol), null for water that reaches an outlet, and spills.
+def flooded(block: pa.Table, number: np.ndarray) -> pa.Table:
+    """The cells (row, col, z__, outlet, shared) of blocks with these numbers + level, the label's start cell (lrow, lcol), null for water that reaches an outlet, and spills.
 
-    `spills`, on the block's first row alone, are the labels that touch and the least height between them; y is null for outlets.
+    `spills`, on each block's first row alone, are the labels that touch and the least height between them; y is null for outlets.
     """
     row, col = (block.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
     outlet, shared = (block.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("outlet", "shared"))
     z = block.column("z__").to_numpy(zero_copy_only=False)
-    wide = int(col.max() - col.min()) + 3
-    spot = (row - row.min() + 1) * wide + (col - col.min() + 1)
-    place = np.full((int(row.max() - row.min()) + 3) * wide, -1)
+    spot, wide, size = blocks.stacked(row, col, number)
+    place = np.full(size, -1)
     place[spot] = np.arange(len(row))
     starts = outlet | shared
     at, spots, heights = place.tolist(), spot.tolist(), z.tolist()
     level, label, queued = np.where(starts, z, HIGH).tolist(), np.where(outlet, OUTLET, NONE).tolist(), starts.tolist()
-    steps = [dr * wide + dc for _, dr, dc in DIRECTIONS]
+    steps, of = {w: [dr * w + dc for _, dr, dc in DIRECTIONS] for w in np.unique(wide).tolist()}, wide.tolist()
     heap = [(level[i], i) for i in np.flatnonzero(starts).tolist()]
     heapq.heapify(heap)
     while heap:
@@ -50,7 +49,7 @@ def flooded(block: pa.Table) -> pa.Table:
         if label[i] == NONE:
             label[i] = i
         mine, here = label[i], spots[i]
-        for step in steps:
+        for step in steps[of[i]]:
             n = at[here + step]
             if n < 0 or label[n] != NONE:
                 continue
@@ -70,26 +69,31 @@ def flooded(block: pa.Table) -> pa.Table:
         high.append(np.maximum(label[i], label[n]))
         h.append(np.maximum(level[i], level[n]))
     low, high, h = np.concatenate(low), np.concatenate(high), np.concatenate(h)
+    # labels are places of cells, so they tell blocks apart; OUTLET is one for all, but high is a label where low is not
     order = np.lexsort((h, high, low))
     low, high, h = low[order], high[order], h[order]
     first = np.ones(len(low), bool)
     first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     x, y, h = high[first], low[first], h[first]
+    _, heads, own = np.unique(number, return_index=True, return_inverse=True)
+    near = np.argsort(heads[own[x]], kind="stable")  # a block's spills lie on its first row
+    x, y, h = x[near], y[near], h[near]
 
     def start(of: np.ndarray, line: np.ndarray) -> pa.Array:
         return pa.array(line[np.maximum(of, 0)] if len(of) else np.zeros(0, np.int64), pa.int64(), mask=of < 0)
 
     pairs = pa.StructArray.from_arrays([start(x, row), start(x, col), start(y, row), start(y, col), pa.array(h)], ["xr", "xc", "yr", "yc", "h"])
-    ends = np.full(len(row) + 1, len(pairs))
-    ends[0] = 0
+    ends = np.zeros(len(row) + 1, np.int64)
+    np.add.at(ends, 1 + heads[own[x]], 1)
+    ends = np.cumsum(ends)
     made = block.append_column("level", pa.array(level)).append_column("lrow", start(label, row)).append_column("lcol", start(label, col))
     return made.append_column("spills", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
 
 
-def bottlenecks_of(spills: pa.Table) -> pa.Table:
-    """(survey, row, col, least): the least highest spill between each label of a survey and an outlet; none for labels without a way."""
+def bottlenecks_of(spills: pa.Table, survey: np.ndarray) -> pa.Table:
+    """(survey, row, col, least): the least highest spill between each label of surveys with these numbers and an outlet; none for labels without a way."""
     number: dict[tuple, int] = {}
-    ends = [[number.setdefault(k, len(number)) if k[0] is not None else -1 for k in zip(*(spills.column(c).to_pylist() for c in names))] for names in (("xr", "xc"), ("yr", "yc"))]
+    ends = [[number.setdefault(k, len(number)) if k[1] is not None else -1 for k in zip(survey.tolist(), *(spills.column(c).to_pylist() for c in names))] for names in (("xr", "xc"), ("yr", "yc"))]
     ways: list[list[tuple[float, int]]] = [[] for _ in number]
     heap = []
     for x, y, h in zip(*ends, spills.column("h").to_pylist()):
@@ -107,9 +111,10 @@ def bottlenecks_of(spills: pa.Table) -> pa.Table:
             for h, b in ways[a]:
                 if max(h, v) < least[b]:
                     heapq.heappush(heap, (max(h, v), b))
-    rows, cols = ([k[j] for k in number] for j in (0, 1))
-    survey = spills.column("survey").combine_chunks().take(pa.array(np.zeros(len(number), np.int64)))
-    return pa.table({"survey": survey, "row": pa.array(rows, pa.int64()), "col": pa.array(cols, pa.int64()), "least": pa.array(least, pa.float64())})
+    rows, cols = ([k[j] for k in number] for j in (1, 2))
+    first = dict(zip(*np.unique(survey, return_index=True)))
+    of = spills.column("survey").combine_chunks().take(pa.array([first[k[0]] for k in number], pa.int64()))
+    return pa.table({"survey": of, "row": pa.array(rows, pa.int64()), "col": pa.array(cols, pa.int64()), "least": pa.array(least, pa.float64())})
 
 
 def bottlenecks(spills: DataFrame) -> DataFrame:
@@ -145,8 +150,8 @@ def label_levels(spills: DataFrame, most: int | None = None) -> DataFrame:
     sized = cut(spills.join(counts.withColumnRenamed("survey", "of__"), F.col("survey").eqNullSafe(F.col("of__"))).drop("of__"))
     few = F.col("n__") <= (TASK_SPILLS if most is None else most)
     kind = dict(spills.dtypes)["survey"]
-    made = sized.where(few).drop("n__").groupBy("survey").applyInArrow(bottlenecks_of, f"survey {kind}, row bigint, col bigint, least double")
-    many = sized.where(~few)
+    small, many = sized.where(few).drop("n__"), sized.where(~few)
+    made = blocks.apply(small, ["survey"], small.count(), bottlenecks_of, f"survey {kind}, row bigint, col bigint, least double")
     if many.isEmpty():
         return made
     x, y = (F.struct("survey", F.col(f"{c}r").alias("row"), F.col(f"{c}c").alias("col")) for c in "xy")
@@ -154,23 +159,23 @@ def label_levels(spills: DataFrame, most: int | None = None) -> DataFrame:
     return made.unionByName(found.select("label.*", "least"))
 
 
-def raised(cells: DataFrame, side: int) -> DataFrame:
+def raised(cells: DataFrame, side: int, count: int) -> DataFrame:
     """cells (survey, row, col, z__, outlet, bounds of with_bounds, more) + level, bounds and z__ left out.
 
-    z__ is minus infinity and `outlet` true where water leaves freely. All cells go through one grouped task a block, whose result is
-    written, and through one join with the labels' levels, whatever the number of blocks a drain path crosses.
+    z__ is minus infinity and `outlet` true where water leaves freely. All `count` cells are flooded by blocks, see `blocks`, with the result
+    written, and go through one join with the labels' levels, whatever the number of blocks a drain path crosses.
     """
     line = lambda c: F.floor(F.col(c) / side).cast("long")
     edge = lambda c: ((F.pmod(F.col(c), F.lit(side)) == 0) & (F.col(c) > F.col(f"first_{c[0]}__"))) | ((F.pmod(F.col(c), F.lit(side)) == side - 1) & (F.col(c) < F.col(f"last_{c[0]}__")))
     dealt = cells.withColumns({"shared": edge("row") | edge("col"), "br__": line("row"), "bc__": line("col")}).drop("first_r__", "last_r__", "first_c__", "last_c__")
     shape = ", ".join(f"`{c}` {k}" for c, k in dealt.dtypes) + ", " + LABELS
-    local = cut(dealt.groupBy("survey", "br__", "bc__").applyInArrow(flooded, shape))
+    local = cut(blocks.apply(dealt, ["survey", "br__", "bc__"], count, flooded, shape))
     within = local.where("size(spills) > 0").select("survey", F.explode("spills").alias("s")).select("survey", "s.*")
     rim = local.where("shared").select("survey", "row", "col", "br__", "bc__", "level", "lrow", "lcol")
     step = F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     asked = rim.select("survey", "br__", "bc__", "level", F.col("lrow").alias("xr"), F.col("lcol").alias("xc"), step.alias("n"))
     other = rim.select(F.col("survey").alias("s2"), F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("br__").alias("br2"), F.col("bc__").alias("bc2"), F.col("level").alias("level2"), F.col("lrow").alias("yr"), F.col("lcol").alias("yc"))
-    met = asked.join(other, F.col("survey").eqNullSafe(F.col("s2")) & (F.col("n.row") == F.col("row2")) & (F.col("n.col") == F.col("col2")))
+    met = asked.join(apart(other), F.col("survey").eqNullSafe(F.col("s2")) & (F.col("n.row") == F.col("row2")) & (F.col("n.col") == F.col("col2")))
     across = met.where("br__ <> br2 OR bc__ <> bc2").select("survey", "xr", "xc", "yr", "yc", F.greatest("level", "level2").alias("h"))
     # between two blocks, too, only the lowest spill of a pair of labels counts; x is a label where one of both is
     turned = within.unionByName(across).where("xr IS NOT NULL OR yr IS NOT NULL")
@@ -183,5 +188,5 @@ def raised(cells: DataFrame, side: int) -> DataFrame:
     least = label_levels(spills).select(F.col("survey").alias("s2"), F.col("row").alias("row2"), F.col("col").alias("col2"), "least")
     free = kept.where("lrow IS NULL").drop("lrow", "lcol")  # reaches an outlet within its block
     key = F.col("survey").eqNullSafe(F.col("s2")) & (F.col("lrow") == F.col("row2")) & (F.col("lcol") == F.col("col2"))
-    held = kept.where("lrow IS NOT NULL").join(least, key, "left").withColumn("level", F.greatest("level", "least")).drop("s2", "row2", "col2", "least", "lrow", "lcol")
+    held = kept.where("lrow IS NOT NULL").join(apart(least), key, "left").withColumn("level", F.greatest("level", "least")).drop("s2", "row2", "col2", "least", "lrow", "lcol")
     return free.unionByName(held).drop("br__", "bc__")
