@@ -90,19 +90,24 @@ def reflected(position: Column, n: Column) -> Column:
 
 
 def _weighed_line(cells: DataFrame, values: list[str], axis: str, weights: list[float]) -> DataFrame:
-    """Values replaced by weighted sums along an axis with mirrored edges; each line is an array, lines are independent."""
-    other = "col" if axis == "row" else "row"
-    rest = [c for c in cells.columns if c not in ("survey", other, axis)]
-    lines = cells.groupBy("survey", other).agg(F.sort_array(F.collect_list(F.struct(axis, *rest))).alias("line"))
-    half, n = len(weights) // 2, F.size("line")
-
-    def smooth(name: str, i: Column) -> Column:
-        got = [w * F.col(f"line.{name}")[reflected(i + (k - half), n)] for k, w in enumerate(weights)]
+    """Values replaced by weighted sums along an axis with mirrored edges.
+
+    A line is lengthened by mirrored copies of the cells at its ends, then each sum is a window's, so a line costs its length.
+    """
+    line, half = Window.partitionBy("survey", "col" if axis == "row" else "row"), len(weights) // 2
+    placed = cells.withColumns({"at__": F.row_number().over(line.orderBy(axis)) - 1, "n__": F.count(F.lit(1)).over(line).cast("int")})
+    at, n, own = F.col("at__"), F.col("n__"), F.array("at__")
+    if half:
+        beyond = F.concat(F.sequence(F.lit(-half), F.lit(-1)), F.sequence(n, n + (half - 1)))
+        copies = F.filter(beyond, lambda p: reflected(p, n) == at)
+        own = F.when((at < half) | (at >= n - half), F.concat(own, copies)).otherwise(own)
+    longer, order = placed.withColumn("p__", F.explode(own)), line.orderBy("p__")
+
+    def smooth(name: str) -> Column:
+        got = [w * F.lead(name, k - half).over(order) for k, w in enumerate(weights)]
         return sum(got[1:], got[0])
 
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("line")[i].alias("cell"), *[smooth(v, i).alias(v) for v in values]))
-    out = lines.select("survey", other, F.explode(at).alias("x"))
-    return out.select("survey", other, F.col(f"x.cell.{axis}").alias(axis), *[F.col(f"x.{c}" if c in values else f"x.cell.{c}").alias(c) for c in rest])
+    return longer.withColumns({v: smooth(v) for v in values}).where("p__ = at__").select(*cells.columns)
 
 
 def gaussian_weights(sigma: float) -> list[float]:

@@ -1,6 +1,9 @@
 """What made queries grow faster than their tables: broadcasts of cells, a call for each small block, lines searched again for each cell."""
 
-from rainfold.operators import blocks, hydrology
+from pyspark.sql import functions as F
+
+from rainfold.functions import geodesy
+from rainfold.operators import blocks, hydrology, raster, surfaces
 
 
 def grid(spark, surveys, n=4):
@@ -24,3 +27,15 @@ def test_small_blocks_share_a_call(spark):
 
     made = blocks.apply(grid(spark, 300), ["survey"], 4800, kernel, "survey long, row int, col int")
     assert made.distinct().count() == 4800 and calls.value < 10
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_no_arrays(spark):
+    """Each cell of a line kept as an array took the whole line again."""
+    cells = grid(spark, 2)
+    assert "collect_list" not in plan_of(raster.smoothed(cells, 1.0))
+    short = {(r["row"], r["col"]): r["z"] for r in raster.smoothed(cells.where("survey = 0 AND row < 1"), 1.0).collect()}
+    assert len(short) == 4  # mirrored more than once, as the line is shorter than the weights
