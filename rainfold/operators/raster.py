@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from rainfold.plans.store import cut
+from rainfold.plans.store import apart, cut
 
 #: Eight directions in tie-break order: code, row step, column step (fixed values of the D8 scheme).
 DIRECTIONS = [(1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1)]
@@ -171,7 +171,8 @@ def with_edge_distance(cells: DataFrame, resolution: float, padded: bool = True)
     least of squared column distance plus squared row distance, in time linear in the row. With padded=False cells beyond
     the grid do not count and the distance is that to the nearest invalid cell's centre; infinity without one.
     """
-    up, down = along_col().rowsBetween(Window.unboundedPreceding, 0), along_col().rowsBetween(0, Window.unboundedFollowing)
+    # both run from their line's start, as a frame up to its end is summed up anew for each cell
+    up, down = (Window.partitionBy("survey", "col").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("row"), F.desc("row")))
     bad = F.when(~F.col("valid"), F.col("row"))
     sized = with_bounds(cells.select("survey", "row", "col", "valid"))
     far = F.lit(1e9)
@@ -194,7 +195,7 @@ def with_edge_distance(cells: DataFrame, resolution: float, padded: bool = True)
     kind = dict(cells.dtypes)
     squared = lines.mapInArrow(envelope, f"survey {kind['survey']}, row {kind['row']}, cols array<{kind['col']}>, d2 array<double>")
     squared = squared.select(F.col("survey").alias("s__"), F.col("row").alias("r__"), F.explode(F.arrays_zip("cols", "d2")).alias("p")).select("s__", "r__", F.col("p.cols").alias("c__"), F.col("p.d2").alias("d2__"))
-    met = cells.join(squared, F.col("survey").eqNullSafe(F.col("s__")) & (F.col("row") == F.col("r__")) & (F.col("col") == F.col("c__"))).drop("s__", "r__", "c__")
+    met = cells.join(apart(squared), F.col("survey").eqNullSafe(F.col("s__")) & (F.col("row") == F.col("r__")) & (F.col("col") == F.col("c__"))).drop("s__", "r__", "c__")
     root = F.when(F.col("d2__") >= 1e17, F.lit(float("inf"))).otherwise(F.sqrt("d2__"))
     return met.withColumn("edge_distance_m", F.when(F.col("valid"), root * resolution - (resolution / 2 if padded else 0.0)).otherwise(0.0)).drop("d2__")
 

@@ -39,3 +39,8 @@ def test_lines_are_no_arrays(spark):
     assert "collect_list" not in plan_of(raster.smoothed(cells, 1.0))
     short = {(r["row"], r["col"]): r["z"] for r in raster.smoothed(cells.where("survey = 0 AND row < 1"), 1.0).collect()}
     assert len(short) == 4  # mirrored more than once, as the line is shorter than the weights
+
+
+def test_no_frame_up_to_a_lines_end(spark):
+    """Such a frame is summed up anew for each cell."""
+    assert "unboundedfollowing" not in plan_of(raster.with_edge_distance(grid(spark, 2), 10.0)).lower()
