@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rainfold.operators import overlay
 from rainfold.plans.store import apart, cut
 
 #: Eight directions in tie-break order: code, row step, column step (fixed values of the D8 scheme).
@@ -219,25 +220,76 @@ def nearest_fill(cells: DataFrame, points: DataFrame, reach: float) -> DataFrame
     """z of cells without one from the nearest point (survey, id, x, y, z), ties to the smaller id.
 
     Points and cells meet in buckets of `reach` metres, each cell looking into the nine about it, so what is found within `reach`
-    is the nearest. Cells without such a point come again with buckets four times as wide, until the buckets cover the survey;
+    is the nearest. Of a bucket's points only those chunks are compared whose bounds may hold a cell's nearest one, and of points at one
+    place the smallest id. Cells without such a point come again with buckets four times as wide, until the buckets cover the survey;
     cells stay empty only in a survey without points. Points with a null or a value that is not finite are left out.
     """
     fine = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('infinity')" for c in ("x", "y", "z")))
-    known = cut(fine.select("survey", F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")))
+    first = fine.groupBy("survey", (F.col("x").cast("double") + 0.0).alias("px"), (F.col("y").cast("double") + 0.0).alias("py")).agg(F.min(F.struct("id", "z")).alias("p"))
+    known = cut(first.select("survey", F.col("p.id").alias("pid"), "px", "py", F.col("p.z").alias("pz")))
     spread = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
     placed = " AND ".join(f"NOT isnan({c}) AND abs({c}) < double('infinity')" for c in ("x", "y"))
-    empty = cells.where(F.col("z").isNull()).where(placed).select("survey", "row", "col", "x", "y")
+    empty = cells.where(F.col("z").isNull()).where(placed).select("survey", "row", "col", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     left = cut(empty.join(known.select("survey").distinct(), "survey", "left_semi"))
     side, done = reach, None
     while done is None or not left.isEmpty():
         def bucket(c: str, side: float = side) -> Column:
             return F.floor(F.col(c) / side).cast("long")
 
+        chunks = _chunks(known.withColumns({"bx": bucket("px"), "by": bucket("py")}), side)
         asked = left.withColumn("o", spread).select("survey", "row", "col", "x", "y", (bucket("x") + F.col("o.i")).alias("bx"), (bucket("y") + F.col("o.j")).alias("by"))
-        near = asked.join(known.withColumns({"bx": bucket("px"), "by": bucket("py")}), ["survey", "bx", "by"])
-        best = near.groupBy("survey", "row", "col").agg(F.min(d2).alias("d2__"), F.min_by("pz", F.struct(d2, "pid")).alias("z__"))
+        near = asked.join(chunks.drop("points"), ["survey", "bx", "by"])
+        least, most = (F.lit(0.0) + sum(v * v for v in (f(c) for c in ("x", "y"))) for f in (
+            lambda c: F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0)),
+            lambda c: F.greatest(F.abs(F.col(f"low_{c}") - F.col(c)), F.abs(F.col(c) - F.col(f"high_{c}"))),
+        ))
+        bound = F.min("most__").over(Window.partitionBy("survey", "row", "col"))
+        may = near.withColumns({"least__": least, "most__": most}).withColumn("bound__", bound).where(F.col("least__") <= F.least("bound__", F.lit(side * side)) * (1 + 1e-9))
+        best = _nearest_of(cut(may.select("survey", "row", "col", "x", "y", *CHUNK)), chunks)
         sure = cut(best.where(F.col("d2__") <= side * side * (1 - 1e-9)).drop("d2__"))
         done = sure if done is None else done.unionByName(sure)
-        left, side = cut(left.join(sure, ["survey", "row", "col"], "left_anti")), side * 4
-    return cells.join(done, ["survey", "row", "col"], "left").withColumn("z", F.coalesce("z", "z__")).drop("z__")
+        left, side = cut(left.join(apart(sure), ["survey", "row", "col"], "left_anti")), side * 4
+    return cells.join(apart(done), ["survey", "row", "col"], "left").withColumn("z", F.coalesce("z", "z__")).drop("z__")
+
+
+CHUNK = ("bx", "by", "sx", "sy", "tx", "ty")
+#: Points of a chunk, about, and chunks' squares along a bucket's side.
+CHUNK_POINTS, CHUNK_SQUARES = 256, 16
+
+
+def _chunks(known: DataFrame, side: float) -> DataFrame:
+    """survey + CHUNK + bounds and points (pid, px, py, pz), by pid, of each chunk: the points of a part of a bucket, crowded squares in smaller ones."""
+    square = ["survey", "bx", "by", "sx", "sy"]
+    parts = known.withColumns({s: F.floor(F.col(p) / (side / CHUNK_SQUARES)).cast("long") for s, p in (("sx", "px"), ("sy", "py"))})
+    of = parts.groupBy(*square).agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(CHUNK_POINTS))).alias("k__"), *[f(p).alias(f"{n}_{p}") for p in ("px", "py") for n, f in (("l", F.min), ("h", F.max))])
+    within = lambda p: F.floor((F.col(p) - F.col(f"l_{p}")) / F.greatest(F.col(f"h_{p}") - F.col(f"l_{p}"), F.lit(1e-9)) * F.col("k__") * 0.999999).cast("long")
+    dealt = parts.join(of, square).withColumns({"tx": within("px"), "ty": within("py")})
+    bounds = [f(p).alias(f"{n}_{p[1]}") for p in ("px", "py") for n, f in (("low", F.min), ("high", F.max))]
+    return cut(dealt.groupBy("survey", *CHUNK).agg(*bounds, F.sort_array(F.collect_list(F.struct("pid", "px", "py", "pz"))).alias("points")))
+
+
+def _nearest_of(may: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(survey, row, col, d2__, z__) of cells with the chunks that may hold their nearest point."""
+    kind = dict(may.dtypes)
+    point = dict(chunks.select("points.pid", "points.pz").dtypes)
+    point = {c: k.removeprefix("array<").removesuffix(">") for c, k in point.items()}
+    joined = overlay.grouped(may, ["survey", *CHUNK], ["row", "col", "x", "y"]).join(apart(chunks), ["survey", *CHUNK])
+    given = joined.select("survey", "row", "col", "x", "y", *[F.col(f"points.{c}").alias(c) for c in ("pid", "px", "py", "pz")])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x, y, px, py = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("x", "y", "px", "py"))
+                best, low = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+                for s in range(0, len(px), 4096):
+                    d2 = (x[:, None] - px[s : s + 4096]) * (x[:, None] - px[s : s + 4096]) + (y[:, None] - py[s : s + 4096]) * (y[:, None] - py[s : s + 4096])
+                    at = d2.argmin(axis=1)  # of equals the first, the smallest id
+                    here = d2[np.arange(len(x)), at]
+                    best, low = np.where(here < low, at + s, best), np.minimum(low, here)
+                to = pa.array(best)
+                survey = b.column("survey").take(pa.array(np.full(len(x), i)))
+                yield pa.RecordBatch.from_arrays([survey, b.column("row")[i].values, b.column("col")[i].values, pa.array(low), b.column("pid")[i].values.take(to), b.column("pz")[i].values.take(to)], ["survey", "row", "col", "d2__", "pid", "z__"])
+
+    found = given.mapInArrow(compare, f"survey {kind['survey']}, row {kind['row']}, col {kind['col']}, d2__ double, pid {point['pid']}, z__ {point['pz']}")
+    order = F.struct("d2__", "pid")
+    return found.groupBy("survey", "row", "col").agg(F.min("d2__").alias("d2__"), F.min_by("z__", order).alias("z__"))

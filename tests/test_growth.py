@@ -44,3 +44,13 @@ def test_lines_are_no_arrays(spark):
 def test_no_frame_up_to_a_lines_end(spark):
     """Such a frame is summed up anew for each cell."""
     assert "unboundedfollowing" not in plan_of(raster.with_edge_distance(grid(spark, 2), 10.0)).lower()
+
+
+def test_far_cells_meet_chunks_of_points(spark):
+    points = spark.createDataFrame([("a", i, float(i * 37 % 61), float(i * 53 % 67), float(i)) for i in range(6000)], "survey string, id long, x double, y double, z double")
+    cells = spark.createDataFrame([("a", r, 0, 30.0, float(r * 500), None) for r in range(9)], "survey string, row int, col int, x double, y double, z double")
+    known = points.select("survey", F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.lit(0).alias("bx"), F.lit(0).alias("by"))
+    assert raster._chunks(known, 4000.0).count() > 10
+    got = {r["row"]: r["z"] for r in raster.nearest_fill(cells, points, 20.0).collect()}
+    for r in range(9):
+        assert got[r] == min(range(6000), key=lambda i: ((30.0 - i * 37 % 61) ** 2 + (r * 500 - i * 53 % 67) ** 2, i))
