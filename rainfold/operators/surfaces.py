@@ -293,12 +293,17 @@ def latest(objects: DataFrame, key: str, order: str) -> DataFrame:
 
 def covering_cache(records: DataFrame, asked: DataFrame, ttl_s: float) -> DataFrame:
     """asked + the newest fresh record whose box holds the asked one: a containment join and the first by age."""
-    holds = (F.col("c.south") <= F.col("a.south")) & (F.col("c.west") <= F.col("a.west")) & (F.col("c.north") >= F.col("a.north")) & (F.col("c.east") >= F.col("a.east")) & (F.col("a.at") - F.col("c.at") <= ttl_s)
+    box = ["south", "west", "north", "east"]
+    holds = (F.col("c.south") <= F.col("a.south")) & (F.col("c.west") <= F.col("a.west")) & (F.col("c.north") >= F.col("a.north")) & (F.col("c.east") >= F.col("a.east"))
+    # age only bounds a record from below, so the newest one counts alone, of equal boxes as of all that hold the asked one
+    newest = records.where("at IS NOT NULL AND NOT isnan(at)").groupBy(*box).agg(F.max(F.struct("at", "record_id")).alias("last"))
     # boxes meet by the one-degree tiles of the asked box's corner, so the join has an equal key
-    tiled = records.withColumn("ty", F.explode(F.sequence(F.floor("south").cast("long"), F.floor("north").cast("long")))).withColumn("tx", F.explode(F.sequence(F.floor("west").cast("long"), F.floor("east").cast("long")))).alias("c")
-    where = asked.withColumns({"qy": F.floor("south").cast("long"), "qx": F.floor("west").cast("long")}).alias("a")
+    tiled = newest.withColumn("ty", F.explode(F.sequence(F.floor("south").cast("long"), F.floor("north").cast("long")))).withColumn("tx", F.explode(F.sequence(F.floor("west").cast("long"), F.floor("east").cast("long")))).alias("c")
+    where = asked.select(*box).distinct().withColumns({"qy": F.floor("south").cast("long"), "qx": F.floor("west").cast("long")}).alias("a")
     got = where.join(tiled, (F.col("a.qy") == F.col("c.ty")) & (F.col("a.qx") == F.col("c.tx")) & holds)
-    return got.groupBy(F.col("a.query_id").alias("query_id")).agg(F.max_by(F.col("c.record_id"), F.struct(F.col("c.at"), F.col("c.record_id"))).alias("record_id"))
+    found = got.groupBy(*[F.col(f"a.{c}").alias(c) for c in box]).agg(F.max("c.last").alias("last"))
+    fresh = asked.join(found, box).where(F.col("at") - F.col("last.at") <= ttl_s)
+    return fresh.groupBy("query_id").agg(F.max(F.struct("last.at", "last.record_id")).alias("last")).select("query_id", F.col("last.record_id").alias("record_id"))
 
 
 def quadrants(boxes: DataFrame, levels: int = 3, largest: float = 0.25) -> DataFrame:

@@ -54,3 +54,11 @@ def test_far_cells_meet_chunks_of_points(spark):
     got = {r["row"]: r["z"] for r in raster.nearest_fill(cells, points, 20.0).collect()}
     for r in range(9):
         assert got[r] == min(range(6000), key=lambda i: ((30.0 - i * 37 % 61) ** 2 + (r * 500 - i * 53 % 67) ** 2, i))
+
+
+def test_equal_boxes_meet_once(spark):
+    records = spark.createDataFrame([(i, 0.0, 0.0, 1.0, 1.0, float(i)) for i in range(50)], "record_id long, south double, west double, north double, east double, at double")
+    asked = spark.createDataFrame([(7, 0.25, 0.25, 0.5, 0.5, 100.0), (8, 0.25, 0.25, 0.5, 0.5, 60.0), (9, 0.25, 0.25, 0.5, 0.5, 10.0)], "query_id long, south double, west double, north double, east double, at double")
+    made = surfaces.covering_cache(records, asked, 20.0)
+    assert {r["query_id"]: r["record_id"] for r in made.collect()} == {8: 49, 9: 49}
+    assert plan_of(made).split("Join")[-1].count("Aggregate") >= 2
