@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,36 +48,60 @@ def crs_name(epsg: Column) -> Column:
     return F.format_string("WGS 84 / UTM zone %d%s", F.pmod(epsg, F.lit(100)), F.when(epsg < 32700, "N").otherwise("S"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often it stands in the body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_utm(lon: Column, lat: Column, zone: Column, south: Column) -> tuple[Column, Column]:
     """(x, y) in metres."""
-    phi, away = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    t = F.tan(phi)
-    root = F.sqrt(1 + t * t)
-    s = F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * t / root))
-    conformal = t * F.sqrt(1 + s * s) - s * root
-    xi0, eta0 = F.atan2(conformal, F.cos(away)), F.asinh(F.sin(away) / F.sqrt(conformal * conformal + F.cos(away) * F.cos(away)))
-    xi = xi0 + sum((a * F.sin(2 * (j + 1) * xi0) * F.cosh(2 * (j + 1) * eta0) for j, a in enumerate(ALPHA)), F.lit(0.0))
-    eta = eta0 + sum((a * F.cos(2 * (j + 1) * xi0) * F.sinh(2 * (j + 1) * eta0) for j, a in enumerate(ALPHA)), F.lit(0.0))
-    return FALSE_EASTING + SCALE * RADIUS * eta, F.when(south, FALSE_NORTHING).otherwise(0.0) + SCALE * RADIUS * xi
+    away = F.radians(lon - (6 * zone - 183))
+
+    def conformal(t: Column) -> Column:
+        return let(F.sqrt(1 + t * t), lambda root: let(F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * t / root)), lambda s: t * F.sqrt(1 + s * s) - s * root))
+
+    def series(p: Column) -> Column:
+        xi = p["xi"] + sum((a * F.sin(2 * (j + 1) * p["xi"]) * F.cosh(2 * (j + 1) * p["eta"]) for j, a in enumerate(ALPHA)), F.lit(0.0))
+        eta = p["eta"] + sum((a * F.cos(2 * (j + 1) * p["xi"]) * F.sinh(2 * (j + 1) * p["eta"]) for j, a in enumerate(ALPHA)), F.lit(0.0))
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def sphere(p: Column) -> Column:
+        c, away = p["c"], p["away"]
+        return F.struct(F.atan2(c, F.cos(away)).alias("xi"), F.asinh(F.sin(away) / F.sqrt(c * c + F.cos(away) * F.cos(away))).alias("eta"))
+
+    at = let(let(F.struct(let(F.tan(F.radians(lat)), conformal).alias("c"), away.alias("away")), sphere), series)
+    return FALSE_EASTING + SCALE * RADIUS * at["eta"], F.when(south, FALSE_NORTHING).otherwise(0.0) + SCALE * RADIUS * at["xi"]
 
 
 def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
     """(lon, lat) in degrees; the latitude by Newton steps on its tangent."""
     xi = (y - F.when(south, FALSE_NORTHING).otherwise(0.0)) / (SCALE * RADIUS)
     eta = (x - FALSE_EASTING) / (SCALE * RADIUS)
-    xi0 = xi - sum((b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(BETA)), F.lit(0.0))
-    eta0 = eta - sum((b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(BETA)), F.lit(0.0))
-    aim = F.sin(xi0) / F.sqrt(F.sinh(eta0) * F.sinh(eta0) + F.cos(xi0) * F.cos(xi0))
-
-    def newton(tau: Column, _: Column) -> Column:
-        root = F.sqrt(1 + tau * tau)
-        s = F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * tau / root))
-        now = tau * F.sqrt(1 + s * s) - s * root
-        slope = (1 - ECCENTRICITY**2) * root / (1 + (1 - ECCENTRICITY**2) * tau * tau) * F.sqrt(1 + now * now)
-        return tau + (aim - now) / slope
-
-    tau = F.aggregate(F.sequence(F.lit(1), F.lit(5)), aim, newton)
-    return (6 * zone - 183) + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))), F.degrees(F.atan(tau))
+
+    def series(p: Column) -> Column:
+        xi0 = p["xi"] - sum((b * F.sin(2 * (j + 1) * p["xi"]) * F.cosh(2 * (j + 1) * p["eta"]) for j, b in enumerate(BETA)), F.lit(0.0))
+        eta0 = p["eta"] - sum((b * F.cos(2 * (j + 1) * p["xi"]) * F.sinh(2 * (j + 1) * p["eta"]) for j, b in enumerate(BETA)), F.lit(0.0))
+        return F.struct(xi0.alias("xi"), eta0.alias("eta"))
+
+    def latitude(aim: Column) -> Column:
+        def newton(tau: Column, _: Column) -> Column:
+            def step(root: Column) -> Column:
+                def onward(now: Column) -> Column:
+                    slope = (1 - ECCENTRICITY**2) * root / (1 + (1 - ECCENTRICITY**2) * tau * tau) * F.sqrt(1 + now * now)
+                    return tau + (aim - now) / slope
+
+                return let(let(F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * tau / root)), lambda s: tau * F.sqrt(1 + s * s) - s * root), onward)
+
+            return let(F.sqrt(1 + tau * tau), step)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(5)), aim, newton)
+
+    def degrees(p: Column) -> Column:
+        aim = F.sin(p["xi"]) / F.sqrt(F.sinh(p["eta"]) * F.sinh(p["eta"]) + F.cos(p["xi"]) * F.cos(p["xi"]))
+        return F.struct(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])).alias("away"), F.atan(let(aim, latitude)).alias("phi"))
+
+    at = let(let(F.struct(xi.alias("xi"), eta.alias("eta")), series), degrees)
+    return (6 * zone - 183) + F.degrees(at["away"]), F.degrees(at["phi"])
 
 
 def tile_name(lat: Column, lon: Column) -> Column:

@@ -62,3 +62,12 @@ def test_equal_boxes_meet_once(spark):
     made = surfaces.covering_cache(records, asked, 20.0)
     assert {r["query_id"]: r["record_id"] for r in made.collect()} == {8: 49, 9: 49}
     assert plan_of(made).split("Join")[-1].count("Aggregate") >= 2
+
+
+def test_utm_works_values_out_once(spark):
+    x, y = geodesy.to_utm(F.col("lon"), F.col("lat"), F.lit(31), F.lit(False))
+    lon, lat = geodesy.from_utm(x, y, F.lit(31), F.lit(False))
+    df = spark.createDataFrame([(3.25, 48.5)], "lon double, lat double").select(lon.alias("lon"), lat.alias("lat"))
+    assert plan_of(df).lower().count("sinh") < 500
+    got = df.first()
+    assert abs(got["lon"] - 3.25) < 1e-9 and abs(got["lat"] - 48.5) < 1e-9
