@@ -118,7 +118,8 @@ def pond_feasibility(designs: DataFrame, lands: DataFrame, water: DataFrame, buf
 
     asked = around(fitted.where(F.col("within_selected_land") & F.col("water_known")).select("survey", *names), side)
     reach = F.lit(buffer_m) + F.when(F.col("area"), 0.0).otherwise(parsing.width_metres(F.col("width")) / 2)
-    of = overlay.pieces(with_holes(water), ["survey"], side, "line", reach, F.col("area"))
+    features = with_holes(water).select("survey", "line", "holes", "area", reach.alias("reach")).distinct()  # the same water mapped again changes nothing
+    of = overlay.pieces(features, ["survey"], side, "line", F.col("reach"), F.col("area"))
     met = overlay.met(overlay.grouped(asked, ["survey", "bx", "by"], names), of, ["survey", "bx", "by"])
     wet = overlay.refined(met, ["survey"], ask, in_water, f"design_id {ids}").distinct().withColumn("wet", F.lit(True))
     known = fitted.join(wet, ["survey", "design_id"], "left")
