@@ -178,7 +178,7 @@ def rings(step: DataFrame, keys: list[str], px: str, py: str) -> DataFrame:
     at = step.select("x", "y", F.struct(*[F.col(f"x.{k}").alias(k) for k in keys]).alias("k__"), F.col(f"x.{px}").cast("double").alias("px__"), F.col(f"x.{py}").cast("double").alias("py__"))
     blocks = F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(RING_STEPS))).cast("int")
     extent = at.groupBy("k__").agg(*[f(p).alias(f"{n}{p}") for p in ("px__", "py__") for n, f in (("low", F.min), ("high", F.max))], blocks.alias("blocks__"))
-    dealt = at.join(extent.withColumnRenamed("k__", "of__"), F.col("k__") == F.col("of__"))
+    dealt = at.join(apart(extent.withColumnRenamed("k__", "of__")), F.col("k__") == F.col("of__"))
     for p in ("px__", "py__"):
         dealt = dealt.withColumn(f"b{p}", F.floor((F.col(p) - F.col(f"low{p}")) / F.greatest(F.col(f"high{p}") - F.col(f"low{p}"), F.lit(1e-12)) * F.col("blocks__") * 0.999999).cast("int"))
     few = max(int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-step.count() // RING_STEPS))
