@@ -3,6 +3,9 @@
 A cell that takes water from another block is an entry. From it water runs on to the next entry, in the block that it leaves the first one
 for, or ends. Entries with these steps are a forest of their own, with at most one node for a cell on a block's border; pointers double
 over it alone, and a second task a block hands the results down to the cells. Cells need survey, row, col, node and receiver.
+
+What crosses the blocks of a survey is few rows, so a survey of up to `TASK_CROSSINGS` of them is joined by one task, many small surveys by
+the same one; rounds over rows are left for larger surveys.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from rainfold.plans.store import apart, cut
 ENDS, LEAVES = -2, -1
 BLOCK = ("survey", "br__", "bc__")
 
+#: Rows on blocks' borders of a survey up to which a single task follows what crosses them; beyond, rounds over rows do.
+TASK_CROSSINGS = 250_000
+
 
 def _dealt(cells: DataFrame, side: int) -> DataFrame:
     return cells.withColumns({b: F.floor(F.col(c) / side).cast("long") for c, b in (("row", "br__"), ("col", "bc__"))})
@@ -104,11 +110,162 @@ def _kinds(cells: DataFrame, *more: str) -> str:
     return ", ".join(f"`{c}` {k}" for c, k in cells.select(*BLOCK, "node", "receiver").dtypes) + ", leaves boolean, cyclic boolean, up bigint" + "".join(f", {m}" for m in more)
 
 
-def _refuse_cycles(rim: DataFrame) -> None:
-    if not rim.where("cyclic").isEmpty():
+def _refuse_cycles(rows: DataFrame) -> None:
+    if not rows.where("cyclic").isEmpty():
         raise ValueError("the receivers form a cycle")
 
 
+def _sized(rows: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+    """rows of surveys that a task can hold, their number, and the rows of larger ones if there are any."""
+    counts = rows.groupBy(F.col("survey").alias("of__")).agg(F.count(F.lit(1)).alias("n__"))
+    most, total = counts.agg(F.max("n__"), F.sum("n__")).first()
+    if (most or 0) <= TASK_CROSSINGS:
+        return rows, total or 0, None
+    sized = cut(rows.join(counts, F.col("survey").eqNullSafe(F.col("of__"))).drop("of__"))
+    small = sized.where(F.col("n__") <= TASK_CROSSINGS).drop("n__")
+    return small, small.count(), sized.where(F.col("n__") > TASK_CROSSINGS).drop("n__")
+
+
+#: Stands for a missing node within tasks.
+NO_NODE = np.iinfo(np.int64).min
+
+
+def _nodes(rows: pa.Table, column: str) -> np.ndarray:
+    return rows.column(column).cast(pa.int64()).fill_null(NO_NODE).to_numpy()
+
+
+def _pairs(survey: np.ndarray, *nodes: np.ndarray) -> list[np.ndarray]:
+    """Numbers that tell nodes of all surveys of a call apart, -1 for missing ones."""
+    some = np.concatenate([*(n[n != NO_NODE] for n in nodes), [0]])
+    low, span = int(some.min()), int(some.max()) - int(some.min()) + 1
+    return [np.where(n == NO_NODE, -1, survey * span + n - low) for n in nodes]
+
+
+def _spot(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The place of each asked number among known ones, -1 for those that are not there."""
+    if not len(known):
+        return np.full(len(asked), -1)
+    order = np.argsort(known, kind="stable")
+    at = order[np.minimum(np.searchsorted(known[order], asked), len(known) - 1)]
+    return np.where(known[at] == asked, at, -1)
+
+
+def _rounds(n: int) -> range:
+    return range(n.bit_length() + 1)
+
+
+def _entered(rim: pa.Table, survey: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows on borders: the places of entries, each one's next entry among these (-1: none), the places of rows that leave, and the entry each goes to."""
+    key, to, up = _pairs(survey, *(_nodes(rim, c) for c in ("node", "receiver", "up")))
+    leaves = np.flatnonzero(rim.column("leaves").to_numpy(zero_copy_only=False).astype(bool))
+    entries = np.flatnonzero(np.isin(key, to[leaves]))
+    return entries, _spot(key[entries], up[entries]), leaves, _spot(key[entries], to[leaves])
+
+
+def _crossed_sums(rim: pa.Table, survey: np.ndarray) -> pa.Table:
+    """(BLOCK, node, total, cyclic): what comes into the blocks of whole surveys at each entry, by doubled pointers."""
+    entries, up, leaves, to = _entered(rim, survey)
+    total = np.zeros(len(entries), np.int64)
+    there = to >= 0
+    np.add.at(total, to[there], rim.column("total").to_numpy()[leaves[there]])
+    for _ in _rounds(len(up)):
+        live = up >= 0
+        if not live.any():
+            break
+        more = np.zeros(len(total), np.int64)
+        np.add.at(more, up[live], total[live])
+        total, up = total + more, np.where(live, up[up], -1)
+    made = rim.select([*BLOCK, "node"]).take(pa.array(entries))
+    return made.append_column("total", pa.array(total)).append_column("cyclic", pa.array(np.full(len(up), bool((up >= 0).any()))))
+
+
+def _inflow(rim: DataFrame) -> DataFrame:
+    """(BLOCK, node, total) of rows on borders with the sums of their blocks: what comes in at each entry, from all blocks above. Written."""
+    small, count, large = _sized(rim)
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rim.select(*BLOCK, "node", "total").dtypes) + ", cyclic boolean"
+    made = cut(blocks.apply(small, ["survey"], count, _crossed_sums, kinds))
+    _refuse_cycles(made)
+    made = made.drop("cyclic")
+    if large is None:
+        return made
+    given = large.where("leaves").groupBy("survey", F.col("receiver").alias("node")).agg(F.sum("total").alias("total"))
+    entries = cut(_joined(large.select(*BLOCK, "node", "up"), given))
+    sums = graph.subtree_sums(entries, ["survey"], "node", "up", F.col("total"))
+    return cut(made.unionByName(_joined(entries.select(*BLOCK, "node"), sums).select(*BLOCK, "node", "total")))
+
+
+def _later_marks(rim: DataFrame) -> DataFrame:
+    """(BLOCK, node, met) of rows on borders with the marks on their way within a block: for those that leave, the marks on their way beyond."""
+    small, count, large = _sized(rim)
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rim.select(*BLOCK, "node", "met").dtypes) + ", cyclic boolean"
+    many = to_arrow_type(rim.schema["met"].dataType)
+
+    def follow(rows: pa.Table, survey: np.ndarray) -> pa.Table:
+        entries, up, leaves, to = _entered(rows, survey)
+        own = np.arange(len(entries))
+        onward, order = _downward(own, np.where(up < 0, own, up))
+        met: list[frozenset] = [frozenset(m) for m in rows.column("met").take(pa.array(entries)).to_pylist()]
+        for i in reversed(order):
+            if onward[i] >= 0 and met[onward[i]]:
+                met[i] = met[i] | met[onward[i]] if met[i] else met[onward[i]]
+        keep = [(n, e) for n, e in zip(leaves.tolist(), to.tolist()) if e >= 0 and met[e]]
+        if len(order) < len(entries):  # what is in no order lies on a cycle
+            keep = [(n, e) for n, e in zip(leaves.tolist(), to.tolist()) if e >= 0]
+        made = rows.select([*BLOCK, "node"]).take(pa.array([n for n, _ in keep], pa.int64())).append_column("met", pa.array([list(met[e]) for _, e in keep], many))
+        return made.append_column("cyclic", pa.array([len(order) < len(entries)] * len(keep), pa.bool_()))
+
+    made = cut(blocks.apply(small, ["survey"], count, follow, kinds))
+    _refuse_cycles(made)
+    made = made.drop("cyclic")
+    if large is None:
+        return made
+    asked = large.where("leaves").select("survey", F.col("receiver").alias("node")).distinct()
+    entries = _joined(large, asked).select("survey", "node", "up", "met")
+    found = graph.marks_ahead(entries, ["survey"]).select("survey", F.col("node").alias("receiver"), "met").where(F.size("met") > 0)
+    return made.unionByName(_joined(large.where("leaves").select(*BLOCK, "node", "receiver"), found, "receiver").select(*BLOCK, "node", "met"))
+
+
+def _handed_on(way: pa.Table, survey: np.ndarray) -> pa.Table:
+    """(BLOCK, node, total, root): of whole surveys' rows as `tour` has them, for each that leaves a block its number in its tree and the tree's root."""
+    key, to, end = _pairs(survey, *(_nodes(way, c) for c in ("node", "receiver", "end")))
+    entry = way.column("entry").to_numpy(zero_copy_only=False).astype(bool)
+    enters, leaves = np.flatnonzero(entry), np.flatnonzero(~entry)
+    leaves = leaves[np.lexsort((key[leaves], to[leaves]))]  # neighbours of one cell by their nodes
+    size = way.column("size").to_numpy()[leaves]
+    before = np.cumsum(size) - size
+    first = np.ones(len(leaves), bool)
+    first[1:] = to[leaves][1:] != to[leaves][:-1]
+    start = 1 + before - before[np.maximum.accumulate(np.where(first, np.arange(len(leaves)), 0))] if len(leaves) else before
+    begun = _spot(key[leaves], end[enters])
+    step = way.column("number").to_numpy()[enters] + (np.where(begun >= 0, start[begun], 0) if len(leaves) else 0)
+    last, up = _nodes(way, "end")[enters], _spot(key[enters], to[enters])
+    for _ in _rounds(len(up)):
+        live = up >= 0
+        if not live.any():
+            break
+        step, last, up = step + np.where(live, step[up], 0), np.where(live, last[up], last), np.where(live, up[up], -1)
+    reached = _spot(key[enters], to[leaves])
+    some = np.flatnonzero(reached >= 0)
+    made = way.select([*BLOCK, "node"]).take(pa.array(leaves[some]))
+    return made.append_column("total", pa.array((start[some] + step[reached[some]]).astype(np.int64))).append_column("root", pa.array(last[reached[some]].astype(np.int64)))
+
+
+def _told(way: DataFrame) -> DataFrame:
+    """What `_handed_on` gives for all surveys, larger ones by rounds over rows."""
+    small, count, large = _sized(way)
+    kinds = ", ".join(f"`{c}` {k}" for c, k in way.select(*BLOCK).dtypes) + ", node bigint, total bigint, root bigint"
+    made = blocks.apply(small, ["survey"], count, _handed_on, kinds)
+    if large is None:
+        return made
+    brothers = Window.partitionBy("survey", "receiver").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # neighbours of one cell
+    starts = cut(large.where("NOT entry").withColumn("start", 1 + F.coalesce(F.sum("size").over(brothers), F.lit(0))).select(*BLOCK, "node", "receiver", "start"))
+    begun = starts.select(F.col("survey").alias("s__"), F.col("node").alias("k__"), "start")
+    placed = large.where("entry").join(apart(begun), F.col("survey").eqNullSafe(F.col("s__")) & (F.col("end") == F.col("k__")), "left")
+    steps = placed.select("survey", "node", F.col("receiver").alias("up"), (F.col("number") + F.coalesce("start", F.lit(0))).alias("step"), F.col("end").alias("last"))
+    reached = graph.path_sums(steps, ["survey"]).select("survey", F.col("node").alias("receiver"), "step", "last")
+    return made.unionByName(_joined(starts, reached, "receiver").select(*BLOCK, "node", (F.col("start") + F.col("step")).alias("total"), F.col("last").alias("root")))
+
+
 def accumulation(cells: DataFrame, weight: str, name: str, side: int = 512) -> DataFrame:
     """cells + the sum of `weight`, whole numbers, over a cell and everything that drains to it. A cycle raises a ValueError."""
     dealt, count = _dealt(cells.withColumn("weight__", F.col(weight).cast("long")), side), cells.count()
@@ -123,10 +280,7 @@ def accumulation(cells: DataFrame, weight: str, name: str, side: int = 512) -> D
     slim = dealt.select(*BLOCK, "row", "col", "node", "receiver", "weight__")
     rim = cut(blocks.apply(slim, BLOCK, count, first, _kinds(slim, "total bigint")))
     _refuse_cycles(rim)
-    given = rim.where("leaves").groupBy("survey", F.col("receiver").alias("node")).agg(F.sum("total").alias("total"))
-    entries = cut(_joined(rim.select(*BLOCK, "node", "up"), given))
-    sums = graph.subtree_sums(entries, ["survey"], "node", "up", F.col("total"))
-    inflow = _joined(entries.select(*BLOCK, "node"), sums).select(*BLOCK, "node", "total")
+    inflow = _inflow(rim)
 
     def second(block: pa.Table, number: np.ndarray, more: pa.Table, of: np.ndarray) -> pa.Table:
         kept = block.drop_columns(["br__", "bc__", "weight__"])
@@ -163,10 +317,7 @@ def marks_below(cells: DataFrame, targets: DataFrame, target: str, side: int = 5
 
     rim = cut(blocks.coapply(dealt, marks, BLOCK, count, first, _kinds(dealt, f"met array<{kind.simpleString()}>")))
     _refuse_cycles(rim)
-    asked = rim.where("leaves").select("survey", F.col("receiver").alias("node")).distinct()
-    entries = _joined(rim, asked).select("survey", "node", "up", "met")
-    found = graph.marks_ahead(entries, ["survey"]).select("survey", F.col("node").alias("receiver"), "met").where(F.size("met") > 0)
-    later = _joined(rim.where("leaves").select(*BLOCK, "node", "receiver"), found, "receiver").select(*BLOCK, "node", "met")
+    later = _later_marks(rim)
 
     def second(block: pa.Table, number: np.ndarray, some: pa.Table, of: np.ndarray) -> pa.Table:
         if not block.num_rows:
@@ -221,10 +372,7 @@ def tour(cells: DataFrame, side: int = 512) -> DataFrame:
 
     rim = cut(blocks.apply(dealt, BLOCK, count, local, _kinds(dealt, "total bigint")))
     _refuse_cycles(rim)
-    given = rim.where("leaves").groupBy("survey", F.col("receiver").alias("node")).agg(F.sum("total").alias("total"))
-    entries = cut(_joined(rim.select(*BLOCK, "node", "up"), given))
-    sums = graph.subtree_sums(entries, ["survey"], "node", "up", F.col("total"))
-    inflow = cut(_joined(entries.select(*BLOCK, "node"), sums).select(*BLOCK, "node", "total"))
+    inflow = _inflow(rim)
 
     def sorted_(block: pa.Table, of: np.ndarray, more: pa.Table, of_more: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray, list[int]]:
         """Blocks by key, with keys of cells, receivers and the nodes of `more`."""
@@ -254,14 +402,7 @@ def tour(cells: DataFrame, side: int = 512) -> DataFrame:
     crossed = rim.where("leaves").select(*BLOCK).unionByName(inflow.select(*BLOCK)).distinct()
     some = dealt.join(apart(crossed.withColumnsRenamed({b: f"x_{b}" for b in BLOCK})), [F.col(b).eqNullSafe(F.col(f"x_{b}")) for b in BLOCK], "left_semi")
     way = cut(blocks.coapply(some, inflow, BLOCK, count, ways, kinds))
-    brothers = Window.partitionBy("survey", "receiver").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # neighbours of one cell
-    starts = cut(way.where("NOT entry").withColumn("start", 1 + F.coalesce(F.sum("size").over(brothers), F.lit(0))).select(*BLOCK, "node", "receiver", "start"))
-    begun = starts.select(F.col("survey").alias("s__"), F.col("node").alias("k__"), "start")
-    placed = way.where("entry").join(apart(begun), F.col("survey").eqNullSafe(F.col("s__")) & (F.col("end") == F.col("k__")), "left")
-    steps = placed.select("survey", "node", F.col("receiver").alias("up"), (F.col("number") + F.coalesce("start", F.lit(0))).alias("step"), F.col("end").alias("last"))
-    reached = graph.path_sums(steps, ["survey"]).select("survey", F.col("node").alias("receiver"), "step", "last")
-    handed = _joined(starts, reached, "receiver").select(*BLOCK, "node", (F.col("start") + F.col("step")).alias("total"), F.col("last").alias("root"))
-    told = inflow.withColumn("root", F.lit(None).cast("long")).unionByName(handed)
+    told = inflow.withColumn("root", F.lit(None).cast("long")).unionByName(_told(way))
 
     def whole(block: pa.Table, of: np.ndarray, more: pa.Table, of_more: np.ndarray) -> pa.Table:
         block, key, receiver, named = sorted_(block, of, more, of_more)

@@ -1,9 +1,10 @@
 """What made queries grow faster than their tables: broadcasts of cells, a call for each small block, lines searched again for each cell."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rainfold.functions import geodesy
-from rainfold.operators import blocks, hydrology, raster, surfaces
+from rainfold.operators import blocks, forest, graph, hydrology, raster, surfaces
 
 
 def grid(spark, surveys, n=4):
@@ -71,3 +72,24 @@ def test_utm_works_values_out_once(spark):
     assert plan_of(df).lower().count("sinh") < 500
     got = df.first()
     assert abs(got["lon"] - 3.25) < 1e-9 and abs(got["lat"] - 48.5) < 1e-9
+
+
+def test_small_surveys_are_followed_by_tasks(spark, monkeypatch):
+    """What crosses blocks took some rounds of joins over all surveys' rows, however small each one is."""
+    rows = [(s, r, c, 4 if c == 5 and r < 5 else 0 if r == 5 else 1, True) for s in (1, None) for r in range(-2, 6) for c in range(-3, 6)]
+    cells = spark.createDataFrame(rows, "survey long, row int, col int, fdir int, valid boolean").where("survey = 1 OR row < 4")
+    flow = hydrology.with_receiver(cells.withColumns({"row": F.col("row") + 2, "col": F.col("col") + 3}))
+    low = F.lit(500)  # numbers of nodes may be below zero
+    flow = flow.withColumns({"node": F.col("node") - low, "receiver": F.col("receiver") - low}).localCheckpoint()
+    targets = flow.where("row = 5 AND col IN (2, 8) OR row = 0 AND col = 8").select("survey", "node", F.col("col").cast("long").alias("site"))
+
+    def found():
+        made = [forest.accumulation(flow, "valid", "acc", 3).select("survey", "node", "acc"), forest.marks_below(flow, targets, "site", 3), forest.tour(flow, 3)]
+        return [sorted(map(tuple, m.collect()), key=str) for m in made]
+
+    with monkeypatch.context() as m:
+        m.setattr(forest, "TASK_CROSSINGS", 45)  # one survey is larger
+        mixed = found()
+    for name in ("subtree_sums", "marks_ahead", "path_sums"):
+        monkeypatch.setattr(graph, name, lambda *_: pytest.fail("rounds over rows"))
+    assert found() == mixed and all(mixed)
