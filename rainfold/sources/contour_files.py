@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from typing import IO
 
 from pyarrow import ArrowInvalid, fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
@@ -227,19 +227,20 @@ def read(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
 
 
 def write(rows: DataFrame, folder: str, name: str = "name", text: str = "xml", packed: str = "packed") -> None:
-    """Each row's text as folder/name.kml, or packed in name.kmz; a task that runs again writes the same files."""
+    """Each row's text as folder/name.kml, or packed in name.kmz; a task that runs again writes the same files.
 
-    def files(batches):
+    Rows come to Python in batches of some megabytes, as Arrow's batches, so many rows each, would hold a partition's documents at once.
+    """
+
+    def files(documents: Iterator[Row]) -> None:
         system, at = located(folder)
         system.create_dir(at, recursive=True)
-        for batch in batches:
-            for n, body, box in zip(batch[name], batch[text], batch[packed], strict=True):
-                with system.open_output_stream(f"{at}/{n}.{'kmz' if box else 'kml'}") as out:
-                    if box:
-                        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                            archive.writestr("doc.kml", body)
-                    else:
-                        out.write(body.encode())
-            yield batch[[name]].iloc[:0]
-
-    rows.select(F.col(name).cast("string"), text, packed).mapInPandas(files, f"{name} string").write.format("noop").mode("overwrite").save()
+        for n, body, box in documents:
+            with system.open_output_stream(f"{at}/{n}.{'kmz' if box else 'kml'}") as out:
+                if box:
+                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                        archive.writestr("doc.kml", body)
+                else:
+                    out.write(body.encode())
+
+    rows.select(F.col(name).cast("string"), text, packed).foreachPartition(files)

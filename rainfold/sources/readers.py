@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +17,6 @@ from rainfold.functions import parsing
 ID_NAMES = ["id", "contour_id", "fid"]
 
 
-def _tag(name: str) -> str:
-    """An XPath step that takes an element with any namespace or none."""
-    return f"*[local-name()='{name}']"
-
-
 def placemarks(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """documents + (idx, mark): one row a placemark, numbered from 0 in document order, skipped ones counted too."""
     mark = r"(?s)<(?:[A-Za-z0-9_]+:)?Placemark[\s>].*?</(?:[A-Za-z0-9_]+:)?Placemark>"
@@ -28,22 +26,55 @@ def placemarks(documents: DataFrame, xml: str = "xml") -> DataFrame:
     return documents.select(*rest, F.posexplode(F.regexp_extract_all(bare, F.lit(mark), F.lit(0))).alias("idx", "mark"))
 
 
+def _texts(mark: str) -> tuple[str | None, str | None, list[str | None], list[str]]:
+    """Of a placemark in one pass: the first texts of its name and of its line's coordinates (its own line's before nested ones'), names and values of extended data."""
+    above: list[str] = []
+    name, own, nested, names, values = [], [], [], [], []
+
+    def start(tag: str, attributes: dict[str, str]) -> None:
+        above.append(tag.rsplit(":", 1)[-1])
+        if above[-1] in ("SimpleData", "Data") and "name" in attributes:
+            names.append(attributes["name"])
+
+    def text(found: str) -> None:
+        if above[-1] == "coordinates" and above[-2:-1] == ["LineString"]:
+            (own if above[:-2] == ["Placemark"] else nested).append(found)
+        elif above == ["Placemark", "name"]:
+            name.append(found)
+        elif above[-1] == "SimpleData" or above[-2:] == ["Data", "value"]:
+            values.append(found)
+
+    parser = expat.ParserCreate()
+    parser.buffer_text, parser.buffer_size = True, max(1, min(len(mark.encode()), 1 << 20))
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, lambda _: above.pop(), text
+    parser.CommentHandler = parser.ProcessingInstructionHandler = lambda *_: None  # these part texts
+    parser.StartCdataSectionHandler = parser.EndCdataSectionHandler = lambda: None
+    parser.Parse(mark, True)
+    return next(iter(name), None), next(iter(own or nested), None), names, values
+
+
 def contours(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """documents' other columns + (idx, contour_id, elevation, coordinates) of the placemarks that are contours.
 
-    A contour has a name that starts with a number and a LineString with a coordinate; others are left out.
+    A contour has a name that starts with a number and a LineString with a coordinate; others are left out. Each placemark is parsed once.
     """
-    text = F.col("mark")
-
-    def first(path: str) -> Column:
-        return F.get(F.xpath(text, F.lit(f"{path}/text()")), F.lit(0))
-
-    names = F.transform(F.xpath(text, F.lit(f"//{_tag('SimpleData')}/@name | //{_tag('Data')}/@name")), F.lower)
-    values = F.xpath(text, F.lit(f"//{_tag('SimpleData')}/text() | //{_tag('Data')}/{_tag('value')}/text()"))
-    own = F.get(F.filter(F.zip_with(names, values, lambda n, v: F.when(n.isin(ID_NAMES), F.trim(v).try_cast("bigint"))), lambda v: v.isNotNull()), F.lit(0))
-    line = F.coalesce(first(f"/{_tag('Placemark')}/{_tag('LineString')}/{_tag('coordinates')}"), first(f"//{_tag('LineString')}/{_tag('coordinates')}"))
-    made = placemarks(documents, xml).withColumns({"elevation": parsing.elevation_of(first(f"/{_tag('Placemark')}/{_tag('name')}")), "coordinates": parsing.coordinates_of(line), "contour_id": F.coalesce(own, F.col("idx").cast("bigint"))})
-    return made.where(F.col("elevation").isNotNull() & (F.size("coordinates") > 0)).drop("mark")
+    marks = placemarks(documents, xml)
+    kept = {c: k for c, k in marks.dtypes if c != "mark"}
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_texts(m) for m in b.column("mark").to_pylist()]
+            columns = {c: b.column(c) for c in kept}
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+            made = {c: pa.array([g[i] for g in got], k) for i, (c, k) in enumerate(zip(("name__", "line__", "names__", "values__"), kinds))}
+            yield pa.RecordBatch.from_pydict(columns | made)
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in kept.items())
+    texts = marks.mapInArrow(parse, f"{kinds}, name__ string, line__ string, names__ array<string>, values__ array<string>")
+    names = F.transform("names__", F.lower)
+    own = F.get(F.filter(F.zip_with(names, F.col("values__"), lambda n, v: F.when(n.isin(ID_NAMES), F.trim(v).try_cast("bigint"))), lambda v: v.isNotNull()), F.lit(0))
+    made = texts.withColumns({"elevation": parsing.elevation_of(F.col("name__")), "coordinates": parsing.coordinates_of(F.col("line__")), "contour_id": F.coalesce(own, F.col("idx").cast("bigint"))})
+    return made.where(F.col("elevation").isNotNull() & (F.size("coordinates") > 0)).drop("name__", "line__", "names__", "values__")
 
 
 def kml_text(contour_rows: DataFrame, by: str) -> DataFrame:

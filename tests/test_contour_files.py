@@ -5,10 +5,11 @@ import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
-from rainfold.sources import contour_files
+from rainfold.sources import contour_files, readers
 
 
 def mark(name, line="1,2 3,4", more=""):
@@ -97,3 +98,22 @@ def test_written_files_are_read_again(spark, tmp_path):
     for _ in range(2):
         contour_files.write(rows, str(tmp_path / "out"))
     assert sorted((r["path"][-5:], r["elevation"]) for r in contour_files.read(spark, str(tmp_path / "out")).collect()) == [("1.kml", 1.0), ("2.kmz", 2.0), ("2.kmz", 3.0)]
+
+
+def test_documents_are_not_written_by_batches_of_rows(spark, tmp_path, monkeypatch):
+    """An Arrow batch held a partition's documents at once."""
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda *_: pytest.fail("batches of documents"))
+    rows = spark.createDataFrame([(k, document(mark(k), mark(k + 0.5)), k % 2 == 1) for k in range(5)], "name long, xml string, packed boolean")
+    contour_files.write(rows, str(tmp_path / "out"))
+    got = contour_files.read(spark, str(tmp_path / "out")).select("elevation", "entry").collect()
+    assert sorted(map(tuple, got)) == [(k + h, "doc.kml" if k % 2 else None) for k in range(5) for h in (0.0, 0.5)]
+
+
+def test_placemarks_are_parsed_once(spark):
+    """An XPath for each part parsed the text again; texts are still those that XPath's text() gives."""
+    inner = '<x:Placemark a:b="1"><x:name><!-- 9 --> 27<![CDATA[0]]></x:name><x:ExtendedData><x:Data name="Other"><x:value>4</x:value></x:Data><x:Data name="FID"><x:value> 12 </x:value></x:Data></x:ExtendedData>'
+    inner += "<x:MultiGeometry><x:LineString><x:coordinates>8,9</x:coordinates></x:LineString></x:MultiGeometry><x:LineString><x:coordinates>1,2 &#51;,4</x:coordinates></x:LineString></x:Placemark>"
+    made = readers.contours(spark.createDataFrame([("d", f"<kml>{inner}{mark('hill')}{mark(-5)}</kml>")], "doc string, xml string"))
+    assert "xpath" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = [(r["doc"], r["idx"], r["contour_id"], r["elevation"], [tuple(p) for p in r["coordinates"]]) for r in made.collect()]
+    assert got == [("d", 0, 12, 27.0, [(1.0, 2.0), (3.0, 4.0)]), ("d", 2, 2, -5.0, [(1.0, 2.0), (3.0, 4.0)])]
