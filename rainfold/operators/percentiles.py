@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainfold.operators import graph
 from rainfold.operators.graph import salted_join
-from rainfold.plans.store import cut
+from rainfold.plans.store import TASK_ROWS, apart, cut
 
 #: Bits that a pass settles; a group's histogram has up to 2**DIGIT rows a pass.
 DIGIT = 11
@@ -28,11 +29,15 @@ def exact_percentile(rows: DataFrame, key: str, value: str, share: float, name:
     ranks = F.array(F.struct(F.lit(False).alias("upper"), F.floor(place).alias("rank")), F.struct(F.lit(True).alias("upper"), F.ceil(place).alias("rank")))
     sought = groups.select(key, F.explode(ranks).alias("r__")).select(key, "r__.*", F.lit(0).cast("long").alias("prefix"))
     most = values.agg(F.max("v__")).first()[0] or 0  # one number
+    largest, total = groups.agg(F.max("distinct__"), F.sum("distinct__")).first()
+    tasks = -(-(total or 0) // TASK_ROWS) or 1  # by rows: they compress so well that by their bytes all would be one task's
+    even = (largest or 0) <= max(graph.HEAVY_ROWS, (total or 0) // 100)
     for shift in range((max(most.bit_length(), 1) - 1) // DIGIT * DIGIT, -1, -DIGIT):
         before = F.shiftright("v__", shift + DIGIT) if shift + DIGIT < 63 else F.lit(0).cast("long")
         both = F.struct("upper", "rank", "prefix").alias("s__")
         wanted = sought.groupBy(key).agg(F.collect_list(both).alias("s__"))  # two a key
-        near = salted_join(values, wanted, key, counts).select(key, "v__", "n__", F.explode("s__").alias("s__")).where(before == F.col("s__.prefix"))
+        met = values.repartition(tasks, key).join(apart(wanted.repartition(tasks, key)), key) if even else salted_join(values, wanted, key, counts)
+        near = met.select(key, "v__", "n__", F.explode("s__").alias("s__")).where(before == F.col("s__.prefix"))
         digit = F.shiftright("v__", shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
         histogram = near.groupBy(key, "s__", digit.alias("digit")).agg(F.sum("n__").alias("n__"))
         upto = F.sum("n__").over(Window.partitionBy(key, "s__").orderBy("digit"))

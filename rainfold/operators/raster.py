@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rainfold.operators import overlay
+from rainfold.operators.blocks import TASK_CELLS
 from rainfold.plans.store import apart, cut
 
 #: Eight directions in tie-break order: code, row step, column step (fixed values of the D8 scheme).
@@ -39,12 +40,15 @@ def with_bounds(cells: DataFrame) -> DataFrame:
 BOUNDS = ("first_r__", "last_r__", "first_c__", "last_c__")
 
 
-def with_neighbours(cells: DataFrame, *columns: str, name: str = "near") -> DataFrame:
-    """cells + an array of eight structs of `columns` in the order of DIRECTIONS, null beyond the edge."""
-    me = F.struct(*columns)
-    line = cells.withColumns({"w__": F.lag(me).over(along_row()), "e__": F.lead(me).over(along_row())})
+def with_neighbours(cells: DataFrame, *columns: str, name: str = "near", count: int | None = None) -> DataFrame:
+    """cells + an array of eight structs of `columns` in the order of DIRECTIONS, null beyond the edge.
+
+    Lines are dealt to tasks by the number of cells, `count`, as rows with neighbours are long though they compress well.
+    """
+    me, tasks = F.struct(*columns), -(-(cells.count() if count is None else count) // TASK_CELLS) or 1
+    line = cells.repartition(tasks, "survey", "row").withColumns({"w__": F.lag(me).over(along_row()), "e__": F.lead(me).over(along_row())})
     three = F.struct(F.col("w__").alias("w"), me.alias("m"), F.col("e__").alias("e"))
-    wide = line.withColumns({"s__": F.lag(three).over(along_col()), "n__": F.lead(three).over(along_col())})
+    wide = line.repartition(tasks, "survey", "col").withColumns({"s__": F.lag(three).over(along_col()), "n__": F.lead(three).over(along_col())})
     order = ["e__", "n__.e", "n__.m", "n__.w", "w__", "s__.w", "s__.m", "s__.e"]
     return wide.withColumn(name, F.array(*map(F.col, order))).drop("w__", "e__", "s__", "n__")
 

@@ -93,3 +93,12 @@ def test_small_surveys_are_followed_by_tasks(spark, monkeypatch):
     for name in ("subtree_sums", "marks_ahead", "path_sums"):
         monkeypatch.setattr(graph, name, lambda *_: pytest.fail("rounds over rows"))
     assert found() == mixed and all(mixed)
+
+
+def test_tasks_of_neighbours_go_by_cells(spark, monkeypatch):
+    """Files of cells that compress well made few tasks, whose memory grew with the table."""
+    monkeypatch.setattr(raster, "TASK_CELLS", 100)
+    near = raster.with_neighbours(grid(spark, 60), "z")
+    assert plan_of(near).count("Exchange hashpartitioning") == 2 and near.rdd.getNumPartitions() == 10
+    first = near.where("survey = 2 AND row = 1 AND col = 0").first()["near"]
+    assert [n and n["z"] for n in first] == [float((14 + r * 5 + c * 3) % 11) if c >= 0 else None for r, c in ((1, 1), (2, 1), (2, 0), (2, -1), (1, -1), (0, -1), (0, 0), (0, 1))]

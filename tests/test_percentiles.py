@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rainfold.operators import graph, percentiles
+from rainfold.plans import store
 
 
 @pytest.mark.parametrize("digit,heavy", [(11, 1000), (3, 5)])
@@ -29,3 +30,13 @@ def test_no_rows_and_negative_values(spark):
     assert percentiles.exact_percentile(df.limit(0), "survey", "acc", 0.5, "p").count() == 0
     with pytest.raises(PySparkException, match="negative"):
         percentiles.exact_percentile(df, "survey", "acc", 0.5, "p").collect()
+
+
+def test_tasks_go_by_rows(spark, monkeypatch):
+    """Values of very many keys compress so well that one task got them all."""
+    parts = []
+    monkeypatch.setattr(percentiles, "TASK_ROWS", 10)
+    monkeypatch.setattr(percentiles, "cut", lambda df: parts.append(df.rdd.getNumPartitions()) or store.cut(df))
+    rows = spark.range(200).selectExpr("id % 100 AS survey", "id AS acc")
+    got = percentiles.exact_percentile(rows, "survey", "acc", 0.5, "p")
+    assert {r["survey"]: r["p"] for r in got.collect()} == {k: k + 50.0 for k in range(100)} and parts[-1] == 20
