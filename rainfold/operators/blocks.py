@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainfold.plans.store import apart
+
 #: Cells of a pack, of a kernel's call and of a partition, about.
 PACK_CELLS, CALL_CELLS, TASK_CELLS = 16_384, 65_536, 262_144
 
@@ -74,6 +76,13 @@ def coapply(cells: DataFrame, more: DataFrame, keys: Sequence[str], count: int,
     return dealt(cells, keys, count).groupBy("pack__").cogroup(dealt(more, keys, count).groupBy("pack__")).applyInArrow(pack, schema)
 
 
+def joined(cells: DataFrame, more: DataFrame, keys: Sequence[str], count: int, how: str = "inner") -> DataFrame:
+    """cells + what `more` holds for their keys, null ones too; both are dealt to tasks by the `count` of all cells, so a task stays as large whatever the session's partitions."""
+    tasks, at = -(-count // TASK_CELLS) or 1, F.struct(*keys).alias("at__")  # one key, as a join deals anew by any other
+    some, other = (df.repartition(tasks, "at__") for df in (cells.select("*", at), more.select(at, *[c for c in more.columns if c not in keys])))
+    return some.join(apart(other), "at__", how).drop("at__")
+
+
 def stacked(row: np.ndarray, col: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(spot, wide, size): places of cells in one array in which blocks lie one behind the other, each with an empty rim; the step
     from row to row is its block's `wide`, told for each cell."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rainfold.operators import blocks, graph
 from rainfold.operators.raster import DIRECTIONS
-from rainfold.plans.store import apart, cut
+from rainfold.plans.store import cut
 
 HIGH = float("inf")
 OUTLET, NONE = -2, -1
@@ -174,9 +174,9 @@ def raised(cells: DataFrame, side: int, count: int) -> DataFrame:
     rim = local.where("shared").select("survey", "row", "col", "br__", "bc__", "level", "lrow", "lcol")
     step = F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     asked = rim.select("survey", "br__", "bc__", "level", F.col("lrow").alias("xr"), F.col("lcol").alias("xc"), step.alias("n"))
-    other = rim.select(F.col("survey").alias("s2"), F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("br__").alias("br2"), F.col("bc__").alias("bc2"), F.col("level").alias("level2"), F.col("lrow").alias("yr"), F.col("lcol").alias("yc"))
-    met = asked.join(apart(other), F.col("survey").eqNullSafe(F.col("s2")) & (F.col("n.row") == F.col("row2")) & (F.col("n.col") == F.col("col2")))
-    across = met.where("br__ <> br2 OR bc__ <> bc2").select("survey", "xr", "xc", "yr", "yc", F.greatest("level", "level2").alias("h"))
+    beyond = asked.where((line("n.row") != F.col("br__")) | (line("n.col") != F.col("bc__"))).select("survey", F.col("n.row").alias("row"), F.col("n.col").alias("col"), "level", "xr", "xc")
+    other = rim.select("survey", "row", "col", F.col("level").alias("level2"), F.col("lrow").alias("yr"), F.col("lcol").alias("yc"))
+    across = blocks.joined(beyond, other, ("survey", "row", "col"), count).select("survey", "xr", "xc", "yr", "yc", F.greatest("level", "level2").alias("h"))
     # between two blocks, too, only the lowest spill of a pair of labels counts; x is a label where one of both is
     turned = within.unionByName(across).where("xr IS NOT NULL OR yr IS NOT NULL")
     swap: Column = F.col("xr").isNull() | (F.struct("yr", "yc") > F.struct("xr", "xc"))
@@ -185,8 +185,7 @@ def raised(cells: DataFrame, side: int, count: int) -> DataFrame:
     kept = local.drop("spills", "shared", "z__", "outlet")
     if spills.isEmpty():
         return kept.drop("br__", "bc__", "lrow", "lcol")
-    least = label_levels(spills).select(F.col("survey").alias("s2"), F.col("row").alias("row2"), F.col("col").alias("col2"), "least")
+    least = label_levels(spills).withColumnsRenamed({"row": "lrow", "col": "lcol"})
     free = kept.where("lrow IS NULL").drop("lrow", "lcol")  # reaches an outlet within its block
-    key = F.col("survey").eqNullSafe(F.col("s2")) & (F.col("lrow") == F.col("row2")) & (F.col("lcol") == F.col("col2"))
-    held = kept.where("lrow IS NOT NULL").join(apart(least), key, "left").withColumn("level", F.greatest("level", "least")).drop("s2", "row2", "col2", "least", "lrow", "lcol")
+    held = blocks.joined(kept.where("lrow IS NOT NULL"), least, ("survey", "lrow", "lcol"), count, "left").withColumn("level", F.greatest("level", "least")).drop("least", "lrow", "lcol")
     return free.unionByName(held).drop("br__", "bc__")

@@ -107,3 +107,20 @@ def test_tasks_of_neighbours_go_by_cells(spark, monkeypatch):
 def test_tasks_of_levels_go_by_cells(spark, monkeypatch):
     monkeypatch.setattr(hydrology, "TASK_CELLS", 100)
     assert hydrology.fill_depressions(grid(spark, 60)).rdd.getNumPartitions() == 10
+
+
+def watched(monkeypatch):
+    """What `blocks.joined` gets and makes from now on."""
+    seen, old = [], blocks.joined
+    monkeypatch.setattr(blocks, "TASK_CELLS", 100)
+    monkeypatch.setattr(blocks, "joined", lambda cells, *more: seen.append((cells, old(cells, *more))) or seen[-1][1])
+    return seen
+
+
+def test_spills_are_asked_only_beyond_a_block(spark, monkeypatch):
+    """Cells of small blocks asked their neighbours in the same block too, in tasks by the session's partitions."""
+    seen = watched(monkeypatch)
+    hydrology.fill_depressions(grid(spark, 60), 2)
+    (asked, met), (_, raised) = seen
+    assert asked.where("col BETWEEN 0 AND 3 AND row BETWEEN 0 AND 3").count() == met.count() == 60 * (4 + 4 + 2 * 5)
+    assert met.rdd.getNumPartitions() == raised.rdd.getNumPartitions() == 10
