@@ -224,13 +224,13 @@ def _depressions(s: SparkSession, d: str) -> DataFrame:
 
 def _catchments(s: SparkSession, d: str) -> DataFrame:
     flow, traced = traced_sites(s, d)
-    return hydrology.catchment_areas(traced, raster.with_boundary(flow), RESOLUTION)
+    return hydrology.catchment_areas(traced, raster.with_boundary(flow), RESOLUTION, flow.count())
 
 
 def _catchments_over_blocks(s: SparkSession, d: str) -> DataFrame:
     flow = tile_sites(s, d)
     traced = hydrology.trace_catchments(flow, flow.where(F.col("site").isNotNull()).select("survey", "node", "site"), side=3)
-    return hydrology.catchment_areas(traced, raster.with_boundary(flow), RESOLUTION)
+    return hydrology.catchment_areas(traced, raster.with_boundary(flow), RESOLUTION, flow.count())
 
 
 def spanned_sites(s: SparkSession, d: str, side: int = 512) -> tuple[DataFrame, DataFrame]:

@@ -76,11 +76,15 @@ def coapply(cells: DataFrame, more: DataFrame, keys: Sequence[str], count: int,
     return dealt(cells, keys, count).groupBy("pack__").cogroup(dealt(more, keys, count).groupBy("pack__")).applyInArrow(pack, schema)
 
 
+def keyed(rows: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
+    """rows with the struct at__ for their keys, one key as a join deals anew by any other; dealt to tasks by `count` cells, so a task stays as large whatever the session's partitions."""
+    return rows.select(F.struct(*keys).alias("at__"), *[c for c in rows.columns if c not in keys]).repartition(-(-count // TASK_CELLS) or 1, "at__")
+
+
 def joined(cells: DataFrame, more: DataFrame, keys: Sequence[str], count: int, how: str = "inner") -> DataFrame:
-    """cells + what `more` holds for their keys, null ones too; both are dealt to tasks by the `count` of all cells, so a task stays as large whatever the session's partitions."""
-    tasks, at = -(-count // TASK_CELLS) or 1, F.struct(*keys).alias("at__")  # one key, as a join deals anew by any other
-    some, other = (df.repartition(tasks, "at__") for df in (cells.select("*", at), more.select(at, *[c for c in more.columns if c not in keys])))
-    return some.join(apart(other), "at__", how).drop("at__")
+    """cells + what `more` holds for their keys, null ones too; see `keyed`."""
+    made = keyed(cells, keys, count).join(apart(keyed(more, keys, count)), "at__", how)
+    return made.select(*[F.col(f"at__.{c}") if c in keys else c for c in cells.columns], *[c for c in more.columns if c not in keys])
 
 
 def stacked(row: np.ndarray, col: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

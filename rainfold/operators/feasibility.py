@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainfold.functions import parsing
-from rainfold.operators import overlay
+from rainfold.operators import blocks, overlay
 from rainfold.operators.surfaces import held_area, with_holes
 from rainfold.plans.store import cut
 
@@ -144,7 +144,7 @@ def runoff_area(catchments: DataFrame, cells: DataFrame, designs: DataFrame, res
     half = resolution / 2
     corners = footprint_corners(F.col("x"), F.col("y"), F.col("length_m"), F.col("width_m"), F.col("bearing"), F.lit(0.0))
     rings = designs.withColumn("c__", corners).select("survey", "site", "design_id", F.concat("c__", F.slice("c__", 1, 1)).alias("ring"))
-    placed = catchments.select("survey", "node", "site").join(cells.select("survey", "node", "x", "y"), ["survey", "node"])
+    placed = blocks.joined(catchments.select("survey", "node", "site"), cells.select("survey", "node", "x", "y"), ("survey", "node"), cells.count())
     of = overlay.pieces(rings, ["survey", "site", "design_id"], side, "ring", half)
     squares = placed.select("survey", "site", F.floor(F.col("x") / side).cast("long").alias("bx"), F.floor(F.col("y") / side).cast("long").alias("by"), "x", "y")
     met = overlay.met(overlay.grouped(squares, ["survey", "site", "bx", "by"], ["x", "y"]), of, ["survey", "site", "bx", "by"])

@@ -124,3 +124,17 @@ def test_spills_are_asked_only_beyond_a_block(spark, monkeypatch):
     (asked, met), (_, raised) = seen
     assert asked.where("col BETWEEN 0 AND 3 AND row BETWEEN 0 AND 3").count() == met.count() == 60 * (4 + 4 + 2 * 5)
     assert met.rdd.getNumPartitions() == raised.rdd.getNumPartitions() == 10
+
+
+def caught(spark):
+    """Cells of 60 surveys, one of them without a name, and a catchment of each."""
+    cells = grid(spark, 60).withColumns({"node": (F.col("row") * 4 + F.col("col")).cast("long"), "boundary": F.col("col") == 0, "z_filled": F.col("z") + 1, "water": F.col("row") == 1})
+    cells = cells.withColumn("survey", F.when(F.col("survey") != 7, F.col("survey"))).localCheckpoint()
+    return cells, cells.where("col < 2").select("survey", "node", F.lit(1).cast("long").alias("site"))
+
+
+def test_tasks_of_catchments_go_by_cells(spark, monkeypatch):
+    """Cells of catchments met their cells in tasks by the session's partitions, whose memory grew with the table."""
+    seen, (cells, traced) = watched(monkeypatch), caught(spark)
+    assert {(r["cells"], r["boundary_truncated"]) for r in hydrology.catchment_areas(traced, cells, 10.0).collect()} == {(8, True)}
+    assert seen[0][1].rdd.getNumPartitions() == 10
