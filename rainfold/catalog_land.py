@@ -118,7 +118,7 @@ def _assessed(s: SparkSession, d: str) -> DataFrame:
     flow, traced = c.traced_sites(s, d)
     fewer = traced.where((F.col("node") + F.col("site")) % 4 != 0)
     cells = raster.with_boundary(flow).withColumns({"z_filled": F.col("z") + F.when(F.col("node") % 5 == 0, 1.5).otherwise(0.0), "water": F.col("node") % 17 == 0})
-    return c.rounded(sites.assessment(traced, fewer, cells))
+    return c.rounded(sites.assessment(traced, fewer, cells, flow.count()))
 
 
 def _land_errors(s: SparkSession, d: str) -> DataFrame:

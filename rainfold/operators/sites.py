@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainfold.operators import blocks
 from rainfold.operators.hydrology import with_receiver
 from rainfold.operators.percentiles import exact_percentile
 from rainfold.operators.raster import BOUNDS, with_bounds
-from rainfold.plans.store import cut
+from rainfold.plans.store import apart, cut
 
 
 def allowed_cells(cells: DataFrame, setback_m: float = 0.0, max_slope: float = 8.0, border: int = 3) -> DataFrame:
@@ -173,12 +174,17 @@ def centre(sites: DataFrame) -> DataFrame:
     return sites.agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
 
 
-def assessment(filled: DataFrame, unfilled: DataFrame, cells: DataFrame) -> DataFrame:
-    """(survey, site, ...): how a site's catchment depends on filling; both inputs are (survey, node, site), cells have z, z_filled, water, boundary."""
-    a = filled.withColumn("in_filled", F.lit(True))
-    b = unfilled.withColumn("in_unfilled", F.lit(True))
-    both = a.join(b, ["survey", "node", "site"], "full").join(cells.select("survey", "node", "z", "z_filled", "water", "boundary"), ["survey", "node"])
-    inside, plain = F.coalesce("in_filled", F.lit(False)), F.coalesce("in_unfilled", F.lit(False))
+def assessment(filled: DataFrame, unfilled: DataFrame, cells: DataFrame, count: int | None = None) -> DataFrame:
+    """(survey, site, ...): how a site's catchment depends on filling; both inputs are (survey, node, site), cells have z, z_filled, water, boundary. `count` is the number of cells, if it is known.
+
+    Both catchments are dealt by cells as one table, grouped and joined with the cells where they lie.
+    """
+    count, at = cells.count() if count is None else count, ("survey", "node")
+    a = filled.select(*at, "site", F.lit(True).alias("in_filled"), F.lit(False).alias("in_unfilled"))
+    b = unfilled.select(*at, "site", F.lit(False).alias("in_filled"), F.lit(True).alias("in_unfilled"))
+    each = blocks.keyed(a.unionByName(b), at, count).groupBy("at__", "site").agg(F.max("in_filled").alias("in_filled"), F.max("in_unfilled").alias("in_unfilled"))
+    both = each.join(apart(blocks.keyed(cells.select(*at, "z", "z_filled", "water", "boundary"), at, count)), "at__").withColumn("survey", F.col("at__.survey"))
+    inside, plain = F.col("in_filled"), F.col("in_unfilled")
     raised = F.col("z_filled") - F.col("z")
     n = F.count_if(inside)
     return both.groupBy("survey", "site").agg(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainfold.functions import geodesy
-from rainfold.operators import blocks, forest, graph, hydrology, raster, surfaces
+from rainfold.operators import blocks, forest, graph, hydrology, raster, sites, surfaces
 
 
 def grid(spark, surveys, n=4):
@@ -138,3 +138,13 @@ def test_tasks_of_catchments_go_by_cells(spark, monkeypatch):
     seen, (cells, traced) = watched(monkeypatch), caught(spark)
     assert {(r["cells"], r["boundary_truncated"]) for r in hydrology.catchment_areas(traced, cells, 10.0).collect()} == {(8, True)}
     assert seen[0][1].rdd.getNumPartitions() == 10
+
+
+def test_tasks_of_assessments_go_by_cells(spark, monkeypatch):
+    """Two catchments were joined with each other and then with the cells, which dealt them anew by the session's partitions."""
+    monkeypatch.setattr(blocks, "TASK_CELLS", 100)
+    cells, traced = caught(spark)
+    other = cells.where("col IN (1, 2)").select("survey", "node", F.lit(1).cast("long").alias("site"))
+    plan = sites.assessment(traced, other, cells, 960)
+    assert plan_of(plan).count("REPARTITION_BY_NUM, [") == 2 and plan_of(plan).count("Exchange hashpartitioning") == 3
+    assert {(r["survey"] is None, r["filled_cells"], r["additional_area_fraction"], r["routing_sensitivity_fraction"], r["upstream_water_fraction"]) for r in plan.collect()} == {(n, 8, 0.5, 1.0, 0.25) for n in (False, True)}
