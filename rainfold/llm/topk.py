@@ -3,9 +3,9 @@
 Rows are gathered into blocks within their partitions (no shuffle), queries into blocks likewise: a stated query set against
 all rows, in blocks. Both are dealt over a grid of groups, rows over its lines and queries over its columns, and each cell of
 the grid is an equi-join, so a block is shipped once for each group of the other side and not once for each block of it.
-In a block, every dimension has a list of the rows sorted by value. For a query the lists are read from their best ends,
-to doubling depths; rows seen are scored in full, and the search of the block stops when the sum of what the lists may
-still give is below the k-th score. Equal scores go to the smaller id, so the bound has to be strictly below.
+In a block, every dimension has a list of the rows sorted by value. The lists are read from both ends to doubling depths, for
+some queries at a time; rows seen are scored in full, and a query's search of the block stops when the sum of what the lists may
+still give it is below its k-th score. Equal scores go to the smaller id, so the bound has to be strictly below.
 The best k of each block are merged by a window over the query's id.
 
 Vectors with a component from 2**18 on come in blocks of their own, whose scores are summed as Python integers where
@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainfold.plans.store import apart
+
 BLOCK_ROWS, QUERY_ROWS, FIRST_DEPTH = 8192, 1024, 16
 #: Cells of the grid at least, so that few blocks still keep many tasks busy, and pairs of blocks that a cell has about.
 LEAST_CELLS, CELL_PAIRS = 16, 16
+#: Tasks at most that cells of the grid are dealt to, and queries for which a block's lists are read together.
+MOST_TASKS, ASKED_ROWS = 4096, 128
 #: Components below it fit a block of 32-bit integers; doubles from WHOLE on are whole numbers of 256ths.
 SMALL, WHOLE = float(2**18), float(2**44)
 
@@ -94,46 +98,54 @@ def sort_key(score: int) -> bytes:
 
 
 class Lists:
-    """A block's rows and their order by each dimension."""
+    """A block's rows, the values of each dimension in order, and the depth at which one of these lists first shows a row, from either end."""
 
     def __init__(self, ids: np.ndarray, block: np.ndarray):
         self.ids, self.block = ids, block
-        self.order = np.argsort(-block, axis=0, kind="stable")
-        self.ranked = np.take_along_axis(block, self.order, axis=0)
+        order = np.argsort(-block, axis=0, kind="stable")
+        self.ranked = np.take_along_axis(block, order, axis=0)
+        n = len(ids)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.minimum(np.arange(n), np.arange(n)[::-1])[:, None], axis=0)
+        shown = place.min(axis=1, initial=n)
+        self.found = np.argsort(shown, kind="stable")
+        self.shown = shown[self.found]
 
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k rows, by score and then by id."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        seen, done, depth = np.zeros(n, bool), 0, FIRST_DEPTH
-        ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        exact = query.astype(self.block.dtype)
-        while n:
+        return self.best_of(np.array([own], np.int64), query[None], k)[1:]
+
+    def best_of(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, ids, scores) of the best k rows for the query at each place, by place, score and then id.
+
+        The lists are read to one depth for all queries that are not done, from both ends, so their fresh rows are scored by one product
+        of matrices; each query stops by its own bound.
+        """
+        n, live = len(self.ids), np.arange(len(own))
+        place, ids, scores = (np.empty(0, np.int64) for _ in range(3))
+        exact, done, depth = queries.astype(self.block.dtype), 0, FIRST_DEPTH
+        lowest = -np.inf if exact.dtype.kind == "f" else np.iinfo(exact.dtype).min
+        while n and len(live):
             depth = min(depth, n)
-            fresh = np.zeros(n, bool)
-            fresh[self.order[done:depth, up].ravel()] = True
-            fresh[self.order[n - depth : n - done, down].ravel()] = True
-            if depth == n:
-                fresh[:] = True  # rows that no list with a non-zero weight has
-            at = np.flatnonzero(fresh & ~seen)
-            seen |= fresh
-            ids = np.concatenate([ids, self.ids[at]])
-            scores = np.concatenate([scores, (self.block[at] @ exact).astype(np.int64)])
-            apart = ids != own
-            ids, scores = ids[apart], scores[apart]
-            if len(ids) > k:
-                edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near = scores >= edge
-                ids, scores = ids[near], scores[near]
-                first = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[first], scores[first]
-            if depth == n:
-                break
-            bound = int(self.ranked[depth - 1, up] @ exact[up]) + int(self.ranked[n - depth, down] @ exact[down])
-            if len(ids) >= k and scores.min() > bound:
+            upto = n if depth == n else int(np.searchsorted(self.shown, depth))  # at the end all, also where vectors have no components
+            at = self.found[done:upto]
+            if len(at):
+                fresh = exact[live] @ self.block[at].T
+                fresh[own[live][:, None] == self.ids[at]] = lowest
+                edge = np.partition(fresh, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(live), lowest)
+                q, r = np.nonzero((fresh >= edge[:, None]) & (fresh > lowest))
+                place, ids, scores = (np.concatenate(x) for x in ((place, live[q]), (ids, self.ids[at][r]), (scores, fresh[q, r].astype(np.int64))))
+                order = np.lexsort((ids, -scores, place))
+                order = order[np.arange(len(order)) - np.searchsorted(place[order], place[order]) < k]
+                place, ids, scores = place[order], ids[order], scores[order]
+            if upto == n:
                 break
-            done, depth = depth, depth * 2
-        return ids, scores
+            bound = self.ranked[depth - 1] @ np.maximum(exact[live], 0).T + self.ranked[n - depth] @ np.minimum(exact[live], 0).T
+            last = np.searchsorted(place, live, "right") - 1
+            full = np.searchsorted(place, live, "right") - np.searchsorted(place, live) >= k
+            live = live[~(full & (scores[last] > bound.astype(np.int64)))] if len(scores) else live
+            done, depth = upto, depth * 2
+        return place, ids, scores
 
 
 class Scores:
@@ -147,6 +159,10 @@ class Scores:
         first = heapq.nsmallest(k, ((-x, i) for i, x in zip(self.ids.tolist(), scores.tolist(), strict=True) if i != own))
         return np.array([i for _, i in first], np.int64), np.array([-x for x, _ in first], object)
 
+    def best_of(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = [self.best(o, q, k) for o, q in zip(own.tolist(), queries, strict=True)]
+        return np.repeat(np.arange(len(own)), [len(i) for i, _ in each]), *(np.concatenate(x) for x in zip(*each, strict=True))
+
 
 def grid_sides(n_rows: int, n_queries: int) -> tuple[int, int]:
     """Groups of row blocks and of query blocks: as many cells as there is work for, of the shape that ships least."""
@@ -177,21 +193,28 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int
     query_blocks = asked.mapInArrow(ask, "no int, q_n int, q_width int, q_ids binary, q_vectors binary")
     dealt = blocks.withColumn("line", F.pmod(F.xxhash64("ids"), F.lit(down)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     asking = query_blocks.withColumn("column", F.pmod("no", F.lit(across))).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    pairs = dealt.join(asking, ["line", "column"])
+    # blocks of repeated vectors are few bytes when shuffled and many when not, so neither side is broadcast nor are cells put together by bytes
+    cells = min(down * across, MOST_TASKS)
+    pairs = dealt.repartition(cells, "line", "column").join(apart(asking.repartition(cells, "line", "column")), ["line", "column"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lists = None
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 width = max(r["width"], r["q_width"])
                 block, asked_for = unpacked(r["vectors"], r["n"], r["width"], width), unpacked(r["q_vectors"], r["q_n"], r["q_width"], width)
                 most = width * int(np.abs(block).max(initial=0)) * int(np.abs(asked_for).max(initial=0))
                 kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object  # sums stay exact
-                rows = np.frombuffer(r["ids"], np.int64)
-                lists = Scores(rows, block.astype(object)) if kind is object else Lists(rows, block.astype(kind))
+                if held != (at := (r["ids"], r["vectors"], width, kind)):  # the pairs of a block come one after another
+                    rows, held = np.frombuffer(r["ids"], np.int64), at
+                    lists = Scores(rows, block.astype(object)) if kind is object else Lists(rows, block.astype(kind))
                 out: list[tuple] = []
-                for own, q in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), asked_for, strict=True):
-                    ids, scores = lists.best(own, q, k)
-                    out += [(own, i, x if -(2**63) <= x < 2**63 else None, sort_key(x)) for i, x in zip(ids.tolist(), scores.tolist(), strict=True)]
+                asking_ids = np.frombuffer(r["q_ids"], np.int64)
+                for first in range(0, len(asking_ids), ASKED_ROWS):
+                    own = asking_ids[first : first + ASKED_ROWS]
+                    place, ids, scores = lists.best_of(own, asked_for[first : first + ASKED_ROWS], k)
+                    out += [(o, i, x if -(2**63) <= x < 2**63 else None, sort_key(x)) for o, i, x in zip(own[place].tolist(), ids.tolist(), scores.tolist(), strict=True)]
                 cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "key" else pa.int64()) for c, v in zip(("query_id", "vec_id", "score", "key"), cols, strict=True)})
 
