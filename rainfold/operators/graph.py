@@ -48,12 +48,12 @@ def ring_order(step: DataFrame, keys: list[str], node: str, onward: str) -> Data
     The ring is opened at its least node and pointers double: a node knows how many steps on the 2**k-th one lies.
     """
     least = step.groupBy(*keys).agg(F.min(node).alias("least__"))
-    opened = step.join(least, keys)
+    opened = step.join(apart(least), keys)
     now = cut(opened.select(*keys, F.col(node).alias("node"), F.when(F.col(onward) != F.col("least__"), F.col(onward)).alias("up"), F.lit(0).cast("long").alias("left")).withColumn("left", F.when(F.col("up").isNotNull(), F.lit(1)).otherwise(0).cast("long")))
     for _ in range(now.count().bit_length() + 1):
         if now.where(F.col("up").isNotNull()).isEmpty():
             last = now.groupBy(*keys).agg(F.max("left").alias("most__"))
-            return now.join(last, keys).select(*keys, "node", (F.col("most__") - F.col("left")).alias("place"))
+            return now.join(apart(last), keys).select(*keys, "node", (F.col("most__") - F.col("left")).alias("place"))
         further = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("left").alias("more"))
         now = cut(now.join(apart(further), [*keys, "up"], "left").select(*keys, "node", F.col("next").alias("up"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
     raise ValueError("the steps are no closed rings")
@@ -118,7 +118,7 @@ def _degrees(pairs: DataFrame, rows: int) -> DataFrame:
 
 def _with_least(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
     """pairs (u, v) + m, hubs spread over tasks."""
-    return salted_join(pairs, degrees.select("u", "m"), "u", degrees.select("u", "n__"))
+    return salted_join(pairs, degrees.select("u", "m"), "u", degrees.select("u", "n__"), cells=True)
 
 
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -145,9 +145,13 @@ RING_STEPS = 50_000
 def chains(block: pa.Table) -> pa.Table:
     """(head, onward, nodes): the longest paths within a block of steps x -> y; onward is the step that a path leaves the block by, null for a ring."""
     x, y = (block.column(c).combine_chunks() for c in ("x", "y"))
-    names = [repr(d) for d in x.to_pylist()]
-    number = {n: i for i, n in enumerate(names)}
-    onward = [number.get(repr(d), -1) for d in y.to_pylist()]
+    names, follow = (pa.table({"d": c}).flatten() for c in (x, y))
+    while any(pa.types.is_struct(t) for t in names.schema.types):
+        names, follow = names.flatten(), follow.flatten()
+    names, follow = blocks.numbers([names, follow], names.column_names)
+    place = np.full(max(names.max(initial=-1), follow.max(initial=-1)) + 1, -1)
+    place[names] = np.arange(len(names))
+    onward = place[follow].tolist()
     starts = [True] * len(names)
     for i in onward:
         if i >= 0:
@@ -176,8 +180,8 @@ def rings(step: DataFrame, keys: list[str], px: str, py: str) -> DataFrame:
     of others only one row for each path is left, whose order comes from components and doubling pointers.
     """
     at = step.select("x", "y", F.struct(*[F.col(f"x.{k}").alias(k) for k in keys]).alias("k__"), F.col(f"x.{px}").cast("double").alias("px__"), F.col(f"x.{py}").cast("double").alias("py__"))
-    blocks = F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(RING_STEPS))).cast("int")
-    extent = at.groupBy("k__").agg(*[f(p).alias(f"{n}{p}") for p in ("px__", "py__") for n, f in (("low", F.min), ("high", F.max))], blocks.alias("blocks__"))
+    sides = F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(RING_STEPS))).cast("int")
+    extent = at.groupBy("k__").agg(*[f(p).alias(f"{n}{p}") for p in ("px__", "py__") for n, f in (("low", F.min), ("high", F.max))], sides.alias("blocks__"))
     dealt = at.join(apart(extent.withColumnRenamed("k__", "of__")), F.col("k__") == F.col("of__"))
     for p in ("px__", "py__"):
         dealt = dealt.withColumn(f"b{p}", F.floor((F.col(p) - F.col(f"low{p}")) / F.greatest(F.col(f"high{p}") - F.col(f"low{p}"), F.lit(1e-12)) * F.col("blocks__") * 0.999999).cast("int"))
@@ -190,8 +194,8 @@ def rings(step: DataFrame, keys: list[str], px: str, py: str) -> DataFrame:
     if not open_.isEmpty():
         links = open_.select(F.col("head").alias("x"), F.col("onward").alias("y"))
         named = components(links).select("node", F.col("component").alias("ring"))
-        order = ring_order(cut(links.join(named, F.col("x") == F.col("node")).select("ring", "x", "y")), ["ring"], "x", "y")
-        parts = order.join(open_, F.col("node") == F.col("head")).groupBy("ring").agg(F.sort_array(F.collect_list(F.struct("place", "nodes"))).alias("parts"))
+        order = ring_order(cut(links.join(apart(named), F.col("x") == F.col("node")).select("ring", "x", "y")), ["ring"], "x", "y")
+        parts = order.join(apart(open_), F.col("node") == F.col("head")).groupBy("ring").agg(F.sort_array(F.collect_list(F.struct("place", "nodes"))).alias("parts"))
         whole = whole.unionByName(parts.select(F.flatten("parts.nodes").alias("nodes")))
     least = whole.select("nodes", F.array_position("nodes", F.array_min("nodes")).cast("int").alias("from__"))
     return cut(least.select(F.concat(F.slice("nodes", F.col("from__"), F.size("nodes")), F.slice("nodes", F.lit(1), F.col("from__") - 1)).alias("nodes")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rainfold.operators import graph
 from rainfold.operators.noding import ENDS, noded
-from rainfold.plans.store import cut
+from rainfold.plans.store import apart, cut
 
 
 def half_edges(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def faces(lines: DataFrame, keys: list[str]) -> DataFrame:
     edges = cut(half_edges(lines, keys))
     onward = edges.select(*[F.col(k).alias(f"n_{k}") for k in keys], *[F.col(c).alias(f"n{c}") for c in ENDS])
     same = [F.col(k).eqNullSafe(F.col(f"n_{k}")) for k in keys]
-    meet = edges.join(onward, [*same, F.col("x1") == F.col("nx0"), F.col("y1") == F.col("ny0")])
+    meet = edges.join(apart(onward), [*same, F.col("x1") == F.col("nx0"), F.col("y1") == F.col("ny0")])
     come = F.atan2(F.col("y0") - F.col("y1"), F.col("x0") - F.col("x1"))
     turn = come - F.atan2(F.col("ny1") - F.col("ny0"), F.col("nx1") - F.col("nx0"))
     returns = (F.col("nx1") == F.col("x0")) & (F.col("ny1") == F.col("y0"))
@@ -47,7 +47,7 @@ def faces(lines: DataFrame, keys: list[str]) -> DataFrame:
     of_face = placed.select("node", "face")
     twin = F.struct(*[F.col(f"node.{k}").alias(k) for k in keys], *[F.col(f"node.{o}").alias(c) for c, o in zip(ENDS, ("x1", "y1", "x0", "y0"), strict=True)])
     beyond = of_face.select(F.col("node").alias("twin"), F.col("face").alias("beyond"))
-    made = placed.withColumn("twin", twin).join(beyond, "twin").groupBy("face").agg(
+    made = placed.withColumn("twin", twin).join(apart(beyond), "twin").groupBy("face").agg(
         (F.sum(F.col("node.x0") * F.col("node.y1") - F.col("node.x1") * F.col("node.y0")) / 2).alias("area"),
         F.count_if(F.col("face") == F.col("beyond")).alias("loose"),
         F.sort_array(F.collect_list(F.struct("place", F.col("node.x0").alias("x"), F.col("node.y0").alias("y")))).alias("at"),

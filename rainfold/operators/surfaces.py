@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainfold.functions import geometry, parsing
-from rainfold.operators import overlay
+from rainfold.operators import blocks, overlay
 from rainfold.plans.store import cut
 
 HOLES = "array<array<struct<x:double,y:double>>>"
@@ -28,18 +28,18 @@ def mask_runs(cells: DataFrame, flag: str) -> DataFrame:
 def outline_edges(cells: DataFrame, flag: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(survey, keep..., x0, y0, x1, y1): unit edges between marked cells and the rest, the marked cell on the left; grid units."""
     some = cells.where(flag).select("survey", "row", "col", *keep)
-    sides = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(d).alias("d"))
-                for dr, dc, a, b, c, d in ((-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0))
-            ]
-        )
-    )
-    asked = some.select("survey", "row", "col", *keep, sides.alias("s")).select("survey", *keep, (F.col("row") + F.col("s.dr")).alias("r"), (F.col("col") + F.col("s.dc")).alias("c"), F.col("row"), F.col("col"), "s")
-    there = some.select("survey", F.col("row").alias("r"), F.col("col").alias("c"))
-    rim = asked.join(there, ["survey", "r", "c"], "left_anti")
-    return rim.select("survey", *keep, *[(F.col(base) + F.col(f"s.{k}")).cast("int").alias(name) for base, k, name in (("col", "a", "x0"), ("row", "b", "y0"), ("col", "c", "x1"), ("row", "d", "y1"))])
+    tasks = -(-some.count() // blocks.TASK_CELLS) or 1
+    for line, along in (("row", "col"), ("col", "row")):  # rows of as many tasks as cells need: a join with all four neighbours would be four times as many
+        order = Window.partitionBy("survey", line).orderBy(along)
+        near = {f"{along}{step}": F.count(F.lit(1)).over(order.rangeBetween(step, step)) > 0 for step in (-1, 1)}
+        some = some.repartition(tasks, "survey", line).withColumns(near)
+    sides = [("row-1", (0, 0, 1, 0)), ("col1", (1, 0, 1, 1)), ("row1", (1, 1, 0, 1)), ("col-1", (0, 1, 0, 0))]
+
+    def edge(a: int, b: int, c: int, d: int) -> Column:
+        return F.struct(*[(F.col(base) + k).cast("int").alias(name) for base, k, name in (("col", a, "x0"), ("row", b, "y0"), ("col", c, "x1"), ("row", d, "y1"))])
+
+    rim = F.array_compact(F.array(*[F.when(~F.col(f"`{side}`"), edge(*at)) for side, at in sides]))
+    return some.select("survey", *keep, F.explode(rim).alias("e__")).select("survey", *keep, "e__.*")
 
 
 def outline_rings(edges: DataFrame, keys: tuple[str, ...] = ("survey",)) -> DataFrame:
@@ -51,12 +51,18 @@ def outline_rings(edges: DataFrame, keys: tuple[str, ...] = ("survey",)) -> Data
     from rainfold.operators import graph
 
     ends = ("x0", "y0", "x1", "y1")
-    turn = (F.col("x1") - F.col("x0")) * (F.col("ny1") - F.col("ny0")) - (F.col("y1") - F.col("y0")) * (F.col("nx1") - F.col("nx0"))
-    nxt = edges.select(*[F.col(k).alias(f"n{k}") for k in keys], *[F.col(x).alias(f"n{x}") for x in ends])
-    same = [F.col(k).eqNullSafe(F.col(f"n{k}")) for k in keys]
-    both = edges.join(nxt, [*same, F.col("x1") == F.col("nx0"), F.col("y1") == F.col("ny0")])
-    follow = both.groupBy(*keys, *ends).agg(F.max_by(F.struct("nx0", "ny0", "nx1", "ny1"), turn).alias("n"))
-    step = cut(follow.select(F.struct(*keys, *ends).alias("x"), F.struct(*keys, *[F.col(f"n.n{x}").alias(x) for x in ends]).alias("y")))
+    whole = F.struct(*ends)
+    none = F.lit(None).cast(edges.select(whole).schema[0].dataType)
+    # a corner has two edges that come and two that go at most, so they meet by grouping, without a join of all edges with themselves
+    at = F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), whole.alias("comes"), none.alias("goes")), F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), none.alias("comes"), whole.alias("goes"))))
+    corners = edges.select(*keys, at.alias("at__")).groupBy(*keys, "at__.x", "at__.y").agg(F.collect_set("at__.comes").alias("comes__"), F.collect_set("at__.goes").alias("goes__"))
+
+    def turn(n: Column) -> Column:
+        dx, dy = (F.col(f"e__.{c}1") - F.col(f"e__.{c}0") for c in "xy")
+        return dx * (n["y1"] - n["y0"]) - dy * (n["x1"] - n["x0"])
+
+    follow = corners.select(*keys, F.explode("comes__").alias("e__"), "goes__").withColumn("n__", F.array_max(F.transform("goes__", lambda n: F.struct(turn(n).alias("turn"), n.alias("e"))))["e"]).where("n__ IS NOT NULL")
+    step = cut(follow.select(F.struct(*keys, *[F.col(f"e__.{x}").alias(x) for x in ends]).alias("x"), F.struct(*keys, *[F.col(f"n__.{x}").alias(x) for x in ends]).alias("y")))
     made = graph.rings(step, list(keys), "x0", "y0").withColumn("ring", F.get("nodes", F.lit(0)))
     area = F.aggregate("nodes", F.lit(0).cast("long"), lambda t, n: t + n["x0"].cast("long") * n["y1"] - n["x1"].cast("long") * n["y0"]) / 2
     points = F.transform("nodes", lambda p: F.struct(p["x0"].alias("x"), p["y0"].alias("y")))

@@ -148,3 +148,21 @@ def test_tasks_of_assessments_go_by_cells(spark, monkeypatch):
     plan = sites.assessment(traced, other, cells, 960)
     assert plan_of(plan).count("REPARTITION_BY_NUM, [") == 2 and plan_of(plan).count("Exchange hashpartitioning") == 3
     assert {(r["survey"] is None, r["filled_cells"], r["additional_area_fraction"], r["routing_sensitivity_fraction"], r["upstream_water_fraction"]) for r in plan.collect()} == {(n, 8, 0.5, 1.0, 0.25) for n in (False, True)}
+
+
+def test_outlines_are_not_broadcast(spark, monkeypatch):
+    """Edges and cells compress to few bytes, so the planner broadcast millions of them."""
+    seen = []
+    for module in (surfaces, graph):
+        monkeypatch.setattr(module, "cut", lambda df, *more, old=module.cut: seen.append(plan_of(df)) or old(df, *more))
+    monkeypatch.setattr(graph, "FEW_ROWS", 0)
+    monkeypatch.setattr(graph, "RING_STEPS", 3)
+    cells = grid(spark, 3, 5).withColumn("survey", F.when(F.col("survey") != 1, F.col("survey"))).where("row NOT IN (1, 3) OR col IN (0, 4)")
+    made = surfaces.outline_polygons(cells.where("survey IS NULL OR survey = 2 AND row < 3"), "valid")
+    assert {r["survey"]: (r["area"], len(r["holes"])) for r in made.collect()} == {None: (19.0, 2), 2: (12.0, 1)}
+    assert len(seen) > 8 and not any("BroadcastExchange" in p for p in [*seen, plan_of(made)])
+
+
+def test_outlines_of_repeated_cells(spark):
+    cells = grid(spark, 1, 3).where("row <> 1 OR col <> 1")
+    assert sorted(r["area"] for r in surfaces.outline_rings(surfaces.outline_edges(cells.union(cells), "valid")).collect()) == [-1.0, 9.0]
