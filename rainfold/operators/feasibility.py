@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rainfold.functions import parsing
 from rainfold.operators import blocks, overlay
 from rainfold.operators.surfaces import held_area, with_holes
-from rainfold.plans.store import cut
+from rainfold.plans.store import apart, cut
 
 #: Limits of a design's inputs: column, least and most value (fixed values of the planning tool).
 LIMITS = [("length_m", 5.0, 500.0), ("width_m", 5.0, 500.0), ("depth_m", 0.5, 3.0), ("bearing", 0.0, 360.0), ("side_slope", 1.0, 4.0), ("freeboard_m", 0.1, 1.0), ("margin_m", 1.0, 30.0)]
@@ -108,21 +108,34 @@ def pond_feasibility(designs: DataFrame, lands: DataFrame, water: DataFrame, buf
     met = overlay.met(overlay.grouped(fine, ["survey", "land_id", "bx", "by"], names), land, ["survey", "land_id", "bx", "by"])
     found = overlay.refined(met, ["survey"], ask, on_land, f"design_id {ids}, crossed boolean, covered boolean")
     within = found.groupBy("survey", "design_id").agg((F.bool_or("covered") & ~F.bool_or("crossed")).alias("within__"))
-    fitted = cut(sized.join(within, ["survey", "design_id"], "left").withColumn("within_selected_land", F.when(F.col("error").isNull(), F.coalesce("within__", F.lit(False)))).drop("within__"))
-
-    def in_water(v: dict, far: float, near: overlay.Parts, band: overlay.Parts) -> dict | None:
-        x, y = np.array(v["x"]), np.array(v["y"])
-        wet = decided(v, near, far, lambda edges, w, l: box_distance(edges, w, l) <= far)
-        wet |= home(v, x, y) & overlay.inside(near, band, x, y)
-        return {"design_id": np.array(v["design_id"])[wet]} if wet.any() else None
+    fitted = cut(sized.join(apart(within), ["survey", "design_id"], "left").withColumn("within_selected_land", F.when(F.col("error").isNull(), F.coalesce("within__", F.lit(False)))).drop("within__"))
+
+    def in_water(v: dict, pieces: list[tuple[float, overlay.Parts, overlay.Parts]]) -> np.ndarray:
+        """Which designs some water meets; each is asked only until the first does."""
+        x, y = v["x"], v["y"]
+        own, round_ = home(v, x, y), np.hypot(v["half_w"], v["half_l"]) * (1 + 1e-6) + 1e-6
+        wet = np.zeros(len(x), bool)
+        for far, near, band in pieces:
+            left = np.flatnonzero(~wet)
+            if not len(left):
+                break
+            at = left[own[left]]
+            wet[at] |= overlay.inside(near, band, x[at], y[at])
+            ends = np.concatenate(near).reshape(-1, 2)
+            if len(ends):  # only designs whose circle comes within reach of the box about the edges
+                low, high = ends.min(axis=0) - far, ends.max(axis=0) + far
+                u, w, r = x[left], y[left], round_[left]
+                at = left[(u >= low[0] - r) & (u <= high[0] + r) & (w >= low[1] - r) & (w <= high[1] + r) & ~wet[left]]
+                wet[at] |= decided({c: v[c][at] for c in frame}, near, far, lambda edges, w, l, far=far: box_distance(edges, w, l) <= far)
+        return wet
 
     asked = around(fitted.where(F.col("within_selected_land") & F.col("water_known")).select("survey", *names), side)
     reach = F.lit(buffer_m) + F.when(F.col("area"), 0.0).otherwise(parsing.width_metres(F.col("width")) / 2)
     features = with_holes(water).select("survey", "line", "holes", "area", reach.alias("reach")).distinct()  # the same water mapped again changes nothing
     of = overlay.pieces(features, ["survey"], side, "line", F.col("reach"), F.col("area"))
-    met = overlay.met(overlay.grouped(asked, ["survey", "bx", "by"], names), of, ["survey", "bx", "by"])
-    wet = overlay.refined(met, ["survey"], ask, in_water, f"design_id {ids}").distinct().withColumn("wet", F.lit(True))
-    known = fitted.join(wet, ["survey", "design_id"], "left")
+    met = overlay.crowds(asked, of, ["survey", "bx", "by"], names)
+    wet = overlay.settled(met, ["survey"], "design_id", frame, in_water).distinct().withColumn("wet", F.lit(True))
+    known = fitted.join(apart(wet), ["survey", "design_id"], "left")
     avoids = F.when(F.col("within_selected_land") & F.col("water_known"), F.col("wet").isNull())
     status = (
         F.when(F.col("error").isNotNull(), "invalid")

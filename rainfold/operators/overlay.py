@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rainfold.operators.graph import salted_join
+from rainfold.plans.store import apart, cut
+
 PIECE = "`bx` bigint, `by` bigint, `near` array<array<double>>, `band` array<array<double>>"
 #: The largest number of rows of a batch made by a kernel.
 BATCH_ROWS = 512
@@ -220,6 +223,49 @@ def grouped(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataF
     return each.select(*keys, *[F.col(f"all__.{c}").alias(c) for c in names])
 
 
+#: What a row of `crowds` holds about at most: rows of a square, and edges of its pieces.
+CROWD_ROWS, CHUNK_EDGES = 1024, 4096
+
+
+def crowds(rows: DataFrame, of: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(at__, an array of each of `names`, pieces__): groups of a square's rows with chunks of its pieces `of`, for what one piece can settle.
+
+    A row of the join holds many pieces, so that what an earlier one settles need not meet the later ones. Groups are dealt to tasks each by
+    itself: a crowded square is no longer task than others. at__ has the keys.
+    """
+    at, n = F.struct(*keys).alias("at__"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given, pieces = rows.select(at, *names), cut(of.select(at, F.struct("reach__", "near", "band").alias("piece__")))
+    counts = cut(given.groupBy("at__").agg(F.count(F.lit(1)).alias("n__")))
+    groups = counts.select("at__", F.ceil(F.col("n__") / CROWD_ROWS).alias("groups__"))
+    dealt = salted_join(given, groups, "at__", counts, cells=True).withColumn("group__", F.pmod(F.xxhash64(*names), F.col("groups__")))
+    each = dealt.groupBy("at__", "group__").agg(F.collect_list(F.struct(*names)).alias("all__")).select("at__", "group__", *[F.col(f"all__.{c}").alias(c) for c in names])
+
+    edges = sum((F.aggregate(f"piece__.{c}", F.lit(0), lambda t, e: t + F.size(e)) for c in ("near", "band")), F.lit(4)) / 4
+    held = pieces.groupBy("at__").agg(F.ceil(F.sum(edges) / CHUNK_EDGES).alias("chunks__"))
+    chunks = pieces.join(apart(held), "at__").withColumn("chunk__", F.pmod(F.xxhash64("piece__"), F.col("chunks__"))).groupBy("at__", "chunk__").agg(F.collect_list("piece__").alias("pieces__"))
+    asked = chunks.join(apart(groups), "at__").select("at__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups__") - 1)).alias("group__"), "pieces__")
+    return each.repartition(n, "at__", "group__").join(apart(asked.repartition(n, "at__", "group__")), ["at__", "group__"])
+
+
+def settled(joined: DataFrame, keep: Sequence[str], name: str, numbers: Sequence[str], test: Callable[..., np.ndarray]) -> DataFrame:
+    """keep + name: of the rows in `crowds` those that `test(values, pieces)` tells; values are arrays of `numbers` and the square's bx and by,
+    pieces tuples (reach, near, band)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("at__")
+            for i in range(b.num_rows):
+                values = {c: b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in numbers}
+                pieces = [(p["reach__"], *([np.array(e, float).reshape(-1, 4) for e in p[c]] for c in ("near", "band"))) for p in b.column("pieces__")[i].as_py()]
+                found = test(values | {c: at.field(c)[i].as_py() for c in ("bx", "by")}, pieces)
+                if found.any():
+                    ids = b.column(name)[i].values.filter(pa.array(found))
+                    yield pa.RecordBatch.from_pydict({c: at.field(c).take(pa.array(np.full(len(ids), i))) for c in keep} | {name: ids})
+
+    types = dict(joined.select("at__.*", F.col(name).getItem(0).alias(name)).dtypes)
+    return joined.mapInArrow(kernel, ", ".join(f"`{c}` {types[c]}" for c in [*keep, name]))
+
+
 def cell_squares(cells: DataFrame, keys: Sequence[str], side: float) -> DataFrame:
     """keys + (bx, by, rows, cols, xs, ys): the cells of each square as arrays; a square holds as many as the resolution allows."""
     at = cells.withColumns({"bx": F.floor(F.col("x") / side).cast("long"), "by": F.floor(F.col("y") / side).cast("long")})

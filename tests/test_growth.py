@@ -1,10 +1,11 @@
 """What made queries grow faster than their tables: broadcasts of cells, a call for each small block, lines searched again for each cell."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rainfold.functions import geodesy
-from rainfold.operators import blocks, forest, graph, hydrology, raster, sites, surfaces
+from rainfold.operators import blocks, feasibility, forest, graph, hydrology, overlay, raster, sites, surfaces
 
 
 def grid(spark, surveys, n=4):
@@ -166,3 +167,32 @@ def test_outlines_are_not_broadcast(spark, monkeypatch):
 def test_outlines_of_repeated_cells(spark):
     cells = grid(spark, 1, 3).where("row <> 1 OR col <> 1")
     assert sorted(r["area"] for r in surfaces.outline_rings(surfaces.outline_edges(cells.union(cells), "valid")).collect()) == [-1.0, 9.0]
+
+
+def test_ponds_meet_many_waters_at_once(spark, monkeypatch):
+    """Each group of ponds met each water of its square in a row of its own, also those that the first had settled."""
+    rng = np.random.default_rng(8)
+    box = [{"x": x, "y": y} for x, y in ((-900.0, -900.0), (900.0, -900.0), (900.0, 900.0), (-900.0, 900.0), (-900.0, -900.0))]
+    lands = spark.createDataFrame([("a", 1, box)], "survey string, land_id long, ring array<struct<x:double,y:double>>")
+    made = [(f"p{i}", float(x), float(y), float(b)) for i, (x, y, b) in enumerate(zip(rng.uniform(2, 250, 120), rng.uniform(2, 120, 120), rng.uniform(0, 360, 120)))]
+    ponds = spark.createDataFrame(made, "design_id string, x double, y double, bearing double").withColumns({"survey": F.lit("a"), "land_id": F.lit(1).cast("long"), "length_m": F.lit(12.0), "width_m": F.lit(9.0), "depth_m": F.lit(1.0), "side_slope": F.lit(2.0), "freeboard_m": F.lit(0.3), "margin_m": F.lit(1.0), "water_known": F.lit(True)})
+    lines = [(np.array([(x, y), (x + 4, y + 3), (x + 2, y + 7)]), bool(i % 2)) for i, (x, y) in enumerate(rng.uniform(0, 60, (40, 2)))]
+    features = [("a", [{"x": float(x), "y": float(y)} for x, y in [*line, *line[: int(area)]]], area, "6" if area else None) for line, area in lines]
+    water = spark.createDataFrame(features, "survey string, line array<struct<x:double,y:double>>, area boolean, width string")
+    seen, old = [], overlay.settled
+    monkeypatch.setattr(overlay, "settled", lambda joined, *more: seen.append(joined.count()) or old(joined, *more))
+
+    def dry():
+        return {r["design_id"] for r in feasibility.pond_feasibility(ponds, lands, water, 5.0, 64.0).where("avoids_mapped_water").collect()}
+
+    ids, x, y, bearing = zip(*made)
+    wet = np.zeros(len(ids), bool)
+    for f in features:
+        edges = overlay.edges_of(f[1])
+        wet |= feasibility.box_distance(feasibility.turned(edges, np.array(x), np.array(y), np.array(bearing)), np.full(len(ids), 5.5), np.full(len(ids), 7.0)) <= 5.0
+        wet |= overlay.covers(edges, np.array(x), np.array(y)) & f[2]
+    want = {i for i, w in zip(ids, wet) if not w}
+    assert dry() == want and 20 < len(want) < 110 and seen[0] <= 8  # a row for each square
+    monkeypatch.setattr(overlay, "CROWD_ROWS", 7)
+    monkeypatch.setattr(overlay, "CHUNK_EDGES", 10)
+    assert dry() == want and seen[1] > 50
